@@ -1,4 +1,477 @@
 """The reference's queries by name, and the SQL that each is held against."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tallyworks.functions import rules as R
+from tallyworks.functions import text as X
+from tallyworks.operators import ledger, lookup, scoring
+from tallyworks.operators.grade import OWN_GRADES, graded, name_index
+from tallyworks.operators.stats import entity_stats, with_share
+from tallyworks.plans.horses import CLUB, HORSES_SQL, OFFERS_SQL, horses, offers, read
+
+QUERIES, ORACLE_SQL = {}, {}
+STATS = ["n_horses", "wins", "starts", "prize", "win_rate", "win_rate_sm", "prize_man_per_horse", "composite_raw"]
+GRADED = ["rank", "grade", "score", "percentile"]
+T, FAM, X2 = ["trainer", "trainer_code"], ["family", "family_code"], ["trainer", "family", "family_code"]
+
+
+def query(sql: str | None = None):
+    """Registers a query, with its SQL if it has any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rates(keys: str, where: str, having: str = "", extra: str = "", source: str = "horses") -> str:
+    return f"""SELECT *, round(CASE WHEN starts > 0 THEN CAST(wins AS DOUBLE) / starts ELSE 0 END, 4) AS win_rate, round((wins + 1e0) / (starts + 12), 4) AS win_rate_sm,
+  floor(prize * 1e0 / n_horses + 0.5e0) / 100e0 AS prize_man_per_horse, round((wins + 1e0) / (starts + 12) * 100 + 2 * ln(1 + (prize / 100e0) / n_horses), 4) AS composite_raw
+  FROM (SELECT {keys}, CAST(count(*) AS BIGINT) AS n_horses, CAST(sum(wins) AS BIGINT) AS wins, CAST(sum(starts) AS BIGINT) AS starts, CAST(sum(prize) AS BIGINT) AS prize{extra} FROM {source} WHERE {where} GROUP BY {keys} {having})"""
+
+
+def grades(source: str, least: int, ties: str, steps=(0.15, 0.40, 0.75)) -> str:
+    a, b, c = steps
+    return f"""SELECT *, CASE grade WHEN 'S' THEN 6.0e0 WHEN 'A' THEN 4.5e0 WHEN 'B' THEN 3.0e0 WHEN 'C' THEN 1.5e0 ELSE 2.0e0 END AS score, CASE WHEN rank IS NOT NULL THEN round(1 - (rank - 0.5e0) / n, 4) END AS percentile FROM (
+  SELECT *, CASE WHEN rank IS NULL THEN 'U' WHEN (rank - 0.5e0) / n <= {a} THEN 'S' WHEN (rank - 0.5e0) / n <= {b} THEN 'A' WHEN (rank - 0.5e0) / n <= {c} THEN 'B' ELSE 'C' END AS grade FROM (
+  SELECT *, CASE WHEN starts >= {least} THEN CAST(row_number() OVER (PARTITION BY starts >= {least} ORDER BY composite_raw DESC, {ties}) AS INTEGER) END AS rank, count(*) OVER (PARTITION BY starts >= {least}) AS n FROM ({source})))"""
+
+
+CLUB_TRAINERS = rates("trainer, trainer_code", f"owner = {CLUB}", "HAVING count(*) >= 2")
+CLUB_FAMILIES = rates("family, family_code", f"owner = {CLUB}", "HAVING count(*) >= 2")
+OVERALL = rates("family, family_code", f"family_code IN (SELECT family_code FROM horses WHERE owner = {CLUB})", "", f", CAST(sum(CASE WHEN owner = {CLUB} THEN 1 ELSE 0 END) AS BIGINT) AS club_horses")
+SHARED = f"SELECT *, round(CAST(club_horses AS DOUBLE) / n_horses, 4) AS club_share, club_horses >= 3 AND CAST(club_horses AS DOUBLE) / n_horses >= 0.04e0 AS club_unique FROM ({OVERALL})"
+CROSS = rates("trainer, family, family_code", f"owner = {CLUB}", "HAVING count(*) >= 2")
+GT, GF, GO_, GX = (grades(s, n, t) for s, n, t in ((CLUB_TRAINERS, 20, "trainer_code, trainer"), (CLUB_FAMILIES, 15, "family_code, family"), (SHARED, 15, "family_code, family"), (CROSS, 10, "family_code, trainer, family")))
+W, WO = f"WITH {HORSES_SQL} ", f"WITH {HORSES_SQL}, {OFFERS_SQL}"
+STATS_SQL = ", ".join(STATS)
+ALL_SQL = ", ".join(STATS + GRADED)
+
+
+def club_stats(spark, sf_dir, keys):
+    return entity_stats(horses(spark, sf_dir).where(F.col("owner") == CLUB), keys, 2)
+
+
+def overall_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All horses of the families that the club has, with the club's count and share."""
+    h = horses(spark, sf_dir)
+    ours = h.where(F.col("owner") == CLUB).select("family_code").distinct()
+    stats = entity_stats(h.join(ours, "family_code", "left_semi"), FAM, 1, {"club_horses": F.sum((F.col("owner") == CLUB).cast("long"))})
+    share = F.col("club_horses") / F.col("n_horses")
+    return with_share(stats).withColumn("club_unique", (F.col("club_horses") >= 3) & (share >= 0.04))  # the test tables spread a family over 25 owners
+
+
+@query(f"{W} SELECT trainer, trainer_code, {STATS_SQL} FROM ({CLUB_TRAINERS})")
+def entity_stats_trainer(spark, sf_dir):
+    return club_stats(spark, sf_dir, T).select(*T, *STATS)
+
+
+@query(f"{W} SELECT trainer, trainer_code, {ALL_SQL} FROM ({GT})")
+def grade_trainer(spark, sf_dir):
+    return graded(club_stats(spark, sf_dir, T), 20, ["trainer_code", "trainer"]).select(*T, *STATS, *GRADED)
+
+
+@query(f"{W} SELECT family, family_code, {STATS_SQL} FROM ({CLUB_FAMILIES})")
+def entity_stats_family(spark, sf_dir):
+    return club_stats(spark, sf_dir, FAM).select(*FAM, *STATS)
+
+
+@query(f"{W} SELECT family, family_code, {STATS_SQL}, club_horses, club_share, club_unique FROM ({SHARED})")
+def family_overall_semijoin(spark, sf_dir):
+    return overall_families(spark, sf_dir).select(*FAM, *STATS, "club_horses", "club_share", "club_unique")
+
+
+@query(f"{W} SELECT family, family_code, club_horses, {ALL_SQL} FROM ({GO_})")
+def grade_family_overall(spark, sf_dir):
+    return graded(overall_families(spark, sf_dir), 15, ["family_code", "family"]).select(*FAM, "club_horses", *STATS, *GRADED)
+
+
+OWN = grades(f"SELECT * FROM ({SHARED}) WHERE club_unique", 0, "family_code, family", (0.20, 0.50, 0.80))
+
+
+@query(f"{W} SELECT a.family, a.family_code, a.club_unique, o.rank AS own_rank, o.grade AS own_grade FROM ({SHARED}) a LEFT JOIN ({OWN}) o ON a.family = o.family AND a.family_code = o.family_code")
+def unique_family_grade(spark, sf_dir):
+    every = overall_families(spark, sf_dir)
+    own = graded(every.where("club_unique"), 0, ["family_code", "family"], steps=OWN_GRADES).select(*FAM, F.col("rank").alias("own_rank"), F.col("grade").alias("own_grade"))
+    return every.select(*FAM, "club_unique").join(own, FAM, "left")
+
+
+@query(f"{W} SELECT trainer || '|' || family AS cross_key, trainer, family, family_code, {ALL_SQL} FROM ({GX})")
+def cross_stats_grade(spark, sf_dir):
+    return graded(club_stats(spark, sf_dir, X2), 10, ["family_code", "trainer", "family"]).select(F.concat_ws("|", "trainer", "family").alias("cross_key"), *X2, *STATS, *GRADED)
+
+
+INDEX = f"SELECT family, family_code, grade, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY (rank IS NULL) DESC, rank DESC, composite_raw, family_code DESC) AS last FROM ({GF})) WHERE last = 1"
+
+
+@query(f"{W} {INDEX}")
+def name_index_last_wins(spark, sf_dir):
+    return name_index(graded(club_stats(spark, sf_dir, FAM), 15, ["family_code", "family"]), "family", ["family_code"], ["family_code", "grade", "rank", "score"])
+
+
+@query(f"{W} SELECT CAST(count(*) AS BIGINT) AS n_horses, CAST(sum(CASE WHEN coalesce(active, '0') = '0' THEN 1 ELSE 0 END) AS BIGINT) AS n_active, CAST(sum(wins) AS BIGINT) AS wins, CAST(sum(starts) AS BIGINT) AS starts FROM horses WHERE owner = {CLUB}")
+def axis_counts(spark, sf_dir):
+    active = F.sum((F.coalesce("active", F.lit("0")) == "0").cast("long"))
+    return horses(spark, sf_dir).where(F.col("owner") == CLUB).agg(F.count(F.lit(1)).alias("n_horses"), active.alias("n_active"), F.sum("wins").alias("wins"), F.sum("starts").alias("starts"))
+
+
+@query(f"{W} SELECT trainer, trainer_code, CAST(count(*) AS BIGINT) AS n FROM horses WHERE owner = {CLUB} GROUP BY ALL ORDER BY n DESC, trainer_code LIMIT 30")
+def axis_top_trainers(spark, sf_dir):
+    return horses(spark, sf_dir).where(F.col("owner") == CLUB).groupBy(*T).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "trainer_code").limit(30)
+
+
+@query(f"SELECT n_nationkey, n_name FROM nation WHERE n_nationkey = {CLUB} LIMIT 1")
+def owner_point_lookup(spark, sf_dir):
+    return read(spark, sf_dir, "nation").where(F.col("n_nationkey") == CLUB).select("n_nationkey", "n_name").limit(1)
+
+
+@query(f"{W} SELECT dam, family, owner FROM (SELECT *, row_number() OVER (PARTITION BY dam ORDER BY CASE WHEN owner = {CLUB} THEN 0 ELSE 1 END, born DESC NULLS LAST, id, line) AS k FROM horses) WHERE k = 1")
+def dam_resolve(spark, sf_dir):
+    order = Window.partitionBy("dam").orderBy(F.when(F.col("owner") == CLUB, 0).otherwise(1), F.desc_nulls_last("born"), "id", "line")
+    return horses(spark, sf_dir).withColumn("k", F.row_number().over(order)).where("k = 1").select("dam", "family", "owner")
+
+
+@query("SELECT s_suppkey, '　Ｓ' || s_name || 'カナ ' AS raw, trim(replace('　Ｓ' || s_name || 'カナ ', '　', ' ')) AS name, lower(replace('Ｓ' || s_name || 'かな', ' ', '')) AS kana, lower(replace('S' || s_name || 'カナ', ' ', '')) AS width FROM supplier")
+def norm_names(spark, sf_dir):
+    raw = F.concat(F.lit("　Ｓ"), F.col("s_name"), F.lit("カナ "))
+    return read(spark, sf_dir, "supplier").select("s_suppkey", raw.alias("raw"), X.norm_name(raw).alias("name"), X.norm_kana(raw).alias("kana"), X.norm_width(raw).alias("width"))
+
+
+SEARCHES = ["blue", "red", "small", "metal part", "zz"]
+NAMES_SQL = "SELECT DISTINCT lower(replace(p_name, ' ', '')) AS n, p_name FROM part"
+SCORE_SQL = """CASE WHEN n = q THEN 100 WHEN starts_with(n, q) THEN 80 WHEN contains(n, q) THEN 60 WHEN h >= least(2, length(q)) THEN 20 + h ELSE 0 END"""
+SCORED_SQL = f"SELECT query, p_name AS name, CAST({SCORE_SQL} AS INTEGER) AS score FROM (SELECT query, q, n, p_name, (SELECT count(*) FROM generate_series(1, length(q)) g(i) WHERE contains(n, substr(q, CAST(i AS BIGINT), 1))) AS h FROM (SELECT unnest({SEARCHES!r}) AS query), LATERAL (SELECT lower(replace(query, ' ', '')) AS q), ({NAMES_SQL}))"
+
+
+def searches(spark, sf_dir):
+    queries = spark.createDataFrame([(q,) for q in SEARCHES], "query string")
+    items = read(spark, sf_dir, "part").select(F.lit("part").alias("category"), F.col("p_name").alias("name")).distinct().withColumn("ord", F.col("name"))
+    return queries, items
+
+
+@query(SCORED_SQL)
+def match_score(spark, sf_dir):
+    queries, items = searches(spark, sf_dir)
+    return items.join(F.broadcast(queries)).select("query", "name", X.match_score(F.col("query"), F.col("name")).cast("int").alias("score"))
+
+
+@query(f"SELECT query, name, score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, name) AS place FROM ({SCORED_SQL}) WHERE score > 0) WHERE place <= 10")
+def suggest_topk(spark, sf_dir):
+    return lookup.top_matches(*searches(spark, sf_dir), X.match_score, 10).select("query", "name", "score", "place")
+
+
+MULTI = "SELECT 'trainer' AS category, s_name AS name FROM supplier UNION SELECT 'sire', p_type FROM part UNION SELECT 'family', p_name FROM part"
+
+
+@query(f"SELECT category, name, score FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, name) AS k FROM (SELECT *, CASE WHEN lower(replace(name, ' ', '')) = 'pp' THEN 100 WHEN starts_with(lower(replace(name, ' ', '')), 'pp') THEN 80 WHEN contains(lower(replace(name, ' ', '')), 'pp') THEN 60 WHEN contains(lower(name), 'p') THEN 22 ELSE 0 END AS score FROM ({MULTI})) WHERE score > 0) WHERE k <= 8")
+def multi_search(spark, sf_dir):
+    part, supplier = read(spark, sf_dir, "part"), read(spark, sf_dir, "supplier")
+    of = lambda df, category, name: df.select(F.lit(category).alias("category"), F.col(name).alias("name")).distinct()
+    items = of(supplier, "trainer", "s_name").unionByName(of(part, "sire", "p_type")).unionByName(of(part, "family", "p_name")).withColumn("ord", F.col("name"))
+    return lookup.top_matches(spark.createDataFrame([("pp",)], "query string"), items, X.match_score, 8).select("category", "name", "score")
+
+
+def prefixes(spark, sf_dir):
+    """A dimension of shortened supplier names: some exact, some cut."""
+    s = read(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0")
+    name = F.when(F.col("s_suppkey") % 3 == 1, F.col("s_name")).otherwise(F.expr("substring(s_name, 1, length(s_name) - 1)"))
+    return s.select(name.alias("name"), F.col("s_suppkey").alias("ord"), (F.col("s_suppkey") % 5).cast("double").alias("pts"))
+
+
+PREFIX_SQL = "dims AS (SELECT CASE WHEN s_suppkey % 3 = 1 THEN s_name ELSE substr(s_name, 1, length(s_name) - 1) END AS name, s_suppkey AS ord, CAST(s_suppkey % 5 AS DOUBLE) AS pts FROM supplier WHERE s_suppkey % 3 <> 0)"
+
+
+@query(f"WITH {PREFIX_SQL} SELECT s_suppkey, matched, coalesce(pts, 2.0e0) AS pts FROM (SELECT s_suppkey, d.name AS matched, d.pts, row_number() OVER (PARTITION BY s_suppkey ORDER BY CASE WHEN d.name = s_name THEN 0 ELSE 1 END, d.ord) AS k FROM supplier LEFT JOIN dims d ON starts_with(s_name, d.name) OR starts_with(d.name, s_name)) WHERE k = 1")
+def lookup_exact_then_prefix(spark, sf_dir):
+    found = lookup.first_match(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_name", prefixes(spark, sf_dir), "name", "ord", ["pts"], lookup.both_prefixes)
+    return found.select("s_suppkey", "matched", F.coalesce("pts", F.lit(2.0)).alias("pts"))
+
+
+@query("WITH dims AS (SELECT p_type AS name, CAST(row_number() OVER (ORDER BY p_type DESC) AS INTEGER) AS ord FROM (SELECT DISTINCT p_type FROM part)) SELECT p_partkey, matched, coalesce(4.0e0 - ord * 0.25e0, 2.0e0) AS score FROM (SELECT p_partkey, d.name AS matched, ord, row_number() OVER (PARTITION BY p_partkey ORDER BY ord) AS k FROM part LEFT JOIN dims d ON contains(p_type || ' x', d.name)) WHERE k = 1")
+def lookup_substring_first(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    dims = part.select(F.col("p_type").alias("name")).distinct().withColumn("ord", F.row_number().over(Window.orderBy(F.desc("name"))))
+    asked = part.select("p_partkey", F.concat("p_type", F.lit(" x")).alias("q"))
+    found = lookup.first_match(asked, "q", dims, "name", "ord", ["ord"], lookup.query_contains)
+    return found.select("p_partkey", "matched", F.coalesce(4.0 - F.col("ord") * 0.25, F.lit(2.0)).alias("score"))
+
+
+@query("WITH tiers AS (SELECT name, CASE WHEN name < 'M' THEN 'S' ELSE 'A' END AS tier, row_number() OVER (ORDER BY CASE WHEN name < 'M' THEN 0 ELSE 1 END, name) AS ord FROM (SELECT DISTINCT substr(p_name, 1, 4) AS name FROM part WHERE p_size < 20)) SELECT p_partkey, tier FROM (SELECT p_partkey, t.tier, row_number() OVER (PARTITION BY p_partkey ORDER BY t.ord) AS k FROM part LEFT JOIN tiers t ON contains(p_name, t.name) OR contains(t.name, p_name)) WHERE k = 1")
+def tier_match_bidirectional(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    names = part.where("p_size < 20").select(F.substring("p_name", 1, 4).alias("name")).distinct().withColumn("tier", F.when(F.col("name") < "M", "S").otherwise("A"))
+    tiers = names.withColumn("ord", F.row_number().over(Window.orderBy(F.when(F.col("tier") == "S", 0).otherwise(1), "name")))
+    return lookup.first_match(part.select("p_partkey", "p_name"), "p_name", tiers, "name", "ord", ["tier"], lookup.either_contains).select("p_partkey", "tier")
+
+
+@query(f"{WO}, crosses AS (SELECT * FROM ({GX}) WHERE grade <> 'U') SELECT o.id, c.grade, c.rank FROM offers o LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trainer, family ORDER BY rank) AS k FROM crosses) WHERE k = 1) c ON o.trainer = c.trainer AND o.family = c.family")
+def cross_lookup(spark, sf_dir):
+    found = graded(club_stats(spark, sf_dir, X2), 10, ["family_code", "trainer", "family"]).where("grade <> 'U'")
+    best = found.groupBy("trainer", "family").agg(F.min_by(F.struct("grade", "rank"), "rank").alias("c"))
+    return offers(spark, sf_dir).join(best, ["trainer", "family"], "left").select("id", "c.grade", "c.rank")
+
+
+@query(f"{WO} SELECT id, text, CAST(weight AS INTEGER) AS min_kg, coalesce(weight <= 420, false) AS light FROM offers")
+def weight_extract(spark, sf_dir):
+    kg = F.array_min(X.weights(F.col("text")))
+    return offers(spark, sf_dir).select("id", "text", kg.alias("min_kg"), F.coalesce(kg <= R.LIGHT_KG, F.lit(False)).alias("light"))
+
+
+def _has(words) -> str:
+    return " + ".join(f"CASE WHEN contains(text, '{k}') THEN {d}e0 ELSE 0e0 END" for k, d in words)
+
+
+CONDITION_SQL = f"round(least(3e0, greatest(0e0, 2e0 + {_has(R.POSITIVE + R.NEGATIVE)} + CASE WHEN weight <= 420 THEN -0.3e0 ELSE 0e0 END)), 4)"
+HITS_SQL = "concat_ws(',', " + ", ".join(f"CASE WHEN contains(text, '{k}') THEN '{'+' if d > 0 else '-'}{k}' END" for k, d in R.POSITIVE + R.NEGATIVE) + ", CASE WHEN weight <= 420 THEN 'light_weight:' || CAST(weight AS VARCHAR) END)"
+_tier = lambda c, tiers, beyond: "CASE " + " ".join(f"WHEN {c} <= {a} THEN {b}" for a, b in tiers) + f" ELSE {beyond} END"
+PRICE_SQL = _tier("price", [(a, f"{b}e0") for a, b in R.PRICE_SCORES], "-1e0")
+PRICE_PTS_SQL = _tier("price", R.PRICE_POINTS, -2)
+
+
+def weighed(spark, sf_dir):
+    return offers(spark, sf_dir).withColumn("weight", F.array_min(X.weights(F.col("text"))))
+
+
+@query(f"{WO} SELECT id, {CONDITION_SQL} AS score, {HITS_SQL} AS hits FROM offers")
+def keyword_score(spark, sf_dir):
+    o, t, w = weighed(spark, sf_dir), F.col("text"), F.col("weight")
+    return o.select("id", R.condition_score(t, w).alias("score"), F.array_join(R.hits(t, w), ",").alias("hits"))
+
+
+@query(f"{WO} SELECT id, price, {PRICE_SQL} AS score, {PRICE_PTS_SQL} AS pts FROM offers")
+def price_tier(spark, sf_dir):
+    return offers(spark, sf_dir).select("id", "price", R.tiered(F.col("price"), R.PRICE_SCORES, -1.0).alias("score"), R.tiered(F.col("price"), R.PRICE_POINTS, -2).alias("pts"))
+
+
+SIRES = "(SELECT p_type AS sire, 4.0e0 - 0.4e0 * (row_number() OVER (ORDER BY p_type) - 1) AS sire_score FROM (SELECT DISTINCT p_type FROM part))"
+TIER_SQL = "CASE WHEN sire_score >= 3.5 THEN 'top' WHEN sire_score >= 2.8 THEN 'mid' ELSE 'low' END"
+
+
+def sires(spark, sf_dir):
+    return read(spark, sf_dir, "part").select(F.col("p_type").alias("sire")).distinct().withColumn("sire_score", 4.0 - 0.4 * (F.row_number().over(Window.orderBy("sire")) - 1))
+
+
+@query(f"SELECT sire, sire_score, {TIER_SQL} AS tier FROM {SIRES}")
+def sire_tier(spark, sf_dir):
+    return sires(spark, sf_dir).withColumn("tier", R.sire_tier(F.col("sire_score")))
+
+
+OVER_IDX = f"SELECT family, score, grade, club_unique FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY (rank IS NULL) DESC, rank DESC, composite_raw, family_code DESC) AS last FROM ({GO_})) WHERE last = 1"
+OWN_IDX = f"SELECT family, max_by(grade, rank) AS own_grade FROM ({OWN}) GROUP BY family"
+TRAINER_SQL = f"SELECT trainer, score, grade FROM ({GT})"
+CROSS_SQL = f"SELECT trainer, family, min_by(grade, rank) AS cross_grade FROM ({GX}) WHERE grade <> 'U' GROUP BY trainer, family"
+FULL_SQL = f"""{WO}, full_offers AS (SELECT o.*, f.score AS overall_score, f.grade AS family_grade, coalesce(f.club_unique, false) AS club_unique, c.score AS club_score, CASE WHEN f.club_unique THEN w.own_grade END AS unique_grade,
+  t.grade AS trainer_grade, CASE WHEN t.grade <> 'U' THEN t.score ELSE 2.0e0 END AS trainer_pts, x.cross_grade, s.sire_score, {TIER_SQL} AS sire_tier, CASE o.id % 5 WHEN 0 THEN 'S' WHEN 1 THEN 'B' END AS signature_grade
+  FROM offers o LEFT JOIN ({OVER_IDX}) f ON o.family = f.family LEFT JOIN ({INDEX}) c ON o.family = c.family LEFT JOIN ({OWN_IDX}) w ON o.family = w.family LEFT JOIN ({TRAINER_SQL}) t ON o.trainer = t.trainer
+  LEFT JOIN ({CROSS_SQL}) x ON o.trainer = x.trainer AND o.family = x.family LEFT JOIN {SIRES} s ON o.sire = s.sire)"""
+_bonus = lambda g: f"CASE {g} WHEN 'S' THEN 1.5e0 WHEN 'A' THEN 1.0e0 WHEN 'B' THEN 0.5e0 ELSE 0.2e0 END"
+FAMILY_SQL = f"coalesce(round(CASE WHEN overall_score IS NOT NULL AND club_score IS NOT NULL THEN 0.55e0 * overall_score + 0.45e0 * club_score ELSE coalesce(overall_score, club_score) END + CASE WHEN overall_score IS NOT NULL AND club_unique THEN {_bonus('unique_grade')} ELSE 0e0 END, 2), 0e0)"
+SCORED_OFFERS = f"""SELECT *, floor(10000 / (greatest(price * 10000, 1) / 12)) AS b FROM (SELECT *, round(least(22e0, family_pts + trainer_pts + cross_pts + sire_score + condition_pts + price_pts), 2) AS total, status <> '満口' AND price <= 4.0 AS eligible FROM (
+  SELECT *, {FAMILY_SQL} AS family_pts, CASE WHEN cross_grade IS NULL THEN 0e0 ELSE {_bonus('cross_grade')} END AS cross_pts, {CONDITION_SQL} AS condition_pts, {PRICE_SQL} AS price_pts FROM full_offers))"""
+
+
+def full_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers with the grades and scores of their family, trainer, cross and sire. The graded tables are small after aggregation."""
+    every = overall_families(spark, sf_dir)
+    over = name_index(graded(every, 15, ["family_code", "family"]), "family", ["family_code"], ["score", "grade", "club_unique"])
+    over = over.select("family", F.col("score").alias("overall_score"), F.col("grade").alias("family_grade"), "club_unique")
+    own = graded(every.where("club_unique"), 0, ["family_code", "family"], steps=OWN_GRADES).groupBy("family").agg(F.max_by("grade", "rank").alias("own_grade"))
+    club = name_index(graded(club_stats(spark, sf_dir, FAM), 15, ["family_code", "family"]), "family", ["family_code"], ["score"]).withColumnRenamed("score", "club_score")
+    trainers = graded(club_stats(spark, sf_dir, T), 20, ["trainer_code", "trainer"]).select("trainer", F.col("score").alias("t_score"), F.col("grade").alias("trainer_grade"))
+    crosses = graded(club_stats(spark, sf_dir, X2), 10, ["family_code", "trainer", "family"]).where("grade <> 'U'").groupBy("trainer", "family").agg(F.min_by("grade", "rank").alias("cross_grade"))
+    o = weighed(spark, sf_dir).join(over, "family", "left").join(club, "family", "left").join(own, "family", "left").join(trainers, "trainer", "left").join(crosses, ["trainer", "family"], "left").join(sires(spark, sf_dir), "sire", "left")
+    o = o.withColumn("club_unique", F.coalesce("club_unique", F.lit(False))).withColumn("unique_grade", F.when(F.col("club_unique"), F.col("own_grade")))
+    o = o.withColumn("trainer_pts", F.when(F.col("trainer_grade") != "U", F.col("t_score")).otherwise(2.0)).withColumn("sire_tier", R.sire_tier(F.col("sire_score")))
+    o = o.withColumn("signature_grade", F.when(F.col("id") % 5 == 0, "S").when(F.col("id") % 5 == 1, "B"))
+    return o.withColumn("family_pts", scoring.family_points(F.col("overall_score"), F.col("club_score"), F.col("club_unique"), F.col("unique_grade")))
+
+
+@query(f"{FULL_SQL} SELECT id, family, family_grade, club_unique, unique_grade, {FAMILY_SQL} AS family_pts FROM full_offers")
+def family_points(spark, sf_dir):
+    return full_offers(spark, sf_dir).select("id", "family", "family_grade", "club_unique", "unique_grade", "family_pts")
+
+
+PARTS = "family_pts, trainer_pts, cross_pts, sire_score, condition_pts, price_pts, total, eligible"
+
+
+@query(f"{FULL_SQL} SELECT id, name, {PARTS}, CAST(CASE WHEN total >= 16 THEN least(4, greatest(2, greatest(1, b))) WHEN total >= 13 THEN least(2, greatest(1, b)) ELSE 1 END AS INTEGER) AS units FROM ({SCORED_OFFERS})")
+def score_candidates(spark, sf_dir):
+    return scoring.scored(full_offers(spark, sf_dir)).select("id", "name", *PARTS.split(", "), "units")
+
+
+@query(f"{FULL_SQL} SELECT pool, name, total, eligible, CAST(k AS INTEGER) AS rank, CASE WHEN NOT eligible THEN '見送り' WHEN k = 1 THEN '本命' WHEN k = 2 THEN '控え' ELSE CAST(k AS VARCHAR) || '位' END AS label FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY CAST(round(total * 100) AS BIGINT) DESC, name) AS k FROM ({SCORED_OFFERS}))")
+def rank_candidates(spark, sf_dir):
+    return scoring.ranked(scoring.scored(full_offers(spark, sf_dir))).select("pool", "name", "total", "eligible", "rank", "label")
+
+
+HARD_SQL = "CASE WHEN status = '満口' THEN '満口' WHEN price > 4.0 THEN '一口4万円超は原則見送り' WHEN " + " OR ".join(f"contains(text, '{k}')" for k in R.HARD) + " THEN '近況に重大リスク語' END"
+
+
+@query(f"{WO} SELECT id, {HARD_SQL} AS reason FROM offers")
+def hard_pass(spark, sf_dir):
+    return offers(spark, sf_dir).select("id", R.hard_pass(F.col("status"), F.col("price"), F.col("text")).alias("reason"))
+
+
+def _points(table: dict, col: str) -> str:
+    return f"CASE {col} " + " ".join(f"WHEN '{g}' THEN {p}" for g, p in table.items()) + f" ELSE {table.get('none', 0)} END"
+
+
+GRADE_COLS = [("family", "family_grade"), ("unique", "unique_grade"), ("signature", "signature_grade"), ("trainer", "trainer_grade"), ("cross", "cross_grade"), ("sire", "sire_tier")]
+_sa = lambda c: f"coalesce({c} IN ('S', 'A'), false)"
+
+
+def _decide_sql(weak: str, legacy: bool = False) -> str:
+    table = R.LEGACY_POINTS if legacy else R.POINTS
+    c1, c2, c5 = f"{_sa('unique_grade')} AND {_sa('trainer_grade')}", _sa("cross_grade"), f"price >= 2.5 AND NOT {_sa('cross_grade')} AND NOT {_sa('unique_grade')}"
+    c3 = f"{_sa('family_grade')} AND sire_tier = 'top' AND price <= 2.0"
+    c4 = _sa("signature_grade") + ("" if legacy else f" AND coalesce(family_grade, 'none') IN ({weak})")
+    combos = "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN 'C{i}' END" for i, c in enumerate((c1, c2, c3, c4, c5), 1)) + ")"
+    if legacy:
+        price = "CASE WHEN price > 4.0 THEN 0 WHEN price <= 2.0 THEN 2 WHEN price < 2.5 THEN 1 WHEN price <= 3.5 THEN 0 ELSE -1 END"
+        condition = "- CASE WHEN weight <= 420 THEN 1 ELSE 0 END + " + " + ".join(f"CASE WHEN {c} THEN {p} ELSE 0 END" for c, p in ((c1, 2), (c2, 2), (c3, 2), (c4, 1), (c5, -2)))
+        hard = "CASE WHEN status = '満口' THEN '満口・募集終了' WHEN price > 4.0 THEN '一口4万超は即PASS' END"
+    else:
+        price, hard = PRICE_PTS_SQL, HARD_SQL
+        plus, minus = (" OR ".join(f"contains(text, '{k}')" for k in ks) for ks in ([k for k, _ in R.POSITIVE], R.MILD + [k for k, _ in R.NEGATIVE]))
+        condition = f"+ CASE WHEN trim(text) = '' THEN 0 ELSE CASE WHEN {plus} THEN 1 ELSE 0 END - CASE WHEN {minus} THEN 1 ELSE 0 END - CASE WHEN weight <= 420 THEN 1 ELSE 0 END END"
+    total = " + ".join(_points(table[k], c) for k, c in GRADE_COLS)
+    return f"{FULL_SQL} SELECT id, points, combos, hard, CASE WHEN hard IS NOT NULL THEN 'PASS' WHEN points >= 12 THEN 'GO' WHEN points >= 8 THEN 'HOLD' ELSE 'PASS' END AS verdict FROM (SELECT id, CAST({total} + {price} {condition} AS INTEGER) AS points, {combos} AS combos, {hard} AS hard FROM full_offers)"
+
+
+def _decide(spark, sf_dir, variant):
+    return scoring.decided(full_offers(spark, sf_dir), variant).select("id", "points", F.array_join("combos", ",").alias("combos"), "hard", "verdict")
+
+
+@query(_decide_sql("'B', 'C', 'none'"))
+def decide_canonical(spark, sf_dir):
+    return _decide(spark, sf_dir, "canonical")
+
+
+@query(_decide_sql("'B', 'C', 'none', 'U'"))
+def decide_tool(spark, sf_dir):
+    return _decide(spark, sf_dir, "tool")
+
+
+@query(_decide_sql("", True))
+def decide_legacy(spark, sf_dir):
+    return _decide(spark, sf_dir, "legacy")
+
+
+@query(f"{WO} SELECT id, low, high, CASE WHEN weight > high THEN '上限注意' WHEN weight < low THEN '下限注意' WHEN weight <= 420 OR weight >= 520 THEN '警戒線付近' ELSE 'OK帯' END AS band FROM (SELECT id, weight, CAST(greatest(405 + trainer_code % 4 * 10, 410 + length(sire) % 3 * 5) AS INTEGER) AS low, CAST(least(470 + trainer_code % 3 * 10, 475 + length(sire) % 2 * 5) AS INTEGER) AS high FROM offers) WHERE weight IS NOT NULL")
+def weight_band(spark, sf_dir):
+    code, size = F.col("trainer_code"), F.length("sire")
+    low = F.greatest(405 + code % 4 * 10, 410 + size % 3 * 5).cast("int")
+    high = F.least(470 + code % 3 * 10, 475 + size % 2 * 5).cast("int")
+    return weighed(spark, sf_dir).where("weight IS NOT NULL").select("id", low.alias("low"), high.alias("high"), scoring.weight_band(F.col("weight"), low, high).alias("band"))
+
+
+@query(f"{W}, {PREFIX_SQL}, both_sides AS (SELECT coalesce(d.trainer, y.name) AS trainer, d.grade, d.score, y.pts FROM ({GT}) d FULL JOIN dims y ON d.trainer = y.name) SELECT trainer, CASE WHEN grade <> 'U' THEN grade WHEN pts IS NOT NULL THEN 'Y' ELSE grade END AS effective_grade, CASE WHEN grade <> 'U' THEN 'db' WHEN pts IS NOT NULL THEN 'yaml' ELSE 'db' END AS effective_source, CASE WHEN grade <> 'U' THEN score WHEN pts IS NOT NULL THEN pts ELSE score END AS effective_score FROM both_sides")
+def effective_trainer(spark, sf_dir):
+    db = graded(club_stats(spark, sf_dir, T), 20, ["trainer_code", "trainer"]).select("trainer", "grade", "score")
+    both = db.join(prefixes(spark, sf_dir).select(F.col("name").alias("trainer"), "pts"), "trainer", "full_outer")
+    sure, listed = F.coalesce(F.col("grade") != "U", F.lit(False)), F.col("pts").isNotNull()
+    pick = lambda a, b: F.when(sure, a).when(listed, b).otherwise(a)
+    return both.select("trainer", pick(F.col("grade"), F.lit("Y")).alias("effective_grade"), pick(F.lit("db"), F.lit("yaml")).alias("effective_source"), pick(F.col("score"), F.col("pts")).alias("effective_score"))
+
+
+@query(f"{W} SELECT f.family, f.grade AS overall_grade, f.score AS overall_score, c.grade AS club_grade, c.score AS club_score FROM ({OVER_IDX}) f LEFT JOIN ({INDEX}) c ON f.family = c.family")
+def family_report(spark, sf_dir):
+    over = name_index(graded(overall_families(spark, sf_dir), 15, ["family_code", "family"]), "family", ["family_code"], ["grade", "score"])
+    club = name_index(graded(club_stats(spark, sf_dir, FAM), 15, ["family_code", "family"]), "family", ["family_code"], ["grade", "score"])
+    return over.select("family", F.col("grade").alias("overall_grade"), F.col("score").alias("overall_score")).join(club.select("family", F.col("grade").alias("club_grade"), F.col("score").alias("club_score")), "family", "left")
+
+
+@query(f"{W} SELECT 'C1' AS combo, 'trainer' AS kind, trainer AS name FROM ({GT}) WHERE grade IN ('S', 'A') UNION ALL SELECT 'C2', 'cross', trainer || '|' || family FROM ({GX}) WHERE grade IN ('S', 'A') UNION ALL SELECT 'C3', 'family', family FROM ({OVER_IDX}) WHERE grade IN ('S', 'A') UNION ALL SELECT 'C3', 'sire', sire FROM {SIRES} WHERE sire_score >= 3.5")
+def combo_lists(spark, sf_dir):
+    of = lambda df, combo, kind, name: df.select(F.lit(combo).alias("combo"), F.lit(kind).alias("kind"), name.alias("name"))
+    good = F.col("grade").isin("S", "A")
+    trainers = graded(club_stats(spark, sf_dir, T), 20, ["trainer_code", "trainer"]).where(good)
+    crosses = graded(club_stats(spark, sf_dir, X2), 10, ["family_code", "trainer", "family"]).where(good)
+    over = name_index(graded(overall_families(spark, sf_dir), 15, ["family_code", "family"]), "family", ["family_code"], ["grade"]).where(good)
+    top = sires(spark, sf_dir).where(R.sire_tier(F.col("sire_score")) == "top")
+    return of(trainers, "C1", "trainer", F.col("trainer")).unionByName(of(crosses, "C2", "cross", F.concat_ws("|", "trainer", "family"))).unionByName(of(over, "C3", "family", F.col("family"))).unionByName(of(top, "C3", "sire", F.col("sire")))
+
+
+@query(f"{FULL_SQL} SELECT id, concat_ws(',', CASE WHEN trainer_grade IS NULL THEN 'trainer' END, CASE WHEN sire_score IS NULL THEN 'sire' END, CASE WHEN family_grade IS NULL THEN 'family' END, CASE WHEN cross_grade IS NULL THEN 'cross' END) AS notes FROM full_offers")
+def followup_notes(spark, sf_dir):
+    missing = [F.when(F.col(c).isNull(), F.lit(k)) for k, c in (("trainer", "trainer_grade"), ("sire", "sire_score"), ("family", "family_grade"), ("cross", "cross_grade"))]
+    return full_offers(spark, sf_dir).select("id", F.concat_ws(",", *missing).alias("notes"))
+
+
+def entries(spark, sf_dir):
+    """Events as ledger entries: purchases are income."""
+    e = read(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("id"), F.to_date("ts").alias("date"), F.col("event_type").alias("name"), F.when(F.col("event_type") == "purchase", "income").otherwise("expense").alias("type"), X.half_up(F.col("value")).alias("amount"), F.col("event_id").alias("created_at"), "value", "user_id")
+
+
+ENTRIES_SQL = "entries AS (SELECT event_id AS id, CAST(ts AS DATE) AS date, event_type AS name, CASE WHEN event_type = 'purchase' THEN 'income' ELSE 'expense' END AS type, CAST(floor(value + 0.5) AS BIGINT) AS amount, event_id AS created_at, value, user_id FROM events)"
+OPENING = 100_000
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT *, {OPENING} + income - expense AS balance FROM (SELECT CAST(coalesce(sum(CASE WHEN type = 'income' THEN amount END), 0) AS BIGINT) AS income, CAST(coalesce(sum(CASE WHEN type <> 'income' THEN amount END), 0) AS BIGINT) AS expense, CAST(count(*) AS BIGINT) AS n FROM entries)")
+def ledger_totals(spark, sf_dir):
+    return ledger.totals(entries(spark, sf_dir), OPENING)
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT id, CAST(date AS VARCHAR) AS date, type, amount FROM entries WHERE type = 'income' ORDER BY date DESC, created_at DESC")
+def ledger_list(spark, sf_dir):
+    return ledger.listed(entries(spark, sf_dir), "income").select("id", F.col("date").cast("string").alias("date"), "type", "amount")
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'name' WHEN event_id % 11 = 0 OR event_id % 13 = 0 OR event_id % 1000 = 0 THEN 'amount' END AS reason, CASE WHEN event_id % 11 <> 0 AND event_id % 13 <> 0 THEN event_id % 1000 WHEN event_id % 11 <> 0 THEN -5 END AS amount FROM events""")
+def ledger_validate(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    text = F.when(F.col("event_id") % 11 == 0, "x12").when(F.col("event_id") % 13 == 0, "-5").otherwise(F.concat(F.lit("￥"), F.translate((F.col("event_id") % 1000).cast("string"), X.DIGITS, X.FULL_DIGITS), F.lit(" ")))
+    raw = e.select("event_id", F.to_date("ts").alias("date"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("name"), text.alias("amount_text"))
+    return ledger.validated(raw).select("event_id", "reason", "amount")
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT id, amount FROM entries WHERE id NOT IN (SELECT event_id FROM events WHERE event_type = 'error')")
+def ledger_delete(spark, sf_dir):
+    rows = entries(spark, sf_dir)
+    return ledger.without(rows, rows.where("name = 'error'").select("id")).select("id", "amount")
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT user_id, id, CAST({OPENING} + sum(CASE WHEN type = 'income' THEN amount ELSE -amount END) OVER (PARTITION BY user_id ORDER BY date, id) AS BIGINT) AS balance FROM entries")
+def ledger_running_balance(spark, sf_dir):
+    """An extension: the balance after each entry of an account."""
+    change = F.when(F.col("type") == "income", F.col("amount")).otherwise(-F.col("amount"))
+    over = Window.partitionBy("user_id").orderBy("date", "id").rowsBetween(Window.unboundedPreceding, 0)
+    return entries(spark, sf_dir).select("user_id", "id", (OPENING + F.sum(change).over(over)).alias("balance"))
+
+
+@query("SELECT coalesce(c_custkey, k) AS id, CASE WHEN k IS NULL THEN c_name ELSE n END AS name, CASE WHEN k IS NOT NULL AND k % 2 = 0 THEN '' ELSE c_mktsegment END AS latest FROM customer FULL JOIN (SELECT c_custkey * 3 AS k, 'new' || CAST(c_custkey AS VARCHAR) AS n FROM customer) ON c_custkey = k")
+def candidate_upsert(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    store = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("latest"))
+    new = c.select((F.col("c_custkey") * 3).alias("id"), F.concat(F.lit("new"), F.col("c_custkey").cast("string")).alias("name"), F.lit("").alias("latest"), F.lit(True).alias("has_name"))
+    return ledger.upserted(store, new.withColumn("has_latest", F.col("id") % 2 == 0), "id", ["name", "latest"])
+
+
+@query("SELECT c_custkey AS id, coalesce(n, 0) AS n_reports, latest FROM customer LEFT JOIN (SELECT o_custkey, CAST(count(*) AS BIGINT) AS n, max_by(o_orderpriority, lpad(CAST(o_orderkey AS VARCHAR), 12, '0')) AS latest FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+def condition_append(spark, sf_dir):
+    store = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit(None).cast("string").alias("latest"), F.lit(None).cast("array<struct<at:string,text:string,note:string>>").alias("history"))
+    reports = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("at"), F.col("o_orderpriority").alias("text"), F.lit("").alias("note"))
+    return ledger.appended(store, reports, "id").select("id", F.size("history").cast("long").alias("n_reports"), "latest")
+
+
+@query("SELECT DISTINCT coalesce(nullif(o_orderpriority, ''), 'default') AS pool FROM orders ORDER BY pool")
+def pools_distinct(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select(F.coalesce(F.nullif(F.col("o_orderpriority"), F.lit("")), F.lit("default")).alias("pool")).distinct().orderBy("pool")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'brand#1')")
+def row_filter(spark, sf_dir):
+    return read(spark, sf_dir, "part").where(ledger.any_contains("Brand#1", [F.col("p_name"), F.col("p_brand"), F.col("p_type")])).select("p_partkey", "p_name")
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT id, CASE WHEN amount < 0 THEN '-' ELSE '' END || '¥' || format('{{:,}}', abs(amount)) AS yen, CASE WHEN type = 'income' THEN '+' ELSE '−' END || CASE WHEN amount < 0 THEN '-' ELSE '' END || '¥' || format('{{:,}}', abs(amount)) AS signed, '&lt;' || name || '&amp;&quot;&gt;' AS escaped FROM entries")
+def format_yen(spark, sf_dir):
+    raw = F.concat(F.lit("<"), F.col("name"), F.lit('&">'))
+    return entries(spark, sf_dir).select("id", X.yen(F.col("amount")).alias("yen"), X.signed_yen(F.col("amount"), F.col("type")).alias("signed"), X.html_escaped(raw).alias("escaped"))

@@ -1 +1 @@
-
+"""The reference has no streaming operators; its stateful updates are in operators/ledger.py."""
