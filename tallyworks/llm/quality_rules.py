@@ -82,7 +82,7 @@ def fences(measured: DataFrame) -> DataFrame:
         return (q3 + FENCE * (q3 - q1) + SLACK[c]).alias(c)
 
     def bounds(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-        return df.select(*keys, F.col("n").alias(f"{name}_n"), F.struct(*[bound(F.col(c), c) for c in cols]).alias(name))
+        return df.select(*keys, F.col("n").alias(f"{name}_n"), F.when(F.col("n") > 0, F.struct(*[bound(F.col(c), c) for c in cols])).alias(name))
 
     langs = bounds(group.groupBy("lang").agg(F.sum("n").alias("n"), *merged), ["lang"], "by_lang").withColumnRenamed("lang", "of_lang")
     whole = bounds(group.agg(F.sum("n").alias("n"), *merged), [], "by_all")

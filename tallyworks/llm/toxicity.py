@@ -43,7 +43,7 @@ BINS = 16.0
 
 _TABLE = str.maketrans(LOOKALIKES)
 _SIGNS = str.maketrans(SUBSTITUTES)
-_RUN = re.compile(r"[0-9$@!|]{1,4}(?=[^\W\d_])")
+_RUN = re.compile(r"[0-9$@!|]{1,4}(?=[^\W\d_])|(?<=[^\W\d_])[0-9]{1,2}(?!\w)")
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
