@@ -33,7 +33,7 @@ _ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 class Counter(dict):
     """Tokens of a stretch without white space."""
 
-    LIMIT = 1_500_000
+    LIMIT = 800_000
 
     def __init__(self, json_path: str):
         with open(json_path, encoding="utf-8") as f:
