@@ -32,10 +32,10 @@ def scored(offers: DataFrame) -> DataFrame:
 
 
 def ranked(offers: DataFrame, only_eligible: bool = False, pool: str = "pool") -> DataFrame:
-    """Rank and label within each pool: total descending, then name."""
+    """Rank and label within each pool: total descending, then name; of offers that share both, eligible ones come first."""
     rows = offers.where("eligible") if only_eligible else offers
     rows = rows.withColumn(pool, F.coalesce(F.nullif(F.col(pool), F.lit("")), F.lit("default")))
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(pool).orderBy(F.desc("total"), "name")))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(pool).orderBy(F.desc("total"), "name", F.desc("eligible"))))
     label = F.when(~F.col("eligible"), "見送り").when(F.col("rank") == 1, "本命").when(F.col("rank") == 2, "控え").otherwise(F.concat(F.col("rank").cast("string"), F.lit("位")))
     return rows.withColumn("label", label)
 

@@ -305,7 +305,7 @@ def score_candidates(spark, sf_dir):
     return scoring.scored(full_offers(spark, sf_dir)).select("id", "name", *PARTS.split(", "), "units")
 
 
-@query(f"{FULL_SQL} SELECT pool, name, total, eligible, CAST(k AS INTEGER) AS rank, CASE WHEN NOT eligible THEN '見送り' WHEN k = 1 THEN '本命' WHEN k = 2 THEN '控え' ELSE CAST(k AS VARCHAR) || '位' END AS label FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY CAST(round(total * 100) AS BIGINT) DESC, name) AS k FROM ({SCORED_OFFERS}))")
+@query(f"{FULL_SQL} SELECT pool, name, total, eligible, CAST(k AS INTEGER) AS rank, CASE WHEN NOT eligible THEN '見送り' WHEN k = 1 THEN '本命' WHEN k = 2 THEN '控え' ELSE CAST(k AS VARCHAR) || '位' END AS label FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY CAST(round(total * 100) AS BIGINT) DESC, name, eligible DESC) AS k FROM ({SCORED_OFFERS}))")
 def rank_candidates(spark, sf_dir):
     return scoring.ranked(scoring.scored(full_offers(spark, sf_dir))).select("pool", "name", "total", "eligible", "rank", "label")
 
