@@ -122,7 +122,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns. Texts aren't shuffled: they are measured again where they lie."""
-    fence = fences(measure(docs))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "lang", "source", measures(F.col("text")).alias("m"))
+    """The documents that pass, with all their columns. They are staged beside their measures, so that each text is measured once."""
+    rows = staged(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "lang", "source", measures(F.col("text")).alias("m")), "measured-rows")
+    fence = fences(rows.select("lang", "source", "m.*"))
     return judged(rows.select("row", "doc_id", "lang", "source", "m.*"), fence).where("kept").select("row.*")
