@@ -45,7 +45,7 @@ SCHEMA = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start
 class Encoder(dict):
     """Token ids, as bytes, of text units that begin with a space; each distinct unit is encoded once while it is remembered."""
 
-    LIMIT = 1_500_000
+    LIMIT = 200_000
 
     def __init__(self, json_path: str):
         import json
