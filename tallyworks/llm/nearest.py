@@ -6,8 +6,9 @@ are scanned in blocks of columns: after each block a test on the scaled partial
 distance, (D / d) * partial > (1 + EPS / sqrt(d))^2 * bound, abandons the
 candidates that are unlikely to be among the nearest, and the survivors get
 their exact distance on the original vectors in double precision. Lists are
-split into parts of bounded size, so a list with a third of all rows is scanned
-by many tasks.
+split into parts of bounded size, and the queries that probe a list into slices
+of bounded size, so a list with a third of all rows, or of all queries, is
+scanned by many tasks.
 
 Defined cases: null and zero vectors, vectors with null or non-finite
 components and vectors whose length isn't that of most of a sample take no
@@ -24,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyworks.llm.common import staged
 
@@ -32,7 +34,8 @@ FIT_ROWS = 20_000
 MAX_LISTS = 2_048
 #: As many lists are probed as hold this share of the true neighbours in the sample.
 SAMPLE_RECALL, TUNE_QUERIES = 0.975, 200
-PART_ROWS = 4_096
+#: Candidates and queries that meet in one task.
+PART_ROWS = SLICE_QUERIES = 4_096
 BLOCK = 16
 EPS = 2.1
 
@@ -134,6 +137,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     c = centres(fitted, int(min(MAX_LISTS, max(1, total**0.5 / 3))))
     probes = probes_needed(fitted, c, k)
     rotation = np.linalg.qr(np.random.default_rng(5).normal(size=(dims, dims)))[0]
+    kind = "float" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "double"  # as given
     matrix = lambda v: np.array(v.tolist(), dtype=float).reshape(len(v), dims)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,11 +145,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
             if len(b):
                 yield b.assign(list=nearest_centres(matrix(b["v"]), c, 1)[:, 0].astype("i4"))
 
-    base = staged(clean.where(F.size("v") == dims).mapInPandas(assign, "vec_id long, v array<double>, list int").withColumn("v", F.col("v").cast("array<float>")), "vectors")
-    parts = base.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
-    parts = F.broadcast(spark.createDataFrame([tuple(r) for r in parts.collect()], "list int, parts int"))  # MAX_LISTS rows at most
-    dealt = base.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
-
+    base = staged(clean.where(F.size("v") == dims).mapInPandas(assign, "vec_id long, v array<double>, list int").withColumn("v", F.col("v").cast(f"array<{kind}>")), "vectors")
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
@@ -153,13 +153,20 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
                 yield b.loc[b.index.repeat(near.shape[1])].assign(list=near.ravel().astype("i4"))
 
     asked = base.where(F.col("vec_id") % every == 0).select("vec_id", "v").dropDuplicates(["vec_id"])
-    asked = asked.mapInPandas(probe, "vec_id long, v array<float>, list int").join(parts, "list")
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    asked = asked.mapInPandas(probe, f"vec_id long, v array<{kind}>, list int")
+    tiles = lambda df, size, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    grid = tiles(base, PART_ROWS, "parts").join(tiles(asked, SLICE_QUERIES, "slices"), "list").collect()  # MAX_LISTS rows at most
+    grid = F.broadcast(spark.createDataFrame([tuple(r) for r in grid], "list int, parts int, slices int"))
+    one_of = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    tile = ["list", "part", "slice"]
+    dealt = base.join(grid, "list").withColumn("part", one_of("parts", "part")).withColumn("slice", each("slices")).select("vec_id", "v", *tile)
+    asked = asked.join(grid, "list").withColumn("slice", one_of("slices", "slice")).withColumn("part", each("parts")).select("vec_id", "v", *tile)
 
     def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         rows = scan(matrix(q["v"]), q["vec_id"].to_numpy(), matrix(x["v"]), x["vec_id"].to_numpy(), k, rotation) if len(q) and len(x) else []
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype({"query_id": "i8", "vec_id": "i8", "score": "f8"})
 
-    found = asked.groupBy("list", "part").cogroup(dealt.groupBy("list", "part")).applyInPandas(search, "query_id long, vec_id long, score double")
+    found = asked.groupBy(*tile).cogroup(dealt.groupBy(*tile)).applyInPandas(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

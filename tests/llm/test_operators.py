@@ -267,6 +267,18 @@ def test_nearest_odd_vectors(spark):
     assert nearest.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_tiles_and_doubles(spark, monkeypatch):
+    df = spark.read.parquet(f"{SF}/embeddings.parquet").withColumn("embedding", F.transform(F.col("embedding").cast("array<double>"), lambda x: x + 1e-9))
+    whole = sorted(map(tuple, nearest.nearest(df, 10).collect()))
+    monkeypatch.setattr(nearest, "PART_ROWS", 7)
+    monkeypatch.setattr(nearest, "SLICE_QUERIES", 3)
+    tiled = sorted(map(tuple, nearest.nearest(df, 10).collect()))
+    ids = lambda rows: {(r[0], r[2]) for r in rows}
+    assert len(tiled) == len(whole) and len(ids(tiled) & ids(whole)) >= 0.97 * len(whole)
+    vector = {r["vec_id"]: np.array(r["embedding"]) for r in df.collect()}
+    assert all(r[3] == np.sqrt(((vector[r[0]] - vector[r[2]]) ** 2).sum()) for r in tiled)
+
+
 def test_empty_tables(spark, odd):
     none = odd.limit(0)
     path = queries.tokenizer
