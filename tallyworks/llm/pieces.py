@@ -35,6 +35,7 @@ SIEVE = 1 << 21
 
 
 class Pieces:
+    #: Units that a worker remembers, about 200 bytes each.
     LIMIT = 1_500_000
 
     def __init__(self, model_path: str):
@@ -220,14 +221,17 @@ class Pieces:
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """The model's ids of each whole text."""
-        split = [units(t) if t else [] for t in texts]
         if len(self.words) > self.LIMIT:
             self.words.clear()
-        missing = set().union(*split) - self.words.keys()
+        missing: set[str] = set()
+        for t in texts:  # texts are split twice, so that only the distinct units of a batch are held
+            if t:
+                missing.update(units(t))
+        missing -= self.words.keys()
         if missing:
             self.learn(missing)
         word = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(word, u)), dtype="<i4") for u in split]
+        return [np.frombuffer(b"".join(map(word, units(t))) if t else b"", dtype="<i4") for t in texts]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; bytes that make no character become U+FFFD."""
