@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Dimensions up to so many rows are broadcast to the fuzzy join; larger ones have to be blocked by their first character.
+#: Dimensions up to so many rows are broadcast to the fuzzy join; larger ones meet by the first characters of the shorter name.
 MAX_BROADCAST_ROWS = 20_000
+HEAD = 3
 
 both_prefixes = lambda q, n: q.startswith(n) | n.startswith(q)
 either_contains = lambda q, n: q.contains(n) | n.contains(q)
@@ -16,6 +17,16 @@ query_contains = lambda q, n: q.contains(n)
 name_contains = lambda q, n: n.contains(q)
 
 
+def by_head(asked: DataFrame, named: DataFrame) -> DataFrame:
+    """All pairs of which one may hold the other: a name that holds another holds its first HEAD characters as well."""
+    head = lambda c: F.substring(c, 1, HEAD)
+    runs = lambda c, k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(k)))
+    grams = lambda c: F.explode(F.array_distinct(F.concat(*[runs(F.col(c), k) for k in range(1, HEAD + 1)])))
+    holds = asked.withColumn("__b", grams("__q")).join(named.withColumn("__b", head("__name")), "__b")
+    held = asked.withColumn("__b", head("__q")).join(named.withColumn("__b", grams("__name")), "__b")
+    return holds.unionByName(held).drop("__b")
+
+
 def first_match(subjects: DataFrame, query: str, dim: DataFrame, name: str, order: str, values: list[str], fuzzy: Callable[[Column, Column], Column], prefix: str = "") -> DataFrame:
     """Each subject with ``matched`` and the values of its match; null without one. Blank queries match nothing.
 
@@ -31,8 +42,7 @@ def first_match(subjects: DataFrame, query: str, dim: DataFrame, name: str, orde
     if named.count() <= MAX_BROADCAST_ROWS:
         near = rest.join(F.broadcast(named), fuzzy(F.col("__q"), F.col("__name")))
     else:
-        first = lambda c: F.substring(c, 1, 1)
-        near = rest.withColumn("__b", first("__q")).join(named.withColumn("__b", first("__name")), "__b").where(fuzzy(F.col("__q"), F.col("__name")))
+        near = by_head(rest, named).where(fuzzy(F.col("__q"), F.col("__name")))
     found = exact.unionByName(near.groupBy("__q").agg(F.min_by(picked, "__ord").alias("m")))
     out = subjects.join(found, F.col(query) == F.col("__q"), "left")
     return out.select(*[subjects[c] for c in subjects.columns], *[F.col(f"m.{v}").alias(f"{prefix}{v}") for v in ("matched", *values)])
@@ -40,8 +50,10 @@ def first_match(subjects: DataFrame, query: str, dim: DataFrame, name: str, orde
 
 def top_matches(queries: DataFrame, items: DataFrame, score: Callable[[Column, Column], Column], k: int) -> DataFrame:
     """The k best items of each (query, category) with a score above 0; ties by ``ord``. ``items``: category, name, ord."""
-    from pyspark.sql import Window
-
-    scored = queries.join(F.broadcast(items) if items.count() <= MAX_BROADCAST_ROWS else items).withColumn("score", score(F.col("query"), F.col("name"))).where("score > 0")
+    if queries.count() <= MAX_BROADCAST_ROWS:  # a stated set of queries against all items
+        pairs = items.join(F.broadcast(queries))
+    else:
+        pairs = queries.join(F.broadcast(items) if items.count() <= MAX_BROADCAST_ROWS else items)
+    scored = pairs.withColumn("score", score(F.col("query"), F.col("name"))).where("score > 0")
     order = Window.partitionBy("query", "category").orderBy(F.desc("score"), "ord")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)

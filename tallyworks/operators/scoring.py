@@ -32,10 +32,20 @@ def scored(offers: DataFrame) -> DataFrame:
 
 
 def ranked(offers: DataFrame, only_eligible: bool = False, pool: str = "pool") -> DataFrame:
-    """Rank and label within each pool: total descending, then name; of offers that share both, eligible ones come first."""
+    """Rank and label within each pool: total descending, then name; of offers that share both, eligible ones come first.
+
+    A pool isn't sorted as one: totals have two decimals and a bound, so the
+    offers above each total are counted from a table of a few thousand rows a
+    pool, and only offers of one total are ordered among themselves.
+    """
     rows = offers.where("eligible") if only_eligible else offers
-    rows = rows.withColumn(pool, F.coalesce(F.nullif(F.col(pool), F.lit("")), F.lit("default")))
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(pool).orderBy(F.desc("total"), "name", F.desc("eligible"))))
+    rows = rows.withColumn(pool, F.coalesce(F.nullif(F.col(pool), F.lit("")), F.lit("default"))).withColumn("__cents", F.round(F.col("total") * 100).cast("long"))
+    counts = rows.groupBy(pool, "__cents").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(pool).orderBy(F.desc_nulls_last("__cents"))) - F.col("__n")
+    counts = counts.select(F.col(pool).alias("__pool"), F.col("__cents").alias("__at"), before.alias("__above"))
+    rows = rows.join(counts, (F.col(pool) == F.col("__pool")) & F.col("__cents").eqNullSafe(F.col("__at")))
+    place = F.row_number().over(Window.partitionBy(pool, "__cents").orderBy("name", F.desc("eligible")))
+    rows = rows.withColumn("rank", (F.col("__above") + place).cast("int")).drop("__pool", "__cents", "__at", "__above")
     label = F.when(~F.col("eligible"), "見送り").when(F.col("rank") == 1, "本命").when(F.col("rank") == 2, "控え").otherwise(F.concat(F.col("rank").cast("string"), F.lit("位")))
     return rows.withColumn("label", label)
 
