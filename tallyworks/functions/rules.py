@@ -50,6 +50,17 @@ def sire_tier(score: Column) -> Column:
     return F.when(score >= 3.5, "top").when(score >= 2.8, "mid").otherwise("low")
 
 
+def grade_order(grade: Column) -> Column:
+    """S first, then A, B, C, U and anything else."""
+    return F.coalesce(*[F.when(grade == g, i) for i, g in enumerate("SABCU")], F.lit(9))
+
+
+def label_score(label: Column) -> Column:
+    """The score of a family's label, whatever its case; unknown labels count 2."""
+    key = F.upper(F.trim(F.coalesce(label, F.lit(""))))
+    return F.coalesce(*[F.when(key == k.upper(), F.lit(v)) for k, v in LABEL_SCORES.items()], F.lit(LABEL_SCORES["unknown"]))
+
+
 def strong(grade: Column) -> Column:
     return F.coalesce(grade.isin("S", "A"), F.lit(False))
 

@@ -57,6 +57,15 @@ def amount(c: Column) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
 
 
+def int_or_zero(c: Column) -> Column:
+    return F.coalesce(F.trim(c).try_cast("int"), F.lit(0))
+
+
+def japanese(c: Column) -> Column:
+    """Whether a text has a kana or a Chinese character."""
+    return c.rlike("[ぁ-んァ-ン一-龥]")
+
+
 def half_up(c: Column) -> Column:
     """Rounds halves towards positive infinity."""
     return F.floor(c + 0.5).cast("long")

@@ -23,6 +23,13 @@ def validated(raw: DataFrame) -> DataFrame:
     return raw.withColumn("amount", X.half_up(value)).withColumn("reason", reason)
 
 
+def validated_opening(raw: DataFrame) -> DataFrame:
+    """An opening amount needs a date and a finite amount, which may be zero or negative."""
+    value = X.amount(F.col("amount_text"))
+    reason = F.when(F.col("date").isNull(), "date").when(value.isNull(), "amount")
+    return raw.withColumn("amount", X.half_up(value)).withColumn("reason", reason)
+
+
 def listed(entries: DataFrame, kind: str = "all") -> DataFrame:
     rows = entries if kind == "all" else entries.where(F.col("type") == kind)
     return rows.orderBy(F.desc("date"), F.desc("created_at"))

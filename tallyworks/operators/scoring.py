@@ -70,7 +70,7 @@ def decided(offers: DataFrame, variant: str = "canonical") -> DataFrame:
     price = F.coalesce(c("price"), F.lit(0.0))
     if variant == "legacy":
         t = R.LEGACY_POINTS
-        price_pts = F.when(c("price").isNull(), 0).when(c("price") > 4.0, 0).when(c("price") <= 2.0, 2).when(c("price") < 2.5, 1).when(c("price") <= 3.5, 0).otherwise(-1)
+        price_pts = F.coalesce(legacy_price_points(c("price")), F.lit(0))
         hard = F.coalesce(F.when(c("status") == R.SOLD_OUT, F.lit("満口・募集終了")), F.when(c("price") > 4.0, F.lit("一口4万超は即PASS")))
         ids = F.filter(
             F.array(
@@ -93,5 +93,25 @@ def decided(offers: DataFrame, variant: str = "canonical") -> DataFrame:
     return out.withColumn("verdict", R.verdict(c("points"), c("hard")))
 
 
+def legacy_price_points(price: Column) -> Column:
+    """Points of a price on the older page; null where the price rules the offer out."""
+    return F.when(price.isNull(), 0).when(price > R.MAX_PRICE, None).when(price <= 2.0, 2).when(price < 2.5, 1).when(price <= 3.5, 0).otherwise(-1)
+
+
+def legacy_units(verdict: Column, price: Column) -> Column:
+    return F.when(verdict == "GO", F.when(price <= 2.0, 2).otherwise(1)).when(verdict == "HOLD", 1).otherwise(0)
+
+
+def legacy_family(matched: Column, stated: Column) -> tuple[Column, Column]:
+    """The older page's (unique, overall) grades: an unmatched family is C as an own one; a stated overall grade wins, else it follows the matched one, else it is U."""
+    return F.coalesce(matched, F.lit("C")), F.coalesce(stated, matched, F.lit("U"))
+
+
+def card() -> Column:
+    """A decided offer in one line: verdict and points, the reason that rules it out, the combinations."""
+    parts = [F.concat_ws(" ", "verdict", F.col("points").cast("string")), F.col("hard"), F.when(F.size("combos") > 0, F.array_join("combos", ","))]
+    return F.concat_ws(" / ", *parts)
+
+
 def weight_band(kg: Column, low: Column, high: Column) -> Column:
     return F.when(kg > high, "上限注意").when(kg < low, "下限注意").when((kg <= R.LIGHT_KG) | (kg >= 520), "警戒線付近").otherwise("OK帯")

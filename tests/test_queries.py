@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tallyworks.plans.registry import ORACLE_SQL, QUERIES
+from tallyworks.plans.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
