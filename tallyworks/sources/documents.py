@@ -22,16 +22,49 @@ def read_table(spark: SparkSession, url: str, table: str, partition: str | None
     return reader.load()
 
 
-def read_candidates(spark: SparkSession, path: str) -> DataFrame:
-    """The candidates of a store document; none if the document isn't there."""
-    schema = T.StructType([T.StructField("updated_at", T.StringType()), T.StructField("candidates", T.ArrayType(CANDIDATE))])
+def read_document(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A JSON document as a row; no row if it isn't there."""
     try:
-        doc = spark.read.schema(schema).json(path, multiLine=True)
+        return spark.read.schema(schema).json(path, multiLine=True)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], CANDIDATE)
-    return doc.select(F.explode("candidates").alias("c")).select("c.*")
+        return spark.createDataFrame([], schema)
+
+
+def read_candidates(spark: SparkSession, path: str) -> DataFrame:
+    """The candidates of a store document; none if the document isn't there."""
+    schema = T.StructType([T.StructField("updated_at", T.StringType()), T.StructField("candidates", T.ArrayType(CANDIDATE))])
+    return read_document(spark, path, schema).select(F.explode("candidates").alias("c")).select("c.*")
+
+
+GRADED_ROW = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("trainer", "family_name", "grade", "note", "hiroo_family_grade")]
+    + [T.StructField(n, T.LongType()) for n in ("wins", "starts", "n_horses", "rank", "hiroo_horses", "hiroo_family_rank")]
+    + [T.StructField(n, T.DoubleType()) for n in ("win_rate_sm", "score", "percentile")] + [T.StructField("hiroo_unique", T.BooleanType())]
+)
+
+
+def read_ranks(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """One table of a rank document by its name; empty if the document isn't there."""
+    schema = T.StructType([T.StructField(table, T.ArrayType(GRADED_ROW))])
+    return read_document(spark, path, schema).select(F.explode(table).alias("r")).select("r.*")
+
+
+def write_ranks(tables: dict[str, DataFrame], path: str) -> None:
+    """Each graded table in a folder of its own, as line-delimited JSON written by all tasks."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def save_entries(entries: DataFrame, path: str) -> DataFrame:
+    """Write ledger entries, read them back and compare the counts; the rows as read."""
+    entries.write.mode("overwrite").parquet(path)
+    back = entries.sparkSession.read.schema(entries.schema).parquet(path)
+    wrote, found = entries.count(), back.count()
+    if wrote != found:
+        raise OSError(f"{found} of {wrote} entries can be read from {path}")
+    return back
 
 
 def write_candidates(df: DataFrame, path: str) -> None:
