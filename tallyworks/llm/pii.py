@@ -4,7 +4,9 @@ Addresses of e-mail, IPv4 addresses, telephone and card numbers and dates are
 found by one pattern, validated, and permuted with a key inside their format:
 letters stay letters of their case, digits stay digits, a card number that
 satisfies the Luhn check satisfies it again, an IPv4 address stays one, a date
-stays a date of 1900 to 2099 in the same notation. The permutation depends on
+stays a date of 1900 to 2099 in the same notation. The Luhn check is no condition:
+every number of 13 to 19 digits is treated and counted as a card, and one that
+fails the check fails it again. The permutation depends on
 the key and the format alone, so equal values stay linked across documents, and
 ``reverse`` undoes it. Only DataFrame functions are used.
 
@@ -28,9 +30,13 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
 PHONE = r"(?<![\d+])\+?1?[ .-]?\(?[2-9]\d\d\)?[ .-][2-9]\d\d[ .-]\d{4}(?!\d)"
+#: What ends an international number even after a single space: a card number, a date or an IPv4 address. Told by shape, which pseudonyms keep.
+OTHER = r"(?:(?:\d{4}[ -]){3}\d{4}|\d{4}-\d\d-\d\d|\d\d[/.]\d\d[/.]\d{4}|\d{1,3}(?:\.\d{1,3}){3})(?!\.?\d)"
+#: A plus sign, a country code that isn't 1, and 8 to 15 digits in all.
+ABROAD = rf"(?<![\d+])\+(?!{OTHER})[2-9](?:(?! {OTHER}| \d{{13}})\)?[ ./-]?\(?\d){{7,14}}(?!\d)"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?!\d)"
 DATE = r"(?<![\d/.-])(?:(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[/.](?:0[1-9]|1[0-2])[/.](?:19|20)\d\d)(?!\d|[/-]\d)"
-ANY = "|".join((EMAIL, IPV4, PHONE, CARD, DATE))
+ANY = "|".join((EMAIL, IPV4, PHONE, ABROAD, CARD, DATE))
 KINDS = ("email", "ip", "phone", "card", "date")
 #: Days from 1900-01-01 to 2099-12-31 are 17 * 4297.
 DAYS_A, DAYS_B = 17, 4297
@@ -102,6 +108,7 @@ def kind_of(match: Column) -> Column:
         .when(match.rlike(rf"^(?:{OCTET}\.){{3}}{OCTET}$"), "ip")
         .when(match.rlike(r"^\d{4}-\d\d-\d\d$"), F.when(iso.isNotNull(), "date"))
         .when(match.rlike(r"^\d\d[/.]\d\d[/.]\d{4}$"), F.when(day_first.isNotNull(), "date"))
+        .when(match.startswith("+"), "phone")
         .when(F.length(F.regexp_replace(match, r"\D", "")) >= 13, "card")
         .otherwise("phone")
     )
@@ -140,7 +147,9 @@ def pseudonym(match: Column, kind: Column, key: str, reverse: bool = False) -> C
             free = permuted_text(F.concat(F.substr(area, F.lit(2), F.lit(2)), F.substr(exchange, F.lit(2), F.lit(2)), line), key, "phone", reverse)
             return let(free, lambda f: F.concat(F.substr(d, F.lit(1), n - 10), F.substr(area, F.lit(1), F.lit(1)), F.substr(f, F.lit(1), F.lit(2)), F.substr(exchange, F.lit(1), F.lit(1)), F.substr(f, F.lit(3), F.lit(6))))
 
-        return let(F.regexp_replace(m, r"\D", ""), lambda d: _refilled(m, let(d, number)))
+        # abroad the country code of up to three digits stays, and the fourth digit, by which a number could turn North American
+        abroad = lambda d: F.concat(F.substr(d, F.lit(1), F.lit(4)), permuted_text(F.substr(d, F.lit(5), F.length(d)), key, "abroad", reverse))
+        return let(F.regexp_replace(m, r"\D", ""), lambda d: _refilled(m, F.when(m.rlike(f"^{PHONE}$"), let(d, number)).otherwise(let(d, abroad))))
 
     def ip(m: Column) -> Column:
         value = let(F.split(m, r"\."), lambda o: F.aggregate(o, F.lit(0).cast("long"), lambda a, x: a * 256 + x.cast("long")))

@@ -216,6 +216,20 @@ def test_pii_formats_and_reverse(spark, odd):
     assert pii.masked(odd).columns == odd.columns and pii.masked(odd).count() == len(ODD)
 
 
+def test_pii_phone_numbers_abroad(spark):
+    numbers = ["+49 30 1234567", "+33 1 23 45 67 89", "+4915123456789", "+81-3-1234-5678", "+49 (0)30 123456", "+494-155-0053", "+7 495 123-45-67"]
+    tails = ["", " 2024-02-29", " 4111 1111 1111 1111", " 79.197.74.40", " 31.12.1999"]
+    df = spark.createDataFrame([(i * 10 + j, f"call {n}{t} now") for i, n in enumerate(numbers) for j, t in enumerate(tails)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonyms(df).collect()}
+    digits = lambda s: re.sub("[0-9]+", "9", s)
+    for d in df.collect():
+        r, (i, j) = got[d["doc_id"]], divmod(d["doc_id"], 10)
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [0, j == 3, 1, j == 2, j in (1, 4)], d["text"]
+        assert digits(r["text"]) == digits(d["text"]) and numbers[i] not in r["text"] and r["text"].startswith(f"call {numbers[i][:3]}")
+    back = pii.pseudonyms(df).select("doc_id", pii.treated(F.col("text"), pii.KEY, True)["text"].alias("text"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_pii_number_permutation_is_one_to_one(spark):
     n = spark.range(3 * 7).select(pii.permuted_number(F.col("id"), 3, 7, "k", "t").alias("v"), F.col("id"))
     assert sorted(r["v"] for r in n.collect()) == list(range(21))
