@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 #: Dimensions up to so many rows are broadcast to the fuzzy join; larger ones meet by the first characters of the shorter name.
 MAX_BROADCAST_ROWS = 20_000
-HEAD = 3
+#: Lengths of those beginnings. A name takes the longest that it has, so that names with a common beginning don't all meet.
+HEADS = (1, 2, 3, 6, 10, 14, 18, 24, 32)
 
 both_prefixes = lambda q, n: q.startswith(n) | n.startswith(q)
 either_contains = lambda q, n: q.contains(n) | n.contains(q)
@@ -17,21 +18,30 @@ query_contains = lambda q, n: q.contains(n)
 name_contains = lambda q, n: n.contains(q)
 
 
-def by_head(asked: DataFrame, named: DataFrame) -> DataFrame:
-    """All pairs of which one may hold the other: a name that holds another holds its first HEAD characters as well."""
-    head = lambda c: F.substring(c, 1, HEAD)
-    runs = lambda c, k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(k)))
-    grams = lambda c: F.explode(F.array_distinct(F.concat(*[runs(F.col(c), k) for k in range(1, HEAD + 1)])))
-    holds = asked.withColumn("__b", grams("__q")).join(named.withColumn("__b", head("__name")), "__b")
-    held = asked.withColumn("__b", head("__q")).join(named.withColumn("__b", grams("__name")), "__b")
+def by_head(asked: DataFrame, named: DataFrame, norm: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """All pairs of which one may hold the other as ``norm`` leaves them: a name that holds another holds its beginning as well."""
+    head = lambda c: F.coalesce(*[F.when(F.length(c) >= k, F.substring(c, 1, k)) for k in reversed(HEADS)])
+    runs = lambda c, k: F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substr(c, i, F.lit(k)))).otherwise(F.array())
+    grams = lambda c: F.explode(F.array_distinct(F.concat(*[runs(c, k) for k in HEADS])))
+    q, n = asked.withColumn("__k", norm(F.col("__q"))), named.withColumn("__k", norm(F.col("__name")))
+    beginning, part = (lambda df: df.withColumn("__b", head(F.col("__k"))).drop("__k")), (lambda df: df.withColumn("__b", grams(F.col("__k"))).drop("__k"))
+    holds, held = part(q).join(beginning(n), "__b"), beginning(q).join(part(n), "__b")
     return holds.unionByName(held).drop("__b")
 
 
-def first_match(subjects: DataFrame, query: str, dim: DataFrame, name: str, order: str, values: list[str], fuzzy: Callable[[Column, Column], Column], prefix: str = "") -> DataFrame:
+def pairs(asked: DataFrame, named: DataFrame, fuzzy: Callable[[Column, Column], Column], norm: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """The pairs of ``__q`` and ``__name`` for which ``fuzzy`` holds; a pair may stand more than once."""
+    if named.count() <= MAX_BROADCAST_ROWS:
+        return asked.join(F.broadcast(named), fuzzy(F.col("__q"), F.col("__name")))
+    return by_head(asked, named, norm).where(fuzzy(F.col("__q"), F.col("__name")))
+
+
+def first_match(subjects: DataFrame, query: str, dim: DataFrame, name: str, order: str, values: list[str], fuzzy: Callable[[Column, Column], Column], prefix: str = "", norm: Callable[[Column], Column] = lambda c: c) -> DataFrame:
     """Each subject with ``matched`` and the values of its match; null without one. Blank queries match nothing.
 
     Distinct queries are looked up once. Exact matches are an equi join; only
-    the queries that it leaves go to the fuzzy join.
+    the queries that it leaves go to the fuzzy join. ``fuzzy`` may hold only where
+    one name holds the other as ``norm`` leaves them.
     """
     table = dim.select(F.col(name).alias("__name"), F.col(order).alias("__ord"), *[F.col(v).alias(f"__v_{v}") for v in values])
     picked = F.struct(F.col("__name").alias("matched"), *[F.col(f"__v_{v}").alias(v) for v in values])
@@ -39,10 +49,7 @@ def first_match(subjects: DataFrame, query: str, dim: DataFrame, name: str, orde
     exact = asked.join(table, F.col("__q") == F.col("__name")).groupBy("__q").agg(F.min_by(picked, "__ord").alias("m"))
     rest = asked.join(exact, "__q", "left_anti")
     named = table.where(F.trim("__name") != "")
-    if named.count() <= MAX_BROADCAST_ROWS:
-        near = rest.join(F.broadcast(named), fuzzy(F.col("__q"), F.col("__name")))
-    else:
-        near = by_head(rest, named).where(fuzzy(F.col("__q"), F.col("__name")))
+    near = pairs(rest, named, fuzzy, norm)
     found = exact.unionByName(near.groupBy("__q").agg(F.min_by(picked, "__ord").alias("m")))
     out = subjects.join(found, F.col(query) == F.col("__q"), "left")
     return out.select(*[subjects[c] for c in subjects.columns], *[F.col(f"m.{v}").alias(f"{prefix}{v}") for v in ("matched", *values)])

@@ -121,7 +121,7 @@ def find_by_score(spark, sf_dir):
     dims = s.where("s_suppkey % 2 = 0").select(F.col("s_name").alias("name")).distinct().withColumn("ord", F.col("name"))
     asked = s.select("s_suppkey", F.expr("substring(s_name, 1, length(s_name) - cast(s_suppkey % 2 as int))").alias("q"))
     near = lambda q, n: X.match_score(q, n) >= 60
-    return lookup.first_match(asked, "q", dims, "name", "ord", [], near).select("s_suppkey", F.col("matched").alias("found"))
+    return lookup.first_match(asked, "q", dims, "name", "ord", [], near, norm=X.norm_kana).select("s_suppkey", F.col("matched").alias("found"))
 
 
 PROFILES = [("light", 1, 405, 470), ("middle", 2, 420, 480), ("heavy", 3, 430, 500)]

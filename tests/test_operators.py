@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tallyworks.functions import text
 from tallyworks.operators import lookup, scoring, stats
 
 
@@ -17,6 +18,24 @@ def test_first_match_of_large_dimensions(spark, monkeypatch):
         monkeypatch.undo()
 
 
+def test_first_match_by_score_of_large_dimensions(spark, monkeypatch):
+    names = ["DeepImpact", "ディープ インパクト", "Supplier#1", "A b", "  ", "other"]
+    dim = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, ord int")
+    asked = spark.createDataFrame([(q,) for q in ("deep impact", "でぃーぷ", "IMPACT", "ab", "supplier #1", "B", "　", "none of them", None)], "q string")
+    near = lambda q, n: text.match_score(q, n) >= 60
+    find = lambda: {r["q"]: r["matched"] for r in lookup.first_match(asked, "q", dim, "name", "ord", ["ord"], near, norm=text.norm_kana).collect()}
+    small = find()
+    assert small == {"deep impact": "DeepImpact", "でぃーぷ": "ディープ インパクト", "IMPACT": "DeepImpact", "ab": "A b", "supplier #1": "Supplier#1", "B": "A b", "　": None, "none of them": None, None: None}
+    monkeypatch.setattr(lookup, "MAX_BROADCAST_ROWS", -1)
+    assert find() == small
+
+
+def test_names_with_a_common_beginning_do_not_all_meet(spark):
+    names = spark.range(1000).select(F.format_string("Supplier#%09d", "id").alias("__name"))
+    asked = names.select(F.col("__name").alias("__q"))
+    assert lookup.by_head(asked, names).distinct().count() == 1000
+
+
 def test_ranks_follow_the_whole_order(spark):
     rows = [(("p", "q", None, "")[i % 4], f"n{i % 7}", (i * 37 % 11) / 4, i % 3 > 0, i) for i in range(60)] + [("p", "none", None, True, 99)]
     df = spark.createDataFrame(rows, "pool string, name string, total double, eligible boolean, i int")
