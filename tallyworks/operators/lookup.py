@@ -55,6 +55,23 @@ def first_match(subjects: DataFrame, query: str, dim: DataFrame, name: str, orde
     return out.select(*[subjects[c] for c in subjects.columns], *[F.col(f"m.{v}").alias(f"{prefix}{v}") for v in ("matched", *values)])
 
 
+def first_cross(subjects: DataFrame, dim: DataFrame, order: str, values: list[str]) -> DataFrame:
+    """Each subject with the values of the cross of its trainer and family; null without one. Blank names match nothing.
+
+    The exact cross, else the first whose trainer is a prefix either way and
+    whose family is a part either way. Distinct trainers meet first; a subject
+    then meets the crosses of its trainers only.
+    """
+    named = lambda df: df.where((F.trim("trainer") != "") & (F.trim("family") != ""))
+    table = named(dim).select(F.col("trainer").alias("__name"), F.col("family").alias("__f"), F.struct(*values).alias("__m"), F.col(order).alias("__ord"))
+    asked = named(subjects).select(F.col("trainer").alias("__q"), "family").distinct()
+    trainers = pairs(asked.select("__q").distinct(), table.select("__name").distinct(), both_prefixes).distinct()
+    near = asked.join(trainers, "__q").join(table, "__name").where(either_contains(F.col("family"), F.col("__f")))
+    other = (F.col("__q") != F.col("__name")) | (F.col("family") != F.col("__f"))
+    found = near.groupBy(F.col("__q").alias("trainer"), "family").agg(F.min_by("__m", F.struct(other.alias("other"), F.col("__ord").alias("ord"))).alias("__c"))
+    return subjects.join(found, ["trainer", "family"], "left").select(*[subjects[c] for c in subjects.columns], *[F.col(f"__c.{v}").alias(v) for v in values])
+
+
 def top_matches(queries: DataFrame, items: DataFrame, score: Callable[[Column, Column], Column], k: int) -> DataFrame:
     """The k best items of each (query, category) with a score above 0; ties by ``ord``. ``items``: category, name, ord."""
     if queries.count() <= MAX_BROADCAST_ROWS:  # a stated set of queries against all items

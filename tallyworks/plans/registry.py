@@ -213,8 +213,7 @@ def tier_match_bidirectional(spark, sf_dir):
 @query(f"{WO}, crosses AS (SELECT * FROM ({GX}) WHERE grade <> 'U') SELECT o.id, c.grade, c.rank FROM offers o LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trainer, family ORDER BY rank) AS k FROM crosses) WHERE k = 1) c ON o.trainer = c.trainer AND o.family = c.family")
 def cross_lookup(spark, sf_dir):
     found = graded(club_stats(spark, sf_dir, X2), 10, ["family_code", "trainer", "family"]).where("grade <> 'U'")
-    best = found.groupBy("trainer", "family").agg(F.min_by(F.struct("grade", "rank"), "rank").alias("c"))
-    return offers(spark, sf_dir).join(best, ["trainer", "family"], "left").select("id", "c.grade", "c.rank")
+    return lookup.first_cross(offers(spark, sf_dir), found, "rank", ["grade", "rank"]).select("id", "grade", "rank")
 
 
 @query(f"{WO} SELECT id, text, CAST(weight AS INTEGER) AS min_kg, coalesce(weight <= 420, false) AS light FROM offers")
@@ -284,8 +283,8 @@ def full_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = graded(every.where("club_unique"), 0, ["family_code", "family"], steps=OWN_GRADES).groupBy("family").agg(F.max_by("grade", "rank").alias("own_grade"))
     club = name_index(graded(club_stats(spark, sf_dir, FAM), 15, ["family_code", "family"]), "family", ["family_code"], ["score"]).withColumnRenamed("score", "club_score")
     trainers = graded(club_stats(spark, sf_dir, T), 20, ["trainer_code", "trainer"]).select("trainer", F.col("score").alias("t_score"), F.col("grade").alias("trainer_grade"))
-    crosses = graded(club_stats(spark, sf_dir, X2), 10, ["family_code", "trainer", "family"]).where("grade <> 'U'").groupBy("trainer", "family").agg(F.min_by("grade", "rank").alias("cross_grade"))
-    o = weighed(spark, sf_dir).join(over, "family", "left").join(club, "family", "left").join(own, "family", "left").join(trainers, "trainer", "left").join(crosses, ["trainer", "family"], "left").join(sires(spark, sf_dir), "sire", "left")
+    crosses = graded(club_stats(spark, sf_dir, X2), 10, ["family_code", "trainer", "family"]).where("grade <> 'U'").withColumnRenamed("grade", "cross_grade")
+    o = lookup.first_cross(weighed(spark, sf_dir), crosses, "rank", ["cross_grade"]).join(over, "family", "left").join(club, "family", "left").join(own, "family", "left").join(trainers, "trainer", "left").join(sires(spark, sf_dir), "sire", "left")
     o = o.withColumn("club_unique", F.coalesce("club_unique", F.lit(False))).withColumn("unique_grade", F.when(F.col("club_unique"), F.col("own_grade")))
     o = o.withColumn("trainer_pts", F.when(F.col("trainer_grade") != "U", F.col("t_score")).otherwise(2.0)).withColumn("sire_tier", R.sire_tier(F.col("sire_score")))
     o = o.withColumn("signature_grade", F.when(F.col("id") % 5 == 0, "S").when(F.col("id") % 5 == 1, "B"))

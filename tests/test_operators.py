@@ -36,6 +36,26 @@ def test_names_with_a_common_beginning_do_not_all_meet(spark):
     assert lookup.by_head(asked, names).distinct().count() == 1000
 
 
+def test_first_cross_is_exact_else_fuzzy(spark, monkeypatch):
+    crosses = [("t1", "cold bolt", "A", 3), ("t1", "bolt", "B", 2), ("t1", "old bolt x", "S", 1), ("t10", "red", "C", 4), ("t2", "", "S", 0), ("", "red", "S", 5), ("t1", "bolt", "C", 6)]
+    asked = [("t1", "old bolt"), ("t1", "bolt"), ("t1", "cold bolt"), ("t", "cold"), ("t1", "red"), ("t10", "red wine"), ("t10", "bolt"), ("t2", "red"), ("t3", "bolt"), ("", "red"), ("t1", ""), (None, "red"), ("t1", None), ("t1", "old bolt")]
+
+    def first(t, f):
+        if not t or not f:
+            return None
+        ranked = sorted(crosses, key=lambda c: c[3])
+        fuzzy = [c for c in ranked if c[0] and c[1] and (t.startswith(c[0]) or c[0].startswith(t)) and (f in c[1] or c[1] in f)]
+        return next((c[2:] for c in [*[c for c in ranked if c[:2] == (t, f)], *fuzzy]), None)
+
+    subjects = spark.createDataFrame([(i, *a) for i, a in enumerate(asked)], "id int, trainer string, family string")
+    dim = spark.createDataFrame(crosses, "trainer string, family string, grade string, rank int")
+    for limit in (20_000, -1):
+        monkeypatch.setattr(lookup, "MAX_BROADCAST_ROWS", limit)
+        got = {r["id"]: (r["grade"], r["rank"]) for r in lookup.first_cross(subjects, dim, "rank", ["grade", "rank"]).collect()}
+        assert got == {i: first(*a) or (None, None) for i, a in enumerate(asked)}
+    assert first("t1", "old bolt") == ("S", 1) and first("t1", "red") == ("C", 4)
+
+
 def test_ranks_follow_the_whole_order(spark):
     rows = [(("p", "q", None, "")[i % 4], f"n{i % 7}", (i * 37 % 11) / 4, i % 3 > 0, i) for i in range(60)] + [("p", "none", None, True, 99)]
     df = spark.createDataFrame(rows, "pool string, name string, total double, eligible boolean, i int")
