@@ -165,13 +165,13 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def groups(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id) for rows (doc_id, fp): the smallest doc_id that the fingerprint reaches."""
+    """(fp, root, component_id) for rows (doc_id, fp): the fingerprint that stands for the component, and the smallest doc_id in it."""
     first = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "fingerprints")
     roots = staged(connected(links(first, first.count(), radius)), "roots")
     members = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     members = staged(members, "members")
     least = staged(members.groupBy("root").agg(F.min("first_doc").alias("component_id")), "least")
-    return staged(members.join(least, "root").select("fp", "component_id"), "groups")
+    return staged(members.join(least, "root").select("fp", "root", "component_id"), "groups")
 
 
 def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -181,10 +181,10 @@ def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The document with the smallest id of each group, with all its columns."""
+    """The document with the smallest id of each group, with all its columns; one of them if the id stands twice in the group or all its ids are null."""
     rows = staged(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", fingerprint(F.col("text")).alias("fp")), "marked-rows")
     ids = rows.select("doc_id", "fp")
     kept = rows.join(groups(ids, radius), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     if ids.count() > ids.agg(F.count_distinct(F.coalesce(F.col("doc_id"), F.lit(-1)))).first()[0]:  # an id stands more than once
-        kept = kept.dropDuplicates(["component_id"])
+        kept = kept.dropDuplicates(["root"])
     return kept.select("row.*")

@@ -188,6 +188,15 @@ def test_simhash(spark, docs, odd):
     assert kept.columns == odd.columns and kept.count() == simhash.components(odd).select("component_id").distinct().count()
 
 
+def test_one_per_group_of_null_and_repeated_ids(spark):
+    common.ship(spark)
+    texts = {c: " ".join(f"{c}{i * i}" for i in range(60)) for c in "abcde"}
+    rows = [(None, "a"), (None, "a"), (None, "b"), (7, "c"), (7, "d"), (7, "d"), (None, "e"), (9, "e"), (8, "e")]
+    df = spark.createDataFrame([(i, texts[c]) for i, c in rows], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"][0]) for r in simhash.one_per_group(df).collect()), key=lambda r: r[1])
+    assert got == [(None, "a"), (None, "b"), (7, "c"), (7, "d"), (8, "e")]
+
+
 def test_simhash_links_all_within_the_radius(spark):
     rng = np.random.default_rng(1)
     a = rng.integers(-(2**63), 2**63, 60)
