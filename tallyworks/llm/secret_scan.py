@@ -1,6 +1,7 @@
 """Secret scans with a random forest that removes false positives.
 
-Candidates are words with a stretch of ten or more letters and digits mixed.
+Candidates are words with a stretch of ten or more letters and digits mixed, and
+of any shape what a secret word is assigned or what follows it.
 A forest judges each by its length, the transitions between its kinds of
 characters, how much of it ordinary words cover, whether it is a path, and the
 neighbouring words. It is trained from labelled findings; without a table of
@@ -26,8 +27,15 @@ from tallyworks.llm.common import let, words
 CANDIDATE = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*[0-9])(?=[0-9+/_.-]*[A-Za-z])[A-Za-z0-9+/_.-]{9,}[A-Za-z0-9+/_-]"
 #: Words near secrets, words near harmless codes, and words that make up harmless names.
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "bearer", "credential", "private_key", "akia")
+#: The value that a secret word is assigned in its own word, and a secret word, or one with a sign of assignment, that ends a word.
+ASSIGNED = rf"(?i)(?:{'|'.join(SECRET_WORDS[:-1])})[\"'\])]*[:=]+>?[\"'(\[]*([^\s\"']*[^\s\"'.,;:!?=()\[\]{{}}])"
+NAMES = rf"(?i)(?:{'|'.join(SECRET_WORDS[:-1])})[\"'\])]*[:=]*>?$"
+JOINS = r"(?i)^(?:[:=]+>?|->|is|was|are|to)$"
+VALUE = r"^[\"'(\[]*([^\s\"']*[^\s\"'.,;:!?=()\[\]{}<>-])"
 HARMLESS_WORDS = ("commit", "sha", "md5", "hash", "checksum", "uuid", "guid", "revision", "version", "digest", "etag", "isbn", "order", "invoice", "example", "build", "file", "path")
 ORDINARY_WORDS = ("example", "sample", "test", "user", "name", "value", "config", "default", "placeholder", "your", "index", "module", "class", "version", "data", "file", "list", "item", "page", "image", "service", "server", "client", "table", "main", "util", "core", "lib", "src")
+#: Plain words that follow secret words in prose.
+PLAIN_WORDS = ("for", "and", "was", "of", "in", "that", "must", "policy", "which", "manager", "service", "field", "expired", "should", "management", "authentication")
 FEATURES = ["length", "transitions", "distinct", "digits", "uppers", "vowels", "hexadecimal", "covered", "path", "assigned", "near_secret", "near_harmless"]
 #: The forest is trained on at most so many labelled findings.
 MAX_FIT_ROWS = 20_000
@@ -36,12 +44,20 @@ TREES, DEPTH = 24, 6
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, place (of the word), candidate, lead (what stands before it in its word), before and after (the neighbouring words)."""
+    shaped = lambda x: F.regexp_extract_all(x, F.lit(CANDIDATE), 0)
+    follows = lambda w, i: F.coalesce(F.get(w, i - 1).rlike(NAMES) | (F.get(w, i - 1).rlike(JOINS) & F.get(w, i - 2).rlike(NAMES)), F.lit(False))
+
+    def named(w: Column, x: Column, i: Column) -> Column:  # what a secret word is assigned, or what follows it
+        after = F.when(follows(w, i) & ~x.rlike(JOINS), F.regexp_extract(x, VALUE, 1)).otherwise("")
+        return F.array(F.regexp_extract(x, ASSIGNED, 1), after)
+
+    found = lambda w, x, i: let(shaped(x), lambda s: F.concat(s, F.filter(F.array_distinct(named(w, x, i)), lambda v: (v != "") & ~F.array_contains(s, v))))
     around = lambda w: F.filter(
-        F.transform(w, lambda x, i: F.struct(i.cast("long").alias("place"), x.alias("word"), F.concat_ws(" ", F.get(w, i - 3), F.get(w, i - 2), F.get(w, i - 1)).alias("before"), F.concat_ws(" ", F.get(w, i + 1), F.get(w, i + 2)).alias("after"))),
-        lambda s: s["word"].rlike(CANDIDATE),
+        F.transform(w, lambda x, i: F.struct(i.cast("long").alias("place"), x.alias("word"), F.concat_ws(" ", F.get(w, i - 3), F.get(w, i - 2), F.get(w, i - 1)).alias("before"), F.concat_ws(" ", F.get(w, i + 1), F.get(w, i + 2), F.get(w, i + 3)).alias("after"), found(w, x, i).alias("found"))),
+        lambda s: F.size(s["found"]) > 0,
     )
-    rows = docs.where(F.col("text").rlike("[0-9]")).where(F.col("text").rlike(CANDIDATE)).select("doc_id", F.explode(let(words(F.col("text")), around)).alias("s"))
-    each = rows.select("doc_id", "s.*").withColumn("candidate", F.explode(F.regexp_extract_all("word", F.lit(CANDIDATE), 0)))
+    rows = docs.where(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(rf"(?i)(?:{'|'.join(SECRET_WORDS[:-1])})")).select("doc_id", F.explode(let(words(F.col("text")), around)).alias("s"))
+    each = rows.select("doc_id", "s.*").withColumn("candidate", F.explode("found"))
     return each.select("doc_id", "place", "candidate", F.expr("substring_index(word, candidate, 1)").alias("lead"), "before", "after")
 
 
@@ -51,13 +67,13 @@ def _share(c: Column, pattern: str) -> Column:
 
 def features(found: DataFrame) -> DataFrame:
     c = F.col("candidate")
-    near = F.lower(F.concat_ws(" ", "before", "lead", F.substring("candidate", 1, 4)))
+    near = F.lower(F.concat_ws(" ", "before", "lead", F.substring("candidate", 1, 4), "after"))
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "9"), "[^aA9]+", "-")
     hits = lambda names: sum((near.contains(w).cast("int") for w in names), F.lit(0))
     return found.select(
         "*",
         F.length(c).cast("double").alias("length"),
-        ((F.length(kinds) - 1) / (F.length(c) - 1)).alias("transitions"),
+        ((F.length(kinds) - 1) / F.greatest(F.length(c) - 1, F.lit(1))).alias("transitions"),
         (F.size(F.array_distinct(F.split(c, ""))) / F.length(c)).alias("distinct"),
         _share(c, "[0-9]").alias("digits"),
         _share(c, "[A-Z]").alias("uppers"),
@@ -83,13 +99,19 @@ def example_findings(spark: SparkSession, n: int = 4_000) -> DataFrame:
     name = F.concat(word(), F.lit("_"), F.element_at(F.array(*map(F.lit, ORDINARY_WORDS)), (F.col("id") / 7 % len(ORDINARY_WORDS)).cast("int") + 1), F.lit("_"), F.col("id").cast("string"))
     secret, harmless = pick(SECRET_WORDS[:-1]), pick(HARMLESS_WORDS)
     none = F.lit("")
+    letters = F.translate(code("l", 14, 26), "0123456789", "ghijklmnop")
+    short = F.concat(F.substring(F.translate(F.base64(F.unhex(code("s", 32, 33))), "+/=", "xyz"), 1, 6), (F.col("id") % 10).cast("string"))
+    signs = F.concat(F.substring(short, 1, 5), F.lit("&"), F.substring(mixed, 1, 5), F.lit("!"), F.substring(mixed, 6, 2))
     kinds = [
         (code("p", 12, 24), F.concat(secret, F.lit("=")), none, 1), (code("t", 40, 41), F.lit('"'), F.concat(secret, F.lit(" =")), 1), (caps, none, none, 1), (caps, F.concat(secret, F.lit(":")), none, 1),
         (mixed, F.lit('"'), F.concat(secret, F.lit(":")), 1), (code("q", 16, 48), none, F.concat(F.lit("the "), secret, F.lit(" is")), 1),
         (code("g", 40, 41), none, harmless, 0), (code("h", 12, 64), F.concat(harmless, F.lit(":")), none, 0), (uuid, none, none, 0), (uuid, F.lit('"'), F.concat(harmless, F.lit(" =")), 0),
         (path, none, F.lit("see"), 0), (path, F.lit("("), harmless, 0), (name, none, F.lit("the"), 0), (name, F.lit('"'), F.concat(secret, F.lit(" =")), 0), (F.concat(F.lit("v"), F.col("id").cast("string"), F.lit(".10.2-beta3")), none, harmless, 0), (F.concat(name, F.lit("x")), F.concat(harmless, F.lit("=")), none, 0),
+        *[(c, F.concat(secret, F.lit("=")), none, 1) for c in (letters, short, signs)], *[(c, none, F.concat(F.lit("the "), secret, F.lit(" is")), 1) for c in (letters, short, signs)],
+        *[(pick(PLAIN_WORDS), none, F.concat(F.lit("the "), secret, F.lit(joined)), 0) for joined in ("", "", " is")], (word(), none, F.concat(F.lit("the "), secret), 0), (word(), none, F.concat(F.lit("the "), secret, F.lit(" is")), 0), (word(), F.concat(secret, F.lit("=")), none, 0),
+        (code("a", 16, 48), none, none, 1, F.concat(F.lit("is "), secret)), (code("b", 12, 64), none, none, 0, F.concat(F.lit("is "), harmless)),
     ]
-    case = F.array(*[F.struct(c.alias("candidate"), lead.alias("lead"), before.alias("before"), F.lit("").alias("after"), F.lit(y).cast("double").alias("label")) for c, lead, before, y in kinds])
+    case = F.array(*[F.struct(c.alias("candidate"), lead.alias("lead"), before.alias("before"), (after[0] if after else none).alias("after"), F.lit(y).cast("double").alias("label")) for c, lead, before, y, *after in kinds])
     return spark.range(n).select(F.element_at(case, (F.col("id") % len(kinds)).cast("int") + 1).alias("f")).select("f.*")
 
 

@@ -256,6 +256,13 @@ def test_secrets(spark, docs, odd):
     assert want <= {(r["doc_id"], r["candidate"]) for r in found.where("is_secret").collect()}
 
 
+def test_secrets_of_any_shape_beside_secret_words(spark):
+    texts = [(1, "set password=Xy7kPq9 now", "Xy7kPq9"), (2, "the password is gkcmahdpfbejnloc here", "gkcmahdpfbejnloc"), (3, "password=Tr0ub4dor&3 x", "Tr0ub4dor&3"), (4, "a7602ad27cf5550de1c is the token", "a7602ad27cf5550de1c")]
+    df = spark.createDataFrame([t[:2] for t in texts] + [(5, "the password for this is default")], "doc_id long, text string")
+    got = {(r["doc_id"], r["candidate"]) for r in secret_scan.scan(df).where("is_secret").collect()}
+    assert got == {(i, v) for i, _, v in texts}
+
+
 def test_secret_forest_on_held_out_findings(spark):
     findings = secret_scan.example_findings(spark, 3000).withColumn("part", F.pmod(F.xxhash64("candidate"), F.lit(4)))
     forest = secret_scan.train(findings.where("part <> 0").drop("part"))
