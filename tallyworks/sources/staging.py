@@ -9,15 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 _kept: set[str] = set()
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """This application's part of the folder in ``spark.checkpoint.dir``; a folder of this machine only in local mode. It goes when the driver's JVM ends."""
+def shared_dir(spark: SparkSession) -> str:
+    """This library's part of the folder in ``spark.checkpoint.dir``; a folder of this machine only in local mode."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir")
     if not root:
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "/tmp/checkpoints"
-    path = f"{root.rstrip('/')}/tallyworks/{context.applicationId}"
+    return f"{root.rstrip('/')}/tallyworks"
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's folder; it goes when the driver's JVM ends."""
+    context = spark.sparkContext
+    path = f"{shared_dir(spark)}/{context.applicationId}"
     if path not in _kept:
         _file_system(spark, path).deleteOnExit(context._jvm.org.apache.hadoop.fs.Path(path))
         _kept.add(path)
