@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import shutil
 import tempfile
-import uuid
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyworks.sources.staging import discard, staged  # noqa: F401
+
 #: Words are runs of anything but ASCII white space.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 _shipped: dict[str, str] = {}
@@ -26,20 +26,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of this machine only where none is configured, as in tests."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    return f"{root.rstrip('/')}/tallyworks/{spark.sparkContext.applicationId}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_labels(labels: DataFrame, target: str, keep: Column, max_rows: int) -> DataFrame:
     """One row (doc_id, y) per labelled document for which ``keep`` holds; about ``max_rows`` of them by a hash of the id if there are more.
 
@@ -69,23 +55,40 @@ def fold(remainder_of: int, held: int) -> Column:
 
 
 def isotonic(bins: list[tuple[float, int, int]]) -> list[tuple[float, float]]:
-    """Pool adjacent violators over (score, rows, positives) bins: (lowest score of the block, smoothed share of positives)."""
+    """Pool adjacent violators over (score, rows, positives) bins: the ends of each block with its smoothed share of positives, in order, to interpolate between."""
     blocks: list[list[float]] = []
     for x, n, p in sorted(bins):
-        blocks.append([x, n, p])
+        blocks.append([x, n, p, x])
         while len(blocks) > 1 and blocks[-2][2] * blocks[-1][1] >= blocks[-1][2] * blocks[-2][1]:
-            _, n2, p2 = blocks.pop()
+            _, n2, p2, end = blocks.pop()
             blocks[-1][1] += n2
             blocks[-1][2] += p2
-    return [(x, (p + 0.02) / (n + 0.1)) for x, n, p in blocks]
+            blocks[-1][3] = end
+    return [(x, (p + 0.02) / (n + 0.1)) for low, n, p, high in blocks for x in sorted({low, high})]
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, unless their Python path has it already. Once for each application."""
-    root = Path(__file__).resolve().parents[2]
-    if str(root) in map(os.path.abspath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))):
-        return
+    """Send this package to the executors, once for each application."""
     if _shipped.get("application") != spark.sparkContext.applicationId:
-        archive = shutil.make_archive(f"{tempfile.mkdtemp()}/tallyworks", "zip", root, "tallyworks")
-        spark.sparkContext.addPyFile(archive)
+        root = Path(__file__).resolve().parents[2]
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/tallyworks", "zip", root, "tallyworks"))
         _shipped["application"] = spark.sparkContext.applicationId
+
+
+def tokenizer_file(path: str) -> str:
+    """A path as it is; a bare file name is that of a public tokenizer, resolved on the worker that opens it."""
+    if "/" in path:
+        return path
+    import public_tokenizers
+
+    return str(public_tokenizers.path(path))
+
+
+def as_text(column: str) -> Column:
+    """An id as text, so that a worker's data frame doesn't turn it to floating point beside a null."""
+    return F.col(column).cast("string").alias(column)
+
+
+def with_id(rows: DataFrame, like: DataFrame, column: str = "doc_id") -> DataFrame:
+    """``rows`` with the id's own type again."""
+    return rows.withColumn(column, F.col(column).cast(like.schema[column].dataType))

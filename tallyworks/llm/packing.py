@@ -6,13 +6,14 @@ f(a) + padding + penalty(b) is solved with a monotone queue over f(a) + a, as
 the padding of (a, b) is 2048 - b + a. Ends of parts of a sentence, and places in
 stretches without any mark, are candidates at higher penalties. Blocks of documents are packed one after
 another and the last, unfilled window moves on to the next block, so memory is
-bounded by a block and its longest document.
+bounded by a block and its longest document. The cuts are the cheapest within
+each block; across blocks only the last window is open, an approximation.
 
 Sequence ids come from the partition's number and a running count, so a task
 that runs again gives the same rows.
 
-Defined cases: null and empty texts are one end token; repeated rows are packed
-one by one; an empty table gives an empty result; other columns are ignored.
+Defined cases: null and empty texts are one end token; null and repeated ids
+are packed one by one and ids of any size stay exact; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tallyworks.llm.common import as_text, tokenizer_file, with_id
+
 WINDOW = 2048
 END_ID = 1
 #: Cost, in tokens of padding, of a cut at the end of a sentence, of a part of one, and elsewhere; document ends cost none.
@@ -37,9 +40,8 @@ BREAK_PENALTY = 40
 #: Stretches without a mark get places this far apart.
 MAX_GAP = 64
 BLOCK_TOKENS = 1_500_000
-SPECIAL = "<|endoftext|>"
 _SPACES = re.compile(r" \s")
-SCHEMA = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+SCHEMA = T.StructType([T.StructField("doc_id", T.StringType()), *[T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]])
 
 
 class Encoder(dict):
@@ -52,15 +54,17 @@ class Encoder(dict):
 
         import tiktoken
 
-        with open(json_path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+        with open(tokenizer_file(json_path), encoding="utf-8") as f:
+            described = json.load(f)
+        vocab = described["model"]["vocab"]
+        self.special = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in described["added_tokens"]}
+        self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-        surface = {bytes(map(byte_of.__getitem__, k)): v for k, v in vocab.items() if k != SPECIAL}
+        surface = {bytes(map(byte_of.__getitem__, k)): v for k, v in vocab.items() if k not in self.special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.coder = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=surface, special_tokens={})
-        self.special = np.array([50256], dtype="<u4").tobytes()
         #: 1 for a token that may end a sentence, 2 for one that may end a part of it.
         self.kinds = np.zeros(max(surface.values()) + 2, dtype=np.int8)
         for s, i in surface.items():
@@ -75,11 +79,11 @@ class Encoder(dict):
         return got
 
     def ids(self, text: str) -> np.ndarray:
-        """The ids that the tokenizer's library gives, its special string included."""
+        """The ids that the tokenizer's library gives, its special strings included."""
         if len(self) > self.LIMIT:
             self.clear()
-        if SPECIAL in text:
-            return np.frombuffer(self.special.join(map(self.encoded, text.split(SPECIAL))), dtype="<u4")
+        if "<|" in text:
+            return np.frombuffer(b"".join(self.special.get(part) or self.encoded(part) for part in self.marks.split(text)), dtype="<u4")
         return np.frombuffer(self.encoded(text), dtype="<u4")
 
     def encoded(self, text: str) -> bytes:
@@ -190,13 +194,13 @@ def pack(docs: DataFrame, json_path: str, window: int = WINDOW) -> DataFrame:
         packer = Packer(encoder(json_path), TaskContext.get().partitionId(), window)
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"]):
-                packer.add(None if pd.isna(doc_id) else int(doc_id), text)
+                packer.add(doc_id, text)
                 if packer.tokens >= BLOCK_TOKENS:
                     yield _frame(packer.emit(False))
         yield _frame(packer.emit(True))
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return with_id(docs.select(as_text("doc_id"), "text").mapInPandas(run, SCHEMA), docs)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=SCHEMA.names).astype("Int64")
+    return pd.DataFrame(rows, columns=SCHEMA.names)

@@ -11,7 +11,7 @@ their bytes.
 
 Defined cases: null and empty texts have no pieces; white space is kept as it
 is, but a mark (U+2581) in a text decodes to a space, as it does in the model's
-library; repeated rows are encoded one by one; an empty table gives an empty
+library; null ids stay null and ids of any size exact; repeated rows are encoded one by one; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -26,6 +26,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tallyworks.llm.common import as_text, tokenizer_file, with_id
+
 MARK = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -41,7 +43,7 @@ class Pieces:
     def __init__(self, model_path: str):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(model_path))
         n = sp.get_piece_size()
         self.surface = [sp.id_to_piece(i) for i in range(n)]
         self.special = np.array([sp.is_control(i) or sp.is_unknown(i) for i in range(n)])
@@ -272,7 +274,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "ids": loaded(model_path).encode_batch(b["text"].tolist())})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")
+    return with_id(docs.select(as_text("doc_id"), "text").mapInPandas(run, "doc_id string, ids array<int>"), docs)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -282,7 +284,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "text": [loaded(model_path).decode(i if i is not None else ()) for i in b["ids"]]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return with_id(encoded.select(as_text("doc_id"), "ids").mapInPandas(run, "doc_id string, text string"), encoded)
 
 
 def digest(docs: DataFrame, model_path: str) -> DataFrame:
@@ -296,4 +298,4 @@ def digest(docs: DataFrame, model_path: str) -> DataFrame:
             back = [p.decode(i.tolist()) == (t or "") for i, t in zip(ids, texts)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_pieces": [len(i) for i in ids], "ids_crc32": [zlib.crc32(i.tobytes()) for i in ids], "round_trip": back})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
+    return with_id(docs.select(as_text("doc_id"), "text").mapInPandas(run, "doc_id string, n_pieces long, ids_crc32 long, round_trip boolean"), docs)

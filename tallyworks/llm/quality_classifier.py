@@ -3,7 +3,8 @@
 Statistics of each whole text are standardised and mapped to cosines of random
 projections, which approximate a Gaussian kernel; each partition of the
 labelled rows sums its part of the normal equations, the driver solves the
-ridge system of a fixed size, and an isotonic map over score bins calibrates.
+ridge system of a fixed size, and an isotonic map over score bins calibrates: it
+is fitted on each row's score by the ridge of the other folds.
 
 Defined cases: null and empty texts get the statistics of an empty text; a
 table without both labels scores 0.5 everywhere; repeated rows are scored one
@@ -13,17 +14,16 @@ by one; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyworks.llm.common import bounded_labels, isotonic, staged, with_labels
+from tallyworks.llm.common import bounded_labels, discard, isotonic, staged, with_labels
 
 STATS = ["log_words", "log_chars", "mean_word", "unique_share", "adjacent_share", "top_share", "symbol_share", "upper_share", "digit_share", "punct_share", "pipe_share", "line_words", "dup_lines", "short_share", "letter_entropy"]
 #: The fit uses about so many labelled rows at most.
@@ -32,6 +32,7 @@ FEATURES = 256
 GAMMA = 0.25
 RIDGE = 1e-2
 BINS = 200.0
+FOLDS = 5
 
 
 def statistics(text: str | None) -> list[float]:
@@ -67,7 +68,7 @@ class Model:
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray | None = None
-    curve: list[tuple[float, float]] = field(default_factory=lambda: [(-math.inf, 0.5)])
+    curve: list[tuple[float, float]] = field(default_factory=lambda: [(0.0, 0.5)])
     seed: int = 11
 
     def features(self, x: np.ndarray) -> np.ndarray:
@@ -80,8 +81,8 @@ class Model:
         return self.features(x) @ self.weights if self.weights is not None else np.zeros(len(x))
 
     def probability(self, raw: np.ndarray) -> np.ndarray:
-        lows, values = np.array([a for a, _ in self.curve]), np.array([b for _, b in self.curve])
-        return np.clip(values[np.maximum(np.searchsorted(lows, raw + 1e-9, "right") - 1, 0)], 0.001, 0.999)
+        x, y = zip(*self.curve)
+        return np.clip(np.interp(raw, x, y), 0.001, 0.999)
 
 
 def _matrix(x: pd.Series) -> np.ndarray:
@@ -89,28 +90,50 @@ def _matrix(x: pd.Series) -> np.ndarray:
 
 
 def fit(stats: DataFrame, labels: DataFrame, train: Column, max_rows: int = MAX_FIT_ROWS) -> Model:
+    """Fit weights and curve on the labelled rows for which ``train`` holds, about ``max_rows`` at most.
+
+    The sums are kept by fold, so that the ridge of all folds but one takes no
+    further pass; the weights in the end are those of all rows.
+    """
     chosen = bounded_labels(labels, "quality", train, max_rows)
-    rows = staged(with_labels(stats, chosen, max_rows).repartition(8), "quality-fit")
+    part = F.pmod(F.xxhash64("x"), F.lit(FOLDS)).cast("int")  # equal texts share a fold
+    rows = staged(with_labels(stats, chosen, max_rows).withColumn("part", part).repartition(8), "quality-fit")
     got = rows.agg(F.count(F.lit(1)), F.min("y"), F.max("y"), *[f(F.col("x")[i]) for f in (F.avg, F.stddev_pop) for i in range(len(STATS))]).first()
     if not got[0] or got[1] == got[2]:
+        discard(rows)
         return Model(np.zeros(len(STATS)), np.ones(len(STATS)))
     model = Model(np.array(got[3 : 3 + len(STATS)], float), np.maximum(np.array(got[3 + len(STATS) :], float), 1e-6))
+    sums = rows.mapInPandas(_equations(model), "part int, a binary, b binary").collect()  # FOLDS rows of a fixed size for each of the 8 partitions
+    others = [replace(model, weights=solved([r for r in sums if r["part"] != k])) for k in range(FOLDS)]
+    model.weights = solved(sums)
+    unseen = F.coalesce(*[F.when(F.col("part") == k, _raw(m)("x")) for k, m in enumerate(others)])
+    bins = rows.select("y", F.floor(unseen * BINS).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).collect()
+    model.curve = isotonic([((r["bin"] + 0.5) / BINS, r["n"], r["p"]) for r in bins])
+    discard(rows)
+    return model
+
+
+def solved(sums: list) -> np.ndarray:
+    """The ridge weights from sums of the normal equations."""
+    a = sum((np.frombuffer(r["a"]).reshape(FEATURES + 1, -1) for r in sums), np.zeros((FEATURES + 1, FEATURES + 1)))
+    b = sum((np.frombuffer(r["b"]) for r in sums), np.zeros(FEATURES + 1))
+    return np.linalg.solve(a + RIDGE * np.eye(FEATURES + 1), b)
 
-    def equations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, b = np.zeros((FEATURES + 1, FEATURES + 1)), np.zeros(FEATURES + 1)
+
+def _equations(model: Model):
+    """Each partition's part of the normal equations, by fold."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a, b = np.zeros((FOLDS, FEATURES + 1, FEATURES + 1)), np.zeros((FOLDS, FEATURES + 1))
         for batch in batches:
-            z, y = model.features(_matrix(batch["x"])), batch["y"].to_numpy(float)
-            a += z.T @ z
-            b += z.T @ y
-        yield pd.DataFrame({"a": [a.tobytes()], "b": [b.tobytes()]})
-
-    sums = rows.mapInPandas(equations, "a binary, b binary").collect()  # one row of a fixed size for each of the 8 partitions
-    a = sum(np.frombuffer(r["a"]).reshape(FEATURES + 1, -1) for r in sums)
-    b = sum(np.frombuffer(r["b"]) for r in sums)
-    model.weights = np.linalg.solve(a + RIDGE * np.eye(FEATURES + 1), b)
-    bins = rows.select("y", F.floor(_raw(model)("x") * BINS).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p"))
-    model.curve = isotonic([(r["bin"] / BINS, r["n"], r["p"]) for r in bins.collect()])
-    return model
+            z, y, part = model.features(_matrix(batch["x"])), batch["y"].to_numpy(float), batch["part"].to_numpy(int)
+            for k in range(FOLDS):
+                of = part == k
+                a[k] += z[of].T @ z[of]
+                b[k] += z[of].T @ y[of]
+        yield pd.DataFrame({"part": np.arange(FOLDS, dtype="i4"), "a": [x.tobytes() for x in a], "b": [x.tobytes() for x in b]})
+
+    return run
 
 
 def _raw(model: Model):

@@ -1,9 +1,13 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
-Every document gets the base counts; a KLL sketch of each ratio is kept per
-(lang, source), merged per language and over all for small groups, and the
-upper fence of its group decides whether the document is kept. Only DataFrame
-functions are used.
+Every document gets the base counts. For each (lang, source) the sketch of a
+ratio counts its rows by logarithmic buckets, which gives every quantile within
+1 % of its value; sketches merge by adding counts, per language and over all.
+The upper fence of a group is blended with that of its language, and the
+language's with that of all rows, the less so the more rows there are, and
+decides whether the document is kept. Counts are exact sums, so the same rows
+always give the same fences, whatever the partitions and retries. Only
+DataFrame functions are used.
 
 Defined cases: a null text counts as empty (no words, so the base rule fails
 it); null lang and source form groups of their own; repeated rows are judged
@@ -13,7 +17,7 @@ by ``measure`` and kept by ``keep_good``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyworks.llm.common import WORD_BREAK, let, staged, words
@@ -23,9 +27,11 @@ SYMBOLS = "#*$%&|<>"
 SLACK = {"symbol_share": 0.05, "upper_share": 0.15, "repeat_share": 0.40, "dup_line_share": 0.40, "mean_word": 1.5}
 #: A fence is q75 + FENCE * (q75 - q25) + slack.
 FENCE = 4.0
-#: Groups with fewer rows use the sketch of their language, languages with fewer that of all rows.
-MIN_GROUP = 50
-SKETCH_K = 400
+#: The fence of a group counts by its rows against so many rows of its language's, and that of a language so against that of all rows.
+PRIOR_ROWS = 50
+#: Bucket i of a sketch holds the values over GAMMA^(i-1) up to GAMMA^i; zeros, and values below 1e-9, share the lowest one.
+GAMMA = 1.02
+LOWEST = -1100
 #: Fence tables up to so many rows (under 10 MB) are broadcast; larger ones join by key with salted rows.
 MAX_BROADCAST_ROWS = 50_000
 SALTS = 32
@@ -69,27 +75,38 @@ def measures(text: Column) -> Column:
     )
 
 
-def fences(measured: DataFrame) -> DataFrame:
-    """(lang, source, fence): a struct of the upper bound of each ratio for every group."""
-    cols = list(SLACK)
-    group = staged(
-        measured.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(c, F.lit(SKETCH_K)).alias(c) for c in cols]), "sketches"
-    )
-    merged = [F.kll_merge_agg_double(c, F.lit(SKETCH_K)).alias(c) for c in cols]
+def sketched(measured: DataFrame) -> DataFrame:
+    """(lang, source, measure, bucket, n): the sketches of all groups."""
+    bucket = lambda c: F.when(F.col(c) > 1e-9, F.ceil(F.log(F.col(c)) / F.log(F.lit(GAMMA)))).otherwise(LOWEST).cast("int")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), bucket(c).alias("bucket")) for c in SLACK]))
+    rows = measured.select("lang", "source", each.alias("s")).select("lang", "source", "s.*")
+    return rows.groupBy("lang", "source", "measure", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
-    def bound(sketch: Column, c: str) -> Column:
-        q1, q3 = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        return (q3 + FENCE * (q3 - q1) + SLACK[c]).alias(c)
 
-    def bounds(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-        return df.select(*keys, F.col("n").alias(f"{name}_n"), F.when(F.col("n") > 0, F.struct(*[bound(F.col(c), c) for c in cols])).alias(name))
+def bounds(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, measure, <name>, <name>_n): the fence q75 + FENCE * (q75 - q25) + slack of each merged sketch, and its rows."""
+    counts = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    group = [*keys, "measure"]
+    upto = F.sum("n").over(Window.partitionBy(*group).orderBy("bucket"))
+    counts = counts.withColumn("upto", upto).withColumn("of", F.sum("n").over(Window.partitionBy(*group)))
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("of"), F.col("bucket"))).alias(f"b{int(q * 100)}")
+    found = counts.groupBy(*group).agg(at(0.25), at(0.75), F.max("of").alias(f"{name}_n"))
+    value = lambda c: F.when(F.col(c) == LOWEST, F.lit(0.0)).otherwise(2 * F.pow(F.lit(GAMMA), F.col(c)) / (GAMMA + 1))
+    slack = F.coalesce(*[F.when(F.col("measure") == c, F.lit(v)) for c, v in SLACK.items()])
+    return found.select(*group, (value("b75") + FENCE * (value("b75") - value("b25")) + slack).alias(name), f"{name}_n")
 
-    langs = bounds(group.groupBy("lang").agg(F.sum("n").alias("n"), *merged), ["lang"], "by_lang").withColumnRenamed("lang", "of_lang")
-    whole = bounds(group.agg(F.sum("n").alias("n"), *merged), [], "by_all")
-    small = group.select("lang", "source", "n", F.struct(*[bound(F.col(c), c) for c in cols]).alias("by_group"))
-    out = small.join(langs, F.col("lang").eqNullSafe(F.col("of_lang")), "left").join(F.broadcast(whole))  # a single row
-    pick = F.when(F.col("n") >= MIN_GROUP, F.col("by_group")).when(F.col("by_lang_n") >= MIN_GROUP, F.col("by_lang")).otherwise(F.col("by_all"))
-    return staged(out.select(F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"), pick.alias("fence")), "fences")
+
+def fences(measured: DataFrame) -> DataFrame:
+    """(fence_lang, fence_source, fence): a struct of the upper bound of each ratio for every group."""
+    sketch = staged(sketched(measured), "sketches")
+    whole = bounds(sketch, [], "by_all").select(F.col("measure").alias("m"), "by_all")
+    langs = bounds(sketch, ["lang"], "by_lang").select(F.col("lang").alias("l"), F.col("measure").alias("m"), "by_lang", "by_lang_n")
+    out = bounds(sketch, ["lang", "source"], "own").join(langs, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m"))).drop("m")
+    out = out.join(F.broadcast(whole), F.col("measure") == F.col("m"))  # five rows
+    blend = lambda own, n, wider: (F.col(n) * F.col(own) + PRIOR_ROWS * wider) / (F.col(n) + PRIOR_ROWS)
+    out = out.withColumn("fence", blend("own", "own_n", blend("by_lang", "by_lang_n", F.col("by_all"))))
+    wide = out.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == c, F.col("fence"))).alias(c) for c in SLACK])
+    return staged(wide.select(F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"), F.struct(*SLACK).alias("fence")), "fences")
 
 
 def judged(measured: DataFrame, fence: DataFrame) -> DataFrame:

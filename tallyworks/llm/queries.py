@@ -11,13 +11,6 @@ from tallyworks.llm import nearest, packing, pieces, pii, quality_classifier, qu
 from tallyworks.llm.common import fold, ship
 
 
-def tokenizer(name: str) -> str:
-    """Where a public tokenizer's file is."""
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,7 +28,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,11 +43,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonyms(table(spark, sf_dir, "documents"))
+    return pii.pseudonyms(table(spark, sf_dir, "documents"), pii.key_of(spark))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digest(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return pieces.digest(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +60,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    counted = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), token_counts.token_count(F.col("text"), tokenizer("word_bpe_49k.json")).alias("n_tokens"))
+    counted = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), token_counts.token_count(F.col("text"), "word_bpe_49k.json").alias("n_tokens"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 

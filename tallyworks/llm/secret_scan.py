@@ -1,16 +1,26 @@
 """Secret scans with a random forest that removes false positives.
 
-Candidates are words with a stretch of ten or more letters and digits mixed, and
-of any shape what a secret word is assigned or what follows it.
-A forest judges each by its length, the transitions between its kinds of
-characters, how much of it ordinary words cover, whether it is a path, and the
-neighbouring words. It is trained from labelled findings; without a table of
-one's own, ``example_findings`` builds one by rule. Only DataFrame functions and
-the DataFrame-based forest are used.
+Candidates are words with a stretch of ten or more letters and digits mixed,
+tokens with a known beginning, the bodies of private keys, and of any shape what
+a secret word is assigned or what follows it. A forest judges each by its
+length, the transitions between its kinds of characters, how much of it the
+corpus's frequent words cover, whether it is a path, and the neighbouring words.
+
+It is trained from labelled findings: those of one's own, or those that the
+corpus gives by their places (values assigned to a secret word or with a known
+beginning against digests, identifiers, paths and plain words), every other one
+shown without its neighbours, so that the value itself must tell; and beside
+either, findings built by rule (``example_findings``). Only DataFrame functions
+and the DataFrame-based forest are used.
+
+Not found away from a secret word: runs under ten characters, of letters or
+digits alone, or with other signs; nowhere: values with spaces, and of a value
+the punctuation at its end and what follows a quotation mark.
 
 Defined cases: null, empty and plain texts have no finding; repeated rows and
-repeated findings give a row each; an empty table gives an empty result; other
-columns are ignored.
+repeated findings give a row each; findings without a candidate or a label are
+left out, and a table of them that is empty or has one label only is completed by
+the built ones; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +32,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyworks.llm.common import let, words
+from tallyworks.llm.common import let, staged, words
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*[0-9])(?=[0-9+/_.-]*[A-Za-z])[A-Za-z0-9+/_.-]{9,}[A-Za-z0-9+/_-]"
+#: Beginnings of tokens that services issue.
+ISSUED = r"(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza|npm_)"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_.-])(?:(?=[A-Za-z+/_.-]*[0-9])(?=[0-9+/_.-]*[A-Za-z])[A-Za-z0-9+/_.-]{{9,}}[A-Za-z0-9+/_-]|{ISSUED}[A-Za-z0-9_-]{{12,}})"
+KEY_BLOCK = r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)([^-]+)-----END"
 #: Words near secrets, words near harmless codes, and words that make up harmless names.
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "bearer", "credential", "private_key", "akia")
 #: The value that a secret word is assigned in its own word, and a secret word, or one with a sign of assignment, that ends a word.
@@ -36,9 +49,11 @@ HARMLESS_WORDS = ("commit", "sha", "md5", "hash", "checksum", "uuid", "guid", "r
 ORDINARY_WORDS = ("example", "sample", "test", "user", "name", "value", "config", "default", "placeholder", "your", "index", "module", "class", "version", "data", "file", "list", "item", "page", "image", "service", "server", "client", "table", "main", "util", "core", "lib", "src")
 #: Plain words that follow secret words in prose.
 PLAIN_WORDS = ("for", "and", "was", "of", "in", "that", "must", "policy", "which", "manager", "service", "field", "expired", "should", "management", "authentication")
-FEATURES = ["length", "transitions", "distinct", "digits", "uppers", "vowels", "hexadecimal", "covered", "path", "assigned", "near_secret", "near_harmless"]
-#: The forest is trained on at most so many labelled findings.
+FEATURES = ["length", "transitions", "distinct", "digits", "uppers", "vowels", "hexadecimal", "covered", "path", "issued", "assigned", "near_secret", "near_harmless"]
+#: The forest is trained on about so many labelled findings, by a hash if there are more.
 MAX_FIT_ROWS = 20_000
+#: The dictionary: so many words of four letters or more that stand in most documents, at least in so many.
+DICTIONARY, MIN_DOCUMENTS = 1_000, 5
 TREES, DEPTH = 24, 6
 
 
@@ -56,16 +71,29 @@ def candidates(docs: DataFrame) -> DataFrame:
         F.transform(w, lambda x, i: F.struct(i.cast("long").alias("place"), x.alias("word"), F.concat_ws(" ", F.get(w, i - 3), F.get(w, i - 2), F.get(w, i - 1)).alias("before"), F.concat_ws(" ", F.get(w, i + 1), F.get(w, i + 2), F.get(w, i + 3)).alias("after"), found(w, x, i).alias("found"))),
         lambda s: F.size(s["found"]) > 0,
     )
-    rows = docs.where(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(rf"(?i)(?:{'|'.join(SECRET_WORDS[:-1])})")).select("doc_id", F.explode(let(words(F.col("text")), around)).alias("s"))
+    maybe = docs.where(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(rf"(?i)(?:{'|'.join(SECRET_WORDS[:-1])}|private key)"))
+    rows = maybe.select("doc_id", F.explode(let(words(F.col("text")), around)).alias("s"))
     each = rows.select("doc_id", "s.*").withColumn("candidate", F.explode("found"))
-    return each.select("doc_id", "place", "candidate", F.expr("substring_index(word, candidate, 1)").alias("lead"), "before", "after")
+    each = each.select("doc_id", "place", "candidate", F.expr("substring_index(word, candidate, 1)").alias("lead"), "before", "after")
+    blocks = maybe.select("doc_id", "text", F.explode(F.zip_with(*[F.regexp_extract_all("text", F.lit(KEY_BLOCK), i) for i in (1, 2)], lambda h, b: F.struct(h.alias("lead"), b.alias("candidate")))).alias("s"))
+    blocks = blocks.where(F.trim("s.candidate") != "").select("doc_id", F.size(words(F.expr("substring_index(text, s.candidate, 1)"))).cast("long").alias("place"), "s.candidate", "s.lead", F.lit("").alias("before"), F.lit("").alias("after"))
+    return each.unionByName(blocks)
+
+
+def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
+    """The words of four letters or more that stand in most documents; at most ``size`` of them."""
+    seen = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,24}"), 0))).alias("w"))
+    most = seen.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCUMENTS).orderBy(F.desc("n"), "w").limit(size)
+    return [r["w"] for r in most.collect()]
 
 
 def _share(c: Column, pattern: str) -> Column:
-    return 1 - F.length(F.regexp_replace(c, pattern, "")) / F.length(c)
+    return 1 - F.length(F.regexp_replace(c, pattern, "")) / F.greatest(F.length(c), F.lit(1))
 
 
-def features(found: DataFrame) -> DataFrame:
+def features(found: DataFrame, frequent: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``FEATURES``; ``frequent`` are the corpus's words beside ``ORDINARY_WORDS``."""
+    covering = "|".join(sorted({*frequent, *ORDINARY_WORDS}, key=lambda w: (-len(w), w)))
     c = F.col("candidate")
     near = F.lower(F.concat_ws(" ", "before", "lead", F.substring("candidate", 1, 4), "after"))
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "9"), "[^aA9]+", "-")
@@ -74,15 +102,16 @@ def features(found: DataFrame) -> DataFrame:
         "*",
         F.length(c).cast("double").alias("length"),
         ((F.length(kinds) - 1) / F.greatest(F.length(c) - 1, F.lit(1))).alias("transitions"),
-        (F.size(F.array_distinct(F.split(c, ""))) / F.length(c)).alias("distinct"),
+        (F.size(F.array_distinct(F.split(c, ""))) / F.greatest(F.length(c), F.lit(1))).alias("distinct"),
         _share(c, "[0-9]").alias("digits"),
         _share(c, "[A-Z]").alias("uppers"),
         _share(c, "[aeiouAEIOU]").alias("vowels"),
         c.rlike("^[0-9a-f]+$").cast("double").alias("hexadecimal"),
-        _share(F.lower(c), "|".join(ORDINARY_WORDS)).alias("covered"),
+        _share(F.lower(c), covering).alias("covered"),
         (F.size(F.split(c, "[/.]")) - 1).cast("double").alias("path"),
+        c.rlike(f"^{ISSUED}").cast("double").alias("issued"),
         F.coalesce(F.col("lead").rlike("[=:\"'(]$").cast("double"), F.lit(0.0)).alias("assigned"),
-        hits(SECRET_WORDS).cast("double").alias("near_secret"),
+        hits((*SECRET_WORDS, "private key")).cast("double").alias("near_secret"),
         hits(HARMLESS_WORDS).cast("double").alias("near_harmless"),
     )
 
@@ -115,15 +144,40 @@ def example_findings(spark: SparkSession, n: int = 4_000) -> DataFrame:
     return spark.range(n).select(F.element_at(case, (F.col("id") % len(kinds)).cast("int") + 1).alias("f")).select("f.*")
 
 
-def train(findings: DataFrame, max_rows: int = MAX_FIT_ROWS) -> PipelineModel:
+def corpus_findings(found: DataFrame, frequent: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Labelled findings among candidates, told by their places; the others are left out. Every other one loses its neighbours."""
+    c, lead = F.col("candidate"), F.coalesce("lead", F.lit(""))
+    last = F.lower(F.element_at(F.split(F.coalesce("before", F.lit("")), " "), -1))
+    plain = F.lower(c).isin(*{*frequent, *ORDINARY_WORDS, *PLAIN_WORDS})
+    given = (lead.rlike(rf"(?i)(?:{'|'.join(SECRET_WORDS[:-1])})[\"'\])]*[:=]+>?[\"'(\[]*$") | c.rlike(f"^{ISSUED}") | lead.contains("PRIVATE KEY")) & ~plain
+    digest = last.rlike(rf"^(?:{'|'.join(HARMLESS_WORDS)})[:=#]*$") | c.rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-|/.*\.[a-z]{1,4}$|^\d+\.\d+\.\d+")
+    label = F.when(given, 1.0).when(digest | plain, 0.0)
+    bare = F.pmod(F.xxhash64("candidate", F.lit("bare")), F.lit(2)) == 0
+    shown = [F.when(bare, "").otherwise(F.col(k)).alias(k) for k in ("lead", "before", "after")]
+    return found.select("candidate", *shown, label.alias("label")).where("label is not null")
+
+
+def train(findings: DataFrame, max_rows: int = MAX_FIT_ROWS, frequent: list[str] | tuple[str, ...] = ()) -> PipelineModel:
     """A forest from labelled findings: candidate, lead, before, after and label 0 or 1."""
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(findings.where("label is not null and candidate is not null").limit(max_rows)))
+    known = ["candidate", "lead", "before", "after", F.col("label").cast("double").alias("label")]
+    usable = findings.where("label is not null and candidate is not null").select(*known)
+    by_label = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(by_label.values())
+    if total > max_rows:
+        usable = usable.where(F.pmod(F.xxhash64("candidate", "lead", "before", "after"), F.lit(1_000_000)) < int(max_rows / total * 1_000_000))
+    if len(by_label) < 2:
+        usable = usable.unionByName(example_findings(findings.sparkSession))
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(usable, frequent))
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=17, labelCol="label", featuresCol="features").fit(rows)
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """doc_id, place, candidate, score and is_secret of every candidate in the whole texts."""
-    forest = train(findings if findings is not None else example_findings(docs.sparkSession))
-    found = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(candidates(docs)))
+    found = staged(candidates(docs), "candidates")
+    frequent = dictionary(docs)
+    if findings is None:
+        findings = corpus_findings(found, frequent).unionByName(example_findings(docs.sparkSession))
+    forest = train(findings, frequent=frequent)
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(found, frequent))
     score = vector_to_array(F.col("probability"))[1]
-    return forest.transform(found).select("doc_id", "place", "candidate", F.round(score, 6).alias("score"), (score >= threshold).alias("is_secret"))
+    return forest.transform(rows).select("doc_id", "place", "candidate", F.round(score, 6).alias("score"), (score >= threshold).alias("is_secret"))

@@ -6,18 +6,22 @@ distance (2,081 for a radius of 4), equal variants meet in one task, and all
 fingerprints that share one are linked as a star, since they lie within the
 radius of each other. Variants travel as packed blocks of (fingerprint, mask
 number), ten bytes each, and in slices of the variant space, so that only one
-slice's share is on disk at a time. Components follow by contracting the links
-round by round, each round in a written table.
+slice's share is on disk at a time; there are more slices where there are more
+fingerprints. Components follow by contracting the links in an order that
+changes by a hash, so that the rounds grow with the logarithm of a chain; each
+round is a written table, and the one before it is deleted.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like
 any other; equal texts and repeated rows share a fingerprint; null ids take no
 part in a component's smallest id; an empty table gives an empty result; other
-columns are ignored by ``components`` and kept by ``one_per_group``.
+columns are ignored by ``components`` and kept by ``one_per_group``, which keeps
+one row of each group whatever its ids are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -25,15 +29,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyworks.llm.common import staged
+from tallyworks.llm.common import discard, staged
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-#: Slices of the variant space, a power of two, run one after another.
+#: The least number of slices of the variant space, run one after another.
 SLICES = 8
-#: Variants that meet in one task, about.
-TASK_VARIANTS = 2_000_000
+#: Variants that meet in one task, about, and tasks a core in a slice.
+TASK_VARIANTS, SLICE_TASKS = 2_000_000, 8
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -84,27 +88,38 @@ def _slice_of(v: np.ndarray, slices: int) -> np.ndarray:
     return out
 
 
-def links(fps: DataFrame, n: int, radius: int = RADIUS, slices: int = SLICES) -> DataFrame:
+def slices_of(variants: int, cores: int) -> int:
+    """A power of two: so many slices that each keeps all cores busy for some tasks, between ``SLICES`` and 65,536."""
+    return 1 << min(16, max(SLICES - 1, variants // (TASK_VARIANTS * SLICE_TASKS * cores)).bit_length())
+
+
+def links(fps: DataFrame, n: int, radius: int = RADIUS, slices: int | None = None) -> DataFrame:
     """(a, b): edges that connect all fingerprints linked within ``radius``; ``fps`` has distinct values in ``fp``, ``n`` of them."""
     spark = fps.sparkSession
     masks = ball(radius // 2)
-    buckets = max(1, -(-n * len(masks) // (slices * TASK_VARIANTS)), min(n // 200, spark.sparkContext.defaultParallelism))
+    cores = spark.sparkContext.defaultParallelism
+    slices = slices or slices_of(n * len(masks), cores)
+    buckets = max(1, -(-n * len(masks) // (slices * TASK_VARIANTS)), min(n // 200, cores))
+    of_mask = _slice_of(masks, slices)
+    by_slice = np.argsort(of_mask, kind="stable").astype("u2")
+    first = np.searchsorted(of_mask[by_slice], np.arange(slices + 1))
+    rows_at_once = max(1, 2_000_000 * slices // len(masks))
 
     def emit(part: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            of_mask = _slice_of(masks, slices)
             for batch in batches:
-                for low in range(0, len(batch), 8192):
-                    fp = batch["fp"].to_numpy()[low : low + 8192].view("u8")
-                    of_fp = _slice_of(fp, slices)
-                    for g in np.unique(of_fp):
-                        f, m = fp[of_fp == g], np.flatnonzero(of_mask == (part ^ g)).astype("u2")
-                        bucket = (_mixed(f[:, None] ^ masks[m][None, :]) % np.uint64(buckets)).astype(np.int32).ravel()
-                        order = np.argsort(bucket, kind="stable")
-                        who, which = np.repeat(f, len(m))[order], np.tile(m, len(f))[order]
-                        names, at = np.unique(bucket[order], return_index=True)
-                        stops = [*at[1:], len(order)]
-                        yield pd.DataFrame({"bucket": names, "fps": [who[a:b].tobytes() for a, b in zip(at, stops)], "masks": [which[a:b].tobytes() for a, b in zip(at, stops)]})
+                for low in range(0, len(batch), rows_at_once):
+                    f = batch["fp"].to_numpy()[low : low + rows_at_once].view("u8")
+                    want = part ^ _slice_of(f, slices)  # the masks that take each fingerprint to this slice stand side by side
+                    count = first[want + 1] - first[want]
+                    who = np.repeat(f, count)
+                    which = by_slice[np.arange(len(who)) + np.repeat(first[want] - np.cumsum(count) + count, count)]
+                    bucket = (_mixed(who ^ masks[which]) % np.uint64(buckets)).astype(np.int32)
+                    order = np.argsort(bucket, kind="stable")
+                    who, which = who[order], which[order]
+                    names, at = np.unique(bucket[order], return_index=True)
+                    stops = [*at[1:], len(order)]
+                    yield pd.DataFrame({"bucket": names, "fps": [who[a:b].tobytes() for a, b in zip(at, stops)], "masks": [which[a:b].tobytes() for a, b in zip(at, stops)]})
 
         return run
 
@@ -119,13 +134,14 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, slices: int = SLICES) ->
         if not len(nodes):
             return pd.DataFrame({"a": np.array([], "i8"), "b": np.array([], "i8")})
         starts = np.flatnonzero(np.concatenate(([True], v[shared][1:] != v[shared][:-1])))
-        sizes = np.diff(np.append(starts, len(index)))
-        centre = np.repeat(nodes[np.minimum.reduceat(index, starts)], sizes)
-        assert (np.bitwise_count(nodes[index] ^ centre) <= radius).all()  # the colliding pairs, verified
+        centre = np.repeat(np.minimum.reduceat(index, starts), np.diff(np.append(starts, len(index))))
+        near = (index != centre) & (np.bitwise_count(nodes[index] ^ nodes[centre]) <= radius)  # the colliding pairs, verified
+        index, centre = index[near], centre[near]
         label = np.arange(len(nodes))
         while True:
             new = label.copy()
-            np.minimum.at(new, index, np.repeat(np.minimum.reduceat(label[index], starts), sizes))
+            np.minimum.at(new, index, label[centre])
+            np.minimum.at(new, centre, label[index])
             new = new[new]
             if (new == label).all():
                 break
@@ -136,42 +152,59 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, slices: int = SLICES) ->
     before = spark.conf.get(CLEAN, "false")
     spark.conf.set(CLEAN, "true")  # a slice's shuffle files go when it is written
     try:
-        found = None
+        found = []
         for part in range(slices):
             packed = fps.select("fp").mapInPandas(emit(part), "bucket int, fps binary, masks binary")
-            edges = staged(packed.groupBy("bucket").applyInPandas(meet, "a long, b long"), f"links-{part}")
-            found = edges if found is None else found.union(edges)
-        return staged(found.distinct(), "links")
+            found.append(staged(packed.groupBy("bucket").applyInPandas(meet, "a long, b long"), f"links-{part}"))
+            if len(found) == 64:  # few tables however many slices
+                found = [_merged(found)]
+        return _merged(found)
     finally:
         spark.conf.set(CLEAN, before)
 
 
+def _merged(tables: list[DataFrame]) -> DataFrame:
+    out = staged(reduce(DataFrame.union, tables).distinct(), "links")
+    discard(*tables)
+    return out
+
+
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, root): contract each node into the smallest of its neighbourhood until no edge is left."""
+    """(node, root): contract each node into the first of its neighbourhood until no edge is left.
+
+    What comes first is told by a hash that changes every other round: no chain
+    is in order for long, and a star contracts in two rounds.
+    """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
     both = staged(both.distinct(), "edges")
-    roots = None
+    roots, turn = None, 0
     while both.limit(1).count():
-        step = staged(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to")), "step")
-        to = lambda x: step.select(F.col("a").alias(x), F.col("to").alias(f"{x}_to"))
+        key = lambda x: F.struct(F.xxhash64(F.col(x), F.lit(turn // 2)).alias("h"), F.col(x).alias("x"))  # noqa: E731, B023
+        step = staged(both.groupBy("a").agg(F.min(key("b")).alias("b")).select("a", F.least(key("a"), "b")["x"].alias("to")), "step")
+        to = lambda x: step.select(F.col("a").alias(x), F.col("to").alias(f"{x}_to"))  # noqa: E731, B023
         if roots is None:
-            roots = step.select(F.col("a").alias("node"), F.col("to").alias("root"))
+            moved = step.select(F.col("a").alias("node"), F.col("to").alias("root"))
         else:
-            moved = roots.join(step.select(F.col("a").alias("root"), "to"), "root", "left")
-            roots = staged(moved.select("node", F.coalesce("to", "root").alias("root")), "roots")
-        both = both.join(to("a"), "a").join(to("b"), "b").where("a_to <> b_to")
-        both = staged(both.select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).distinct(), "edges")
+            moved = roots.join(step.select(F.col("a").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        moved = staged(moved, "roots")
+        left = both.join(to("a"), "a").join(to("b"), "b").where("a_to <> b_to")
+        left = staged(left.select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).distinct(), "edges")
+        discard(both, step, roots)
+        both, roots, turn = left, moved, turn + 1
     return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def groups(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, root, component_id) for rows (doc_id, fp): the fingerprint that stands for the component, and the smallest doc_id in it."""
     first = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "fingerprints")
-    roots = staged(connected(links(first, first.count(), radius)), "roots")
+    edges = links(first, first.count(), radius)
+    roots = connected(edges)
     members = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     members = staged(members, "members")
-    least = staged(members.groupBy("root").agg(F.min("first_doc").alias("component_id")), "least")
-    return staged(members.join(least, "root").select("fp", "root", "component_id"), "groups")
+    least = members.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    out = staged(members.join(least, "root").select("fp", "root", "component_id"), "groups")
+    discard(first, edges, members)
+    return out
 
 
 def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -181,10 +214,11 @@ def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The document with the smallest id of each group, with all its columns; one of them if the id stands twice in the group or all its ids are null."""
-    rows = staged(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", fingerprint(F.col("text")).alias("fp")), "marked-rows")
-    ids = rows.select("doc_id", "fp")
-    kept = rows.join(groups(ids, radius), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    if ids.count() > ids.agg(F.count_distinct(F.coalesce(F.col("doc_id"), F.lit(-1)))).first()[0]:  # an id stands more than once
-        kept = kept.dropDuplicates(["root"])
-    return kept.select("row.*")
+    """The document with the smallest id of each group, with all its columns. Null ids come last, and a hash of the row decides between equal ids."""
+    plain = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    marks = [F.monotonically_increasing_id().alias("place"), F.xxhash64(*plain).alias("hash")]
+    rows = staged(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", fingerprint(F.col("text")).alias("fp"), *marks), "marked-rows")
+    ids = rows.select("doc_id", "fp", "hash", "place")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "place")
+    chosen = ids.groupBy("fp").agg(F.min(order).alias("first")).join(groups(ids, radius), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    return rows.join(chosen.select("first.place"), "place", "left_semi").select("row.*")

@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyworks.llm.common import tokenizer_file
+
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
 #: The tokenizer's own splitting of words.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -36,7 +38,7 @@ class Counter(dict):
     LIMIT = 800_000
 
     def __init__(self, json_path: str):
-        with open(json_path, encoding="utf-8") as f:
+        with open(tokenizer_file(json_path), encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         self.rank: dict[int, int] = {}
