@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyworks.llm import packing, pii, quality_rules, simhash, toxicity
 from tallyworks.llm.common import fold, ship, staged
-from tallyworks.llm.queries import tokenizer
 
 TOXIC_FROM = 0.3
 
@@ -35,13 +34,13 @@ def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms for personal data."""
-    return pii.masked(docs)
+    return pii.masked(docs, pii.key_of(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in windows."""
     ship(spark)
-    return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
+    return packing.pack(docs, "byte_bpe_50k.json")
 
 
 STAGES = [("toxicity", drop_toxic), ("quality rules", keep_good), ("near duplicates", one_per_group), ("personal data", mask), ("packing", pack)]
