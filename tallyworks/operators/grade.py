@@ -1,7 +1,8 @@
 """Rank, percentile and letter grade after aggregation.
 
-The windows run over one row per entity, not over raw rows, so the single
-partition of a global rank stays small.
+A pool isn't sorted as one: the entities above each hundredth of a point are
+counted from a table of some thousand rows, and only those of one hundredth are
+ordered among themselves.
 """
 
 from __future__ import annotations
@@ -23,10 +24,18 @@ def _letter(share, steps):
 
 def graded(df: DataFrame, min_starts: int, ties: list[str], by: str = "composite_raw", steps=GRADES, partition: list[str] | None = None) -> DataFrame:
     """Adds rank, grade, score and percentile; rows with too few starts get grade U and no rank."""
-    enough = F.coalesce(F.col("starts") >= min_starts, F.lit(False))
-    keys = [*(F.col(c) for c in partition or []), F.col("enough")]
-    order = Window.partitionBy(*keys).orderBy(F.col(by).desc(), *[F.col(c) for c in ties])
-    ranked = df.withColumn("enough", enough).withColumn("rank", F.row_number().over(order)).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    keys = [*(partition or []), "enough"]
+    rows = df.withColumn("enough", F.coalesce(F.col("starts") >= min_starts, F.lit(False))).withColumn("__at", F.floor(F.col(by) * 100))
+    counts = rows.groupBy(*keys, "__at").agg(F.count(F.lit(1)).alias("__n"))
+    pool = Window.partitionBy(*keys)
+    above = F.sum("__n").over(pool.orderBy(F.desc_nulls_last("__at"))) - F.col("__n")
+    counts = counts.select(*[F.col(c).alias(f"__{c}") for c in keys], F.col("__at").alias("__of"), above.alias("__above"), F.sum("__n").over(pool).alias("of"))
+    same = F.col("__at").eqNullSafe(F.col("__of"))
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    place = F.row_number().over(Window.partitionBy(*keys, "__at").orderBy(F.col(by).desc(), *[F.col(c) for c in ties]))
+    ranked = rows.join(counts, same).withColumn("rank", (F.col("__above") + place).cast("int"))
+    ranked = ranked.drop("__at", "__of", "__above", *[f"__{c}" for c in keys])
     share = (F.col("rank") - 0.5) / F.col("of")
     grade = F.when(F.col("enough"), _letter(share, steps)).otherwise("U")
     score = F.coalesce(*[F.when(F.col("grade") == g, F.lit(s)) for g, s in SCORES.items()])
@@ -35,6 +44,6 @@ def graded(df: DataFrame, min_starts: int, ties: list[str], by: str = "composite
 
 
 def name_index(df: DataFrame, name: str, ties: list[str], values: list[str]) -> DataFrame:
-    """One row for each name: the last one in output order (by rank, unranked last) wins."""
+    """One row for each name: the last one in output order (by rank, unranked last) wins; ``first_place`` is where the name first stands in it."""
     place = F.struct(F.col("rank").isNull().alias("unranked"), F.coalesce("rank", F.lit(0)).alias("rank"), (-F.col("composite_raw")).alias("c"), *[F.col(c) for c in ties])
-    return df.where(~(F.trim(F.coalesce(F.col(name), F.lit(""))) == "")).groupBy(name).agg(F.max_by(F.struct(*values), place).alias("v")).select(name, "v.*")
+    return df.where(~(F.trim(F.coalesce(F.col(name), F.lit(""))) == "")).groupBy(name).agg(F.max_by(F.struct(*values), place).alias("v"), F.min(place).alias("first_place")).select(name, "v.*", "first_place")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Dimensions up to so many rows are broadcast to the fuzzy join; larger ones meet by the first characters of the shorter name.
 MAX_BROADCAST_ROWS = 20_000
+#: Up to so many pairs of names are all compared.
+MAX_PAIRS = 50_000_000
 #: Lengths of those beginnings. A name takes the longest that it has, so that names with a common beginning don't all meet.
 HEADS = (1, 2, 3, 6, 10, 14, 18, 24, 32)
 
@@ -29,55 +32,70 @@ def by_head(asked: DataFrame, named: DataFrame, norm: Callable[[Column], Column]
     return holds.unionByName(held).drop("__b")
 
 
-def pairs(asked: DataFrame, named: DataFrame, fuzzy: Callable[[Column, Column], Column], norm: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+def pairs(asked: DataFrame, named: DataFrame, fuzzy: Callable[[Column, Column], Column], norm: Callable[[Column], Column] = lambda c: c, size: int | None = None) -> DataFrame:
     """The pairs of ``__q`` and ``__name`` for which ``fuzzy`` holds; a pair may stand more than once."""
-    if named.count() <= MAX_BROADCAST_ROWS:
+    if (size if size is not None else named.count()) <= MAX_BROADCAST_ROWS:
         return asked.join(F.broadcast(named), fuzzy(F.col("__q"), F.col("__name")))
     return by_head(asked, named, norm).where(fuzzy(F.col("__q"), F.col("__name")))
 
 
-def first_match(subjects: DataFrame, query: str, dim: DataFrame, name: str, order: str, values: list[str], fuzzy: Callable[[Column, Column], Column], prefix: str = "", norm: Callable[[Column], Column] = lambda c: c) -> DataFrame:
-    """Each subject with ``matched`` and the values of its match; null without one. Blank queries match nothing.
+def matches(asked: DataFrame, dim: DataFrame, name: str, order: str, values: list[str], fuzzy: Callable[[Column, Column], Column], norm: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """(__q, m): the match of each distinct query in ``__q`` that has one, ``m`` with ``matched`` and the values.
 
-    Distinct queries are looked up once. Exact matches are an equi join; only
-    the queries that it leaves go to the fuzzy join. ``fuzzy`` may hold only where
-    one name holds the other as ``norm`` leaves them.
+    A few names meet in one join, by exact matches first. Of many, exact matches are
+    an equi join, and only the queries that it leaves go to the fuzzy join.
+    ``fuzzy`` holds for equal names, and may hold only where one name holds the
+    other as ``norm`` leaves them. Blank queries match nothing.
     """
     table = dim.select(F.col(name).alias("__name"), F.col(order).alias("__ord"), *[F.col(v).alias(f"__v_{v}") for v in values])
     picked = F.struct(F.col("__name").alias("matched"), *[F.col(f"__v_{v}").alias(v) for v in values])
-    asked = subjects.select(F.col(query).alias("__q")).where(F.trim("__q") != "").distinct()
+    asked = asked.where(F.trim("__q") != "").distinct()
+    names = table.where(F.trim("__name") != "")
+    size = names.count()
+    if size <= MAX_BROADCAST_ROWS and size * asked.count() <= MAX_PAIRS:
+        near = asked.join(F.broadcast(names), fuzzy(F.col("__q"), F.col("__name")))
+        return near.groupBy("__q").agg(F.min_by(picked, F.struct(F.col("__q") != F.col("__name"), "__ord")).alias("m"))
     exact = asked.join(table, F.col("__q") == F.col("__name")).groupBy("__q").agg(F.min_by(picked, "__ord").alias("m"))
     rest = asked.join(exact, "__q", "left_anti")
-    named = table.where(F.trim("__name") != "")
-    near = pairs(rest, named, fuzzy, norm)
-    found = exact.unionByName(near.groupBy("__q").agg(F.min_by(picked, "__ord").alias("m")))
+    near = pairs(rest, names, fuzzy, norm, size)
+    return exact.unionByName(near.groupBy("__q").agg(F.min_by(picked, "__ord").alias("m")))
+
+
+def first_match(subjects: DataFrame, query: str, dim: DataFrame, name: str, order: str, values: list[str], fuzzy: Callable[[Column, Column], Column], prefix: str = "", norm: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """Each subject with ``matched`` and the values of its match; null without one. Distinct queries are looked up once.
+
+    ``subjects`` is read twice; stage it where it is costly.
+    """
+    found = matches(subjects.select(F.col(query).alias("__q")), dim, name, order, values, fuzzy, norm)
     out = subjects.join(found, F.col(query) == F.col("__q"), "left")
     return out.select(*[subjects[c] for c in subjects.columns], *[F.col(f"m.{v}").alias(f"{prefix}{v}") for v in ("matched", *values)])
 
 
-def first_cross(subjects: DataFrame, dim: DataFrame, order: str, values: list[str]) -> DataFrame:
+def first_cross(subjects: DataFrame, dim: DataFrame, order: str, values: list[str], of_trainer: Callable[[Column, Column], Column] = both_prefixes, of_family: Callable[[Column, Column], Column] = either_contains, norm: Callable[[Column], Column] = lambda c: c) -> DataFrame:
     """Each subject with the values of the cross of its trainer and family; null without one. Blank names match nothing.
 
-    The exact cross, else the first whose trainer is a prefix either way and
-    whose family is a part either way. Distinct trainers meet first; a subject
-    then meets the crosses of its trainers only.
+    The exact cross, else the first for which both rules hold: by default the
+    trainer a prefix either way and the family a part either way. Distinct
+    trainers meet first; a subject then meets the crosses of its trainers only.
     """
     named = lambda df: df.where((F.trim("trainer") != "") & (F.trim("family") != ""))
     table = named(dim).select(F.col("trainer").alias("__name"), F.col("family").alias("__f"), F.struct(*values).alias("__m"), F.col(order).alias("__ord"))
     asked = named(subjects).select(F.col("trainer").alias("__q"), "family").distinct()
-    trainers = pairs(asked.select("__q").distinct(), table.select("__name").distinct(), both_prefixes).distinct()
-    near = asked.join(trainers, "__q").join(table, "__name").where(either_contains(F.col("family"), F.col("__f")))
+    trainers = pairs(asked.select("__q").distinct(), table.select("__name").distinct(), of_trainer, norm).distinct()
+    near = asked.join(trainers, "__q").join(table, "__name").where(of_family(F.col("family"), F.col("__f")))
     other = (F.col("__q") != F.col("__name")) | (F.col("family") != F.col("__f"))
     found = near.groupBy(F.col("__q").alias("trainer"), "family").agg(F.min_by("__m", F.struct(other.alias("other"), F.col("__ord").alias("ord"))).alias("__c"))
     return subjects.join(found, ["trainer", "family"], "left").select(*[subjects[c] for c in subjects.columns], *[F.col(f"__c.{v}").alias(v) for v in values])
 
 
 def top_matches(queries: DataFrame, items: DataFrame, score: Callable[[Column, Column], Column], k: int) -> DataFrame:
-    """The k best items of each (query, category) with a score above 0; ties by ``ord``. ``items``: category, name, ord."""
-    if queries.count() <= MAX_BROADCAST_ROWS:  # a stated set of queries against all items
-        pairs = items.join(F.broadcast(queries))
-    else:
-        pairs = queries.join(F.broadcast(items) if items.count() <= MAX_BROADCAST_ROWS else items)
-    scored = pairs.withColumn("score", score(F.col("query"), F.col("name"))).where("score > 0")
+    """The k best items of each (query, category) with a score above 0; ties by ``ord``. ``items``: category, name, ord.
+
+    The queries are a stated set against all items, in blocks that are broadcast one by one.
+    """
+    blocks = -(-queries.count() // MAX_BROADCAST_ROWS) if MAX_BROADCAST_ROWS > 0 else 4
+    block = lambda b: F.broadcast(queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b))
+    scored = reduce(DataFrame.union, [items.join(block(b)) for b in range(max(blocks, 1))] if blocks > 1 else [items.join(F.broadcast(queries))])
+    scored = scored.withColumn("score", score(F.col("query"), F.col("name"))).where("score > 0")
     order = Window.partitionBy("query", "category").orderBy(F.desc("score"), "ord")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)

@@ -18,14 +18,23 @@ def master(df: DataFrame) -> DataFrame:
     )
 
 
-def entity_stats(df: DataFrame, keys: list[str], min_rows: int = 1, extra: dict[str, Column] | None = None) -> DataFrame:
-    """Counts, sums and the derived rates for each key."""
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
-    sums = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_horses"), total("wins"), total("starts"), total("prize"), *[c.alias(n) for n, c in (extra or {}).items()])
+def named(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are all there and not blank, stripped."""
+    text = [c for c in keys if df.schema[c].dataType.simpleString() == "string"]
+    stripped = df.withColumns({c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in text}) if text else df
+    return stripped.where(" AND ".join(f"`{c}` <> ''" if c in text else f"`{c}` IS NOT NULL" for c in keys))
+
+
+def entity_stats(df: DataFrame, keys: list[str], min_rows: int = 1, extra: dict[str, Column] | None = None, counted: str | None = None) -> DataFrame:
+    """Counts, sums and the derived rates for each key. ``counted`` names a column of row counts where ``df`` is a tally already."""
+    total = lambda c, name=None: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name or c)
+    n = total(counted, "n_horses") if counted else F.count(F.lit(1)).alias("n_horses")
+    sums = df.groupBy(*keys).agg(n, total("wins"), total("starts"), total("prize"), *[c.alias(n) for n, c in (extra or {}).items()])
     return with_rates(sums.where(F.col("n_horses") >= min_rows) if min_rows > 1 else sums)
 
 
 def with_rates(df: DataFrame) -> DataFrame:
+    """Rates of counts and sums. The prize a head is rounded half up from whole hundredths, so that it doesn't hang on how a double falls."""
     wins, starts = F.col("wins").cast("double"), F.col("starts").cast("double")
     smooth = (wins + 1) / (starts + 12)
     per_horse = (F.col("prize") / F.lit(100.0)) / F.greatest(F.col("n_horses"), F.lit(1))
@@ -38,7 +47,7 @@ def with_rates(df: DataFrame) -> DataFrame:
     )
 
 
-def with_share(df: DataFrame, part: str = "club_horses", whole: str = "n_horses") -> DataFrame:
-    """The club's share of a family's horses, and whether the family counts as its own."""
+def with_share(df: DataFrame, part: str = "club_horses", whole: str = "n_horses", least: float = 0.35, least_rows: int = 3) -> DataFrame:
+    """The club's share of a family's horses, and whether the family counts as its own: so many of its horses, and such a share."""
     share = F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
-    return df.withColumn("club_share", F.round(share, 4)).withColumn("club_unique", (F.col(part) >= 3) & (share >= 0.35))
+    return df.withColumn("club_share", F.round(share, 4)).withColumn("club_unique", (F.col(part) >= least_rows) & (share >= least))

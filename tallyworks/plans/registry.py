@@ -9,12 +9,15 @@ from tallyworks.functions import rules as R
 from tallyworks.functions import text as X
 from tallyworks.operators import ledger, lookup, scoring
 from tallyworks.operators.grade import OWN_GRADES, graded, name_index
-from tallyworks.operators.stats import entity_stats, with_share
+from tallyworks.operators.stats import entity_stats, named, with_share
 from tallyworks.plans.horses import CLUB, HORSES_SQL, OFFERS_SQL, horses, offers, read
+from tallyworks.sources.staging import staged
 
 QUERIES, ORACLE_SQL = {}, {}
 STATS = ["n_horses", "wins", "starts", "prize", "win_rate", "win_rate_sm", "prize_man_per_horse", "composite_raw"]
 GRADED = ["rank", "grade", "score", "percentile"]
+#: The test tables spread a family over 25 owners.
+OWN_SHARE = 0.04
 T, FAM, X2 = ["trainer", "trainer_code"], ["family", "family_code"], ["trainer", "family", "family_code"]
 
 
@@ -54,17 +57,33 @@ STATS_SQL = ", ".join(STATS)
 ALL_SQL = ", ".join(STATS + GRADED)
 
 
-def club_stats(spark, sf_dir, keys):
-    return entity_stats(horses(spark, sf_dir).where(F.col("owner") == CLUB), keys, 2)
+def tallied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The horses counted by family, and the club's by trainer as well, staged: every grade derives from this one pass."""
+    ours = F.col("owner") == CLUB
+    keys = [F.when(ours, F.col(c)).alias(c) for c in T]
+    sums = [F.count(F.lit(1)).alias("n_horses"), *[F.sum(c).alias(c) for c in ("wins", "starts", "prize")]]
+    return staged(horses(spark, sf_dir).groupBy(*FAM, F.coalesce(ours, F.lit(False)).alias("club"), *keys).agg(*sums), "tally")
 
 
-def overall_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+def counted_rows(spark, sf_dir, tally):
+    """Rows with ``club`` and the column of their counts, if they are a tally."""
+    if tally is not None:
+        return tally, "n_horses"
+    return horses(spark, sf_dir).withColumn("club", F.coalesce(F.col("owner") == CLUB, F.lit(False))), None
+
+
+def club_stats(spark, sf_dir, keys, tally=None):
+    rows, counted = counted_rows(spark, sf_dir, tally)
+    return entity_stats(named(rows.where("club"), keys), keys, 2, counted=counted)
+
+
+def overall_families(spark: SparkSession, sf_dir: str, tally: DataFrame | None = None) -> DataFrame:
     """All horses of the families that the club has, with the club's count and share."""
-    h = horses(spark, sf_dir)
-    ours = h.where(F.col("owner") == CLUB).select("family_code").distinct()
-    stats = entity_stats(h.join(ours, "family_code", "left_semi"), FAM, 1, {"club_horses": F.sum((F.col("owner") == CLUB).cast("long"))})
-    share = F.col("club_horses") / F.col("n_horses")
-    return with_share(stats).withColumn("club_unique", (F.col("club_horses") >= 3) & (share >= 0.04))  # the test tables spread a family over 25 owners
+    rows, counted = counted_rows(spark, sf_dir, tally)
+    rows = named(rows, FAM)
+    ours = rows.where("club").select("family_code").distinct()
+    club_horses = F.sum(F.when(F.col("club"), F.col(counted) if counted else F.lit(1)).otherwise(0).cast("long"))
+    return with_share(entity_stats(rows.join(ours, "family_code", "left_semi"), FAM, 1, {"club_horses": club_horses}, counted), least=OWN_SHARE)
 
 
 @query(f"{W} SELECT trainer, trainer_code, {STATS_SQL} FROM ({CLUB_TRAINERS})")
@@ -112,7 +131,7 @@ INDEX = f"SELECT family, family_code, grade, rank, score FROM (SELECT *, row_num
 
 @query(f"{W} {INDEX}")
 def name_index_last_wins(spark, sf_dir):
-    return name_index(graded(club_stats(spark, sf_dir, FAM), 15, ["family_code", "family"]), "family", ["family_code"], ["family_code", "grade", "rank", "score"])
+    return name_index(graded(club_stats(spark, sf_dir, FAM), 15, ["family_code", "family"]), "family", ["family_code"], ["family_code", "grade", "rank", "score"]).drop("first_place")
 
 
 @query(f"{W} SELECT CAST(count(*) AS BIGINT) AS n_horses, CAST(sum(CASE WHEN coalesce(active, '0') = '0' THEN 1 ELSE 0 END) AS BIGINT) AS n_active, CAST(sum(wins) AS BIGINT) AS wins, CAST(sum(starts) AS BIGINT) AS starts FROM horses WHERE owner = {CLUB}")
@@ -210,12 +229,6 @@ def tier_match_bidirectional(spark, sf_dir):
     return lookup.first_match(part.select("p_partkey", "p_name"), "p_name", tiers, "name", "ord", ["tier"], lookup.either_contains).select("p_partkey", "tier")
 
 
-@query(f"{WO}, crosses AS (SELECT * FROM ({GX}) WHERE grade <> 'U') SELECT o.id, c.grade, c.rank FROM offers o LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trainer, family ORDER BY rank) AS k FROM crosses) WHERE k = 1) c ON o.trainer = c.trainer AND o.family = c.family")
-def cross_lookup(spark, sf_dir):
-    found = graded(club_stats(spark, sf_dir, X2), 10, ["family_code", "trainer", "family"]).where("grade <> 'U'")
-    return lookup.first_cross(offers(spark, sf_dir), found, "rank", ["grade", "rank"]).select("id", "grade", "rank")
-
-
 @query(f"{WO} SELECT id, text, CAST(weight AS INTEGER) AS min_kg, coalesce(weight <= 420, false) AS light FROM offers")
 def weight_extract(spark, sf_dir):
     kg = F.array_min(X.weights(F.col("text")))
@@ -261,39 +274,136 @@ def sire_tier(spark, sf_dir):
     return sires(spark, sf_dir).withColumn("tier", R.sire_tier(F.col("sire_score")))
 
 
+INDEXED = "SELECT {name}, max_by(packed, pos) AS v, min(pos) AS pos FROM (SELECT *, {{'s': score, 'g': grade, 'u': {unique}}} AS packed, row_number() OVER (ORDER BY rank IS NULL, rank, composite_raw DESC, {ties}) AS pos FROM ({source})) GROUP BY {name}"
 OVER_IDX = f"SELECT family, score, grade, club_unique FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY (rank IS NULL) DESC, rank DESC, composite_raw, family_code DESC) AS last FROM ({GO_})) WHERE last = 1"
 OWN_IDX = f"SELECT family, max_by(grade, rank) AS own_grade FROM ({OWN}) GROUP BY family"
 TRAINER_SQL = f"SELECT trainer, score, grade FROM ({GT})"
-CROSS_SQL = f"SELECT trainer, family, min_by(grade, rank) AS cross_grade FROM ({GX}) WHERE grade <> 'U' GROUP BY trainer, family"
-FULL_SQL = f"""{WO}, full_offers AS (SELECT o.*, f.score AS overall_score, f.grade AS family_grade, coalesce(f.club_unique, false) AS club_unique, c.score AS club_score, CASE WHEN f.club_unique THEN w.own_grade END AS unique_grade,
-  t.grade AS trainer_grade, CASE WHEN t.grade <> 'U' THEN t.score ELSE 2.0e0 END AS trainer_pts, x.cross_grade, s.sire_score, {TIER_SQL} AS sire_tier, CASE o.id % 5 WHEN 0 THEN 'S' WHEN 1 THEN 'B' END AS signature_grade
-  FROM offers o LEFT JOIN ({OVER_IDX}) f ON o.family = f.family LEFT JOIN ({INDEX}) c ON o.family = c.family LEFT JOIN ({OWN_IDX}) w ON o.family = w.family LEFT JOIN ({TRAINER_SQL}) t ON o.trainer = t.trainer
-  LEFT JOIN ({CROSS_SQL}) x ON o.trainer = x.trainer AND o.family = x.family LEFT JOIN {SIRES} s ON o.sire = s.sire)"""
+CROSS_IDX = f"SELECT trainer, family, max_by(grade, rank) AS grade, max(rank) AS rank, min(rank) AS pos FROM ({GX}) WHERE grade <> 'U' GROUP BY trainer, family"
+
+
+def index_sql(source: str, name: str, ties: str, unique: str = "false") -> str:
+    """An index by name: the values of the last row, and the place of the first."""
+    return INDEXED.format(source=source, name=name, ties=ties, unique=unique)
+
+
+def first_sql(asked: str, q: str, dim: str, name: str, rule: str, values: str, order: str = "pos") -> str:
+    """The first match of each distinct name: the exact one, else the first for which the rule holds."""
+    return f"SELECT q, {values}, name AS matched FROM (SELECT a.q, d.*, d.{name} AS name, row_number() OVER (PARTITION BY a.q ORDER BY CASE WHEN d.{name} = a.q THEN 0 ELSE 1 END, d.{order}) AS k FROM (SELECT DISTINCT {q} AS q FROM {asked} WHERE {q} <> '') a JOIN ({dim}) d ON d.{name} <> '' AND ({rule.format(q='a.q', n=f'd.{name}')})) WHERE k = 1"
+
+
+PREFIX_RULE, PART_RULE = "starts_with({q}, {n}) OR starts_with({n}, {q})", "contains({q}, {n}) OR contains({n}, {q})"
+#: Names as users type them: full-width spaces, cut or longer names, unknown and blank ones.
+ASKED_SQL = """asked AS (SELECT *, trim(replace(CASE WHEN id % 12 = 3 THEN 'nobody' WHEN id % 4 = 1 THEN '　' || trainer || ' ' WHEN id % 4 = 2 THEN substr(trainer, 1, length(trainer) - 1) ELSE trainer END, '　', ' ')) AS trainer_q,
+  trim(replace(CASE WHEN id % 10 = 9 THEN 'zz' WHEN id % 5 = 1 THEN family || ' x' WHEN id % 5 = 2 THEN split_part(family, ' ', 1) WHEN id % 5 = 3 THEN '　' ELSE family END, '　', ' ')) AS family_q,
+  CASE WHEN id % 6 = 2 THEN 'unknown' WHEN id % 3 = 1 THEN sire || ' II' ELSE sire END AS sire_q, CASE id % 4 WHEN 0 THEN 's ' WHEN 1 THEN 'A' WHEN 2 THEN 'b' END AS label FROM offers)"""
+RULES_SQL = f"rules_t AS (WITH {PREFIX_SQL} SELECT name, ord, pts, CASE pts WHEN 4 THEN 'S' WHEN 3 THEN 'A' WHEN 2 THEN 'B' ELSE 'C' END AS grade FROM dims)"
+CROSS_RULE = "(starts_with(a.t, d.trainer) OR starts_with(d.trainer, a.t)) AND (contains(a.f, d.family) OR contains(d.family, a.f))"
+CROSS_FOUND = f"SELECT t, f, grade, rank FROM (SELECT a.t, a.f, d.grade, d.rank, row_number() OVER (PARTITION BY a.t, a.f ORDER BY CASE WHEN a.t = d.trainer AND a.f = d.family THEN 0 ELSE 1 END, d.pos) AS k FROM (SELECT DISTINCT trainer_q AS t, family_q AS f FROM asked WHERE trainer_q <> '' AND family_q <> '') a JOIN ({CROSS_IDX}) d ON {CROSS_RULE}) WHERE k = 1"
+LABEL_OF = "CASE upper(trim(coalesce(label, ''))) WHEN 'S' THEN 6.0e0 WHEN 'A' THEN 4.5e0 WHEN 'B' THEN 3.0e0 WHEN 'C' THEN 1.5e0 ELSE 2.0e0 END"
+FULL_SQL = f"""{WO}, {ASKED_SQL}, {RULES_SQL}, cross_found AS ({CROSS_FOUND}), full_offers AS (SELECT o.*, f.v.s AS overall_score, f.v.g AS family_grade, coalesce(f.v.u, false) AS club_unique, c.score AS club_score, CASE WHEN f.v.u THEN w.own_grade END AS unique_grade,
+  CASE WHEN t.v.g <> 'U' THEN t.v.g ELSE coalesce(y.grade, 'C') END AS trainer_grade, CASE WHEN t.v.g <> 'U' THEN t.v.g ELSE coalesce(y.grade, t.v.g, 'U') END AS shown_grade, t.q IS NOT NULL OR y.q IS NOT NULL AS trainer_known,
+  CASE WHEN t.v.g <> 'U' THEN t.v.s ELSE coalesce(y.pts, 2.0e0) END AS trainer_pts, x.grade AS cross_grade, coalesce(s.sire_score, 2.0e0) AS sire_score, s.q IS NOT NULL AS sire_known, CASE WHEN coalesce(s.sire_score, 2.0e0) >= 3.5 THEN 'top' WHEN coalesce(s.sire_score, 2.0e0) >= 2.8 THEN 'mid' ELSE 'low' END AS sire_tier, CASE o.id % 5 WHEN 0 THEN 'S' WHEN 1 THEN 'B' END AS signature_grade
+  FROM asked o LEFT JOIN ({first_sql('asked', 'family_q', index_sql(GO_, 'family', 'family_code', 'club_unique'), 'family', PART_RULE, 'v')}) f ON o.family_q = f.q LEFT JOIN ({INDEX}) c ON f.matched = c.family LEFT JOIN ({OWN_IDX}) w ON f.matched = w.family
+  LEFT JOIN ({first_sql('asked', 'trainer_q', index_sql(GT, 'trainer', 'trainer_code'), 'trainer', PREFIX_RULE, 'v')}) t ON o.trainer_q = t.q LEFT JOIN ({first_sql('asked', 'trainer_q', 'SELECT * FROM rules_t', 'name', PREFIX_RULE, 'pts, grade', 'ord')}) y ON o.trainer_q = y.q
+  LEFT JOIN cross_found x ON o.trainer_q = x.t AND o.family_q = x.f LEFT JOIN ({first_sql('asked', 'sire_q', f'SELECT *, sire AS pos FROM {SIRES}', 'sire', 'contains({q}, {n})', 'sire_score')}) s ON o.sire_q = s.q)"""
 _bonus = lambda g: f"CASE {g} WHEN 'S' THEN 1.5e0 WHEN 'A' THEN 1.0e0 WHEN 'B' THEN 0.5e0 ELSE 0.2e0 END"
-FAMILY_SQL = f"coalesce(round(CASE WHEN overall_score IS NOT NULL AND club_score IS NOT NULL THEN 0.55e0 * overall_score + 0.45e0 * club_score ELSE coalesce(overall_score, club_score) END + CASE WHEN overall_score IS NOT NULL AND club_unique THEN {_bonus('unique_grade')} ELSE 0e0 END, 2), 0e0)"
+FAMILY_SQL = f"CASE WHEN family_q = '' THEN {LABEL_OF} ELSE coalesce(round(CASE WHEN overall_score IS NOT NULL AND club_score IS NOT NULL THEN 0.55e0 * overall_score + 0.45e0 * club_score ELSE coalesce(overall_score, club_score) END + CASE WHEN overall_score IS NOT NULL AND club_unique THEN {_bonus('unique_grade')} ELSE 0e0 END, 2), 0e0) END"
 SCORED_OFFERS = f"""SELECT *, floor(10000 / (greatest(price * 10000, 1) / 12)) AS b FROM (SELECT *, round(least(22e0, family_pts + trainer_pts + cross_pts + sire_score + condition_pts + price_pts), 2) AS total, status <> '満口' AND price <= 4.0 AS eligible FROM (
   SELECT *, {FAMILY_SQL} AS family_pts, CASE WHEN cross_grade IS NULL THEN 0e0 ELSE {_bonus('cross_grade')} END AS cross_pts, {CONDITION_SQL} AS condition_pts, {PRICE_SQL} AS price_pts FROM full_offers))"""
 
 
+def asked_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers with the names that users typed, staged: the lookups and the scores read them apart."""
+    o, c, k = weighed(spark, sf_dir), F.col, F.col("id")
+    typed = F.when(k % 12 == 3, "nobody").when(k % 4 == 1, F.concat(F.lit("　"), c("trainer"), F.lit(" "))).when(k % 4 == 2, F.expr("substring(trainer, 1, length(trainer) - 1)")).otherwise(c("trainer"))
+    family = F.when(k % 10 == 9, "zz").when(k % 5 == 1, F.concat(c("family"), F.lit(" x"))).when(k % 5 == 2, F.split_part("family", F.lit(" "), F.lit(1))).when(k % 5 == 3, "　").otherwise(c("family"))
+    sire = F.when(k % 6 == 2, "unknown").when(k % 3 == 1, F.concat(c("sire"), F.lit(" II"))).otherwise(c("sire"))
+    label = F.when(k % 4 == 0, "s ").when(k % 4 == 1, "A").when(k % 4 == 2, "b")
+    return staged(o.withColumns({"trainer_q": X.norm_name(typed), "family_q": X.norm_name(family), "sire_q": X.norm_name(sire), "label": label}), "offers")
+
+
+def cross_index(spark, sf_dir, tally=None):
+    """Graded crosses by their names: the values of the last row, and the rank of the first."""
+    rows = graded(club_stats(spark, sf_dir, X2, tally), 10, ["family_code", "trainer", "family"]).where("grade <> 'U'")
+    return rows.groupBy("trainer", "family").agg(F.max_by("grade", "rank").alias("grade"), F.max("rank").alias("rank"), F.min("rank").alias("first"))
+
+
+def rule_trainers(spark, sf_dir):
+    """Trainers of the rule table, for those whom the history doesn't grade."""
+    letter = F.when(F.col("pts") == 4, "S").when(F.col("pts") == 3, "A").when(F.col("pts") == 2, "B").otherwise("C")
+    return prefixes(spark, sf_dir).withColumn("grade", letter)
+
+
 def full_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offers with the grades and scores of their family, trainer, cross and sire. The graded tables are small after aggregation."""
-    every = overall_families(spark, sf_dir)
+    """Offers with the grades and scores that the lookups find for their family, trainer, cross and sire.
+
+    Two passes over the horses: one for the offers, one for the tally that all grades derive from.
+    """
+    c = F.col
+    o, tally = asked_offers(spark, sf_dir), tallied(spark, sf_dir)
+    every = overall_families(spark, sf_dir, tally)
     over = name_index(graded(every, 15, ["family_code", "family"]), "family", ["family_code"], ["score", "grade", "club_unique"])
-    over = over.select("family", F.col("score").alias("overall_score"), F.col("grade").alias("family_grade"), "club_unique")
     own = graded(every.where("club_unique"), 0, ["family_code", "family"], steps=OWN_GRADES).groupBy("family").agg(F.max_by("grade", "rank").alias("own_grade"))
-    club = name_index(graded(club_stats(spark, sf_dir, FAM), 15, ["family_code", "family"]), "family", ["family_code"], ["score"]).withColumnRenamed("score", "club_score")
-    trainers = graded(club_stats(spark, sf_dir, T), 20, ["trainer_code", "trainer"]).select("trainer", F.col("score").alias("t_score"), F.col("grade").alias("trainer_grade"))
-    crosses = graded(club_stats(spark, sf_dir, X2), 10, ["family_code", "trainer", "family"]).where("grade <> 'U'").withColumnRenamed("grade", "cross_grade")
-    o = lookup.first_cross(weighed(spark, sf_dir), crosses, "rank", ["cross_grade"]).join(over, "family", "left").join(club, "family", "left").join(own, "family", "left").join(trainers, "trainer", "left").join(sires(spark, sf_dir), "sire", "left")
-    o = o.withColumn("club_unique", F.coalesce("club_unique", F.lit(False))).withColumn("unique_grade", F.when(F.col("club_unique"), F.col("own_grade")))
-    o = o.withColumn("trainer_pts", F.when(F.col("trainer_grade") != "U", F.col("t_score")).otherwise(2.0)).withColumn("sire_tier", R.sire_tier(F.col("sire_score")))
-    o = o.withColumn("signature_grade", F.when(F.col("id") % 5 == 0, "S").when(F.col("id") % 5 == 1, "B"))
-    return o.withColumn("family_pts", scoring.family_points(F.col("overall_score"), F.col("club_score"), F.col("club_unique"), F.col("unique_grade")))
+    club = name_index(graded(club_stats(spark, sf_dir, FAM, tally), 15, ["family_code", "family"]), "family", ["family_code"], ["score"])
+    over = over.join(club.select("family", c("score").alias("club_score")), "family", "left").join(own, "family", "left")
+    trainers = name_index(graded(club_stats(spark, sf_dir, T, tally), 20, ["trainer_code", "trainer"]), "trainer", ["trainer_code"], ["score", "grade"])
+    over, trainers, graded_crosses = staged(over, "families"), staged(trainers, "trainers"), staged(cross_index(spark, sf_dir, tally), "crosses")
+
+    def found(query, *rest):
+        return lookup.matches(o.select(c(query).alias("__q")), *rest)
+
+    def joined(rows, query, matches, name):
+        return rows.join(matches.select(c("__q").alias(query), c("m").alias(name)), query, "left")
+
+    family = found("family_q", over, "family", "first_place", ["score", "grade", "club_unique", "club_score", "own_grade"], lookup.either_contains)
+    family = family.select(c("__q").alias("family_q"), c("m.score").alias("overall_score"), c("m.grade").alias("family_grade"), "m.club_unique", "m.club_score", "m.own_grade")
+    rows = o.join(family, "family_q", "left")
+    rows = joined(rows, "trainer_q", found("trainer_q", trainers, "trainer", "first_place", ["score", "grade"], lookup.both_prefixes), "t")
+    rows = joined(rows, "trainer_q", found("trainer_q", rule_trainers(spark, sf_dir), "name", "ord", ["pts", "grade"], lookup.both_prefixes), "y")
+    rows = joined(rows, "sire_q", found("sire_q", sires(spark, sf_dir), "sire", "sire", ["sire_score"], lookup.query_contains), "s")
+    names = o.select(c("trainer_q").alias("trainer"), c("family_q").alias("family")).distinct()
+    crosses = lookup.first_cross(names, graded_crosses, "first", ["grade"])
+    rows = rows.join(crosses.select(c("trainer").alias("trainer_q"), c("family").alias("family_q"), c("grade").alias("cross_grade")), ["trainer_q", "family_q"], "left")
+    sure = F.coalesce(c("t.grade") != "U", F.lit(False))
+    rows = rows.withColumns(
+        {
+            "club_unique": F.coalesce("club_unique", F.lit(False)),
+            "unique_grade": F.when(c("club_unique"), c("own_grade")),
+            "trainer_grade": F.when(sure, c("t.grade")).otherwise(F.coalesce("y.grade", F.lit("C"))),
+            "shown_grade": F.when(sure, c("t.grade")).otherwise(F.coalesce("y.grade", "t.grade", F.lit("U"))),
+            "trainer_known": c("t").isNotNull() | c("y").isNotNull(),
+            "trainer_pts": F.when(sure, c("t.score")).otherwise(F.coalesce("y.pts", F.lit(2.0))),
+            "sire_known": c("s").isNotNull(),
+            "sire_score": F.coalesce("s.sire_score", F.lit(2.0)),
+            "signature_grade": F.when(c("id") % 5 == 0, "S").when(c("id") % 5 == 1, "B"),
+        }
+    )
+    looked_up = scoring.family_points(c("overall_score"), c("club_score"), c("club_unique"), c("unique_grade"))
+    family_pts = F.when(c("family_q") == "", R.label_score(c("label"))).otherwise(looked_up)
+    return rows.withColumns({"sire_tier": R.sire_tier(c("sire_score")), "family_pts": family_pts}).drop("t", "y", "s")
+
+
+@query(f"{WO}, {ASKED_SQL}, cross_found AS ({CROSS_FOUND}) SELECT id, x.grade, x.rank FROM asked LEFT JOIN cross_found x ON trainer_q = x.t AND family_q = x.f")
+def cross_lookup(spark, sf_dir):
+    asked = asked_offers(spark, sf_dir).select("id", F.col("trainer_q").alias("trainer"), F.col("family_q").alias("family"))
+    return lookup.first_cross(asked, cross_index(spark, sf_dir), "first", ["grade", "rank"]).select("id", "grade", "rank")
+
+
+#: The browser's rule: both names score 60 or more, so each asked name is a part of the listed one.
+FOUND_RULE = "contains(lower(replace(d.trainer, ' ', '')), lower(replace(a.t, ' ', ''))) AND contains(lower(replace(d.family, ' ', '')), lower(replace(a.f, ' ', '')))"
+
+
+@query(f"{WO}, {ASKED_SQL}, cross_found AS ({CROSS_FOUND.replace(CROSS_RULE, f'(a.t = d.trainer AND a.f = d.family) OR ({FOUND_RULE})')}) SELECT id, x.grade FROM asked LEFT JOIN cross_found x ON trainer_q = x.t AND family_q = x.f")
+def find_cross(spark, sf_dir):
+    """The exact cross, else the first of which both names score 60 or more."""
+    near = lambda q, n: X.match_score(q, n) >= 60
+    asked = asked_offers(spark, sf_dir).select("id", F.col("trainer_q").alias("trainer"), F.col("family_q").alias("family"))
+    return lookup.first_cross(asked, cross_index(spark, sf_dir), "first", ["grade"], near, near, X.norm_kana).select("id", "grade")
 
 
-@query(f"{FULL_SQL} SELECT id, family, family_grade, club_unique, unique_grade, {FAMILY_SQL} AS family_pts FROM full_offers")
+@query(f"{FULL_SQL} SELECT id, family_q, family_grade, club_unique, unique_grade, {FAMILY_SQL} AS family_pts FROM full_offers")
 def family_points(spark, sf_dir):
-    return full_offers(spark, sf_dir).select("id", "family", "family_grade", "club_unique", "unique_grade", "family_pts")
+    return full_offers(spark, sf_dir).select("id", "family_q", "family_grade", "club_unique", "unique_grade", "family_pts")
 
 
 PARTS = "family_pts, trainer_pts, cross_pts, sire_score, condition_pts, price_pts, total, eligible"
@@ -306,7 +416,7 @@ def score_candidates(spark, sf_dir):
 
 @query(f"{FULL_SQL} SELECT pool, name, total, eligible, CAST(k AS INTEGER) AS rank, CASE WHEN NOT eligible THEN '見送り' WHEN k = 1 THEN '本命' WHEN k = 2 THEN '控え' ELSE CAST(k AS VARCHAR) || '位' END AS label FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY CAST(round(total * 100) AS BIGINT) DESC, name, eligible DESC) AS k FROM ({SCORED_OFFERS}))")
 def rank_candidates(spark, sf_dir):
-    return scoring.ranked(scoring.scored(full_offers(spark, sf_dir))).select("pool", "name", "total", "eligible", "rank", "label")
+    return scoring.ranked(staged(scoring.scored(full_offers(spark, sf_dir)).select("pool", "name", "total", "eligible"), "scored")).select("pool", "name", "total", "eligible", "rank", "label")
 
 
 HARD_SQL = "CASE WHEN status = '満口' THEN '満口' WHEN price > 4.0 THEN '一口4万円超は原則見送り' WHEN " + " OR ".join(f"contains(text, '{k}')" for k in R.HARD) + " THEN '近況に重大リスク語' END"
@@ -397,10 +507,22 @@ def combo_lists(spark, sf_dir):
     return of(trainers, "C1", "trainer", F.col("trainer")).unionByName(of(crosses, "C2", "cross", F.concat_ws("|", "trainer", "family"))).unionByName(of(over, "C3", "family", F.col("family"))).unionByName(of(top, "C3", "sire", F.col("sire")))
 
 
-@query(f"{FULL_SQL} SELECT id, concat_ws(',', CASE WHEN trainer_grade IS NULL THEN 'trainer' END, CASE WHEN sire_score IS NULL THEN 'sire' END, CASE WHEN family_grade IS NULL THEN 'family' END, CASE WHEN cross_grade IS NULL THEN 'cross' END) AS notes FROM full_offers")
+@query(f"{FULL_SQL} SELECT id, concat_ws(',', CASE WHEN NOT trainer_known AND trainer_q <> '' THEN 'trainer' END, CASE WHEN NOT sire_known THEN 'sire' END, CASE WHEN family_q <> '' AND family_grade IS NULL AND family_q <> 'zz' THEN 'family' END, CASE WHEN family_grade IS NULL AND family_q = 'zz' THEN 'alias' END, CASE WHEN family_q <> '' AND trainer_q <> '' AND cross_grade IS NULL THEN 'cross' END) AS notes FROM full_offers")
 def followup_notes(spark, sf_dir):
-    missing = [F.when(F.col(c).isNull(), F.lit(k)) for k, c in (("trainer", "trainer_grade"), ("sire", "sire_score"), ("family", "family_grade"), ("cross", "cross_grade"))]
-    return full_offers(spark, sf_dir).select("id", F.concat_ws(",", *missing).alias("notes"))
+    """What to follow up: names that no table has, and a family known by an alias only."""
+    c = F.col
+    rows = full_offers(spark, sf_dir).join(aliases(spark), c("family_q") == c("alias"), "left")
+    asked, unknown = c("family_q") != "", c("family_grade").isNull()
+    notes = [
+        F.when(~c("trainer_known") & (c("trainer_q") != ""), "trainer"), F.when(~c("sire_known"), "sire"), F.when(asked & unknown & c("alias").isNull(), "family"),
+        F.when(unknown & c("alias").isNotNull(), "alias"), F.when(asked & (c("trainer_q") != "") & c("cross_grade").isNull(), "cross"),
+    ]
+    return rows.select("id", F.concat_ws(",", *notes).alias("notes"))
+
+
+def aliases(spark):
+    """Family names in use that the ranks don't have, with a grade given by hand and the line that they suggest."""
+    return F.broadcast(spark.createDataFrame([("zz", "A", "old bolt")], "alias string, manual string, suggests string"))
 
 
 def entries(spark, sf_dir):
