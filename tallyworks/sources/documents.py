@@ -22,18 +22,20 @@ def read_table(spark: SparkSession, url: str, table: str, partition: str | None
     return reader.load()
 
 
-def read_document(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A JSON document as a row; no row if it isn't there."""
+def read_document(spark: SparkSession, path: str, schema: T.StructType, lines: bool = False) -> DataFrame:
+    """A JSON document as a row, or its ``lines`` as rows; no row if it isn't there."""
     try:
-        return spark.read.schema(schema).json(path, multiLine=True)
+        return spark.read.schema(schema).json(path, multiLine=not lines)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema)
 
 
-def read_candidates(spark: SparkSession, path: str) -> DataFrame:
-    """The candidates of a store document; none if the document isn't there."""
+def read_candidates(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The candidates of a store document, or those that ``write_candidates`` wrote as ``lines``; none if there is nothing."""
+    if lines:
+        return read_document(spark, path, CANDIDATE, lines)
     schema = T.StructType([T.StructField("updated_at", T.StringType()), T.StructField("candidates", T.ArrayType(CANDIDATE))])
     return read_document(spark, path, schema).select(F.explode("candidates").alias("c")).select("c.*")
 
@@ -45,8 +47,10 @@ GRADED_ROW = T.StructType(
 )
 
 
-def read_ranks(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """One table of a rank document by its name; empty if the document isn't there."""
+def read_ranks(spark: SparkSession, path: str, table: str, lines: bool = False) -> DataFrame:
+    """One table of a rank document by its name, or the one that ``write_ranks`` wrote as ``lines``; empty if there is nothing."""
+    if lines:
+        return read_document(spark, f"{path}/{table}", GRADED_ROW, lines)
     schema = T.StructType([T.StructField(table, T.ArrayType(GRADED_ROW))])
     return read_document(spark, path, schema).select(F.explode(table).alias("r")).select("r.*")
 

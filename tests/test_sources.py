@@ -15,6 +15,8 @@ def test_candidates(spark, tmp_path):
     assert D.read_candidates(spark, str(tmp_path / "none.json")).count() == 0
     D.write_candidates(D.read_candidates(spark, str(path)), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).where("updated_at is not null").count() == 2
+    assert sorted(D.read_candidates(spark, str(tmp_path / "out"), lines=True).collect(), key=lambda r: r["id"]) == rows
+    assert D.read_candidates(spark, str(tmp_path / "none"), lines=True).count() == 0
 
 
 def test_ranks(spark, tmp_path):
@@ -24,7 +26,7 @@ def test_ranks(spark, tmp_path):
     assert {(r["trainer"], r["grade"], r["rank"]) for r in rows.collect()} == {("t", "S", 1), ("u", "U", None)}
     assert D.read_ranks(spark, str(path), "families").count() == D.read_ranks(spark, str(tmp_path / "none"), "trainers").count() == 0
     D.write_ranks({"trainers": rows}, str(tmp_path / "ranks"))
-    assert spark.read.json(str(tmp_path / "ranks" / "trainers")).count() == 2
+    assert sorted(D.read_ranks(spark, str(tmp_path / "ranks"), "trainers", lines=True).collect()) == sorted(rows.collect())
 
 
 def test_bundle(spark, tmp_path):
