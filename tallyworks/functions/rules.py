@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column
@@ -34,6 +35,48 @@ LEGACY_POINTS = {
 }
 SOLD_OUT = "満口"
 MAX_PRICE, LIGHT_KG, MAX_SCORE, GO, HOLD = 4.0, 420, 22.0, 12, 8
+HARD_PASS = [("status", "in", [SOLD_OUT], "満口"), ("price", "gt", MAX_PRICE, "一口4万円超は原則見送り"), ("text", "contains_any", HARD, "近況に重大リスク語")]
+#: A grade's label in Japanese, a short one and a hint.
+GRADE_LABELS = {
+    "S": ("最上級", "最上級（S）", "本線で強く加点"),
+    "A": ("上級", "上級（A）", "有力。積極検討"),
+    "B": ("標準", "標準（B）", "材料が揃えばHOLD〜"),
+    "C": ("控えめ", "控えめ（C）", "他材料が弱いとPASS寄り"),
+    "U": ("データ不足", "データ不足（U）", "標本少なく断定しない"),
+    "none": ("未設定", "未設定", "入力なし"),
+}
+TIER_LABELS = {"top": ("上位", "上位（top）", "ルール値 3.5以上"), "mid": ("中位", "中位（mid）", "ルール値 2.8以上"), "low": ("下位", "下位（low）", "2.8未満・未登録寄り")}
+
+
+@dataclass(frozen=True)
+class Rules:
+    """What scores and points follow; ``sources.rules`` makes one of rule documents."""
+
+    price_scores: list = field(default_factory=lambda: PRICE_SCORES)
+    price_points: list = field(default_factory=lambda: PRICE_POINTS)
+    positive: list = field(default_factory=lambda: POSITIVE)
+    negative: list = field(default_factory=lambda: NEGATIVE)
+    label_scores: dict = field(default_factory=lambda: LABEL_SCORES)
+    unique_bonus: dict = field(default_factory=lambda: BONUS)
+    cross_bonus: dict = field(default_factory=lambda: BONUS)
+    points: dict = field(default_factory=lambda: POINTS)
+    hard_pass: list = field(default_factory=lambda: HARD_PASS)
+    skip_status: list = field(default_factory=lambda: [SOLD_OUT])
+    skip_price: float = MAX_PRICE
+    condition: tuple = (2.0, 0.0, 3.0)
+    light_kg: int = LIGHT_KG
+    light_delta: float = -0.3
+    overall_weight: float = 0.55
+    club_weight: float = 0.45
+    family_default: float = 2.0
+    max_score: float = MAX_SCORE
+    go: int = GO
+    hold: int = HOLD
+    monthly: int = 10_000
+    most_units: int = 4
+
+
+DEFAULT = Rules()
 
 
 def tiered(c: Column, tiers: list[tuple[float, float]], beyond: float) -> Column:
@@ -55,51 +98,63 @@ def grade_order(grade: Column) -> Column:
     return F.coalesce(*[F.when(grade == g, i) for i, g in enumerate("SABCU")], F.lit(9))
 
 
-def label_score(label: Column) -> Column:
+def labelled(table: dict[str, tuple[str, str, str]], key: Column, part: int = 0) -> Column:
+    """The label of a grade or tier (``part`` 1: short, 2: a hint); that of ``none``, if there is one, for any other."""
+    return F.coalesce(*[F.when(key == k, F.lit(v[part])) for k, v in table.items()], F.lit(table["none"][part] if "none" in table else None))
+
+
+def label_score(label: Column, rules: Rules = DEFAULT) -> Column:
     """The score of a family's label, whatever its case; unknown labels count 2."""
     key = F.upper(F.trim(F.coalesce(label, F.lit(""))))
-    return F.coalesce(*[F.when(key == k.upper(), F.lit(v)) for k, v in LABEL_SCORES.items()], F.lit(LABEL_SCORES["unknown"]))
+    return F.coalesce(*[F.when(key == k.upper(), F.lit(v)) for k, v in rules.label_scores.items()], F.lit(rules.label_scores["unknown"]))
 
 
 def strong(grade: Column) -> Column:
     return F.coalesce(grade.isin("S", "A"), F.lit(False))
 
 
-def hits(text: Column, weight: Column) -> Column:
+def hits(text: Column, weight: Column, rules: Rules = DEFAULT) -> Column:
     """The keywords that a condition text holds, as +word and -word, and light_weight:kg."""
     t = F.coalesce(text, F.lit(""))
-    named = [F.when(t.contains(k), F.lit(f"{'+' if d > 0 else '-'}{k}")) for k, d in POSITIVE + NEGATIVE]
-    light = F.when(weight <= LIGHT_KG, F.concat(F.lit("light_weight:"), weight.cast("string")))
+    named = [F.when(t.contains(k), F.lit(f"{'+' if d > 0 else '-'}{k}")) for k, d in rules.positive + rules.negative]
+    light = F.when(weight <= rules.light_kg, F.concat(F.lit("light_weight:"), weight.cast("string")))
     return F.filter(F.array(*named, light), lambda x: x.isNotNull())
 
 
-def condition_score(text: Column, weight: Column) -> Column:
-    """2.0 plus the deltas of all keywords and of a light weight, within 0 and 3."""
+def condition_score(text: Column, weight: Column, rules: Rules = DEFAULT) -> Column:
+    """The base plus the deltas of all keywords and of a light weight, within its bounds."""
     t = F.coalesce(text, F.lit(""))
-    total = sum((F.when(t.contains(k), F.lit(d)).otherwise(F.lit(0.0)) for k, d in POSITIVE + NEGATIVE), F.lit(2.0))
-    return F.round(F.least(F.lit(3.0), F.greatest(F.lit(0.0), total + F.when(weight <= LIGHT_KG, F.lit(-0.3)).otherwise(F.lit(0.0)))), 4)
+    base, low, high = rules.condition
+    total = sum((F.when(t.contains(k), F.lit(d)).otherwise(F.lit(0.0)) for k, d in rules.positive + rules.negative), F.lit(base))
+    return F.round(F.least(F.lit(high), F.greatest(F.lit(low), total + F.when(weight <= rules.light_kg, F.lit(rules.light_delta)).otherwise(F.lit(0.0)))), 4)
 
 
-def condition_points(text: Column, weight: Column) -> Column:
+def condition_points(text: Column, weight: Column, rules: Rules = DEFAULT) -> Column:
     t = F.coalesce(text, F.lit(""))
     any_of = lambda names: reduce(lambda a, b: a | b, [t.contains(k) for k in names])
-    plus = any_of([k for k, _ in POSITIVE]).cast("int")
-    minus = any_of(MILD + [k for k, _ in NEGATIVE]).cast("int")
-    return F.when(F.trim(t) == "", 0).otherwise(plus - minus - F.coalesce((weight <= LIGHT_KG).cast("int"), F.lit(0)))
+    plus = any_of([k for k, _ in rules.positive]).cast("int")
+    minus = any_of(MILD + [k for k, _ in rules.negative]).cast("int")
+    return F.when(F.trim(t) == "", 0).otherwise(plus - minus - F.coalesce((weight <= rules.light_kg).cast("int"), F.lit(0)))
 
 
-def hard_pass(status: Column, price: Column, text: Column) -> Column:
+def hard_pass(status: Column, price: Column, text: Column, rules: Rules = DEFAULT) -> Column:
     """The first reason that rules an offer out; null if none does."""
-    t = F.coalesce(text, F.lit(""))
-    return F.coalesce(F.when(status == SOLD_OUT, F.lit("満口")), F.when(price > MAX_PRICE, F.lit("一口4万円超は原則見送り")), F.when(reduce(lambda a, b: a | b, [t.contains(k) for k in HARD]), F.lit("近況に重大リスク語")))
+    of = {"status": status, "price": price, "text": F.coalesce(text, F.lit(""))}
+    holds = {
+        "in": lambda c, v: c.isin(*v),
+        "gt": lambda c, v: c > v,
+        "contains_any": lambda c, v: reduce(lambda a, b: a | b, [c.contains(k) for k in v]),
+    }
+    return F.coalesce(*[F.when(holds[op](of[name], value), F.lit(reason)) for name, op, value, reason in rules.hard_pass], F.lit(None).cast("string"))
 
 
-def units(total: Column, price: Column, monthly: int = 10_000, most: int = 4) -> Column:
+def units(total: Column, price: Column, rules: Rules = DEFAULT) -> Column:
     """Recommended units: low and high bound by the score and the monthly budget."""
-    budget = F.greatest(F.lit(1), F.floor(monthly / (F.greatest(price * 10_000, F.lit(1.0)) / 12)).cast("int"))
-    high = F.when(total >= 16, F.least(F.lit(most), F.greatest(F.lit(2), budget))).when(total >= 13, F.least(F.lit(most), F.greatest(F.lit(1), F.least(F.lit(2), budget)))).otherwise(1)
+    most = F.lit(rules.most_units)
+    budget = F.greatest(F.lit(1), F.floor(rules.monthly / (F.greatest(price * 10_000, F.lit(1.0)) / 12)).cast("int"))
+    high = F.when(total >= 16, F.least(most, F.greatest(F.lit(2), budget))).when(total >= 13, F.least(most, F.greatest(F.lit(1), F.least(F.lit(2), budget)))).otherwise(1)
     return high.cast("int")
 
 
-def verdict(total: Column, hard: Column) -> Column:
-    return F.when(hard.isNotNull(), "PASS").when(total >= GO, "GO").when(total >= HOLD, "HOLD").otherwise("PASS")
+def verdict(total: Column, hard: Column, rules: Rules = DEFAULT) -> Column:
+    return F.when(hard.isNotNull(), "PASS").when(total >= rules.go, "GO").when(total >= rules.hold, "HOLD").otherwise("PASS")

@@ -39,18 +39,22 @@ def without(entries: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return entries.join(ids, key, "left_anti")
 
 
-def upserted(store: DataFrame, updates: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Updates replace the fields that they carry (``has_<field>``), even by empty values; new keys are added; blank keys aren't allowed."""
-    good = updates.where(~X.blank(F.col(key).cast("string")))
+def upserted(store: DataFrame, updates: DataFrame, key: str, fields: list[str], strict: bool = False) -> DataFrame:
+    """Updates replace the fields that they carry (``has_<field>``), even by empty values; new keys are added; blank keys are left out or, if ``strict``, an error."""
+    unkeyed = X.blank(F.col(key).cast("string"))
+    good = updates.withColumn(key, F.when(unkeyed, F.raise_error(F.lit(f"{key} is needed"))).otherwise(F.col(key))) if strict else updates.where(~unkeyed)
     s, u = store.alias("s"), good.alias("u")
     pick = lambda f: F.when(F.coalesce(F.col(f"u.has_{f}"), F.lit(False)), F.col(f"u.{f}")).otherwise(F.col(f"s.{f}")).alias(f)
     return s.join(u, F.col(f"s.{key}") == F.col(f"u.{key}"), "full_outer").select(F.coalesce(f"s.{key}", f"u.{key}").alias(key), *[pick(f) for f in fields])
 
 
-def appended(store: DataFrame, reports: DataFrame, key: str) -> DataFrame:
-    """Appends reports (key, at, text, note) to ``history`` in the order of ``at`` and sets ``latest``."""
+def appended(store: DataFrame, reports: DataFrame, key: str, strict: bool = False) -> DataFrame:
+    """Appends reports (key, at, text, note) to ``history`` in the order of ``at`` and sets ``latest``; reports of a missing key are left out or, if ``strict``, an error."""
     new = reports.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "text", "note"))).alias("__new"))
-    rows = store.join(new, key, "left")
+    rows = store.withColumn("__here", F.lit(True)).join(new, key, "full_outer" if strict else "left")
+    if strict:
+        rows = rows.withColumn(key, F.when(F.col("__here").isNull(), F.raise_error(F.concat(F.lit(f"no {key} "), F.col(key).cast("string")))).otherwise(F.col(key)))
+    rows = rows.drop("__here")
     history = F.concat(F.coalesce("history", F.array().cast("array<struct<at:string,text:string,note:string>>")), F.coalesce("__new", F.array().cast("array<struct<at:string,text:string,note:string>>")))
     return rows.withColumn("latest", F.when(F.col("__new").isNotNull(), F.element_at("__new", -1)["text"]).otherwise(F.col("latest"))).withColumn("history", history).drop("__new")
 
@@ -58,3 +62,16 @@ def appended(store: DataFrame, reports: DataFrame, key: str) -> DataFrame:
 def any_contains(query: str, cells: list[Column]) -> Column:
     """A row filter: a blank query keeps all."""
     return F.lit(query.strip() == "") | F.lower(F.concat_ws(" ", *cells)).contains(query.strip().lower())
+
+
+def added(entries: DataFrame, raw: DataFrame, now: Column | None = None) -> DataFrame:
+    """The entries and those of ``raw`` that are valid, each with an id of its own and the time of entry in ms."""
+    good = validated(raw).where("reason IS NULL").drop("reason", "amount_text")
+    made = (now if now is not None else F.unix_millis(F.current_timestamp())).cast("long")
+    good = good.withColumn("id", F.uuid()).withColumn("created_at", made)
+    return entries.unionByName(good.select(*[F.col(c).cast(entries.schema[c].dataType) for c in entries.columns]))
+
+
+def cleared(state: DataFrame) -> DataFrame:
+    """Ledger states without their entries; the opening stays."""
+    return state.withColumn("entries", F.array().cast(state.schema["entries"].dataType))

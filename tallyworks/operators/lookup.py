@@ -99,3 +99,9 @@ def top_matches(queries: DataFrame, items: DataFrame, score: Callable[[Column, C
     scored = scored.withColumn("score", score(F.col("query"), F.col("name"))).where("score > 0")
     order = Window.partitionBy("query", "category").orderBy(F.desc("score"), "ord")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def required(rows: DataFrame, message: str) -> DataFrame:
+    """The one row there must be; without any, the job fails with ``message``."""
+    one = rows.limit(1).agg(F.count(F.lit(1)).alias("n"), F.first(F.struct(*rows.columns)).alias("r"))
+    return one.select(F.when(F.col("n") == 0, F.raise_error(F.lit(message))).otherwise(F.col("r")).alias("r")).select("r.*")

@@ -8,27 +8,27 @@ from pyspark.sql import functions as F
 from tallyworks.functions import rules as R
 
 
-def bonus(grade: Column) -> Column:
-    return F.coalesce(*[F.when(grade == g, F.lit(v)) for g, v in R.BONUS.items()], F.lit(0.2))
+def bonus(grade: Column, table: dict[str, float] = R.BONUS) -> Column:
+    return F.coalesce(*[F.when(grade == g, F.lit(v)) for g, v in table.items()], F.lit(0.2))
 
 
-def family_points(overall: Column, club: Column, unique: Column, unique_grade: Column) -> Column:
-    """The only score there is, or the weighted one of both, plus the bonus of an own family; a zero or missing score counts 2."""
-    score = lambda c: F.coalesce(F.nullif(c, F.lit(0.0)), F.lit(2.0))
-    base = F.when(overall.isNotNull() & club.isNotNull(), 0.55 * score(overall) + 0.45 * score(club)).when(overall.isNotNull() | club.isNotNull(), F.coalesce(F.nullif(F.coalesce(overall, club), F.lit(0.0)), F.lit(2.0)))
-    extra = F.when(overall.isNotNull() & F.coalesce(unique, F.lit(False)), bonus(F.coalesce(unique_grade, F.lit("C")))).otherwise(0.0)
+def family_points(overall: Column, club: Column, unique: Column, unique_grade: Column, rules: R.Rules = R.DEFAULT) -> Column:
+    """The only score there is, or the weighted one of both, plus the bonus of an own family; a zero or missing score counts the default."""
+    score = lambda c: F.coalesce(F.nullif(c, F.lit(0.0)), F.lit(rules.family_default))
+    base = F.when(overall.isNotNull() & club.isNotNull(), rules.overall_weight * score(overall) + rules.club_weight * score(club)).when(overall.isNotNull() | club.isNotNull(), score(F.coalesce(overall, club)))
+    extra = F.when(overall.isNotNull() & F.coalesce(unique, F.lit(False)), bonus(F.coalesce(unique_grade, F.lit("C")), rules.unique_bonus)).otherwise(0.0)
     return F.coalesce(F.round(base + extra, 2), F.lit(0.0))
 
 
-def scored(offers: DataFrame) -> DataFrame:
+def scored(offers: DataFrame, rules: R.Rules = R.DEFAULT) -> DataFrame:
     """Total score of offers that carry family_pts, trainer_pts, cross_grade, sire_score, text, weight, price and status."""
     price = F.coalesce(F.col("price"), F.lit(0.0))
-    cross = F.when(F.col("cross_grade").isNotNull(), bonus(F.col("cross_grade"))).otherwise(0.0)
-    flags = F.filter(F.array(F.when(F.col("status") == R.SOLD_OUT, F.lit("sold_out")), F.when(price > R.MAX_PRICE, F.lit("price"))), lambda x: x.isNotNull())
-    out = offers.withColumn("cross_pts", cross).withColumn("condition_pts", R.condition_score(F.col("text"), F.col("weight"))).withColumn("price_pts", R.tiered(price, R.PRICE_SCORES, -1.0))
-    total = F.least(F.lit(R.MAX_SCORE), F.col("family_pts") + F.col("trainer_pts") + F.col("cross_pts") + F.col("sire_score") + F.col("condition_pts") + F.col("price_pts"))
+    cross = F.when(F.col("cross_grade").isNotNull(), bonus(F.col("cross_grade"), rules.cross_bonus)).otherwise(0.0)
+    flags = F.filter(F.array(F.when(F.col("status").isin(*rules.skip_status), F.lit("sold_out")), F.when(price > rules.skip_price, F.lit("price"))), lambda x: x.isNotNull())
+    out = offers.withColumn("cross_pts", cross).withColumn("condition_pts", R.condition_score(F.col("text"), F.col("weight"), rules)).withColumn("price_pts", R.tiered(price, rules.price_scores, -1.0))
+    total = F.least(F.lit(rules.max_score), F.col("family_pts") + F.col("trainer_pts") + F.col("cross_pts") + F.col("sire_score") + F.col("condition_pts") + F.col("price_pts"))
     out = out.withColumn("total", F.round(total, 2)).withColumn("skip_flags", flags)
-    return out.withColumn("eligible", F.size("skip_flags") == 0).withColumn("units", R.units(F.col("total"), price))
+    return out.withColumn("eligible", F.size("skip_flags") == 0).withColumn("units", R.units(F.col("total"), price, rules))
 
 
 def ranked(offers: DataFrame, only_eligible: bool = False, pool: str = "pool") -> DataFrame:
@@ -60,11 +60,11 @@ def combos(unique: Column, trainer: Column, cross: Column, overall: Column, tier
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def decided(offers: DataFrame, variant: str = "canonical") -> DataFrame:
+def decided(offers: DataFrame, variant: str = "canonical", rules: R.Rules = R.DEFAULT) -> DataFrame:
     """Points, combinations and verdict of offers with grades.
 
     ``canonical`` and ``tool`` share their point tables and differ in C4;
-    ``legacy`` has tables of its own and adds points for combinations.
+    ``legacy`` has tables of its own, whatever the rules, and adds points for combinations.
     """
     c = F.col
     price = F.coalesce(c("price"), F.lit(0.0))
@@ -83,14 +83,14 @@ def decided(offers: DataFrame, variant: str = "canonical") -> DataFrame:
         light = F.coalesce(((c("weight") > 0) & (c("weight") <= R.LIGHT_KG)).cast("int"), F.lit(0))
         condition = -light
     else:
-        t, extra = R.POINTS, F.lit(0)
-        price_pts = R.tiered(price, R.PRICE_POINTS, -2)
-        hard = R.hard_pass(c("status"), price, c("text"))
+        t, extra = rules.points, F.lit(0)
+        price_pts = R.tiered(price, rules.price_points, -2)
+        hard = R.hard_pass(c("status"), price, c("text"), rules)
         ids = combos(c("unique_grade"), c("trainer_grade"), c("cross_grade"), c("family_grade"), c("sire_tier"), price, c("signature_grade"), variant == "tool")
-        condition = R.condition_points(c("text"), c("weight"))
+        condition = R.condition_points(c("text"), c("weight"), rules)
     parts = [R.points(t[k], c(g)) for k, g in (("family", "family_grade"), ("unique", "unique_grade"), ("signature", "signature_grade"), ("trainer", "trainer_grade"), ("cross", "cross_grade"), ("sire", "sire_tier"))]
     out = offers.withColumn("combos", ids).withColumn("points", (sum(parts, F.lit(0)) + price_pts + condition + extra).cast("int")).withColumn("hard", hard)
-    return out.withColumn("verdict", R.verdict(c("points"), c("hard")))
+    return out.withColumn("verdict", R.verdict(c("points"), c("hard"), R.DEFAULT if variant == "legacy" else rules))
 
 
 def legacy_price_points(price: Column) -> Column:
@@ -115,3 +115,27 @@ def card() -> Column:
 
 def weight_band(kg: Column, low: Column, high: Column) -> Column:
     return F.when(kg > high, "上限注意").when(kg < low, "下限注意").when((kg <= R.LIGHT_KG) | (kg >= 520), "警戒線付近").otherwise("OK帯")
+
+
+def profiled(offers: DataFrame, bands: DataFrame, matches: Column, keys: list[str], default: tuple[str, int, int]) -> DataFrame:
+    """``low``, ``high`` and ``profiles`` of each offer (``keys``): what all the bands (profile, low, high) that match it allow; the default band where none does. ``bands`` is a rule table and broadcast."""
+    name, low, high = default
+    rows = offers.join(F.broadcast(bands), matches, "left").groupBy(*keys)
+    found = rows.agg(F.max("low").alias("low"), F.min("high").alias("high"), F.array_join(F.sort_array(F.collect_set("profile")), ",").alias("profiles"))
+    return found.select(*keys, F.coalesce("low", F.lit(low)).alias("low"), F.coalesce("high", F.lit(high)).alias("high"), F.when(F.col("profiles") == "", name).otherwise(F.col("profiles")).alias("profiles"))
+
+
+def weight_judgement(kg: Column, low: Column, high: Column) -> Column:
+    """A weight in one line: its band, the light alert that costs a point, what the profiles allow."""
+    band = F.when(kg.isNull(), "no weight").otherwise(weight_band(kg, low, high))
+    alert = F.when(kg <= R.LIGHT_KG, F.lit("light_weight"))
+    clash = F.when(low > high, F.lit("profiles disagree"))
+    return F.concat_ws(" / ", band, alert, F.concat_ws("-", low.cast("string"), high.cast("string")), clash)
+
+
+def detail(id_col: str = "id", rules: R.Rules = R.DEFAULT) -> list[Column]:
+    """A decided offer as a text report: one line of verdict and points, one for each graded component, the combinations, the reason that rules it out."""
+    cols = {"family": "family_grade", "unique": "unique_grade", "signature": "signature_grade", "trainer": "trainer_grade", "cross": "cross_grade", "sire": "sire_tier"}
+    lines = [F.concat_ws(" ", F.lit(k), F.coalesce(F.col(c), F.lit("none")), R.points(rules.points[k], F.col(c)).cast("string")) for k, c in cols.items()]
+    combos = F.when(F.size("combos") > 0, F.concat(F.lit("combos "), F.array_join("combos", ",")))
+    return [F.col(id_col), F.concat_ws("\n", F.concat_ws(" ", "verdict", F.col("points").cast("string")), *lines, combos, F.concat(F.lit("pass "), F.col("hard"))).alias("report")]

@@ -435,7 +435,7 @@ GRADE_COLS = [("family", "family_grade"), ("unique", "unique_grade"), ("signatur
 _sa = lambda c: f"coalesce({c} IN ('S', 'A'), false)"
 
 
-def _decide_sql(weak: str, legacy: bool = False) -> str:
+def _decide_sql(weak: str, legacy: bool = False, more: str = "") -> str:
     table = R.LEGACY_POINTS if legacy else R.POINTS
     c1, c2, c5 = f"{_sa('unique_grade')} AND {_sa('trainer_grade')}", _sa("cross_grade"), f"price >= 2.5 AND NOT {_sa('cross_grade')} AND NOT {_sa('unique_grade')}"
     c3 = f"{_sa('family_grade')} AND sire_tier = 'top' AND price <= 2.0"
@@ -450,7 +450,7 @@ def _decide_sql(weak: str, legacy: bool = False) -> str:
         plus, minus = (" OR ".join(f"contains(text, '{k}')" for k in ks) for ks in ([k for k, _ in R.POSITIVE], R.MILD + [k for k, _ in R.NEGATIVE]))
         condition = f"+ CASE WHEN trim(text) = '' THEN 0 ELSE CASE WHEN {plus} THEN 1 ELSE 0 END - CASE WHEN {minus} THEN 1 ELSE 0 END - CASE WHEN weight <= 420 THEN 1 ELSE 0 END END"
     total = " + ".join(_points(table[k], c) for k, c in GRADE_COLS)
-    return f"{FULL_SQL} SELECT id, points, combos, hard, CASE WHEN hard IS NOT NULL THEN 'PASS' WHEN points >= 12 THEN 'GO' WHEN points >= 8 THEN 'HOLD' ELSE 'PASS' END AS verdict FROM (SELECT id, CAST({total} + {price} {condition} AS INTEGER) AS points, {combos} AS combos, {hard} AS hard FROM full_offers)"
+    return f"{FULL_SQL} SELECT id{more}, points, combos, hard, CASE WHEN hard IS NOT NULL THEN 'PASS' WHEN points >= 12 THEN 'GO' WHEN points >= 8 THEN 'HOLD' ELSE 'PASS' END AS verdict FROM (SELECT id{more}, CAST({total} + {price} {condition} AS INTEGER) AS points, {combos} AS combos, {hard} AS hard FROM full_offers)"
 
 
 def _decide(spark, sf_dir, variant):

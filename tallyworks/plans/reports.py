@@ -10,7 +10,7 @@ from tallyworks.functions import text as X
 from tallyworks.operators import ledger, lookup, scoring
 from tallyworks.operators.grade import graded, name_index
 from tallyworks.plans import registry as Q
-from tallyworks.plans.horses import offers, read
+from tallyworks.plans.horses import CLUB, horses, offers, read
 from tallyworks.plans.registry import query
 
 GRADE_ORDER = "CASE grade WHEN 'S' THEN 0 WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 3 WHEN 'U' THEN 4 ELSE 9 END"
@@ -126,14 +126,26 @@ def find_by_score(spark, sf_dir):
 
 PROFILES = [("light", 1, 405, 470), ("middle", 2, 420, 480), ("heavy", 3, 430, 500)]
 PROFILES_SQL = "(VALUES " + ", ".join(f"('{n}', {k}, {a}, {b})" for n, k, a, b in PROFILES) + ") AS p(profile, k, low, high)"
+DEFAULT_PROFILE = ("default", 430, 500)
+PROFILED_SQL = f"SELECT id, weight, CAST(coalesce(max(low), {DEFAULT_PROFILE[1]}) AS INTEGER) AS low, CAST(coalesce(min(high), {DEFAULT_PROFILE[2]}) AS INTEGER) AS high, coalesce(string_agg(DISTINCT profile, ',' ORDER BY profile), '{DEFAULT_PROFILE[0]}') AS profiles FROM offers LEFT JOIN {PROFILES_SQL} ON trainer_code % 4 = k OR length(sire) % 4 = k GROUP BY id, weight"
 
 
-@query(f"{Q.WO} SELECT id, CAST(max(low) AS INTEGER) AS low, CAST(min(high) AS INTEGER) AS high, string_agg(DISTINCT profile, ',' ORDER BY profile) AS profiles FROM offers JOIN {PROFILES_SQL} ON trainer_code % 4 = k OR length(sire) % 4 = k GROUP BY id")
+def offer_profiles(rows, *keys):
+    bands = rows.sparkSession.createDataFrame(PROFILES, "profile string, k int, low int, high int")
+    return scoring.profiled(rows, bands, (F.col("trainer_code") % 4 == F.col("k")) | (F.length("sire") % 4 == F.col("k")), list(keys), DEFAULT_PROFILE)
+
+
+@query(f"{Q.WO} SELECT id, low, high, profiles FROM ({PROFILED_SQL})")
 def weight_profiles(spark, sf_dir):
-    """The profiles that the trainer or the sire of an offer names, each once, and what all of them allow."""
-    bands = F.broadcast(spark.createDataFrame(PROFILES, "profile string, k int, low int, high int"))  # a rule table of three rows
-    rows = offers(spark, sf_dir).join(bands, (F.col("trainer_code") % 4 == F.col("k")) | (F.length("sire") % 4 == F.col("k")))
-    return rows.groupBy("id").agg(F.max("low").alias("low"), F.min("high").alias("high"), F.array_join(F.sort_array(F.collect_set("profile")), ",").alias("profiles"))
+    """The profiles that the trainer or the sire of an offer names, each once, and what all of them allow; the default one where none is named."""
+    return offer_profiles(offers(spark, sf_dir), "id")
+
+
+@query(f"{Q.WO} SELECT id, CASE WHEN weight IS NULL THEN 'no weight' WHEN weight > high THEN '上限注意' WHEN weight < low THEN '下限注意' WHEN weight <= 420 OR weight >= 520 THEN '警戒線付近' ELSE 'OK帯' END || CASE WHEN weight <= 420 THEN ' / light_weight' ELSE '' END || ' / ' || low || '-' || high || CASE WHEN low > high THEN ' / profiles disagree' ELSE '' END AS judgement FROM ({PROFILED_SQL})")
+def weight_judgement(spark, sf_dir):
+    """Band, light alert and what the profiles allow, together."""
+    rows = offer_profiles(Q.weighed(spark, sf_dir), "id", "weight")
+    return rows.select("id", scoring.weight_judgement(F.col("weight"), F.col("low"), F.col("high")).alias("judgement"))
 
 
 @query(f"{Q.WO} SELECT id, CAST(CASE WHEN price <= 2.0 THEN 2 WHEN price < 2.5 THEN 1 WHEN price <= 3.5 THEN 0 WHEN price > 4.0 THEN NULL ELSE -1 END AS INTEGER) AS pts, CAST(CASE verdict WHEN 'GO' THEN CASE WHEN price <= 2.0 THEN 2 ELSE 1 END WHEN 'HOLD' THEN 1 ELSE 0 END AS INTEGER) AS units FROM (SELECT *, CASE id % 3 WHEN 0 THEN 'GO' WHEN 1 THEN 'HOLD' ELSE 'PASS' END AS verdict FROM offers)")
@@ -196,3 +208,99 @@ def tolerant_parts(spark, sf_dir):
 @query(f"{Q.W}, {Q.PREFIX_SQL} SELECT trainer FROM ({Q.GT}) UNION SELECT name FROM dims")
 def trainer_names(spark, sf_dir):
     return trainers(spark, sf_dir).select("trainer").union(Q.prefixes(spark, sf_dir).select("name")).distinct()
+
+
+def _labels(table: dict, col: str, part: int) -> str:
+    return f"CASE {col} " + " ".join(f"WHEN '{k}' THEN '{v[part]}'" for k, v in table.items()) + (f" ELSE '{table['none'][part]}'" if "none" in table else "") + " END"
+
+
+@query(f"{Q.W} SELECT 'trainer' AS kind, trainer AS name, {_labels(R.GRADE_LABELS, 'grade', 0)} AS label, {_labels(R.GRADE_LABELS, 'grade', 1)} AS short, {_labels(R.GRADE_LABELS, 'grade', 2)} AS hint FROM ({Q.GT}) UNION ALL SELECT 'sire', sire, {_labels(R.TIER_LABELS, 'tier', 0)}, {_labels(R.TIER_LABELS, 'tier', 1)}, {_labels(R.TIER_LABELS, 'tier', 2)} FROM (SELECT *, {Q.TIER_SQL} AS tier FROM {Q.SIRES})")
+def grade_labels(spark, sf_dir):
+    """Grades of trainers and tiers of sires as readers see them."""
+    of = lambda table, c: [R.labelled(table, c, i).alias(n) for i, n in enumerate(("label", "short", "hint"))]
+    graded_trainers = trainers(spark, sf_dir).select(F.lit("trainer").alias("kind"), F.col("trainer").alias("name"), *of(R.GRADE_LABELS, F.col("grade")))
+    sires = Q.sires(spark, sf_dir).select(F.lit("sire").alias("kind"), F.col("sire").alias("name"), *of(R.TIER_LABELS, R.sire_tier(F.col("sire_score"))))
+    return graded_trainers.unionByName(sires)
+
+
+SIRE_DEFAULT = 2.0
+HOLDS = "contains(lower(replace(d.name, ' ', '')), lower(replace(a.q, ' ', '')))"
+
+
+def _near(asked: str, dim: str) -> str:
+    """Every asked row with the exact match of q, else the first in ord that holds it."""
+    return f"(SELECT * FROM (SELECT a.*, d.*, row_number() OVER (PARTITION BY a.p_partkey ORDER BY CASE WHEN d.name = a.q THEN 0 ELSE 1 END, d.ord) AS k FROM {asked} a LEFT JOIN ({dim}) d ON d.name = a.q OR {HOLDS}) WHERE k = 1)"
+
+
+def near_score(q, n):
+    return X.match_score(q, n) >= 60
+
+
+@query(f"WITH asked AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN lower(substr(p_type, 1, length(p_type) - 1)) ELSE 'nobody' END AS q FROM part) SELECT p_partkey, coalesce(name, q) AS sire, coalesce(sire_score, {SIRE_DEFAULT}e0) AS score, CASE WHEN name IS NULL THEN 'low' ELSE {Q.TIER_SQL} END AS tier, name IS NULL AS unlisted FROM {_near('asked', f'SELECT sire AS name, sire AS ord, sire_score FROM {Q.SIRES}')}")
+def find_sire(spark, sf_dir):
+    """A sire by name, else the first that scores 60 or more, else the default marked as unlisted."""
+    k, kind = F.col("p_partkey") % 3, F.col("p_type")
+    asked = read(spark, sf_dir, "part").select("p_partkey", F.when(k == 0, kind).when(k == 1, F.lower(F.substr(kind, F.lit(1), F.length(kind) - 1))).otherwise("nobody").alias("q"))
+    dims = Q.sires(spark, sf_dir).withColumn("ord", F.col("sire"))
+    found = lookup.first_match(asked, "q", dims, "sire", "ord", ["sire_score"], near_score, norm=X.norm_kana)
+    score = F.coalesce("sire_score", F.lit(SIRE_DEFAULT))
+    return found.select("p_partkey", F.coalesce("matched", "q").alias("sire"), score.alias("score"), R.sire_tier(score).alias("tier"), F.col("matched").isNull().alias("unlisted"))
+
+
+NAMED_ALIASES = [("zzz line", "S", "old bolt", 1), ("yyy line", "A", None, 2)]
+ALIASES_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{m}', {f"'{s}'" if s else 'NULL'}, {o})" for a, m, s, o in NAMED_ALIASES) + ") AS v(name, manual, suggests, ord)"
+
+
+@query(f"""{Q.W}, asked AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN upper(substr(p_name, 1, length(p_name) - 1)) WHEN 2 THEN 'YYY' ELSE 'zzz line' END AS q FROM part),
+  hit AS (SELECT p_partkey, q, name, grade FROM {_near('asked', f'SELECT family AS name, family AS ord, grade FROM ({Q.OVER_IDX})')}), ali AS (SELECT p_partkey, name AS alias, manual, suggests FROM {_near('asked', ALIASES_SQL)})
+  SELECT p_partkey, CASE WHEN name IS NOT NULL THEN 'hit' WHEN alias IS NOT NULL THEN 'alias' ELSE 'missing' END AS found, coalesce(name, alias) AS matched, coalesce(grade, manual) AS grade, CASE WHEN name IS NULL THEN suggests END AS suggested FROM hit JOIN ali USING (p_partkey)""")
+def find_family(spark, sf_dir):
+    """A family by name or score, else an alias by name or score with its grade by hand and the line that it suggests, else missing."""
+    k, name = F.col("p_partkey") % 4, F.col("p_name")
+    q = F.when(k == 0, name).when(k == 1, F.upper(F.substr(name, F.lit(1), F.length(name) - 1))).when(k == 2, "YYY").otherwise("zzz line")
+    asked = read(spark, sf_dir, "part").select("p_partkey", q.alias("q"))
+    dims = families(spark, sf_dir).withColumn("ord", F.col("family"))
+    aliases = spark.createDataFrame(NAMED_ALIASES, "alias string, manual string, suggests string, ord int")
+    hit = lookup.first_match(asked, "q", dims, "family", "ord", ["grade"], near_score, norm=X.norm_kana)
+    both = lookup.first_match(hit.withColumnRenamed("matched", "family"), "q", aliases, "alias", "ord", ["manual", "suggests"], near_score, norm=X.norm_kana)
+    found = F.when(F.col("family").isNotNull(), "hit").when(F.col("matched").isNotNull(), "alias").otherwise("missing")
+    return both.select("p_partkey", found.alias("found"), F.coalesce("family", "matched").alias("matched"), F.coalesce("grade", "manual").alias("grade"), F.when(F.col("family").isNull(), F.col("suggests")).alias("suggested"))
+
+
+@query(f"{Q.W} SELECT 'C1' AS combo, 'unique' AS kind, family AS name, own_grade AS grade FROM (SELECT a.family, a.club_unique, o.grade AS own_grade FROM ({Q.SHARED}) a JOIN ({Q.OWN}) o ON a.family = o.family AND a.family_code = o.family_code) WHERE club_unique AND own_grade IN ('S', 'A') UNION ALL SELECT 'C4', 'signature', line, grade FROM {LINES_SQL} WHERE grade IN ('S', 'A')")
+def combo_candidates(spark, sf_dir):
+    """What else lights a combination: the club's own families (C1) and the signature lines (C4) of grade S or A."""
+    own = Q.unique_family_grade(spark, sf_dir).where(F.col("club_unique") & F.col("own_grade").isin("S", "A"))
+    grade = F.when(F.col("p_partkey") % 3 == 0, "S").when(F.col("p_partkey") % 3 == 1, "A").otherwise("B")
+    lines = read(spark, sf_dir, "part").where("p_size < 10").groupBy(F.col("p_name").alias("name")).agg(F.min(grade).alias("grade")).where(F.col("grade").isin("S", "A"))
+    of = lambda df, combo, kind, name, g: df.select(F.lit(combo).alias("combo"), F.lit(kind).alias("kind"), F.col(name).alias("name"), F.col(g).alias("grade"))
+    return of(own, "C1", "unique", "family", "own_grade").unionByName(of(lines, "C4", "signature", "name", "grade"))
+
+
+def axis(spark: SparkSession, sf_dir: str, owner: int):
+    """One owner's summary in one row: its name, counts, and its 30 trainers with most horses; an owner that isn't there is an error."""
+    who = lookup.required(read(spark, sf_dir, "nation").where(F.col("n_nationkey") == owner).select(F.col("n_nationkey").alias("owner"), "n_name"), f"no owner {owner}")
+    ours = horses(spark, sf_dir).where(F.col("owner") == owner)
+    per_trainer = ours.groupBy("owner", *Q.T).agg(F.count(F.lit(1)).alias("n"), F.sum((F.coalesce("active", F.lit("0")) == "0").cast("long")).alias("active"), F.sum("wins").alias("wins"), F.sum("starts").alias("starts"))
+    counts = per_trainer.groupBy("owner").agg(*[F.sum(c).alias(c) for c in ("n", "active", "wins", "starts")])
+    top = per_trainer.orderBy(F.desc("n"), "trainer_code").limit(30)
+    top = top.groupBy("owner").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "trainer_code", "trainer", "n"))).alias("t"))
+    row = who.join(counts, "owner", "left").join(top, "owner", "left")
+    zero = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
+    listed = F.transform(F.coalesce("t", F.array().cast(top.schema["t"].dataType)), lambda x: F.struct(x["trainer"].alias("trainer"), x["trainer_code"].cast("string").alias("trainer_code"), x["n"].alias("n")))
+    return row.select("owner", "n_name", zero(F.col("n"), "n_horses"), zero(F.col("active"), "n_active"), zero(F.col("wins"), "wins"), zero(F.col("starts"), "starts"), listed.alias("trainers"))
+
+
+@query(f"{Q.W} SELECT n_nationkey AS owner, n_name, n_horses, n_active, wins, starts, trainers FROM nation, ({Q.ORACLE_SQL['axis_counts'].removeprefix(Q.W)}), (SELECT string_agg(trainer || ':' || n, ',' ORDER BY n DESC, trainer_code) AS trainers FROM ({Q.ORACLE_SQL['axis_top_trainers'].removeprefix(Q.W)})) WHERE n_nationkey = {CLUB}")
+def axis_summary(spark, sf_dir):
+    text = F.array_join(F.transform("trainers", lambda x: F.concat_ws(":", x["trainer"], x["n"].cast("string"))), ",")
+    return axis(spark, sf_dir, CLUB).withColumn("trainers", text)
+
+
+REPORT_SQL = " || ".join(f"chr(10) || '{k} ' || coalesce({c}, 'none') || ' ' || CAST({Q._points(R.POINTS[k], c)} AS INTEGER)" for k, c in Q.GRADE_COLS)
+
+
+@query(f"WITH d AS ({Q._decide_sql("'B', 'C', 'none'", more=''.join(f', {c}' for _, c in Q.GRADE_COLS))}) SELECT id, d.verdict || ' ' || d.points || {REPORT_SQL} || CASE WHEN d.combos <> '' THEN chr(10) || 'combos ' || d.combos ELSE '' END || CASE WHEN d.hard IS NOT NULL THEN chr(10) || 'pass ' || d.hard ELSE '' END AS report FROM d")
+def decision_report(spark, sf_dir):
+    """A decision as a text report that lists the points by component."""
+    return scoring.decided(Q.full_offers(spark, sf_dir)).select(*scoring.detail())

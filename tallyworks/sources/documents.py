@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -55,10 +55,64 @@ def read_ranks(spark: SparkSession, path: str, table: str, lines: bool = False)
     return read_document(spark, path, schema).select(F.explode(table).alias("r")).select("r.*")
 
 
-def write_ranks(tables: dict[str, DataFrame], path: str) -> None:
-    """Each graded table in a folder of its own, as line-delimited JSON written by all tasks."""
+def write_ranks(tables: dict[str, DataFrame], path: str, slim: dict[str, list[str]] | None = None) -> None:
+    """Each graded table in a folder of its own, as line-delimited JSON written by all tasks.
+
+    ``slim`` names the fields of an index (``index/<table>``) of a table's graded
+    rows; ``meta`` holds the time of writing. Tables read before are forgotten.
+    """
     for name, df in tables.items():
         df.write.mode("overwrite").json(f"{path}/{name}")
+        if slim and name in slim:
+            df.where("grade <> 'U'").select(*slim[name]).write.mode("overwrite").json(f"{path}/index/{name}")
+        session = df.sparkSession
+    if tables:
+        session.range(1).select(now_iso().alias("generated_at")).write.mode("overwrite").json(f"{path}/meta")
+    forget_ranks()
+
+
+def now_iso() -> Column:
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
+def today_iso() -> Column:
+    return F.date_format(F.current_date(), "yyyy-MM-dd")
+
+
+_ranks: dict[tuple, DataFrame] = {}
+
+
+def cached_ranks(spark: SparkSession, path: str, table: str, lines: bool = False) -> DataFrame:
+    """``read_ranks`` kept in the executors' memory and disk until ``forget_ranks``."""
+    key = (spark.sparkContext.applicationId, path, table, lines)
+    if key not in _ranks:
+        _ranks[key] = read_ranks(spark, path, table, lines).persist()
+    return _ranks[key]
+
+
+def forget_ranks() -> None:
+    """The next reader sees what the files hold then."""
+    while _ranks:
+        (application, *_), df = _ranks.popitem()
+        if df.sparkSession.sparkContext.applicationId == application:
+            df.unpersist()
+
+
+AXIS = T.StructType(
+    [T.StructField("generated_at", T.StringType()), T.StructField("owner", T.LongType()), T.StructField("n_name", T.StringType())]
+    + [T.StructField(n, T.LongType()) for n in ("n_horses", "n_active", "wins", "starts")]
+    + [T.StructField("trainers", T.ArrayType(T.StructType([T.StructField("trainer", T.StringType()), T.StructField("trainer_code", T.StringType()), T.StructField("n", T.LongType())])))]
+)
+
+
+def write_axis(summary: DataFrame, path: str) -> None:
+    """An owner's summary with the time of writing, as a JSON document of one line."""
+    summary.withColumn("generated_at", now_iso()).write.mode("overwrite").json(path)
+
+
+def read_axis(spark: SparkSession, path: str) -> DataFrame:
+    """The summary that ``write_axis`` wrote; none if there is nothing."""
+    return read_document(spark, path, AXIS, lines=True)
 
 
 def save_entries(entries: DataFrame, path: str) -> DataFrame:
@@ -73,7 +127,7 @@ def save_entries(entries: DataFrame, path: str) -> DataFrame:
 
 def write_candidates(df: DataFrame, path: str) -> None:
     """One row per candidate with the time of writing, as line-delimited JSON."""
-    df.withColumn("updated_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")).write.mode("overwrite").json(path)
+    df.withColumn("updated_at", now_iso()).write.mode("overwrite").json(path)
 
 
 def write_bundle(tables: dict[str, DataFrame], path: str, name: str = "CLUB_DATA") -> None:

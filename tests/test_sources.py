@@ -2,9 +2,13 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from tallyworks.functions import rules as R
+from tallyworks.operators import ledger, scoring
 from tallyworks.sources import documents as D
+from tallyworks.sources import rules as S
 
 
 def test_candidates(spark, tmp_path):
@@ -41,3 +45,81 @@ def test_ledger_states(spark, tmp_path):
     assert [len(r["e"]["entries"] or []) for r in rows] == [1, 0, 0] and rows[0]["e"]["opening"]["amount"] == 5
     entries = spark.createDataFrame([(i, i * 10) for i in range(20)], "id long, amount long")
     assert sorted(D.save_entries(entries, str(tmp_path / "e")).collect()) == sorted(entries.collect())
+
+
+def test_ranks_index_and_cache(spark, tmp_path):
+    path = str(tmp_path / "ranks")
+    of = lambda grade: spark.createDataFrame([("t", grade, 1), ("u", "U", None)], "trainer string, grade string, rank long")
+    D.write_ranks({"trainers": of("S")}, path, {"trainers": ["trainer", "grade"]})
+    assert [tuple(r) for r in spark.read.json(f"{path}/index/trainers").select("trainer", "grade").collect()] == [("t", "S")]
+    assert spark.read.json(f"{path}/meta").where("generated_at is not null").count() == 1
+    grade = lambda: D.cached_ranks(spark, path, "trainers", lines=True).where("rank = 1").first()["grade"]
+    assert grade() == "S" and D.cached_ranks(spark, path, "trainers", lines=True) is D.cached_ranks(spark, path, "trainers", lines=True)
+    D.write_ranks({"trainers": of("A")}, path)
+    assert grade() == "A"
+    D.forget_ranks()
+
+
+def test_axis_round_trip(spark, tmp_path):
+    from tallyworks.plans.reports import axis
+
+    summary = axis(spark, "/root/testdata/sf0.001", 3)
+    D.write_axis(summary, str(tmp_path / "axis"))
+    back = D.read_axis(spark, str(tmp_path / "axis"))
+    assert back.where("generated_at is not null").count() == 1 and back.drop("generated_at").collect() == summary.collect()
+    assert D.read_axis(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="no owner 999"):
+        axis(spark, "/root/testdata/sf0.001", 999).collect()
+
+
+SCORES = {
+    "meta": {"max_score": 9.0}, "db_ranks": {"family_overall_weight": 1.0, "family_hiroo_weight": 0.0, "cross_bonus": {"S": 3.0}}, "broodmare_family": {"S": 7.0, "unknown": 1.0, "default": 1.0},
+    "trainers": {"a": {"grade": "S", "score": 5.0}, "b": {"grade": "B", "score": 3}, "default": {"grade": "C", "score": 2.0}}, "sires": {"x": 4.0, "default": 2.0},
+    "price_tiers_man_yen": [{"max": 1.0, "score": 9.5}], "kinjou": {"base": 1.0, "positive": [{"keyword": "good", "delta": 0.5}], "negative": [], "weight_light_alert_kg": 400}, "skip_if": {"status_in": ["gone"], "price_over_man_yen": 1.5},
+}
+CHECKLIST = {"verdict": {"GO": {"min": 3}, "HOLD": {"min": 2}}, "points": {"cross": {"S": 3, "none": 0}, "price_man_yen": [{"max": 1.0, "pts": 1}]}, "hard_pass": [{"field": "status", "in": ["gone"], "reason": "r1"}, {"field": "price_man_yen", "gt": 2.0, "reason": "r2"}]}
+
+
+@pytest.mark.parametrize("kind", ["json", "yaml"])
+def test_rules_from_files(spark, tmp_path, kind):
+    if kind == "yaml":
+        pytest.importorskip("yaml")
+    for name, doc in (("s", SCORES), ("c", CHECKLIST)):
+        (tmp_path / f"{name}.{kind}").write_text(json.dumps(doc))  # JSON is YAML too
+    scores, checklist = (S.read_rules(spark, str(tmp_path / f"{n}.{kind}")) for n in "sc")
+    rules = S.rules_of(scores, checklist)
+    assert (rules.go, rules.hold, rules.max_score, rules.light_kg, rules.skip_price) == (3, 2, 9.0, 400, 1.5) and rules.points["trainer"]["S"] == 4
+    offers = spark.createDataFrame([("open", 0.5, "good", "S"), ("gone", 3.0, "", None), ("open", 3.0, None, "A")], "status string, price double, text string, cross_grade string")
+    zero = offers.withColumns({"family_pts": F.lit(0.0), "trainer_pts": F.lit(0.0), "sire_score": F.lit(0.0), "weight": F.lit(410)})
+    rows = scoring.scored(zero, rules).orderBy("price", "status").collect()
+    assert [r["total"] for r in rows] == [9.0, 0.0, 0.2]
+    assert [(r["cross_pts"], r["condition_pts"], r["price_pts"], r["skip_flags"]) for r in rows] == [(3.0, 1.5, 9.5, []), (0.0, 1.0, -1.0, ["sold_out", "price"]), (0.2, 1.0, -1.0, ["price"])]
+    graded = zero.withColumns({c: F.lit(None).cast("string") for c in ("family_grade", "unique_grade", "signature_grade", "sire_tier")}).withColumn("trainer_grade", F.lit("none"))
+    rows = scoring.decided(graded, rules=rules).orderBy("price", "status").collect()
+    # the first: cross 3, price 1, trainer none 1; no keyword of the condition is among the mild ones
+    assert [(r["verdict"], r["hard"]) for r in rows] == [("GO", None), ("PASS", "r1"), ("PASS", "r2")]
+    assert S.listed_trainers(spark, scores).orderBy("ord").collect() == [("a", "S", 5.0, 0), ("b", "B", 3.0, 1)] and S.listed_sires(spark, scores).count() == 1
+    assert S.rules_of() == S.rules_of({}, {}) and S.rules_of().points == R.DEFAULT.points
+
+
+def test_strict_updates(spark):
+    store = spark.createDataFrame([(1, "a", None, None)], "id int, name string, latest string, history array<struct<at:string,text:string,note:string>>")
+    reports = spark.createDataFrame([(1, "t", "x", "n"), (2, "t", "y", "n")], "id int, at string, text string, note string")
+    assert [r["latest"] for r in ledger.appended(store, reports, "id").collect()] == ["x"]
+    assert ledger.appended(store, reports.where("id = 1"), "id", strict=True).count() == 1
+    with pytest.raises(Exception, match="no id 2"):
+        ledger.appended(store, reports, "id", strict=True).collect()
+    updates = spark.createDataFrame([("1", "b", True), (" ", "c", True)], "id string, name string, has_name boolean")
+    assert ledger.upserted(store, updates, "id", ["name"]).count() == 1
+    with pytest.raises(Exception, match="id is needed"):
+        ledger.upserted(store, updates, "id", ["name"], strict=True).collect()
+
+
+def test_ledger_added_and_cleared(spark):
+    entries = spark.createDataFrame([("1", "2024-01-01", "n", "income", 5, "", 1)], "id string, date string, name string, type string, amount long, memo string, created_at long")
+    raw = spark.createDataFrame([("2024-02-01", "fee", "expense", "1,200", "m"), (None, "fee", "expense", "5", ""), ("2024-02-01", " ", "income", "5", "")], "date string, name string, type string, amount_text string, memo string")
+    rows = ledger.added(entries, raw, F.lit(7)).orderBy("date").collect()
+    assert [(r["name"], r["amount"], r["created_at"]) for r in rows] == [("n", 5, 1), ("fee", 1200, 7)] and rows[1]["id"]
+    state = spark.createDataFrame([('{"opening":{"amount":5,"date":"d"},"entries":[{"id":"1"}]}',)], "s string").select(D.entries_from_json(F.col("s")).alias("e")).select("e.*")
+    left = ledger.cleared(state).first()
+    assert left["entries"] == [] and left["opening"]["amount"] == 5
