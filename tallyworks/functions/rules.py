@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The rules that scores and points follow.
@@ -158,3 +158,14 @@ def units(total: Column, price: Column, rules: Rules = DEFAULT) -> Column:
 
 def verdict(total: Column, hard: Column, rules: Rules = DEFAULT) -> Column:
     return F.when(hard.isNotNull(), "PASS").when(total >= rules.go, "GO").when(total >= rules.hold, "HOLD").otherwise("PASS")
+
+
+def points_table(spark: SparkSession, rules: Rules = DEFAULT) -> DataFrame:
+    """The points of the rules, one row for each component and grade."""
+    return spark.createDataFrame([(kind, grade, pts) for kind, table in rules.points.items() for grade, pts in table.items()], "kind string, grade string, pts int")
+
+
+def labels_table(spark: SparkSession) -> DataFrame:
+    """The labels of grades and tiers, one row each."""
+    rows = [(kind, code, *names) for kind, table in (("grade", GRADE_LABELS), ("tier", TIER_LABELS)) for code, names in table.items()]
+    return spark.createDataFrame(rows, "kind string, code string, label string, short string, hint string")

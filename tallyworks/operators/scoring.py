@@ -60,10 +60,11 @@ def combos(unique: Column, trainer: Column, cross: Column, overall: Column, tier
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def decided(offers: DataFrame, variant: str = "canonical", rules: R.Rules = R.DEFAULT) -> DataFrame:
+def decided(offers: DataFrame, variant: str = "canonical", rules: R.Rules = R.DEFAULT, condition: Column | None = None, hard: Column | None = None) -> DataFrame:
     """Points, combinations and verdict of offers with grades.
 
-    ``canonical`` and ``tool`` share their point tables and differ in C4;
+    ``canonical`` and ``tool`` share their point tables and differ in C4; for
+    them ``condition`` and ``hard`` replace what the condition text gives.
     ``legacy`` has tables of its own, whatever the rules, and adds points for combinations.
     """
     c = F.col
@@ -85,14 +86,40 @@ def decided(offers: DataFrame, variant: str = "canonical", rules: R.Rules = R.DE
     else:
         t, extra = rules.points, F.lit(0)
         price_pts = R.tiered(price, rules.price_points, -2)
-        hard = R.hard_pass(c("status"), price, c("text"), rules)
+        hard = R.hard_pass(c("status"), price, c("text"), rules) if hard is None else hard
         ids = combos(c("unique_grade"), c("trainer_grade"), c("cross_grade"), c("family_grade"), c("sire_tier"), price, c("signature_grade"), variant == "tool")
-        condition = R.condition_points(c("text"), c("weight"), rules)
+        condition = R.condition_points(c("text"), c("weight"), rules) if condition is None else condition
     parts = [R.points(t[k], c(g)) for k, g in (("family", "family_grade"), ("unique", "unique_grade"), ("signature", "signature_grade"), ("trainer", "trainer_grade"), ("cross", "cross_grade"), ("sire", "sire_tier"))]
     out = offers.withColumn("combos", ids).withColumn("points", (sum(parts, F.lit(0)) + price_pts + condition + extra).cast("int")).withColumn("hard", hard)
     return out.withColumn("verdict", R.verdict(c("points"), c("hard"), R.DEFAULT if variant == "legacy" else rules))
 
 
+def by_hand(offers: DataFrame, rules: R.Rules = R.DEFAULT) -> DataFrame:
+    """Decisions on offers whose grades may be set by hand: ``overall_set``, ``unique_set`` and ``cross_set`` win over what the lookups found; null or ``auto`` leaves it.
+
+    A family that isn't found takes the grade of its alias (``manual``), else U, or
+    none where no name was given; the own grade is the found one if the family is the
+    club's own, else that of the alias. Without a signature of its own an offer takes the
+    grade of the line that its alias suggests (``suggested``). A trainer who isn't known is
+    U, or none without a name. ``state`` (good, mild) and ``injury`` stand for the condition text.
+    """
+    c, none = F.col, F.lit("none")
+    chosen = lambda col, found: F.coalesce(F.when(c(col) != "auto", c(col)), found)
+    unnamed = lambda col: F.when(F.coalesce(c(col), F.lit("")) == "", none).otherwise("U")
+    graded = {
+        "family_grade": chosen("overall_set", F.coalesce("family_grade", "manual", unnamed("family_q"))),
+        "unique_grade": chosen("unique_set", F.when(c("family_grade").isNotNull() & F.coalesce(c("club_unique"), F.lit(False)), F.coalesce("unique_grade", none)).otherwise(F.coalesce("manual", none))),
+        "cross_grade": chosen("cross_set", F.coalesce("cross_grade", none)),
+        "signature_grade": F.coalesce("signature_grade", "suggested", none),
+        "trainer_grade": F.when(c("trainer_known"), c("shown_grade")).otherwise(unnamed("trainer_q")),
+    }
+    state = F.when(c("state") == "good", 1).when(c("state") == "mild", -1).otherwise(0)
+    light = F.coalesce((c("weight") <= rules.light_kg).cast("int"), F.lit(0))
+    risk = next(reason for name, _, _, reason in rules.hard_pass if name == "text")
+    hard = F.coalesce(R.hard_pass(c("status"), F.coalesce(c("price"), F.lit(0.0)), F.lit(""), rules), F.when(c("injury"), F.lit(risk)))
+    return decided(offers.withColumns(graded), "tool", rules, state - light, hard)
+
+
 def legacy_price_points(price: Column) -> Column:
     """Points of a price on the older page; null where the price rules the offer out."""
     return F.when(price.isNull(), 0).when(price > R.MAX_PRICE, None).when(price <= 2.0, 2).when(price < 2.5, 1).when(price <= 3.5, 0).otherwise(-1)

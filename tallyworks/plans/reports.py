@@ -304,3 +304,46 @@ REPORT_SQL = " || ".join(f"chr(10) || '{k} ' || coalesce({c}, 'none') || ' ' ||
 def decision_report(spark, sf_dir):
     """A decision as a text report that lists the points by component."""
     return scoring.decided(Q.full_offers(spark, sf_dir)).select(*scoring.detail())
+
+
+SET_SQL = "CASE id % 7 WHEN 0 THEN 'S' WHEN 1 THEN 'auto' WHEN 2 THEN 'C' END"
+LINE_SQL = f"(SELECT f.family AS suggests, coalesce(w.own_grade, f.grade) AS suggested FROM ({Q.OVER_IDX}) f LEFT JOIN ({Q.OWN_IDX}) w ON f.family = w.family WHERE f.family = 'old bolt')"
+BY_HAND_SQL = f"""{Q.FULL_SQL}, known AS (SELECT o.*, CASE WHEN o.family_q = 'zz' THEN 'A' END AS manual, CASE WHEN o.family_q = 'zz' THEN s.suggested END AS suggested FROM full_offers o LEFT JOIN {LINE_SQL} s ON true),
+  hand AS (SELECT id, weight, price, status, sire_tier, coalesce(CASE WHEN {SET_SQL} <> 'auto' THEN {SET_SQL} END, family_grade, manual, CASE WHEN family_q = '' THEN 'none' ELSE 'U' END) AS family_grade,
+    CASE WHEN id % 9 = 0 THEN 'B' WHEN family_grade IS NOT NULL AND club_unique THEN coalesce(unique_grade, 'none') ELSE coalesce(manual, 'none') END AS unique_grade, CASE WHEN id % 13 = 0 THEN 'A' ELSE coalesce(cross_grade, 'none') END AS cross_grade,
+    coalesce(signature_grade, suggested, 'none') AS signature_grade, CASE WHEN trainer_known THEN shown_grade WHEN trainer_q = '' THEN 'none' ELSE 'U' END AS trainer_grade FROM known),
+  pts AS (SELECT id, CAST({" + ".join(Q._points(R.POINTS[k], c) for k, c in Q.GRADE_COLS)} + {Q.PRICE_PTS_SQL} + CASE id % 4 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END - CASE WHEN weight <= 420 THEN 1 ELSE 0 END AS INTEGER) AS points,
+    CASE WHEN status = '満口' THEN '満口' WHEN price > 4.0 THEN '一口4万円超は原則見送り' WHEN id % 11 = 0 THEN '近況に重大リスク語' END AS hard,
+    concat_ws(',', CASE WHEN unique_grade IN ('S', 'A') AND trainer_grade IN ('S', 'A') THEN 'C1' END, CASE WHEN cross_grade IN ('S', 'A') THEN 'C2' END, CASE WHEN family_grade IN ('S', 'A') AND sire_tier = 'top' AND price <= 2.0 THEN 'C3' END,
+      CASE WHEN signature_grade IN ('S', 'A') AND family_grade IN ('B', 'C', 'none', 'U') THEN 'C4' END, CASE WHEN price >= 2.5 AND cross_grade NOT IN ('S', 'A') AND unique_grade NOT IN ('S', 'A') THEN 'C5' END) AS combos FROM hand)
+  SELECT id, points, combos, hard, CASE WHEN hard IS NOT NULL THEN 'PASS' WHEN points >= 12 THEN 'GO' WHEN points >= 8 THEN 'HOLD' ELSE 'PASS' END AS verdict FROM pts"""
+
+
+@query(BY_HAND_SQL)
+def decide_by_hand(spark, sf_dir):
+    """Decisions with aliases, the signature that an alias suggests, and grades set by hand."""
+    c, k = F.col, F.col("id")
+    own = Q.unique_family_grade(spark, sf_dir).groupBy("family").agg(F.max_by("own_grade", "own_rank").alias("own_grade"))
+    lines = families(spark, sf_dir).join(Q.aliases(spark).select(c("suggests").alias("family")), "family", "left_semi").join(own, "family", "left")
+    named = Q.aliases(spark).join(lines.select(c("family").alias("suggests"), F.coalesce("own_grade", "grade").alias("suggested")), "suggests", "left")
+    rows = Q.full_offers(spark, sf_dir).join(F.broadcast(named.select("alias", "manual", "suggested")), c("family_q") == c("alias"), "left")
+    typed = {
+        "overall_set": F.when(k % 7 == 0, "S").when(k % 7 == 1, "auto").when(k % 7 == 2, "C"),
+        "unique_set": F.when(k % 9 == 0, "B"),
+        "cross_set": F.when(k % 13 == 0, "A").otherwise("auto"),
+        "state": F.when(k % 4 == 0, "good").when(k % 4 == 1, "mild"),
+        "injury": k % 11 == 0,
+    }
+    return scoring.by_hand(rows.withColumns(typed)).select("id", "points", F.array_join("combos", ",").alias("combos"), "hard", "verdict")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{kind}', '{k}', CAST({v} AS INTEGER))" for kind, table in R.POINTS.items() for k, v in table.items()) + ") AS t(kind, grade, pts)")
+def points_sheet(spark, sf_dir):
+    """The points that each grade of each component counts."""
+    return R.points_table(spark)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{kind}', '{k}', '{v[0]}', '{v[1]}', '{v[2]}')" for kind, table in (("grade", R.GRADE_LABELS), ("tier", R.TIER_LABELS)) for k, v in table.items()) + ") AS t(kind, code, label, short, hint)")
+def tiers_sheet(spark, sf_dir):
+    """All grades and tiers with their labels and hints."""
+    return R.labels_table(spark)
