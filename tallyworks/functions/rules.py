@@ -36,7 +36,7 @@ LEGACY_POINTS = {
 SOLD_OUT = "満口"
 MAX_PRICE, LIGHT_KG, MAX_SCORE, GO, HOLD = 4.0, 420, 22.0, 12, 8
 HARD_PASS = [("status", "in", [SOLD_OUT], "満口"), ("price", "gt", MAX_PRICE, "一口4万円超は原則見送り"), ("text", "contains_any", HARD, "近況に重大リスク語")]
-#: A grade's label in Japanese, a short one and a hint.
+# A grade's and a tier's label in Japanese, a short one and a hint.
 GRADE_LABELS = {
     "S": ("最上級", "最上級（S）", "本線で強く加点"),
     "A": ("上級", "上級（A）", "有力。積極検討"),
@@ -84,9 +84,10 @@ def tiered(c: Column, tiers: list[tuple[float, float]], beyond: float) -> Column
     return F.coalesce(*[F.when(c <= limit, F.lit(value)) for limit, value in tiers], F.lit(beyond))
 
 
-def points(table: dict[str, int], grade: Column) -> Column:
-    """The points of a grade; those of ``none`` for an unlisted or missing one."""
-    return reduce(lambda w, kv: w.when(grade == kv[0], kv[1]), list(table.items())[1:], F.when(grade == next(iter(table)), next(iter(table.values())))).otherwise(table.get("none", 0))
+def points(table: dict[str, int], grade: Column, any_case: bool = True) -> Column:
+    """The points of a grade, in any case unless told otherwise; those of ``none`` for an unlisted or missing one."""
+    key = F.when(grade.isin(*[k for k in table if k != k.upper()]), grade).otherwise(F.upper(grade)) if any_case else grade
+    return reduce(lambda w, kv: w.when(key == kv[0], kv[1]), list(table.items())[1:], F.when(key == next(iter(table)), next(iter(table.values())))).otherwise(table.get("none", 0))
 
 
 def sire_tier(score: Column) -> Column:
@@ -156,13 +157,25 @@ def units(total: Column, price: Column, rules: Rules = DEFAULT) -> Column:
     return high.cast("int")
 
 
+def units_text(most: Column) -> Column:
+    """Recommended units as readers see them: a range, or one to wait and see."""
+    return F.when(most > 1, F.concat(F.lit("1〜"), most.cast("string"), F.lit("口"))).otherwise(F.lit("1口（様子見）"))
+
+
+def skip_flags(status: Column, price: Column, rules: Rules = DEFAULT) -> Column:
+    """What keeps an offer out of the ranks, with the value that does."""
+    sold = F.when(status.isin(*rules.skip_status), F.concat(F.lit("status:"), status))
+    over = F.when(price > rules.skip_price, F.concat(F.lit("price_over:"), price.cast("string")))
+    return F.filter(F.array(sold, over), lambda x: x.isNotNull())
+
+
 def verdict(total: Column, hard: Column, rules: Rules = DEFAULT) -> Column:
     return F.when(hard.isNotNull(), "PASS").when(total >= rules.go, "GO").when(total >= rules.hold, "HOLD").otherwise("PASS")
 
 
 def points_table(spark: SparkSession, rules: Rules = DEFAULT) -> DataFrame:
     """The points of the rules, one row for each component and grade."""
-    return spark.createDataFrame([(kind, grade, pts) for kind, table in rules.points.items() for grade, pts in table.items()], "kind string, grade string, pts int")
+    return spark.createDataFrame([(component, grade, pts) for component, table in rules.points.items() for grade, pts in table.items()], "component string, grade string, pts int")
 
 
 def labels_table(spark: SparkSession) -> DataFrame:

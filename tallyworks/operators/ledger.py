@@ -39,15 +39,36 @@ def without(entries: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return entries.join(ids, key, "left_anti")
 
 
-def upserted(store: DataFrame, updates: DataFrame, key: str, fields: list[str], strict: bool = False) -> DataFrame:
-    """Updates replace the fields that they carry (``has_<field>``), even by empty values; new keys are added; blank keys are left out or, if ``strict``, an error."""
+def merged(updates: DataFrame, key: str, fields: list[str], order: list[Column]) -> DataFrame:
+    """One update for each key: of each field, the value of the last update in ``order`` that carries it."""
+    carried = lambda f: F.coalesce(F.col(f"has_{f}"), F.lit(False))
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    last = [F.max_by(F.when(carried(f), F.struct(f)), F.when(carried(f), place)).alias(f"__{f}") for f in fields]
+    return updates.groupBy(key).agg(*last).select(key, *[F.col(f"__{f}.{f}").alias(f) for f in fields], *[F.col(f"__{f}").isNotNull().alias(f"has_{f}") for f in fields])
+
+
+def upserted(store: DataFrame, updates: DataFrame, key: str, fields: list[str], strict: bool = False, order: list[Column] | None = None) -> DataFrame:
+    """Updates replace the fields that they carry (``has_<field>``), even by empty values; new keys are added; blank keys are left out or, if ``strict``, an error.
+
+    Updates of one key are merged first: later ones in ``order`` win, field by field;
+    without an order, the largest value of a field does.
+    """
     unkeyed = X.blank(F.col(key).cast("string"))
     good = updates.withColumn(key, F.when(unkeyed, F.raise_error(F.lit(f"{key} is needed"))).otherwise(F.col(key))) if strict else updates.where(~unkeyed)
-    s, u = store.alias("s"), good.alias("u")
+    flagged = good.withColumns({f"has_{f}": F.lit(False) for f in fields if f"has_{f}" not in good.columns})
+    s, u = store.alias("s"), merged(flagged, key, fields, order or [F.col(f) for f in fields]).alias("u")
     pick = lambda f: F.when(F.coalesce(F.col(f"u.has_{f}"), F.lit(False)), F.col(f"u.{f}")).otherwise(F.col(f"s.{f}")).alias(f)
     return s.join(u, F.col(f"s.{key}") == F.col(f"u.{key}"), "full_outer").select(F.coalesce(f"s.{key}", f"u.{key}").alias(key), *[pick(f) for f in fields])
 
 
+def latest(store: DataFrame, reports: DataFrame, key: str) -> DataFrame:
+    """The store with ``latest``, the text of each record's last report (by ``at``, then text), and ``n_reports``: one aggregate over a log, no array on the way."""
+    last = reports.groupBy(key).agg(F.max_by("text", F.struct("at", "text")).alias("__last"), F.count(F.lit(1)).alias("__n"))
+    rows = store.join(last, key, "left")
+    kept = F.col("latest") if "latest" in store.columns else F.lit(None).cast("string")
+    return rows.withColumns({"latest": F.when(F.col("__n").isNotNull(), F.col("__last")).otherwise(kept), "n_reports": F.coalesce("__n", F.lit(0))}).drop("__last", "__n")
+
+
 def appended(store: DataFrame, reports: DataFrame, key: str, strict: bool = False) -> DataFrame:
     """Appends reports (key, at, text, note) to ``history`` in the order of ``at`` and sets ``latest``; reports of a missing key are left out or, if ``strict``, an error."""
     new = reports.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "text", "note"))).alias("__new"))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyworks.sources.staging import staged
+
 #: Dimensions up to so many rows are broadcast to the fuzzy join; larger ones meet by the first characters of the shorter name.
 MAX_BROADCAST_ROWS = 20_000
 #: Up to so many pairs of names are all compared.
@@ -15,19 +18,30 @@ MAX_PAIRS = 50_000_000
 #: Lengths of those beginnings. A name takes the longest that it has, so that names with a common beginning don't all meet.
 HEADS = (1, 2, 3, 6, 10, 14, 18, 24, 32)
 
+#: A trainer with so many crosses, at most, meets them all; so many subjects of a trainer share a salt.
+FEW, SALTED = 200, 200_000
+
 both_prefixes = lambda q, n: q.startswith(n) | n.startswith(q)
 either_contains = lambda q, n: q.contains(n) | n.contains(q)
 query_contains = lambda q, n: q.contains(n)
 name_contains = lambda q, n: n.contains(q)
 
 
+def head(c: Column) -> Column:
+    """The longest of the set beginnings that a name has."""
+    return F.coalesce(*[F.when(F.length(c) >= k, F.substring(c, 1, k)) for k in reversed(HEADS)])
+
+
+def runs(c: Column) -> Column:
+    """All parts of a name that may be another's beginning."""
+    of = lambda k: F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substr(c, i, F.lit(k)))).otherwise(F.array())
+    return F.array_distinct(F.concat(*[of(k) for k in HEADS]))
+
+
 def by_head(asked: DataFrame, named: DataFrame, norm: Callable[[Column], Column] = lambda c: c) -> DataFrame:
     """All pairs of which one may hold the other as ``norm`` leaves them: a name that holds another holds its beginning as well."""
-    head = lambda c: F.coalesce(*[F.when(F.length(c) >= k, F.substring(c, 1, k)) for k in reversed(HEADS)])
-    runs = lambda c, k: F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substr(c, i, F.lit(k)))).otherwise(F.array())
-    grams = lambda c: F.explode(F.array_distinct(F.concat(*[runs(c, k) for k in HEADS])))
     q, n = asked.withColumn("__k", norm(F.col("__q"))), named.withColumn("__k", norm(F.col("__name")))
-    beginning, part = (lambda df: df.withColumn("__b", head(F.col("__k"))).drop("__k")), (lambda df: df.withColumn("__b", grams(F.col("__k"))).drop("__k"))
+    beginning, part = (lambda df: df.withColumn("__b", head(F.col("__k"))).drop("__k")), (lambda df: df.withColumn("__b", F.explode(runs(F.col("__k")))).drop("__k"))
     holds, held = part(q).join(beginning(n), "__b"), beginning(q).join(part(n), "__b")
     return holds.unionByName(held).drop("__b")
 
@@ -39,26 +53,66 @@ def pairs(asked: DataFrame, named: DataFrame, fuzzy: Callable[[Column, Column],
     return by_head(asked, named, norm).where(fuzzy(F.col("__q"), F.col("__name")))
 
 
-def matches(asked: DataFrame, dim: DataFrame, name: str, order: str, values: list[str], fuzzy: Callable[[Column, Column], Column], norm: Callable[[Column], Column] = lambda c: c) -> DataFrame:
-    """(__q, m): the match of each distinct query in ``__q`` that has one, ``m`` with ``matched`` and the values.
+@dataclass(frozen=True)
+class Listing:
+    """Names to look up in: a table, its columns of names and of their order, the values that a match gives, and the rule of a near match.
 
-    A few names meet in one join, by exact matches first. Of many, exact matches are
-    an equi join, and only the queries that it leaves go to the fuzzy join.
     ``fuzzy`` holds for equal names, and may hold only where one name holds the
-    other as ``norm`` leaves them. Blank queries match nothing.
+    other as ``norm`` leaves them. An exact match goes before earlier near ones if ``exact_first``.
+    """
+
+    table: DataFrame
+    name: str
+    order: str
+    values: list[str]
+    fuzzy: Callable[[Column, Column], Column]
+    norm: Callable[[Column], Column] = lambda c: c
+    exact_first: bool = True
+
+    def rows(self) -> DataFrame:
+        picked = F.struct(F.col(self.name).alias("matched"), *[F.col(v) for v in self.values])
+        return self.table.where(F.trim(self.name) != "").select(F.col(self.name).alias("__name"), F.col(self.order).alias("__ord"), picked.alias("__m"))
+
+
+def matches(asked: DataFrame, dim: DataFrame, name: str, order: str, values: list[str], fuzzy: Callable[[Column, Column], Column], norm: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """(__q, m): the match of each distinct query in ``__q`` that has one, ``m`` with ``matched`` and the values; see ``matches_of_kinds``."""
+    found = matches_of_kinds(asked.select(F.lit("one").alias("kind"), "__q"), {"one": Listing(dim, name, order, values, fuzzy, norm)})
+    return found.select("__q", F.col("one").alias("m"))
+
+
+def matches_of_kinds(asked: DataFrame, listings: dict[str, Listing]) -> DataFrame:
+    """(kind, __q, and a column for each kind): the match of each distinct (kind, ``__q``) that has one, in the column of its kind.
+
+    The names of all kinds are staged as one table and all sizes come from one
+    job. Kinds with few names go through one join, by exact matches first.
+    Of a kind with many, exact matches are an equi join, and only the queries that
+    it leaves go to the fuzzy join. Blank queries match nothing.
     """
-    table = dim.select(F.col(name).alias("__name"), F.col(order).alias("__ord"), *[F.col(v).alias(f"__v_{v}") for v in values])
-    picked = F.struct(F.col("__name").alias("matched"), *[F.col(f"__v_{v}").alias(v) for v in values])
-    asked = asked.where(F.trim("__q") != "").distinct()
-    names = table.where(F.trim("__name") != "")
-    size = names.count()
-    if size <= MAX_BROADCAST_ROWS and size * asked.count() <= MAX_PAIRS:
-        near = asked.join(F.broadcast(names), fuzzy(F.col("__q"), F.col("__name")))
-        return near.groupBy("__q").agg(F.min_by(picked, F.struct(F.col("__q") != F.col("__name"), "__ord")).alias("m"))
-    exact = asked.join(table, F.col("__q") == F.col("__name")).groupBy("__q").agg(F.min_by(picked, "__ord").alias("m"))
-    rest = asked.join(exact, "__q", "left_anti")
-    near = pairs(rest, names, fuzzy, norm, size)
-    return exact.unionByName(near.groupBy("__q").agg(F.min_by(picked, "__ord").alias("m")))
+    asked = staged(asked.where(F.trim("__q") != "").distinct(), "asked")
+    kinds = {k: v.rows() for k, v in listings.items()}
+    of = lambda c, k: [(F.col(c) if j == k else F.lit(None).cast(rows.schema[c].dataType)).alias(f"{c}{j}") for j, rows in kinds.items()]
+    named = staged(reduce(DataFrame.unionByName, [rows.select(F.lit(k).alias("__kind"), "__name", *of("__ord", k), *of("__m", k)) for k, rows in kinds.items()]), "named")
+    counts = named.select(F.col("__kind").alias("kind"), F.lit("named").alias("side")).unionByName(asked.select("kind", F.lit("asked").alias("side")))
+    n = {(r["kind"], r["side"]): r["n"] for r in counts.groupBy("kind", "side").agg(F.count(F.lit(1)).alias("n")).collect()}
+    small = [k for k in kinds if (names := n.get((k, "named"), 0)) <= MAX_BROADCAST_ROWS and names * n.get((k, "asked"), 0) <= MAX_PAIRS]
+    found = []
+    if small:
+        q, name = F.col("__q"), F.col("__name")
+        holds = F.coalesce(*[F.when(F.col("kind") == k, listings[k].fuzzy(q, name)) for k in small])
+        few = named.where(F.col("__kind").isin(small))
+        near = asked.where(F.col("kind").isin(small)).join(F.broadcast(few), (F.col("kind") == F.col("__kind")) & holds)
+        later = (q != name) & F.col("kind").isin(*[k for k in small if listings[k].exact_first])
+        first = F.min_by(F.struct(*[F.col(f"__m{k}").alias(k) for k in kinds]), F.struct(later, *[F.col(f"__ord{k}") for k in kinds])).alias("m")
+        found.append(near.groupBy("kind", "__q").agg(first).select("kind", "__q", "m.*"))
+    for k in (k for k in kinds if k not in small):
+        rows, queries = named.where(F.col("__kind") == k), asked.where(F.col("kind") == k).select("__q")
+        best = lambda near: near.groupBy("__q").agg(F.min_by(f"__m{k}", f"__ord{k}").alias("m"))  # noqa: E731, B023
+        exact = best(queries.join(rows, F.col("__q") == F.col("__name")))
+        rest = queries.join(exact, "__q", "left_anti") if listings[k].exact_first else queries
+        near = best(pairs(rest, rows, listings[k].fuzzy, listings[k].norm, n.get((k, "named"), 0)))
+        both = exact.unionByName(near) if listings[k].exact_first else near
+        found.append(both.select(F.lit(k).alias("kind"), "__q", *[(F.col("m") if j == k else F.lit(None).cast(r.schema["__m"].dataType)).alias(j) for j, r in kinds.items()]))
+    return reduce(DataFrame.unionByName, found)
 
 
 def first_match(subjects: DataFrame, query: str, dim: DataFrame, name: str, order: str, values: list[str], fuzzy: Callable[[Column, Column], Column], prefix: str = "", norm: Callable[[Column], Column] = lambda c: c) -> DataFrame:
@@ -76,29 +130,44 @@ def first_cross(subjects: DataFrame, dim: DataFrame, order: str, values: list[st
 
     The exact cross, else the first for which both rules hold: by default the
     trainer a prefix either way and the family a part either way. Distinct
-    trainers meet first; a subject then meets the crosses of its trainers only.
+    trainers meet first, and a subject then meets the crosses of its trainers. Where a trainer
+    has many crosses or many subjects, both keys set what meets: see ``near_crosses``.
     """
     named = lambda df: df.where((F.trim("trainer") != "") & (F.trim("family") != ""))
-    table = named(dim).select(F.col("trainer").alias("__name"), F.col("family").alias("__f"), F.struct(*values).alias("__m"), F.col(order).alias("__ord"))
-    asked = named(subjects).select(F.col("trainer").alias("__q"), "family").distinct()
-    trainers = pairs(asked.select("__q").distinct(), table.select("__name").distinct(), of_trainer, norm).distinct()
-    near = asked.join(trainers, "__q").join(table, "__name").where(of_family(F.col("family"), F.col("__f")))
+    table = staged(named(dim).select(F.col("trainer").alias("__name"), F.col("family").alias("__f"), F.struct(*values).alias("__m"), F.col(order).alias("__ord")), "crosses")
+    asked = staged(named(subjects).select(F.col("trainer").alias("__q"), "family").distinct(), "subjects")
+    sides = table.groupBy(F.col("__name").alias("t")).agg(F.count(F.lit(1)).alias("d"), F.lit(0).cast("long").alias("a")).unionByName(asked.groupBy(F.col("__q").alias("t")).agg(F.lit(0).cast("long").alias("d"), F.count(F.lit(1)).alias("a")))
+    most = sides.agg(F.max("d"), F.max("a"), F.sum((F.col("d") > 0).cast("int"))).first()
+    trainers = pairs(asked.select("__q").distinct(), table.select("__name").distinct(), of_trainer, norm, most[2] or 0).select("__q", "__name").distinct()
     other = (F.col("__q") != F.col("__name")) | (F.col("family") != F.col("__f"))
-    found = near.groupBy(F.col("__q").alias("trainer"), "family").agg(F.min_by("__m", F.struct(other.alias("other"), F.col("__ord").alias("ord"))).alias("__c"))
+    if (most[0] or 0) <= FEW and (most[1] or 0) <= SALTED:
+        near = asked.join(trainers, "__q").join(table, "__name").where(of_family(F.col("family"), F.col("__f")))
+        found = near.groupBy("__q", "family").agg(F.min_by("__m", F.struct(other, "__ord")).alias("__c"))
+    else:
+        exact = asked.join(table, (F.col("__q") == F.col("__name")) & (F.col("family") == F.col("__f"))).groupBy("__q", "family").agg(F.min_by("__m", "__ord").alias("__c"))
+        near = near_crosses(asked.join(exact, ["__q", "family"], "left_anti"), table, trainers, of_family, norm)
+        found = exact.unionByName(near.groupBy("__q", "family").agg(F.min_by("__m", "__ord").alias("__c")))
+    found = found.withColumnRenamed("__q", "trainer")
     return subjects.join(found, ["trainer", "family"], "left").select(*[subjects[c] for c in subjects.columns], *[F.col(f"__c.{v}").alias(v) for v in values])
 
 
-def top_matches(queries: DataFrame, items: DataFrame, score: Callable[[Column, Column], Column], k: int) -> DataFrame:
-    """The k best items of each (query, category) with a score above 0; ties by ``ord``. ``items``: category, name, ord.
+def near_crosses(asked: DataFrame, table: DataFrame, trainers: DataFrame, of_family: Callable[[Column, Column], Column], norm: Callable[[Column], Column]) -> DataFrame:
+    """The pairs of subjects (__q, family) and crosses (__name, __f) whose trainers are a pair of ``trainers`` and whose families are near.
 
-    The queries are a stated set against all items, in blocks that are broadcast one by one.
+    Pairs meet by trainer and a second key. A trainer with few crosses meets by
+    salts: as many as its subjects fill, and its crosses stand under each. One with many meets by blocks of
+    the family: the longest set beginning of either name, which the other holds if it holds the name.
     """
-    blocks = -(-queries.count() // MAX_BROADCAST_ROWS) if MAX_BROADCAST_ROWS > 0 else 4
-    block = lambda b: F.broadcast(queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b))
-    scored = reduce(DataFrame.union, [items.join(block(b)) for b in range(max(blocks, 1))] if blocks > 1 else [items.join(F.broadcast(queries))])
-    scored = scored.withColumn("score", score(F.col("query"), F.col("name"))).where("score > 0")
-    order = Window.partitionBy("query", "category").orderBy(F.desc("score"), "ord")
-    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    crosses = table.groupBy("__name").agg(F.count(F.lit(1)).alias("__crosses"))
+    load = trainers.join(asked.groupBy("__q").agg(F.count(F.lit(1)).alias("__n")), "__q").groupBy("__name").agg(F.sum("__n").alias("__subjects"))
+    plan = load.join(crosses, "__name").select("__name", (F.col("__crosses") <= FEW).alias("__few"), (F.floor(F.col("__subjects") / SALTED) + 1).cast("int").alias("__salts"))
+    tagged = lambda tag, blocks: F.transform(blocks, lambda b: F.concat(F.lit(tag), b))
+    blocks = lambda own, other, f: F.concat(F.array(F.concat(F.lit(own), head(f))), tagged(other, runs(f)))
+    salt = F.array(F.pmod(F.xxhash64("__q", "family"), F.col("__salts")).cast("string"))
+    salts = F.transform(F.sequence(F.lit(0), F.col("__salts") - 1), lambda i: i.cast("string"))
+    q = asked.join(trainers, "__q").join(plan, "__name").select("__q", "family", "__name", F.explode(F.when(F.col("__few"), salt).otherwise(blocks("<", ">", norm(F.col("family"))))).alias("__b"))
+    d = table.join(plan, "__name").select("__name", "__f", "__m", "__ord", F.explode(F.when(F.col("__few"), salts).otherwise(blocks(">", "<", norm(F.col("__f"))))).alias("__b"))
+    return q.join(d, ["__name", "__b"]).where(of_family(F.col("family"), F.col("__f")))
 
 
 def required(rows: DataFrame, message: str) -> DataFrame:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyworks.functions import rules as R
+from tallyworks.functions import text as X
+from tallyworks.operators import lookup
+from tallyworks.operators.place import placed
+from tallyworks.sources.staging import staged
 
 
 def bonus(grade: Column, table: dict[str, float] = R.BONUS) -> Column:
@@ -24,28 +28,39 @@ def scored(offers: DataFrame, rules: R.Rules = R.DEFAULT) -> DataFrame:
     """Total score of offers that carry family_pts, trainer_pts, cross_grade, sire_score, text, weight, price and status."""
     price = F.coalesce(F.col("price"), F.lit(0.0))
     cross = F.when(F.col("cross_grade").isNotNull(), bonus(F.col("cross_grade"), rules.cross_bonus)).otherwise(0.0)
-    flags = F.filter(F.array(F.when(F.col("status").isin(*rules.skip_status), F.lit("sold_out")), F.when(price > rules.skip_price, F.lit("price"))), lambda x: x.isNotNull())
     out = offers.withColumn("cross_pts", cross).withColumn("condition_pts", R.condition_score(F.col("text"), F.col("weight"), rules)).withColumn("price_pts", R.tiered(price, rules.price_scores, -1.0))
     total = F.least(F.lit(rules.max_score), F.col("family_pts") + F.col("trainer_pts") + F.col("cross_pts") + F.col("sire_score") + F.col("condition_pts") + F.col("price_pts"))
-    out = out.withColumn("total", F.round(total, 2)).withColumn("skip_flags", flags)
+    out = out.withColumn("total", F.round(total, 2)).withColumn("skip_flags", R.skip_flags(F.col("status"), price, rules))
     return out.withColumn("eligible", F.size("skip_flags") == 0).withColumn("units", R.units(F.col("total"), price, rules))
 
 
-def ranked(offers: DataFrame, only_eligible: bool = False, pool: str = "pool") -> DataFrame:
-    """Rank and label within each pool: total descending, then name; of offers that share both, eligible ones come first.
+def recorded(scored_offers: DataFrame, rules: R.Rules = R.DEFAULT) -> DataFrame:
+    """What a score is made of, beside total, flags and units: ``breakdown``, and the records of family, cross and condition.
 
-    A pool isn't sorted as one: totals have two decimals and a bound, so the
-    offers above each total are counted from a table of a few thousand rows a
-    pool, and only offers of one total are ordered among themselves.
+    Takes the columns of ``scored`` and those of its lookups: overall_grade and its
+    rank, the club's, the own grade and rank, ``cross_record``, and where family and trainer came from.
     """
+    c, two = F.col, lambda x: F.round(c(x), 2)
+    by_name = F.trim(F.coalesce("family_q", F.lit(""))) != ""
+    found = c("family_grade").isNotNull() | c("club_grade").isNotNull()
+    unique = F.coalesce(c("club_unique"), F.lit(False)) & by_name
+    breakdown = F.struct(
+        two("family_pts").alias("family"), two("trainer_pts").alias("trainer"), "trainer_grade", F.when(c("trainer_from_ranks"), "db").otherwise("yaml").alias("trainer_source"),
+        two("cross_pts").alias("cross"), two("sire_score").alias("sire"), two("condition_pts").alias("condition"), two("price_pts").alias("price"),
+    )
+    family = F.struct(
+        F.when(~by_name, "label").when(found, "db").otherwise("none").alias("source"), F.when(~by_name, c("label")).alias("label"), unique.alias("unique"), F.when(unique, c("unique_grade")).alias("unique_grade"), F.when(unique, c("own_rank")).alias("unique_rank"),
+        c("family_grade").alias("overall_grade"), "overall_rank", "club_grade", "club_rank",
+    )
+    condition = F.struct(R.hits(c("text"), c("weight"), rules).alias("hits"), c("weights").alias("weights_kg"))
+    return scored_offers.withColumns({"breakdown": breakdown, "family_record": family, "condition_record": condition, "recommend_units": R.units_text(c("units")), "max_score": F.lit(rules.max_score)})
+
+
+def ranked(offers: DataFrame, only_eligible: bool = False, pool: str = "pool") -> DataFrame:
+    """Rank and label within each pool: total descending, then name; of offers that share both, eligible ones come first. A pool isn't sorted in one task."""
     rows = offers.where("eligible") if only_eligible else offers
-    rows = rows.withColumn(pool, F.coalesce(F.nullif(F.col(pool), F.lit("")), F.lit("default"))).withColumn("__cents", F.round(F.col("total") * 100).cast("long"))
-    counts = rows.groupBy(pool, "__cents").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(pool).orderBy(F.desc_nulls_last("__cents"))) - F.col("__n")
-    counts = counts.select(F.col(pool).alias("__pool"), F.col("__cents").alias("__at"), before.alias("__above"))
-    rows = rows.join(counts, (F.col(pool) == F.col("__pool")) & F.col("__cents").eqNullSafe(F.col("__at")))
-    place = F.row_number().over(Window.partitionBy(pool, "__cents").orderBy("name", F.desc("eligible")))
-    rows = rows.withColumn("rank", (F.col("__above") + place).cast("int")).drop("__pool", "__cents", "__at", "__above")
+    rows = rows.withColumn(pool, F.coalesce(F.nullif(F.col(pool), F.lit("")), F.lit("default")))
+    rows = placed(rows, [pool], [F.desc_nulls_last(F.round(F.col("total") * 100).cast("long")), F.col("name"), F.desc("eligible")]).withColumn("rank", F.col("place").cast("int")).drop("place", "of")
     label = F.when(~F.col("eligible"), "見送り").when(F.col("rank") == 1, "本命").when(F.col("rank") == 2, "控え").otherwise(F.concat(F.col("rank").cast("string"), F.lit("位")))
     return rows.withColumn("label", label)
 
@@ -89,7 +104,7 @@ def decided(offers: DataFrame, variant: str = "canonical", rules: R.Rules = R.DE
         hard = R.hard_pass(c("status"), price, c("text"), rules) if hard is None else hard
         ids = combos(c("unique_grade"), c("trainer_grade"), c("cross_grade"), c("family_grade"), c("sire_tier"), price, c("signature_grade"), variant == "tool")
         condition = R.condition_points(c("text"), c("weight"), rules) if condition is None else condition
-    parts = [R.points(t[k], c(g)) for k, g in (("family", "family_grade"), ("unique", "unique_grade"), ("signature", "signature_grade"), ("trainer", "trainer_grade"), ("cross", "cross_grade"), ("sire", "sire_tier"))]
+    parts = [R.points(t[k], c(g), variant == "canonical") for k, g in (("family", "family_grade"), ("unique", "unique_grade"), ("signature", "signature_grade"), ("trainer", "trainer_grade"), ("cross", "cross_grade"), ("sire", "sire_tier"))]
     out = offers.withColumn("combos", ids).withColumn("points", (sum(parts, F.lit(0)) + price_pts + condition + extra).cast("int")).withColumn("hard", hard)
     return out.withColumn("verdict", R.verdict(c("points"), c("hard"), R.DEFAULT if variant == "legacy" else rules))
 
@@ -144,20 +159,36 @@ def weight_band(kg: Column, low: Column, high: Column) -> Column:
     return F.when(kg > high, "上限注意").when(kg < low, "下限注意").when((kg <= R.LIGHT_KG) | (kg >= 520), "警戒線付近").otherwise("OK帯")
 
 
-def profiled(offers: DataFrame, bands: DataFrame, matches: Column, keys: list[str], default: tuple[str, int, int]) -> DataFrame:
-    """``low``, ``high`` and ``profiles`` of each offer (``keys``): what all the bands (profile, low, high) that match it allow; the default band where none does. ``bands`` is a rule table and broadcast."""
-    name, low, high = default
-    rows = offers.join(F.broadcast(bands), matches, "left").groupBy(*keys)
-    found = rows.agg(F.max("low").alias("low"), F.min("high").alias("high"), F.array_join(F.sort_array(F.collect_set("profile")), ",").alias("profiles"))
-    return found.select(*keys, F.coalesce("low", F.lit(low)).alias("low"), F.coalesce("high", F.lit(high)).alias("high"), F.when(F.col("profiles") == "", name).otherwise(F.col("profiles")).alias("profiles"))
-
+def banded(offers: DataFrame, trainer: str, sire: str, trainer_bands: DataFrame, sire_bands: DataFrame, profiles: DataFrame, default: str) -> DataFrame:
+    """Each offer with what the profiles allow that its trainer's band and its sire's name.
 
-def weight_judgement(kg: Column, low: Column, high: Column) -> Column:
-    """A weight in one line: its band, the light alert that costs a point, what the profiles allow."""
-    band = F.when(kg.isNull(), "no weight").otherwise(weight_band(kg, low, high))
-    alert = F.when(kg <= R.LIGHT_KG, F.lit("light_weight"))
-    clash = F.when(low > high, F.lit("profiles disagree"))
-    return F.concat_ws(" / ", band, alert, F.concat_ws("-", low.cast("string"), high.cast("string")), clash)
+    Bands are (name, ord, profile): the first by ``ord`` whose name scores 60 or more
+    counts, be there an equal one later or not. ``profiles`` (profile, low, high) is a rule table. ``low`` is the largest, ``high`` the least
+    of the profiles named, each once; without any, those of the default one. Adds trainer_band, sire_band, profiles, low, high.
+    """
+    near = lambda q, n: X.match_score(q, n) >= 60
+    listings = {side: lookup.Listing(bands, "name", "ord", ["profile"], near, X.norm_kana, exact_first=False) for side, bands in (("trainer", trainer_bands), ("sire", sire_bands))}
+    asked = offers.select(F.inline(F.array(*[F.struct(F.lit(side).alias("kind"), F.col(c).alias("__q")) for side, c in (("trainer", trainer), ("sire", sire))])))
+    found = staged(lookup.matches_of_kinds(asked, listings), "bands")
+    rows = offers
+    for side, c in (("trainer", trainer), ("sire", sire)):
+        rows = rows.join(found.where(F.col("kind") == side).select(F.col("__q").alias(c), F.col(side).alias(f"__{side}")), c, "left")
+    limits = F.broadcast(profiles.agg(F.map_from_entries(F.collect_list(F.struct("profile", F.struct("low", "high")))).alias("__limits")))
+    named = F.filter(F.array_sort(F.array_distinct(F.array("__trainer.profile", "__sire.profile"))), lambda x: x.isNotNull())
+    picked = F.when(F.size(named) == 0, F.array(F.lit(default))).otherwise(named)
+    rows = rows.join(limits).withColumn("__picked", picked).withColumn("__bands", F.transform("__picked", lambda x: F.element_at("__limits", x)))
+    low, high = F.array_max(F.transform("__bands", lambda x: x["low"])), F.array_min(F.transform("__bands", lambda x: x["high"]))
+    return rows.select(*[rows[c] for c in offers.columns], F.col("__trainer").alias("trainer_band"), F.col("__sire").alias("sire_band"), F.array_join("__picked", ",").alias("profiles"), low.alias("low"), high.alias("high"))
+
+
+def weight_judgement(kg: Column, low: Column, high: Column, trainer_band: Column, sire_band: Column, notes: Column) -> Column:
+    """A weight in one text: its band, what the profiles allow, the light alert that costs a point, where trainer and sire stand, and what to follow up."""
+    asked = F.when(F.coalesce(kg, F.lit(0)) == 0, F.lit("no weight"))
+    alert = F.when(kg <= R.LIGHT_KG, F.lit("light_weight -1")).otherwise(F.lit("no light alert"))
+    of = lambda side, band: F.concat(F.lit(f"{side} "), F.coalesce(F.concat_ws(" ", band["matched"], band["profile"]), F.lit("unassigned")))
+    follow = F.when(notes != "", F.concat(F.lit("notes "), notes))
+    text = F.concat_ws(" / ", weight_band(kg, low, high), F.concat_ws("-", low.cast("string"), high.cast("string")), alert, of("trainer", trainer_band), of("sire", sire_band), follow)
+    return F.coalesce(asked, text)
 
 
 def detail(id_col: str = "id", rules: R.Rules = R.DEFAULT) -> list[Column]:

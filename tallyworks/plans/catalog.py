@@ -1,4 +1,4 @@
 """All queries and their SQL."""
 
-from tallyworks.plans import reports  # noqa: F401  registers its queries
+from tallyworks.plans import reports, weights  # noqa: F401  they register their queries
 from tallyworks.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyworks.sources.documents import file_states
+
 CLUB = 3
 
 
+_schemas: dict[tuple, tuple] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; its schema is found once for as long as its files are what they were, as finding it is a job of its own."""
+    path = f"{sf_dir}/{name}.parquet"
+    key, state = (spark.sparkContext.applicationId, path), file_states(spark, path)
+    if _schemas.get(key, (None,))[0] != state:
+        _schemas[key] = state, spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key][1]).parquet(path)
 
 
 def horses(spark: SparkSession, sf_dir: str) -> DataFrame:

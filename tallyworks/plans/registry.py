@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyworks.functions import rules as R
 from tallyworks.functions import text as X
-from tallyworks.operators import ledger, lookup, scoring
-from tallyworks.operators.grade import OWN_GRADES, graded, name_index
-from tallyworks.operators.stats import entity_stats, named, with_share
+from tallyworks.operators import ledger, lookup, scoring, search
+from tallyworks.operators.grade import KINDS, name_index, rank_build, statistics
+from tallyworks.operators.place import running_sum
 from tallyworks.plans.horses import CLUB, HORSES_SQL, OFFERS_SQL, horses, offers, read
 from tallyworks.sources.staging import staged
 
@@ -57,58 +59,47 @@ STATS_SQL = ", ".join(STATS)
 ALL_SQL = ", ".join(STATS + GRADED)
 
 
-def tallied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The horses counted by family, and the club's by trainer as well, staged: every grade derives from this one pass."""
-    ours = F.col("owner") == CLUB
-    keys = [F.when(ours, F.col(c)).alias(c) for c in T]
-    sums = [F.count(F.lit(1)).alias("n_horses"), *[F.sum(c).alias(c) for c in ("wins", "starts", "prize")]]
-    return staged(horses(spark, sf_dir).groupBy(*FAM, F.coalesce(ours, F.lit(False)).alias("club"), *keys).agg(*sums), "tally")
+def stats(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    return statistics(horses(spark, sf_dir), F.col("owner") == CLUB, kinds, OWN_SHARE)
 
 
-def counted_rows(spark, sf_dir, tally):
-    """Rows with ``club`` and the column of their counts, if they are a tally."""
-    if tally is not None:
-        return tally, "n_horses"
-    return horses(spark, sf_dir).withColumn("club", F.coalesce(F.col("owner") == CLUB, F.lit(False))), None
+def ranks(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    """The rank build of some kinds: one pass over the horses for all of them."""
+    return rank_build(horses(spark, sf_dir), F.col("owner") == CLUB, kinds, OWN_SHARE)
 
 
-def club_stats(spark, sf_dir, keys, tally=None):
-    rows, counted = counted_rows(spark, sf_dir, tally)
-    return entity_stats(named(rows.where("club"), keys), keys, 2, counted=counted)
+def of_kind(rows: DataFrame, kind: str) -> DataFrame:
+    return rows.where(F.col("kind") == kind)
 
 
-def overall_families(spark: SparkSession, sf_dir: str, tally: DataFrame | None = None) -> DataFrame:
-    """All horses of the families that the club has, with the club's count and share."""
-    rows, counted = counted_rows(spark, sf_dir, tally)
-    rows = named(rows, FAM)
-    ours = rows.where("club").select("family_code").distinct()
-    club_horses = F.sum(F.when(F.col("club"), F.col(counted) if counted else F.lit(1)).otherwise(0).cast("long"))
-    return with_share(entity_stats(rows.join(ours, "family_code", "left_semi"), FAM, 1, {"club_horses": club_horses}, counted), least=OWN_SHARE)
+def family_index(rows: DataFrame, kind: str, *values: str) -> DataFrame:
+    """The last row of each family name of a kind, with where the name first stands."""
+    return name_index(of_kind(rows, kind), "family", ["family_code"], list(values))
 
 
 @query(f"{W} SELECT trainer, trainer_code, {STATS_SQL} FROM ({CLUB_TRAINERS})")
 def entity_stats_trainer(spark, sf_dir):
-    return club_stats(spark, sf_dir, T).select(*T, *STATS)
+    return stats(spark, sf_dir, "trainer").select(*T, *STATS)
 
 
 @query(f"{W} SELECT trainer, trainer_code, {ALL_SQL} FROM ({GT})")
 def grade_trainer(spark, sf_dir):
-    return graded(club_stats(spark, sf_dir, T), 20, ["trainer_code", "trainer"]).select(*T, *STATS, *GRADED)
+    return ranks(spark, sf_dir, "trainer").select(*T, *STATS, *GRADED)
 
 
 @query(f"{W} SELECT family, family_code, {STATS_SQL} FROM ({CLUB_FAMILIES})")
 def entity_stats_family(spark, sf_dir):
-    return club_stats(spark, sf_dir, FAM).select(*FAM, *STATS)
+    return stats(spark, sf_dir, "family").select(*FAM, *STATS)
 
 
 @query(f"{W} SELECT family, family_code, {STATS_SQL}, club_horses, club_share, club_unique FROM ({SHARED})")
 def family_overall_semijoin(spark, sf_dir):
-    return overall_families(spark, sf_dir).select(*FAM, *STATS, "club_horses", "club_share", "club_unique")
+    return stats(spark, sf_dir, "overall").select(*FAM, *STATS, "club_horses", "club_share", "club_unique")
 
 
 @query(f"{W} SELECT family, family_code, club_horses, {ALL_SQL} FROM ({GO_})")
 def grade_family_overall(spark, sf_dir):
-    return graded(overall_families(spark, sf_dir), 15, ["family_code", "family"]).select(*FAM, "club_horses", *STATS, *GRADED)
+    return ranks(spark, sf_dir, "overall").select(*FAM, "club_horses", *STATS, *GRADED)
 
 
 OWN = grades(f"SELECT * FROM ({SHARED}) WHERE club_unique", 0, "family_code, family", (0.20, 0.50, 0.80))
@@ -116,14 +107,18 @@ OWN = grades(f"SELECT * FROM ({SHARED}) WHERE club_unique", 0, "family_code, fam
 
 @query(f"{W} SELECT a.family, a.family_code, a.club_unique, o.rank AS own_rank, o.grade AS own_grade FROM ({SHARED}) a LEFT JOIN ({OWN}) o ON a.family = o.family AND a.family_code = o.family_code")
 def unique_family_grade(spark, sf_dir):
-    every = overall_families(spark, sf_dir)
-    own = graded(every.where("club_unique"), 0, ["family_code", "family"], steps=OWN_GRADES).select(*FAM, F.col("rank").alias("own_rank"), F.col("grade").alias("own_grade"))
-    return every.select(*FAM, "club_unique").join(own, FAM, "left")
+    return own_grades(ranks(spark, sf_dir, "overall", "own"))
+
+
+def own_grades(rows: DataFrame) -> DataFrame:
+    """Overall families with their grade among the club's own: both stand in one table, so one aggregate brings them together."""
+    own = lambda c: F.max(F.when(F.col("kind") == "own", F.col(c))).alias(f"own_{c}")
+    return rows.where("kind IN ('overall', 'own')").groupBy(*FAM).agg(F.max("club_unique").alias("club_unique"), own("rank"), own("grade"))
 
 
 @query(f"{W} SELECT trainer || '|' || family AS cross_key, trainer, family, family_code, {ALL_SQL} FROM ({GX})")
 def cross_stats_grade(spark, sf_dir):
-    return graded(club_stats(spark, sf_dir, X2), 10, ["family_code", "trainer", "family"]).select(F.concat_ws("|", "trainer", "family").alias("cross_key"), *X2, *STATS, *GRADED)
+    return ranks(spark, sf_dir, "cross").select(F.concat_ws("|", "trainer", "family").alias("cross_key"), *X2, *STATS, *GRADED)
 
 
 INDEX = f"SELECT family, family_code, grade, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY (rank IS NULL) DESC, rank DESC, composite_raw, family_code DESC) AS last FROM ({GF})) WHERE last = 1"
@@ -131,7 +126,7 @@ INDEX = f"SELECT family, family_code, grade, rank, score FROM (SELECT *, row_num
 
 @query(f"{W} {INDEX}")
 def name_index_last_wins(spark, sf_dir):
-    return name_index(graded(club_stats(spark, sf_dir, FAM), 15, ["family_code", "family"]), "family", ["family_code"], ["family_code", "grade", "rank", "score"]).drop("first_place")
+    return family_index(ranks(spark, sf_dir, "family"), "family", "family_code", "grade", "rank", "score").drop("first_place")
 
 
 @query(f"{W} SELECT CAST(count(*) AS BIGINT) AS n_horses, CAST(sum(CASE WHEN coalesce(active, '0') = '0' THEN 1 ELSE 0 END) AS BIGINT) AS n_active, CAST(sum(wins) AS BIGINT) AS wins, CAST(sum(starts) AS BIGINT) AS starts FROM horses WHERE owner = {CLUB}")
@@ -182,18 +177,35 @@ def match_score(spark, sf_dir):
 
 @query(f"SELECT query, name, score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, name) AS place FROM ({SCORED_SQL}) WHERE score > 0) WHERE place <= 10")
 def suggest_topk(spark, sf_dir):
-    return lookup.top_matches(*searches(spark, sf_dir), X.match_score, 10).select("query", "name", "score", "place")
+    queries, items = searches(spark, sf_dir)
+    return search.best(search.indexed(items, 10), queries).select("query", "name", "score", "place")
 
 
-MULTI = "SELECT 'trainer' AS category, s_name AS name FROM supplier UNION SELECT 'sire', p_type FROM part UNION SELECT 'family', p_name FROM part"
+MULTI_Q = ["pp", "Supplier#000000001", "old", "7", "blue line", "zq"]
+ALIAS_SQL = "(SELECT p_name || ' line' AS alias, min(p_name) AS maps_to, 'S' AS manual FROM part WHERE p_size < 8 GROUP BY 1)"
+_scored_sql = lambda items, cols: f"SELECT query, {cols}, CAST({SCORE_SQL} AS INTEGER) AS score FROM (SELECT query, q, n, {cols}, (SELECT count(*) FROM generate_series(1, length(q)) g(i) WHERE contains(n, substr(q, CAST(i AS BIGINT), 1))) AS h FROM (SELECT unnest({MULTI_Q!r}) AS query), LATERAL (SELECT lower(replace(query, ' ', '')) AS q), (SELECT *, lower(replace(name, ' ', '')) AS n FROM ({items})))"
+MULTI = f"SELECT 'trainer' AS category, s_name AS name, 0 AS later FROM supplier UNION SELECT 'sire', p_type, 0 FROM part UNION SELECT 'family', p_name, 0 FROM part UNION SELECT 'family', alias, 1 FROM {ALIAS_SQL}"
+BY_NAME_SQL = f"SELECT query, category, name, score, CAST(row_number() OVER (PARTITION BY query, category ORDER BY score DESC, later, name) AS INTEGER) AS place FROM ({_scored_sql(MULTI, 'category, name, later')}) WHERE score > 0"
+CROSS_ITEMS = f"SELECT trainer, family, rank AS ord FROM ({GX}) WHERE grade <> 'U'"
+CROSS_HIT_SQL = " UNION ".join(f"SELECT query, cross_key, ord FROM ({_scored_sql(f'SELECT trainer, family, ord, {side} AS name, trainer || chr(124) || family AS cross_key FROM ({CROSS_ITEMS})', 'cross_key, ord')}) WHERE score > 0" for side in ("trainer", "family"))
 
 
-@query(f"SELECT category, name, score FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, name) AS k FROM (SELECT *, CASE WHEN lower(replace(name, ' ', '')) = 'pp' THEN 100 WHEN starts_with(lower(replace(name, ' ', '')), 'pp') THEN 80 WHEN contains(lower(replace(name, ' ', '')), 'pp') THEN 60 WHEN contains(lower(name), 'p') THEN 22 ELSE 0 END AS score FROM ({MULTI})) WHERE score > 0) WHERE k <= 8")
+@query(f"{W} SELECT query, category, name, score, place FROM ({BY_NAME_SQL}) WHERE place <= 8 UNION ALL SELECT query, 'cross', cross_key, NULL, place FROM (SELECT query, cross_key, CAST(row_number() OVER (PARTITION BY query ORDER BY ord, cross_key) AS INTEGER) AS place FROM ({CROSS_HIT_SQL})) WHERE place <= 8")
 def multi_search(spark, sf_dir):
+    """The eight best trainers, sires and families, aliases among these, of each query, and the first eight crosses of which either name scores."""
     part, supplier = read(spark, sf_dir, "part"), read(spark, sf_dir, "supplier")
-    of = lambda df, category, name: df.select(F.lit(category).alias("category"), F.col(name).alias("name")).distinct()
-    items = of(supplier, "trainer", "s_name").unionByName(of(part, "sire", "p_type")).unionByName(of(part, "family", "p_name")).withColumn("ord", F.col("name"))
-    return lookup.top_matches(spark.createDataFrame([("pp",)], "query string"), items, X.match_score, 8).select("category", "name", "score")
+    queries = spark.createDataFrame([(q,) for q in MULTI_Q], "query string")
+    of = lambda df, category, name, later, key=None: df.select(F.lit(category).alias("category"), name.alias("name"), F.struct(F.lit(later).alias("place") if isinstance(later, int) else later.alias("place"), (key if key is not None else name).alias("key")).alias("ord")).distinct()
+    crosses = staged(of_kind(ranks(spark, sf_dir, "cross"), "cross").where("grade <> 'U'").select("trainer", "family", "rank"), "crosses")
+    key = F.concat_ws("|", "trainer", "family")
+    items = [
+        of(supplier, "trainer", F.col("s_name"), 0), of(part, "sire", F.col("p_type"), 0), of(part, "family", F.col("p_name"), 0), of(part.where("p_size < 8"), "family", F.concat("p_name", F.lit(" line")), 1),
+        of(crosses, "cross trainer", F.col("trainer"), F.col("rank"), key), of(crosses, "cross family", F.col("family"), F.col("rank"), key),
+    ]
+    index = search.indexed(reduce(DataFrame.unionByName, items), 8)
+    by_name = search.best(index, queries, 8, ["trainer", "sire", "family"]).select("query", "category", "name", "score", "place")
+    first = search.first_of(index, queries, 8, ["cross trainer", "cross family"])
+    return by_name.unionByName(first.select("query", F.lit("cross").alias("category"), F.col("ord.key").alias("name"), F.lit(None).cast("int").alias("score"), "place"))
 
 
 def prefixes(spark, sf_dir):
@@ -247,7 +259,7 @@ PRICE_PTS_SQL = _tier("price", R.PRICE_POINTS, -2)
 
 
 def weighed(spark, sf_dir):
-    return offers(spark, sf_dir).withColumn("weight", F.array_min(X.weights(F.col("text"))))
+    return offers(spark, sf_dir).withColumn("weights", X.weights(F.col("text"))).withColumn("weight", F.array_min("weights"))
 
 
 @query(f"{WO} SELECT id, {CONDITION_SQL} AS score, {HITS_SQL} AS hits FROM offers")
@@ -274,11 +286,11 @@ def sire_tier(spark, sf_dir):
     return sires(spark, sf_dir).withColumn("tier", R.sire_tier(F.col("sire_score")))
 
 
-INDEXED = "SELECT {name}, max_by(packed, pos) AS v, min(pos) AS pos FROM (SELECT *, {{'s': score, 'g': grade, 'u': {unique}}} AS packed, row_number() OVER (ORDER BY rank IS NULL, rank, composite_raw DESC, {ties}) AS pos FROM ({source})) GROUP BY {name}"
+INDEXED = "SELECT {name}, max_by(packed, pos) AS v, min(pos) AS pos FROM (SELECT *, {{'s': score, 'g': grade, 'r': rank, 'u': {unique}}} AS packed, row_number() OVER (ORDER BY rank IS NULL, rank, composite_raw DESC, {ties}) AS pos FROM ({source})) GROUP BY {name}"
 OVER_IDX = f"SELECT family, score, grade, club_unique FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY (rank IS NULL) DESC, rank DESC, composite_raw, family_code DESC) AS last FROM ({GO_})) WHERE last = 1"
-OWN_IDX = f"SELECT family, max_by(grade, rank) AS own_grade FROM ({OWN}) GROUP BY family"
+OWN_IDX = f"SELECT family, max_by(grade, rank) AS own_grade, max(rank) AS own_rank FROM ({OWN}) GROUP BY family"
 TRAINER_SQL = f"SELECT trainer, score, grade FROM ({GT})"
-CROSS_IDX = f"SELECT trainer, family, max_by(grade, rank) AS grade, max(rank) AS rank, min(rank) AS pos FROM ({GX}) WHERE grade <> 'U' GROUP BY trainer, family"
+CROSS_IDX = f"SELECT trainer, family, max_by(grade, rank) AS grade, max(rank) AS rank, max_by(win_rate_sm, rank) AS win_rate_sm, max_by(n_horses, rank) AS n_horses, min(rank) AS pos FROM ({GX}) WHERE grade <> 'U' GROUP BY trainer, family"
 
 
 def index_sql(source: str, name: str, ties: str, unique: str = "false") -> str:
@@ -298,14 +310,30 @@ ASKED_SQL = """asked AS (SELECT *, trim(replace(CASE WHEN id % 12 = 3 THEN 'nobo
   CASE WHEN id % 6 = 2 THEN 'unknown' WHEN id % 3 = 1 THEN sire || ' II' ELSE sire END AS sire_q, CASE id % 4 WHEN 0 THEN 's ' WHEN 1 THEN 'A' WHEN 2 THEN 'b' END AS label FROM offers)"""
 RULES_SQL = f"rules_t AS (WITH {PREFIX_SQL} SELECT name, ord, pts, CASE pts WHEN 4 THEN 'S' WHEN 3 THEN 'A' WHEN 2 THEN 'B' ELSE 'C' END AS grade FROM dims)"
 CROSS_RULE = "(starts_with(a.t, d.trainer) OR starts_with(d.trainer, a.t)) AND (contains(a.f, d.family) OR contains(d.family, a.f))"
-CROSS_FOUND = f"SELECT t, f, grade, rank FROM (SELECT a.t, a.f, d.grade, d.rank, row_number() OVER (PARTITION BY a.t, a.f ORDER BY CASE WHEN a.t = d.trainer AND a.f = d.family THEN 0 ELSE 1 END, d.pos) AS k FROM (SELECT DISTINCT trainer_q AS t, family_q AS f FROM asked WHERE trainer_q <> '' AND family_q <> '') a JOIN ({CROSS_IDX}) d ON {CROSS_RULE}) WHERE k = 1"
+#: The browser's rule: both names score 60 or more, so each asked name is a part of the listed one.
+NEAR_RULE = "contains(lower(replace({n}, ' ', '')), lower(replace({q}, ' ', '')))"
+FOUND_RULE = f"(a.t = d.trainer AND a.f = d.family) OR ({NEAR_RULE.format(q='a.t', n='d.trainer')} AND {NEAR_RULE.format(q='a.f', n='d.family')})"
+
+
+def cross_sql(rule: str) -> str:
+    return f"SELECT t, f, grade, rank, win_rate_sm, n_horses FROM (SELECT a.t, a.f, d.grade, d.rank, d.win_rate_sm, d.n_horses, row_number() OVER (PARTITION BY a.t, a.f ORDER BY CASE WHEN a.t = d.trainer AND a.f = d.family THEN 0 ELSE 1 END, d.pos) AS k FROM (SELECT DISTINCT trainer_q AS t, family_q AS f FROM asked WHERE trainer_q <> '' AND family_q <> '') a JOIN ({CROSS_IDX}) d ON {rule}) WHERE k = 1"
+
+
+CROSS_FOUND = cross_sql(CROSS_RULE)
 LABEL_OF = "CASE upper(trim(coalesce(label, ''))) WHEN 'S' THEN 6.0e0 WHEN 'A' THEN 4.5e0 WHEN 'B' THEN 3.0e0 WHEN 'C' THEN 1.5e0 ELSE 2.0e0 END"
-FULL_SQL = f"""{WO}, {ASKED_SQL}, {RULES_SQL}, cross_found AS ({CROSS_FOUND}), full_offers AS (SELECT o.*, f.v.s AS overall_score, f.v.g AS family_grade, coalesce(f.v.u, false) AS club_unique, c.score AS club_score, CASE WHEN f.v.u THEN w.own_grade END AS unique_grade,
-  CASE WHEN t.v.g <> 'U' THEN t.v.g ELSE coalesce(y.grade, 'C') END AS trainer_grade, CASE WHEN t.v.g <> 'U' THEN t.v.g ELSE coalesce(y.grade, t.v.g, 'U') END AS shown_grade, t.q IS NOT NULL OR y.q IS NOT NULL AS trainer_known,
-  CASE WHEN t.v.g <> 'U' THEN t.v.s ELSE coalesce(y.pts, 2.0e0) END AS trainer_pts, x.grade AS cross_grade, coalesce(s.sire_score, 2.0e0) AS sire_score, s.q IS NOT NULL AS sire_known, CASE WHEN coalesce(s.sire_score, 2.0e0) >= 3.5 THEN 'top' WHEN coalesce(s.sire_score, 2.0e0) >= 2.8 THEN 'mid' ELSE 'low' END AS sire_tier, CASE o.id % 5 WHEN 0 THEN 'S' WHEN 1 THEN 'B' END AS signature_grade
-  FROM asked o LEFT JOIN ({first_sql('asked', 'family_q', index_sql(GO_, 'family', 'family_code', 'club_unique'), 'family', PART_RULE, 'v')}) f ON o.family_q = f.q LEFT JOIN ({INDEX}) c ON f.matched = c.family LEFT JOIN ({OWN_IDX}) w ON f.matched = w.family
-  LEFT JOIN ({first_sql('asked', 'trainer_q', index_sql(GT, 'trainer', 'trainer_code'), 'trainer', PREFIX_RULE, 'v')}) t ON o.trainer_q = t.q LEFT JOIN ({first_sql('asked', 'trainer_q', 'SELECT * FROM rules_t', 'name', PREFIX_RULE, 'pts, grade', 'ord')}) y ON o.trainer_q = y.q
-  LEFT JOIN cross_found x ON o.trainer_q = x.t AND o.family_q = x.f LEFT JOIN ({first_sql('asked', 'sire_q', f'SELECT *, sire AS pos FROM {SIRES}', 'sire', 'contains({q}, {n})', 'sire_score')}) s ON o.sire_q = s.q)"""
+
+
+def full_sql(of_trainer: str, of_family: str, of_sire: str, of_cross: str) -> str:
+    return f"""{WO}, {ASKED_SQL}, {RULES_SQL}, cross_found AS ({cross_sql(of_cross)}), full_offers AS (SELECT o.*, f.v.s AS overall_score, f.v.g AS family_grade, f.v.r AS overall_rank, coalesce(f.v.u, false) AS club_unique, c.score AS club_score, c.grade AS club_grade, c.rank AS club_rank, CASE WHEN f.v.u THEN w.own_grade END AS unique_grade, CASE WHEN f.v.u THEN w.own_rank END AS own_rank,
+  CASE WHEN t.v.g <> 'U' THEN t.v.g ELSE coalesce(y.grade, 'C') END AS trainer_grade, CASE WHEN t.v.g <> 'U' THEN t.v.g ELSE coalesce(y.grade, t.v.g, 'U') END AS shown_grade, t.q IS NOT NULL OR y.q IS NOT NULL AS trainer_known, coalesce(t.v.g <> 'U', false) AS trainer_from_ranks,
+  CASE WHEN t.v.g <> 'U' THEN t.v.s ELSE coalesce(y.pts, 2.0e0) END AS trainer_pts, x.grade AS cross_grade, x.rank AS cross_rank, x.win_rate_sm AS cross_rate, x.n_horses AS cross_horses, coalesce(s.sire_score, 2.0e0) AS sire_score, s.q IS NOT NULL AS sire_known, CASE WHEN coalesce(s.sire_score, 2.0e0) >= 3.5 THEN 'top' WHEN coalesce(s.sire_score, 2.0e0) >= 2.8 THEN 'mid' ELSE 'low' END AS sire_tier, CASE o.id % 5 WHEN 0 THEN 'S' WHEN 1 THEN 'B' END AS signature_grade
+  FROM asked o LEFT JOIN ({first_sql('asked', 'family_q', index_sql(GO_, 'family', 'family_code', 'club_unique'), 'family', of_family, 'v')}) f ON o.family_q = f.q LEFT JOIN ({INDEX}) c ON f.matched = c.family LEFT JOIN ({OWN_IDX}) w ON f.matched = w.family
+  LEFT JOIN ({first_sql('asked', 'trainer_q', index_sql(GT, 'trainer', 'trainer_code'), 'trainer', of_trainer, 'v')}) t ON o.trainer_q = t.q LEFT JOIN ({first_sql('asked', 'trainer_q', 'SELECT * FROM rules_t', 'name', of_trainer, 'pts, grade', 'ord')}) y ON o.trainer_q = y.q
+  LEFT JOIN cross_found x ON o.trainer_q = x.t AND o.family_q = x.f LEFT JOIN ({first_sql('asked', 'sire_q', f'SELECT *, sire AS pos FROM {SIRES}', 'sire', of_sire, 'sire_score')}) s ON o.sire_q = s.q)"""
+
+
+FULL_SQL = full_sql(PREFIX_RULE, PART_RULE, "contains({q}, {n})", CROSS_RULE)
+BROWSER_SQL = full_sql(NEAR_RULE, NEAR_RULE, NEAR_RULE, FOUND_RULE)
 _bonus = lambda g: f"CASE {g} WHEN 'S' THEN 1.5e0 WHEN 'A' THEN 1.0e0 WHEN 'B' THEN 0.5e0 ELSE 0.2e0 END"
 FAMILY_SQL = f"CASE WHEN family_q = '' THEN {LABEL_OF} ELSE coalesce(round(CASE WHEN overall_score IS NOT NULL AND club_score IS NOT NULL THEN 0.55e0 * overall_score + 0.45e0 * club_score ELSE coalesce(overall_score, club_score) END + CASE WHEN overall_score IS NOT NULL AND club_unique THEN {_bonus('unique_grade')} ELSE 0e0 END, 2), 0e0) END"
 SCORED_OFFERS = f"""SELECT *, floor(10000 / (greatest(price * 10000, 1) / 12)) AS b FROM (SELECT *, round(least(22e0, family_pts + trainer_pts + cross_pts + sire_score + condition_pts + price_pts), 2) AS total, status <> '満口' AND price <= 4.0 AS eligible FROM (
@@ -322,10 +350,9 @@ def asked_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(o.withColumns({"trainer_q": X.norm_name(typed), "family_q": X.norm_name(family), "sire_q": X.norm_name(sire), "label": label}), "offers")
 
 
-def cross_index(spark, sf_dir, tally=None):
+def cross_index(rows):
     """Graded crosses by their names: the values of the last row, and the rank of the first."""
-    rows = graded(club_stats(spark, sf_dir, X2, tally), 10, ["family_code", "trainer", "family"]).where("grade <> 'U'")
-    return rows.groupBy("trainer", "family").agg(F.max_by("grade", "rank").alias("grade"), F.max("rank").alias("rank"), F.min("rank").alias("first"))
+    return of_kind(rows, "cross").where("grade <> 'U'").groupBy("trainer", "family").agg(F.max_by("grade", "rank").alias("grade"), F.max("rank").alias("rank"), F.min("rank").alias("first"), F.max_by("win_rate_sm", "rank").alias("win_rate_sm"), F.max_by("n_horses", "rank").alias("n_horses"))
 
 
 def rule_trainers(spark, sf_dir):
@@ -334,41 +361,57 @@ def rule_trainers(spark, sf_dir):
     return prefixes(spark, sf_dir).withColumn("grade", letter)
 
 
-def full_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def families_of(rows: DataFrame) -> DataFrame:
+    """Overall families by name with what the club's and the own table say of that name, from one aggregate: of each kind the last row counts."""
+    c = F.col
+    place = F.struct(c("rank").isNull(), F.coalesce("rank", F.lit(0)), (-c("composite_raw")), "family_code")
+    last = lambda kind, *values: F.max_by(F.when(c("kind") == kind, F.struct(*values)), F.when(c("kind") == kind, place)).alias(kind)
+    first = F.min(F.when(c("kind") == "overall", place)).alias("first_place")
+    named = rows.where("kind IN ('overall', 'family', 'own')").where(~X.blank(c("family")))
+    out = named.groupBy("family").agg(last("overall", "score", "grade", "rank", "club_unique"), last("family", "score", "grade", "rank").alias("club"), last("own", "grade", "rank"), first).where("overall IS NOT NULL")
+    return out.select("family", "overall.*", *[c(f"club.{v}").alias(f"club_{v}") for v in ("score", "grade", "rank")], *[c(f"own.{v}").alias(f"own_{v}") for v in ("grade", "rank")], "first_place")
+
+
+def near_score(q, n):
+    return X.match_score(q, n) >= 60
+
+
+def full_offers(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None, browser: bool = False) -> DataFrame:
     """Offers with the grades and scores that the lookups find for their family, trainer, cross and sire.
 
-    Two passes over the horses: one for the offers, one for the tally that all grades derive from.
+    Two passes over the horses: one for the offers, one for the rank build that all
+    grades derive from (``rows`` where there is one already). All names but those of crosses are looked up together;
+    near names are prefixes and parts, or, as the ``browser`` finds them, those that score 60 or more.
     """
     c = F.col
-    o, tally = asked_offers(spark, sf_dir), tallied(spark, sf_dir)
-    every = overall_families(spark, sf_dir, tally)
-    over = name_index(graded(every, 15, ["family_code", "family"]), "family", ["family_code"], ["score", "grade", "club_unique"])
-    own = graded(every.where("club_unique"), 0, ["family_code", "family"], steps=OWN_GRADES).groupBy("family").agg(F.max_by("grade", "rank").alias("own_grade"))
-    club = name_index(graded(club_stats(spark, sf_dir, FAM, tally), 15, ["family_code", "family"]), "family", ["family_code"], ["score"])
-    over = over.join(club.select("family", c("score").alias("club_score")), "family", "left").join(own, "family", "left")
-    trainers = name_index(graded(club_stats(spark, sf_dir, T, tally), 20, ["trainer_code", "trainer"]), "trainer", ["trainer_code"], ["score", "grade"])
-    over, trainers, graded_crosses = staged(over, "families"), staged(trainers, "trainers"), staged(cross_index(spark, sf_dir, tally), "crosses")
-
-    def found(query, *rest):
-        return lookup.matches(o.select(c(query).alias("__q")), *rest)
-
-    def joined(rows, query, matches, name):
-        return rows.join(matches.select(c("__q").alias(query), c("m").alias(name)), query, "left")
-
-    family = found("family_q", over, "family", "first_place", ["score", "grade", "club_unique", "club_score", "own_grade"], lookup.either_contains)
-    family = family.select(c("__q").alias("family_q"), c("m.score").alias("overall_score"), c("m.grade").alias("family_grade"), "m.club_unique", "m.club_score", "m.own_grade")
-    rows = o.join(family, "family_q", "left")
-    rows = joined(rows, "trainer_q", found("trainer_q", trainers, "trainer", "first_place", ["score", "grade"], lookup.both_prefixes), "t")
-    rows = joined(rows, "trainer_q", found("trainer_q", rule_trainers(spark, sf_dir), "name", "ord", ["pts", "grade"], lookup.both_prefixes), "y")
-    rows = joined(rows, "sire_q", found("sire_q", sires(spark, sf_dir), "sire", "sire", ["sire_score"], lookup.query_contains), "s")
+    o, rows = asked_offers(spark, sf_dir), staged(ranks(spark, sf_dir, *KINDS), "ranks") if rows is None else rows
+    over = families_of(rows)
+    trainers = name_index(of_kind(rows, "trainer"), "trainer", ["trainer_code"], ["score", "grade"])
+    of_trainer, of_family, of_sire = (near_score,) * 3 if browser else (lookup.both_prefixes, lookup.either_contains, lookup.query_contains)
+    norm = {"norm": X.norm_kana} if browser else {}
+    listings = {
+        "f": lookup.Listing(over, "family", "first_place", ["score", "grade", "rank", "club_unique", "club_score", "club_grade", "club_rank", "own_grade", "own_rank"], of_family, **norm),
+        "t": lookup.Listing(trainers, "trainer", "first_place", ["score", "grade"], of_trainer, **norm),
+        "y": lookup.Listing(rule_trainers(spark, sf_dir), "name", "ord", ["pts", "grade"], of_trainer, **norm),
+        "s": lookup.Listing(sires(spark, sf_dir), "sire", "sire", ["sire_score"], of_sire, **norm),
+    }
+    asked = {"f": "family_q", "t": "trainer_q", "y": "trainer_q", "s": "sire_q"}
+    queries = o.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), c(q).alias("__q")) for k, q in asked.items()])))
+    found = staged(lookup.matches_of_kinds(queries, listings), "found")
+    rows_of = o
+    for k, q in asked.items():
+        rows_of = rows_of.join(found.where(c("kind") == k).select(c("__q").alias(q), k), q, "left")
     names = o.select(c("trainer_q").alias("trainer"), c("family_q").alias("family")).distinct()
-    crosses = lookup.first_cross(names, graded_crosses, "first", ["grade"])
-    rows = rows.join(crosses.select(c("trainer").alias("trainer_q"), c("family").alias("family_q"), c("grade").alias("cross_grade")), ["trainer_q", "family_q"], "left")
+    crosses = lookup.first_cross(names, cross_index(rows), "first", ["grade", "rank", "win_rate_sm", "n_horses"], of_trainer, of_family, *norm.values())
+    crosses = crosses.select(c("trainer").alias("trainer_q"), c("family").alias("family_q"), F.when(c("grade").isNotNull(), F.struct("grade", "rank", "win_rate_sm", "n_horses")).alias("cross_record"))
+    rows = rows_of.join(crosses, ["trainer_q", "family_q"], "left").withColumns({"overall_score": c("f.score"), "family_grade": c("f.grade"), "overall_rank": c("f.rank"), **{v: c(f"f.{v}") for v in ("club_unique", "club_score", "club_grade", "club_rank", "own_grade", "own_rank")}, "cross_grade": c("cross_record.grade")})
     sure = F.coalesce(c("t.grade") != "U", F.lit(False))
     rows = rows.withColumns(
         {
             "club_unique": F.coalesce("club_unique", F.lit(False)),
             "unique_grade": F.when(c("club_unique"), c("own_grade")),
+            "own_rank": F.when(c("club_unique"), c("own_rank")),
+            "trainer_from_ranks": sure,
             "trainer_grade": F.when(sure, c("t.grade")).otherwise(F.coalesce("y.grade", F.lit("C"))),
             "shown_grade": F.when(sure, c("t.grade")).otherwise(F.coalesce("y.grade", "t.grade", F.lit("U"))),
             "trainer_known": c("t").isNotNull() | c("y").isNotNull(),
@@ -380,25 +423,20 @@ def full_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     looked_up = scoring.family_points(c("overall_score"), c("club_score"), c("club_unique"), c("unique_grade"))
     family_pts = F.when(c("family_q") == "", R.label_score(c("label"))).otherwise(looked_up)
-    return rows.withColumns({"sire_tier": R.sire_tier(c("sire_score")), "family_pts": family_pts}).drop("t", "y", "s")
+    return rows.withColumns({"sire_tier": R.sire_tier(c("sire_score")), "family_pts": family_pts}).drop("f", "t", "y", "s")
 
 
 @query(f"{WO}, {ASKED_SQL}, cross_found AS ({CROSS_FOUND}) SELECT id, x.grade, x.rank FROM asked LEFT JOIN cross_found x ON trainer_q = x.t AND family_q = x.f")
 def cross_lookup(spark, sf_dir):
     asked = asked_offers(spark, sf_dir).select("id", F.col("trainer_q").alias("trainer"), F.col("family_q").alias("family"))
-    return lookup.first_cross(asked, cross_index(spark, sf_dir), "first", ["grade", "rank"]).select("id", "grade", "rank")
+    return lookup.first_cross(asked, cross_index(ranks(spark, sf_dir, "cross")), "first", ["grade", "rank"]).select("id", "grade", "rank")
 
 
-#: The browser's rule: both names score 60 or more, so each asked name is a part of the listed one.
-FOUND_RULE = "contains(lower(replace(d.trainer, ' ', '')), lower(replace(a.t, ' ', ''))) AND contains(lower(replace(d.family, ' ', '')), lower(replace(a.f, ' ', '')))"
-
-
-@query(f"{WO}, {ASKED_SQL}, cross_found AS ({CROSS_FOUND.replace(CROSS_RULE, f'(a.t = d.trainer AND a.f = d.family) OR ({FOUND_RULE})')}) SELECT id, x.grade FROM asked LEFT JOIN cross_found x ON trainer_q = x.t AND family_q = x.f")
+@query(f"{WO}, {ASKED_SQL}, cross_found AS ({cross_sql(FOUND_RULE)}) SELECT id, x.grade FROM asked LEFT JOIN cross_found x ON trainer_q = x.t AND family_q = x.f")
 def find_cross(spark, sf_dir):
     """The exact cross, else the first of which both names score 60 or more."""
-    near = lambda q, n: X.match_score(q, n) >= 60
     asked = asked_offers(spark, sf_dir).select("id", F.col("trainer_q").alias("trainer"), F.col("family_q").alias("family"))
-    return lookup.first_cross(asked, cross_index(spark, sf_dir), "first", ["grade"], near, near, X.norm_kana).select("id", "grade")
+    return lookup.first_cross(asked, cross_index(ranks(spark, sf_dir, "cross")), "first", ["grade"], near_score, near_score, X.norm_kana).select("id", "grade")
 
 
 @query(f"{FULL_SQL} SELECT id, family_q, family_grade, club_unique, unique_grade, {FAMILY_SQL} AS family_pts FROM full_offers")
@@ -409,14 +447,43 @@ def family_points(spark, sf_dir):
 PARTS = "family_pts, trainer_pts, cross_pts, sire_score, condition_pts, price_pts, total, eligible"
 
 
-@query(f"{FULL_SQL} SELECT id, name, {PARTS}, CAST(CASE WHEN total >= 16 THEN least(4, greatest(2, greatest(1, b))) WHEN total >= 13 THEN least(2, greatest(1, b)) ELSE 1 END AS INTEGER) AS units FROM ({SCORED_OFFERS})")
+UNITS_SQL = "CASE WHEN total >= 16 THEN least(4, greatest(2, greatest(1, b))) WHEN total >= 13 THEN least(2, greatest(1, b)) ELSE 1 END"
+UNITS_TEXT_SQL = f"CASE WHEN {UNITS_SQL} > 1 THEN '1〜' || CAST(CAST({UNITS_SQL} AS INTEGER) AS VARCHAR) || '口' ELSE '1口（様子見）' END"
+FLAGS_SQL = "concat_ws(',', CASE WHEN status = '満口' THEN 'status:満口' END, CASE WHEN price > 4.0 THEN 'price_over:' || CAST(price AS VARCHAR) END)"
+
+
+@query(f"{FULL_SQL} SELECT id, name, {PARTS}, CAST({UNITS_SQL} AS INTEGER) AS units, {UNITS_TEXT_SQL} AS recommend_units, {FLAGS_SQL} AS skip_flags FROM ({SCORED_OFFERS})")
 def score_candidates(spark, sf_dir):
-    return scoring.scored(full_offers(spark, sf_dir)).select("id", "name", *PARTS.split(", "), "units")
+    rows = scoring.scored(full_offers(spark, sf_dir))
+    return rows.select("id", "name", *PARTS.split(", "), "units", R.units_text(F.col("units")).alias("recommend_units"), F.array_join("skip_flags", ",").alias("skip_flags"))
+
+
+RECORD = ["b_family", "b_trainer", "b_trainer_grade", "b_trainer_source", "b_cross", "b_sire", "b_condition", "b_price", "f_source", "f_label", "f_unique", "f_unique_grade", "f_unique_rank", "f_overall_grade", "f_overall_rank", "f_club_grade", "f_club_rank"]
+_named = "CASE WHEN family_q <> '' THEN {} END"
+RECORD_SQL = f"""SELECT id, total, round(family_pts, 2) AS b_family, round(trainer_pts, 2) AS b_trainer, trainer_grade AS b_trainer_grade, CASE WHEN trainer_from_ranks THEN 'db' ELSE 'yaml' END AS b_trainer_source, round(cross_pts, 2) AS b_cross, round(sire_score, 2) AS b_sire, round(condition_pts, 2) AS b_condition, round(price_pts, 2) AS b_price,
+  CASE WHEN family_q = '' THEN 'label' WHEN family_grade IS NOT NULL OR club_grade IS NOT NULL THEN 'db' ELSE 'none' END AS f_source, CASE WHEN family_q = '' THEN label END AS f_label, club_unique AND family_q <> '' AS f_unique, {_named.format('unique_grade')} AS f_unique_grade, {_named.format('own_rank')} AS f_unique_rank,
+  family_grade AS f_overall_grade, overall_rank AS f_overall_rank, club_grade AS f_club_grade, club_rank AS f_club_rank, cross_grade, cross_rank, cross_rate, cross_horses, {HITS_SQL} AS hits, coalesce(CAST(weight AS VARCHAR), '') AS weights_kg, {UNITS_TEXT_SQL} AS recommend_units FROM ({SCORED_OFFERS})"""
+
+
+@query(f"{FULL_SQL} {RECORD_SQL}")
+def score_records(spark, sf_dir):
+    """All that a score is made of: the breakdown and the records of family, cross and condition, as columns."""
+    rows = scoring.recorded(scoring.scored(full_offers(spark, sf_dir)))
+    parts = [F.col(("breakdown." if c[0] == "b" else "family_record.") + c[2:]).alias(c) for c in RECORD]
+    cross = [F.col(f"cross_record.{v}").alias(n) for v, n in (("grade", "cross_grade"), ("rank", "cross_rank"), ("win_rate_sm", "cross_rate"), ("n_horses", "cross_horses"))]
+    told = [F.array_join(f"condition_record.{v}", ",").alias(v) for v in ("hits", "weights_kg")]
+    return rows.select("id", "total", *parts, *cross, *told, "recommend_units")
+
+
+@query(f"{FULL_SQL} SELECT pool, name, CAST(k AS INTEGER) AS rank, CASE k WHEN 1 THEN '本命' WHEN 2 THEN '控え' ELSE CAST(k AS VARCHAR) || '位' END AS label FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY CAST(round(total * 100) AS BIGINT) DESC, name) AS k FROM ({SCORED_OFFERS}) WHERE eligible)")
+def rank_eligible(spark, sf_dir):
+    """Ranks of the offers without any flag."""
+    return scoring.ranked(scoring.scored(full_offers(spark, sf_dir)), only_eligible=True).select("pool", "name", "rank", "label")
 
 
 @query(f"{FULL_SQL} SELECT pool, name, total, eligible, CAST(k AS INTEGER) AS rank, CASE WHEN NOT eligible THEN '見送り' WHEN k = 1 THEN '本命' WHEN k = 2 THEN '控え' ELSE CAST(k AS VARCHAR) || '位' END AS label FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY CAST(round(total * 100) AS BIGINT) DESC, name, eligible DESC) AS k FROM ({SCORED_OFFERS}))")
 def rank_candidates(spark, sf_dir):
-    return scoring.ranked(staged(scoring.scored(full_offers(spark, sf_dir)).select("pool", "name", "total", "eligible"), "scored")).select("pool", "name", "total", "eligible", "rank", "label")
+    return scoring.ranked(scoring.scored(full_offers(spark, sf_dir)).select("pool", "name", "total", "eligible")).select("pool", "name", "total", "eligible", "rank", "label")
 
 
 HARD_SQL = "CASE WHEN status = '満口' THEN '満口' WHEN price > 4.0 THEN '一口4万円超は原則見送り' WHEN " + " OR ".join(f"contains(text, '{k}')" for k in R.HARD) + " THEN '近況に重大リスク語' END"
@@ -482,7 +549,7 @@ def weight_band(spark, sf_dir):
 
 @query(f"{W}, {PREFIX_SQL}, both_sides AS (SELECT coalesce(d.trainer, y.name) AS trainer, d.grade, d.score, y.pts FROM ({GT}) d FULL JOIN dims y ON d.trainer = y.name) SELECT trainer, CASE WHEN grade <> 'U' THEN grade WHEN pts IS NOT NULL THEN 'Y' ELSE grade END AS effective_grade, CASE WHEN grade <> 'U' THEN 'db' WHEN pts IS NOT NULL THEN 'yaml' ELSE 'db' END AS effective_source, CASE WHEN grade <> 'U' THEN score WHEN pts IS NOT NULL THEN pts ELSE score END AS effective_score FROM both_sides")
 def effective_trainer(spark, sf_dir):
-    db = graded(club_stats(spark, sf_dir, T), 20, ["trainer_code", "trainer"]).select("trainer", "grade", "score")
+    db = ranks(spark, sf_dir, "trainer").select("trainer", "grade", "score")
     both = db.join(prefixes(spark, sf_dir).select(F.col("name").alias("trainer"), "pts"), "trainer", "full_outer")
     sure, listed = F.coalesce(F.col("grade") != "U", F.lit(False)), F.col("pts").isNotNull()
     pick = lambda a, b: F.when(sure, a).when(listed, b).otherwise(a)
@@ -491,8 +558,8 @@ def effective_trainer(spark, sf_dir):
 
 @query(f"{W} SELECT f.family, f.grade AS overall_grade, f.score AS overall_score, c.grade AS club_grade, c.score AS club_score FROM ({OVER_IDX}) f LEFT JOIN ({INDEX}) c ON f.family = c.family")
 def family_report(spark, sf_dir):
-    over = name_index(graded(overall_families(spark, sf_dir), 15, ["family_code", "family"]), "family", ["family_code"], ["grade", "score"])
-    club = name_index(graded(club_stats(spark, sf_dir, FAM), 15, ["family_code", "family"]), "family", ["family_code"], ["grade", "score"])
+    rows = ranks(spark, sf_dir, "overall", "family")
+    over, club = family_index(rows, "overall", "grade", "score"), family_index(rows, "family", "grade", "score")
     return over.select("family", F.col("grade").alias("overall_grade"), F.col("score").alias("overall_score")).join(club.select("family", F.col("grade").alias("club_grade"), F.col("score").alias("club_score")), "family", "left")
 
 
@@ -500,24 +567,31 @@ def family_report(spark, sf_dir):
 def combo_lists(spark, sf_dir):
     of = lambda df, combo, kind, name: df.select(F.lit(combo).alias("combo"), F.lit(kind).alias("kind"), name.alias("name"))
     good = F.col("grade").isin("S", "A")
-    trainers = graded(club_stats(spark, sf_dir, T), 20, ["trainer_code", "trainer"]).where(good)
-    crosses = graded(club_stats(spark, sf_dir, X2), 10, ["family_code", "trainer", "family"]).where(good)
-    over = name_index(graded(overall_families(spark, sf_dir), 15, ["family_code", "family"]), "family", ["family_code"], ["grade"]).where(good)
+    rows = ranks(spark, sf_dir, "trainer", "cross", "overall")
+    trainers, crosses = of_kind(rows, "trainer").where(good), of_kind(rows, "cross").where(good)
+    over = family_index(rows, "overall", "grade").where(good)
     top = sires(spark, sf_dir).where(R.sire_tier(F.col("sire_score")) == "top")
     return of(trainers, "C1", "trainer", F.col("trainer")).unionByName(of(crosses, "C2", "cross", F.concat_ws("|", "trainer", "family"))).unionByName(of(over, "C3", "family", F.col("family"))).unionByName(of(top, "C3", "sire", F.col("sire")))
 
 
-@query(f"{FULL_SQL} SELECT id, concat_ws(',', CASE WHEN NOT trainer_known AND trainer_q <> '' THEN 'trainer' END, CASE WHEN NOT sire_known THEN 'sire' END, CASE WHEN family_q <> '' AND family_grade IS NULL AND family_q <> 'zz' THEN 'family' END, CASE WHEN family_grade IS NULL AND family_q = 'zz' THEN 'alias' END, CASE WHEN family_q <> '' AND trainer_q <> '' AND cross_grade IS NULL THEN 'cross' END) AS notes FROM full_offers")
+NOTES_SQL = "concat_ws(',', CASE WHEN NOT trainer_known AND trainer_q <> '' THEN 'trainer' END, CASE WHEN NOT sire_known THEN 'sire' END, CASE WHEN family_q <> '' AND family_grade IS NULL AND family_q <> 'zz' THEN 'family' END, CASE WHEN family_grade IS NULL AND family_q = 'zz' THEN 'alias' END, CASE WHEN family_q <> '' AND trainer_q <> '' AND cross_grade IS NULL THEN 'cross' END)"
+
+
+@query(f"{FULL_SQL} SELECT id, {NOTES_SQL} AS notes FROM full_offers")
 def followup_notes(spark, sf_dir):
-    """What to follow up: names that no table has, and a family known by an alias only."""
+    return noted(full_offers(spark, sf_dir)).select("id", "notes")
+
+
+def noted(rows):
+    """Offers with what to follow up: names that no table has, and a family known by an alias only."""
     c = F.col
-    rows = full_offers(spark, sf_dir).join(aliases(spark), c("family_q") == c("alias"), "left")
+    rows = rows.join(aliases(rows.sparkSession), c("family_q") == c("alias"), "left")
     asked, unknown = c("family_q") != "", c("family_grade").isNull()
     notes = [
         F.when(~c("trainer_known") & (c("trainer_q") != ""), "trainer"), F.when(~c("sire_known"), "sire"), F.when(asked & unknown & c("alias").isNull(), "family"),
         F.when(unknown & c("alias").isNotNull(), "alias"), F.when(asked & (c("trainer_q") != "") & c("cross_grade").isNull(), "cross"),
     ]
-    return rows.select("id", F.concat_ws(",", *notes).alias("notes"))
+    return rows.withColumn("notes", F.concat_ws(",", *notes)).drop("alias", "manual", "suggests")
 
 
 def aliases(spark):
@@ -561,16 +635,10 @@ def ledger_delete(spark, sf_dir):
 
 @query(f"WITH {ENTRIES_SQL} SELECT user_id, id, CAST({OPENING} + sum(CASE WHEN type = 'income' THEN amount ELSE -amount END) OVER (PARTITION BY user_id ORDER BY date, id) AS BIGINT) AS balance FROM entries")
 def ledger_running_balance(spark, sf_dir):
-    """An extension: the balance after each entry of an account. Only the entries of one day are ordered in a task; days carry their sums."""
+    """An extension: the balance after each entry of an account, by sums of ranges of its dates, so that one account fills many tasks."""
     change = F.when(F.col("type") == "income", F.col("amount")).otherwise(-F.col("amount"))
     rows = entries(spark, sf_dir).select("user_id", "id", "date", change.alias("change"))
-    upto = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    days = rows.groupBy("user_id", "date").agg(F.sum("change").alias("sum"))
-    before = (F.coalesce(F.sum("sum").over(upto(["user_id"], "date")), F.lit(0)) - F.coalesce("sum", F.lit(0))).alias("before")
-    days = days.select(F.col("user_id").alias("u"), F.col("date").alias("d"), before)
-    rows = rows.join(days, F.col("user_id").eqNullSafe(F.col("u")) & F.col("date").eqNullSafe(F.col("d")))
-    of_day = F.coalesce(F.sum("change").over(upto(["user_id", "date"], "id")), F.lit(0))
-    return rows.select("user_id", "id", (OPENING + F.col("before") + of_day).cast("long").alias("balance"))
+    return running_sum(rows, ["user_id"], [F.col("date"), F.col("id")], "change", "sum").select("user_id", "id", (OPENING + F.col("sum")).cast("long").alias("balance"))
 
 
 @query("SELECT coalesce(c_custkey, k) AS id, CASE WHEN k IS NULL THEN c_name ELSE n END AS name, CASE WHEN k IS NOT NULL AND k % 2 = 0 THEN '' ELSE c_mktsegment END AS latest FROM customer FULL JOIN (SELECT c_custkey * 3 AS k, 'new' || CAST(c_custkey AS VARCHAR) AS n FROM customer) ON c_custkey = k")
@@ -583,9 +651,22 @@ def candidate_upsert(spark, sf_dir):
 
 @query("SELECT c_custkey AS id, coalesce(n, 0) AS n_reports, latest FROM customer LEFT JOIN (SELECT o_custkey, CAST(count(*) AS BIGINT) AS n, max_by(o_orderpriority, lpad(CAST(o_orderkey AS VARCHAR), 12, '0')) AS latest FROM orders GROUP BY 1) ON c_custkey = o_custkey")
 def condition_append(spark, sf_dir):
+    """Reports are a log of their own; what a record shows is an aggregate of it."""
+    store = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit(None).cast("string").alias("latest"))
+    return ledger.latest(store, reports(spark, sf_dir), "id").select("id", "n_reports", "latest")
+
+
+def reports(spark, sf_dir):
+    """Orders as condition reports on their customer."""
+    return read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("at"), F.col("o_orderpriority").alias("text"), F.lit("").alias("note"))
+
+
+@query("SELECT c_custkey AS id, coalesce(history, '') AS history FROM customer LEFT JOIN (SELECT o_custkey, string_agg(lpad(CAST(o_orderkey AS VARCHAR), 12, '0') || ' ' || o_orderpriority, ',' ORDER BY o_orderkey) AS history FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+def condition_history(spark, sf_dir):
+    """The nested form, on demand: each record with its reports in order."""
     store = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit(None).cast("string").alias("latest"), F.lit(None).cast("array<struct<at:string,text:string,note:string>>").alias("history"))
-    reports = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("at"), F.col("o_orderpriority").alias("text"), F.lit("").alias("note"))
-    return ledger.appended(store, reports, "id").select("id", F.size("history").cast("long").alias("n_reports"), "latest")
+    told = F.transform("history", lambda h: F.concat_ws(" ", h["at"], h["text"]))
+    return ledger.appended(store, reports(spark, sf_dir), "id").select("id", F.array_join(told, ",").alias("history"))
 
 
 @query("SELECT DISTINCT coalesce(nullif(o_orderpriority, ''), 'default') AS pool FROM orders ORDER BY pool")

@@ -8,24 +8,21 @@ from pyspark.sql import functions as F
 from tallyworks.functions import rules as R
 from tallyworks.functions import text as X
 from tallyworks.operators import ledger, lookup, scoring
-from tallyworks.operators.grade import graded, name_index
+from tallyworks.operators.grade import KINDS
 from tallyworks.plans import registry as Q
 from tallyworks.plans.horses import CLUB, horses, offers, read
 from tallyworks.plans.registry import query
+from tallyworks.sources.staging import staged
 
 GRADE_ORDER = "CASE grade WHEN 'S' THEN 0 WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 3 WHEN 'U' THEN 4 ELSE 9 END"
 
 
 def trainers(spark: SparkSession, sf_dir: str):
-    return graded(Q.club_stats(spark, sf_dir, Q.T), 20, ["trainer_code", "trainer"])
-
-
-def crosses(spark: SparkSession, sf_dir: str):
-    return graded(Q.club_stats(spark, sf_dir, Q.X2), 10, ["family_code", "trainer", "family"])
+    return Q.ranks(spark, sf_dir, "trainer")
 
 
 def families(spark: SparkSession, sf_dir: str):
-    return name_index(graded(Q.overall_families(spark, sf_dir), 15, ["family_code", "family"]), "family", ["family_code"], ["score", "grade"])
+    return Q.family_index(Q.ranks(spark, sf_dir, "overall"), "overall", "score", "grade")
 
 
 @query(f"{Q.W} SELECT trainer, trainer_code, grade, score, CAST({Q._points(R.POINTS['trainer'], 'grade')} AS INTEGER) AS pts FROM ({Q.GT}) ORDER BY {GRADE_ORDER}, score DESC, trainer")
@@ -42,26 +39,20 @@ def sire_report(spark, sf_dir):
 
 @query(f"{Q.W} SELECT trainer || '|' || family AS cross_key, grade, score, n_horses, CAST({Q._points(R.POINTS['cross'], 'grade')} AS INTEGER) AS pts FROM ({Q.GX}) WHERE grade <> 'U' ORDER BY {GRADE_ORDER}, score DESC, cross_key")
 def cross_report(spark, sf_dir):
-    rows = crosses(spark, sf_dir).where("grade <> 'U'").select(F.concat_ws("|", "trainer", "family").alias("cross_key"), "grade", "score", "n_horses", R.points(R.POINTS["cross"], F.col("grade")).alias("pts"))
+    rows = Q.ranks(spark, sf_dir, "cross").where("grade <> 'U'").select(F.concat_ws("|", "trainer", "family").alias("cross_key"), "grade", "score", "n_horses", R.points(R.POINTS["cross"], F.col("grade")).alias("pts"))
     return rows.orderBy(R.grade_order(F.col("grade")), F.desc("score"), "cross_key")
 
 
 @query(f"{Q.W} SELECT kind, grade, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'trainer' AS kind, grade FROM ({Q.GT}) UNION ALL SELECT 'family', grade FROM ({Q.GF}) UNION ALL SELECT 'overall', grade FROM ({Q.GO_}) UNION ALL SELECT 'cross', grade FROM ({Q.GX})) GROUP BY kind, grade")
 def rank_build_counts(spark, sf_dir):
     """The whole rank build, counted by kind and grade."""
-    club = graded(Q.club_stats(spark, sf_dir, Q.FAM), 15, ["family_code", "family"])
-    overall = graded(Q.overall_families(spark, sf_dir), 15, ["family_code", "family"])
-    every = None
-    for kind, df in (("trainer", trainers(spark, sf_dir)), ("family", club), ("overall", overall), ("cross", crosses(spark, sf_dir))):
-        part = df.select(F.lit(kind).alias("kind"), "grade")
-        every = part if every is None else every.unionByName(part)
-    return every.groupBy("kind", "grade").agg(F.count(F.lit(1)).alias("n"))
+    return Q.ranks(spark, sf_dir, "trainer", "family", "overall", "cross").groupBy("kind", "grade").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{Q.W} SELECT '{{\"family\":\"' || family || '\",\"grade\":\"' || grade || '\",\"rank\":' || CAST(rank AS VARCHAR) || '}}' AS entry FROM ({Q.INDEX}) WHERE grade <> 'U'")
 def slim_index(spark, sf_dir):
     """The graded part of an index as JSON with the fields that readers need."""
-    rows = name_index(graded(Q.club_stats(spark, sf_dir, Q.FAM), 15, ["family_code", "family"]), "family", ["family_code"], ["grade", "rank"])
+    rows = Q.family_index(Q.ranks(spark, sf_dir, "family"), "family", "grade", "rank")
     return rows.where("grade <> 'U'").select(F.to_json(F.struct("family", "grade", "rank")).alias("entry"))
 
 
@@ -92,15 +83,16 @@ def signature_lookup(spark, sf_dir):
   SELECT p_partkey, m.family AS matched, m.grade AS overall_grade, c.grade AS club_grade FROM (SELECT p_partkey, d.family, d.grade, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN d.family = q THEN 0 ELSE 1 END, d.ord) AS k FROM asked LEFT JOIN dims d ON contains(q, d.family) OR contains(d.family, q)) m LEFT JOIN ({Q.INDEX}) c ON m.family = c.family WHERE m.k = 1""")
 def family_rekey(spark, sf_dir):
     """A part of a name finds the overall family; the club's entry is looked up by the name found."""
-    dims = families(spark, sf_dir).withColumn("ord", F.col("family"))
+    rows = Q.ranks(spark, sf_dir, "overall", "family")
+    dims = Q.family_index(rows, "overall", "grade").withColumn("ord", F.col("family"))
     asked = read(spark, sf_dir, "part").select("p_partkey", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("q"))
     found = lookup.first_match(asked, "q", dims, "family", "ord", ["grade"], lookup.either_contains)
-    club = name_index(graded(Q.club_stats(spark, sf_dir, Q.FAM), 15, ["family_code", "family"]), "family", ["family_code"], ["grade"])
+    club = Q.family_index(rows, "family", "grade")
     found = found.select("p_partkey", "matched", F.col("grade").alias("overall_grade"))
     return found.join(club.select(F.col("family").alias("matched"), F.col("grade").alias("club_grade")), "matched", "left").select("p_partkey", "matched", "overall_grade", "club_grade")
 
 
-ALIAS_SQL = "(SELECT p_name || ' line' AS alias, min(p_name) AS maps_to, 'S' AS manual FROM part WHERE p_size < 8 GROUP BY 1)"
+ALIAS_SQL = Q.ALIAS_SQL
 
 
 @query(f"{Q.W} SELECT p_partkey, CASE WHEN f.family IS NOT NULL THEN 'hit' WHEN a.alias IS NOT NULL THEN 'alias' ELSE 'missing' END AS found, coalesce(f.grade, a.manual) AS grade FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name || ' line' END AS q FROM part) LEFT JOIN ({Q.OVER_IDX}) f ON q = f.family LEFT JOIN {ALIAS_SQL} a ON q = a.alias")
@@ -124,30 +116,6 @@ def find_by_score(spark, sf_dir):
     return lookup.first_match(asked, "q", dims, "name", "ord", [], near, norm=X.norm_kana).select("s_suppkey", F.col("matched").alias("found"))
 
 
-PROFILES = [("light", 1, 405, 470), ("middle", 2, 420, 480), ("heavy", 3, 430, 500)]
-PROFILES_SQL = "(VALUES " + ", ".join(f"('{n}', {k}, {a}, {b})" for n, k, a, b in PROFILES) + ") AS p(profile, k, low, high)"
-DEFAULT_PROFILE = ("default", 430, 500)
-PROFILED_SQL = f"SELECT id, weight, CAST(coalesce(max(low), {DEFAULT_PROFILE[1]}) AS INTEGER) AS low, CAST(coalesce(min(high), {DEFAULT_PROFILE[2]}) AS INTEGER) AS high, coalesce(string_agg(DISTINCT profile, ',' ORDER BY profile), '{DEFAULT_PROFILE[0]}') AS profiles FROM offers LEFT JOIN {PROFILES_SQL} ON trainer_code % 4 = k OR length(sire) % 4 = k GROUP BY id, weight"
-
-
-def offer_profiles(rows, *keys):
-    bands = rows.sparkSession.createDataFrame(PROFILES, "profile string, k int, low int, high int")
-    return scoring.profiled(rows, bands, (F.col("trainer_code") % 4 == F.col("k")) | (F.length("sire") % 4 == F.col("k")), list(keys), DEFAULT_PROFILE)
-
-
-@query(f"{Q.WO} SELECT id, low, high, profiles FROM ({PROFILED_SQL})")
-def weight_profiles(spark, sf_dir):
-    """The profiles that the trainer or the sire of an offer names, each once, and what all of them allow; the default one where none is named."""
-    return offer_profiles(offers(spark, sf_dir), "id")
-
-
-@query(f"{Q.WO} SELECT id, CASE WHEN weight IS NULL THEN 'no weight' WHEN weight > high THEN '上限注意' WHEN weight < low THEN '下限注意' WHEN weight <= 420 OR weight >= 520 THEN '警戒線付近' ELSE 'OK帯' END || CASE WHEN weight <= 420 THEN ' / light_weight' ELSE '' END || ' / ' || low || '-' || high || CASE WHEN low > high THEN ' / profiles disagree' ELSE '' END AS judgement FROM ({PROFILED_SQL})")
-def weight_judgement(spark, sf_dir):
-    """Band, light alert and what the profiles allow, together."""
-    rows = offer_profiles(Q.weighed(spark, sf_dir), "id", "weight")
-    return rows.select("id", scoring.weight_judgement(F.col("weight"), F.col("low"), F.col("high")).alias("judgement"))
-
-
 @query(f"{Q.WO} SELECT id, CAST(CASE WHEN price <= 2.0 THEN 2 WHEN price < 2.5 THEN 1 WHEN price <= 3.5 THEN 0 WHEN price > 4.0 THEN NULL ELSE -1 END AS INTEGER) AS pts, CAST(CASE verdict WHEN 'GO' THEN CASE WHEN price <= 2.0 THEN 2 ELSE 1 END WHEN 'HOLD' THEN 1 ELSE 0 END AS INTEGER) AS units FROM (SELECT *, CASE id % 3 WHEN 0 THEN 'GO' WHEN 1 THEN 'HOLD' ELSE 'PASS' END AS verdict FROM offers)")
 def legacy_units(spark, sf_dir):
     verdict = F.when(F.col("id") % 3 == 0, "GO").when(F.col("id") % 3 == 1, "HOLD").otherwise("PASS")
@@ -232,8 +200,7 @@ def _near(asked: str, dim: str) -> str:
     return f"(SELECT * FROM (SELECT a.*, d.*, row_number() OVER (PARTITION BY a.p_partkey ORDER BY CASE WHEN d.name = a.q THEN 0 ELSE 1 END, d.ord) AS k FROM {asked} a LEFT JOIN ({dim}) d ON d.name = a.q OR {HOLDS}) WHERE k = 1)"
 
 
-def near_score(q, n):
-    return X.match_score(q, n) >= 60
+near_score = Q.near_score
 
 
 @query(f"WITH asked AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN lower(substr(p_type, 1, length(p_type) - 1)) ELSE 'nobody' END AS q FROM part) SELECT p_partkey, coalesce(name, q) AS sire, coalesce(sire_score, {SIRE_DEFAULT}e0) AS score, CASE WHEN name IS NULL THEN 'low' ELSE {Q.TIER_SQL} END AS tier, name IS NULL AS unlisted FROM {_near('asked', f'SELECT sire AS name, sire AS ord, sire_score FROM {Q.SIRES}')}")
@@ -308,7 +275,7 @@ def decision_report(spark, sf_dir):
 
 SET_SQL = "CASE id % 7 WHEN 0 THEN 'S' WHEN 1 THEN 'auto' WHEN 2 THEN 'C' END"
 LINE_SQL = f"(SELECT f.family AS suggests, coalesce(w.own_grade, f.grade) AS suggested FROM ({Q.OVER_IDX}) f LEFT JOIN ({Q.OWN_IDX}) w ON f.family = w.family WHERE f.family = 'old bolt')"
-BY_HAND_SQL = f"""{Q.FULL_SQL}, known AS (SELECT o.*, CASE WHEN o.family_q = 'zz' THEN 'A' END AS manual, CASE WHEN o.family_q = 'zz' THEN s.suggested END AS suggested FROM full_offers o LEFT JOIN {LINE_SQL} s ON true),
+BY_HAND_SQL = f"""{Q.BROWSER_SQL}, known AS (SELECT o.*, CASE WHEN o.family_q = 'zz' THEN 'A' END AS manual, CASE WHEN o.family_q = 'zz' THEN s.suggested END AS suggested FROM full_offers o LEFT JOIN {LINE_SQL} s ON true),
   hand AS (SELECT id, weight, price, status, sire_tier, coalesce(CASE WHEN {SET_SQL} <> 'auto' THEN {SET_SQL} END, family_grade, manual, CASE WHEN family_q = '' THEN 'none' ELSE 'U' END) AS family_grade,
     CASE WHEN id % 9 = 0 THEN 'B' WHEN family_grade IS NOT NULL AND club_unique THEN coalesce(unique_grade, 'none') ELSE coalesce(manual, 'none') END AS unique_grade, CASE WHEN id % 13 = 0 THEN 'A' ELSE coalesce(cross_grade, 'none') END AS cross_grade,
     coalesce(signature_grade, suggested, 'none') AS signature_grade, CASE WHEN trainer_known THEN shown_grade WHEN trainer_q = '' THEN 'none' ELSE 'U' END AS trainer_grade FROM known),
@@ -321,12 +288,12 @@ BY_HAND_SQL = f"""{Q.FULL_SQL}, known AS (SELECT o.*, CASE WHEN o.family_q = 'zz
 
 @query(BY_HAND_SQL)
 def decide_by_hand(spark, sf_dir):
-    """Decisions with aliases, the signature that an alias suggests, and grades set by hand."""
+    """Decisions with aliases, the signature that an alias suggests, and grades set by hand; names are found by their scores."""
     c, k = F.col, F.col("id")
-    own = Q.unique_family_grade(spark, sf_dir).groupBy("family").agg(F.max_by("own_grade", "own_rank").alias("own_grade"))
-    lines = families(spark, sf_dir).join(Q.aliases(spark).select(c("suggests").alias("family")), "family", "left_semi").join(own, "family", "left")
+    ranks = staged(Q.ranks(spark, sf_dir, *KINDS), "ranks")
+    lines = Q.families_of(ranks).join(Q.aliases(spark).select(c("suggests").alias("family")), "family", "left_semi")
     named = Q.aliases(spark).join(lines.select(c("family").alias("suggests"), F.coalesce("own_grade", "grade").alias("suggested")), "suggests", "left")
-    rows = Q.full_offers(spark, sf_dir).join(F.broadcast(named.select("alias", "manual", "suggested")), c("family_q") == c("alias"), "left")
+    rows = Q.full_offers(spark, sf_dir, ranks, browser=True).join(F.broadcast(named.select("alias", "manual", "suggested")), near_score(c("family_q"), c("alias")), "left")
     typed = {
         "overall_set": F.when(k % 7 == 0, "S").when(k % 7 == 1, "auto").when(k % 7 == 2, "C"),
         "unique_set": F.when(k % 9 == 0, "B"),
@@ -337,13 +304,62 @@ def decide_by_hand(spark, sf_dir):
     return scoring.by_hand(rows.withColumns(typed)).select("id", "points", F.array_join("combos", ",").alias("combos"), "hard", "verdict")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{kind}', '{k}', CAST({v} AS INTEGER))" for kind, table in R.POINTS.items() for k, v in table.items()) + ") AS t(kind, grade, pts)")
+_values = lambda rows: "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
+POINT_ROWS = [(k, g, p) for k, t in R.POINTS.items() for g, p in t.items()]
+USED_SQL = " UNION ALL ".join(f"SELECT '{k}' AS component, coalesce({c}, 'none') AS grade FROM full_offers" for k, c in Q.GRADE_COLS)
+
+
+@query(f"{Q.FULL_SQL} SELECT p.component, p.grade, CAST(p.pts AS INTEGER) AS pts, CAST(count(u.grade) AS BIGINT) AS n_offers FROM {_values(POINT_ROWS)} AS p(component, grade, pts) LEFT JOIN ({USED_SQL}) u ON p.component = u.component AND p.grade = u.grade GROUP BY ALL")
 def points_sheet(spark, sf_dir):
-    """The points that each grade of each component counts."""
-    return R.points_table(spark)
+    """The points of each grade of each component, and how many offers have them."""
+    graded = F.inline(F.array(*[F.struct(F.lit(k).alias("component"), F.coalesce(F.col(c), F.lit("none")).alias("grade")) for k, c in Q.GRADE_COLS]))
+    used = Q.full_offers(spark, sf_dir).select(graded).groupBy("component", "grade").agg(F.count(F.lit(1)).alias("n_offers"))
+    return F.broadcast(R.points_table(spark)).join(used, ["component", "grade"], "left").select("component", "grade", "pts", F.coalesce("n_offers", F.lit(0)).alias("n_offers"))
+
+
+LABEL_ROWS = [(kind, code, *names) for kind, t in (("grade", R.GRADE_LABELS), ("tier", R.TIER_LABELS)) for code, names in t.items()]
+RANKED_SQL = f"SELECT 'trainer' AS entity, 'grade' AS kind, grade AS code FROM ({Q.GT}) UNION ALL SELECT 'family', 'grade', grade FROM ({Q.GF}) UNION ALL SELECT 'overall', 'grade', grade FROM ({Q.GO_}) UNION ALL SELECT 'own', 'grade', grade FROM ({Q.OWN}) UNION ALL SELECT 'cross', 'grade', grade FROM ({Q.GX}) UNION ALL SELECT 'sire', 'tier', {Q.TIER_SQL} FROM {Q.SIRES}"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{kind}', '{k}', '{v[0]}', '{v[1]}', '{v[2]}')" for kind, table in (("grade", R.GRADE_LABELS), ("tier", R.TIER_LABELS)) for k, v in table.items()) + ") AS t(kind, code, label, short, hint)")
+@query(f"{Q.W} SELECT e.entity, l.code, l.label, l.short, l.hint, CAST(count(r.code) AS BIGINT) AS n FROM (SELECT DISTINCT entity, kind FROM ({RANKED_SQL})) e JOIN {_values(LABEL_ROWS)} AS l(kind, code, label, short, hint) ON e.kind = l.kind LEFT JOIN ({RANKED_SQL}) r ON r.entity = e.entity AND r.code = l.code GROUP BY ALL")
 def tiers_sheet(spark, sf_dir):
-    """All grades and tiers with their labels and hints."""
-    return R.labels_table(spark)
+    """The grades and tiers with their labels and hints, and how many entities of each kind have them."""
+    graded = Q.ranks(spark, sf_dir, *KINDS).select(F.col("kind").alias("entity"), F.lit("grade").alias("kind"), F.col("grade").alias("code"))
+    tiers = Q.sires(spark, sf_dir).select(F.lit("sire").alias("entity"), F.lit("tier").alias("kind"), R.sire_tier(F.col("sire_score")).alias("code"))
+    counts = graded.unionByName(tiers).groupBy("entity", "kind", "code").agg(F.count(F.lit(1)).alias("n"))
+    listed = counts.groupBy("entity", "kind").agg(F.map_from_entries(F.collect_list(F.struct("code", "n"))).alias("of"))
+    rows = listed.join(F.broadcast(R.labels_table(spark)), "kind")
+    return rows.select("entity", "code", "label", "short", "hint", F.coalesce(F.element_at("of", F.col("code")), F.lit(0)).alias("n"))
+
+
+HEADS = {"own": 30, "trainer": 25, "cross": 25}
+HEAD_COLS = "rank AS place, grade AS g, win_rate_sm AS smoothed, n_horses AS horses"
+
+
+@query(f"{Q.W} SELECT 'own' AS view, family AS name, {HEAD_COLS}, club_share AS share, club_horses AS ours FROM ({Q.OWN}) WHERE rank <= 30 UNION ALL SELECT 'trainer', trainer, {HEAD_COLS}, NULL, NULL FROM ({Q.GT}) WHERE rank <= 25 UNION ALL SELECT 'cross', trainer || '|' || family, {HEAD_COLS}, NULL, NULL FROM ({Q.GX}) WHERE rank <= 25")
+def rank_heads(spark, sf_dir):
+    """The heads of three rank tables as a page shows them: 30 own families, 25 trainers and 25 crosses, with the page's names."""
+    rows, own = Q.ranks(spark, sf_dir, *HEADS), F.col("kind") == "own"
+    head = rows.where(F.coalesce(*[F.when(F.col("kind") == k, F.col("rank") <= n) for k, n in HEADS.items()]))
+    name = F.when(own, F.col("family")).when(F.col("kind") == "trainer", F.col("trainer")).otherwise(F.concat_ws("|", "trainer", "family"))
+    shown = [F.col(a).alias(b) for a, b in (("rank", "place"), ("grade", "g"), ("win_rate_sm", "smoothed"), ("n_horses", "horses"))]
+    return head.select(F.col("kind").alias("view"), name.alias("name"), *shown, F.when(own, F.col("club_share")).alias("share"), F.when(own, F.col("club_horses")).alias("ours"))
+
+
+COMBO_POINTS_SQL = f"SELECT 'C1' AS combo, 'unique' AS component, family AS name, grade FROM ({Q.OWN}) UNION ALL SELECT 'C1', 'trainer', trainer, grade FROM ({Q.GT}) UNION ALL SELECT 'C2', 'cross', trainer || '|' || family, grade FROM ({Q.GX}) UNION ALL SELECT 'C3', 'family', family, grade FROM ({Q.GO_}) UNION ALL SELECT 'C3', 'sire', sire, {Q.TIER_SQL} FROM {Q.SIRES} UNION ALL SELECT 'C4', 'signature', line, grade FROM {LINES_SQL}"
+
+
+@query(f"{Q.W} SELECT combo, c.component, name, c.grade, CAST(pts AS INTEGER) AS pts FROM ({COMBO_POINTS_SQL}) c JOIN {_values(POINT_ROWS)} AS p(component, grade, pts) ON c.component = p.component AND c.grade = p.grade WHERE c.grade IN ('S', 'A', 'top')")
+def combo_sheet(spark, sf_dir):
+    """The entities that light each combination, with the points that their grade counts. C5 has none: it hangs on the price."""
+    rows = Q.ranks(spark, sf_dir, "own", "trainer", "cross", "overall")
+    of = {"own": ("C1", "unique", "family"), "trainer": ("C1", "trainer", "trainer"), "overall": ("C3", "family", "family")}
+    pick = lambda i: F.coalesce(*[F.when(F.col("kind") == k, F.lit(v[i])) for k, v in of.items()], F.lit(("C2", "cross")[i]))
+    name = F.coalesce(*[F.when(F.col("kind") == k, F.col(v[2])) for k, v in of.items()], F.concat_ws("|", "trainer", "family"))
+    entities = rows.select(pick(0).alias("combo"), pick(1).alias("component"), name.alias("name"), "grade")
+    sires = Q.sires(spark, sf_dir).select(F.lit("C3").alias("combo"), F.lit("sire").alias("component"), F.col("sire").alias("name"), R.sire_tier(F.col("sire_score")).alias("grade"))
+    grade = F.when(F.col("p_partkey") % 3 == 0, "S").when(F.col("p_partkey") % 3 == 1, "A").otherwise("B")
+    lines = read(spark, sf_dir, "part").where("p_size < 10").groupBy(F.col("p_name").alias("name")).agg(F.min(grade).alias("grade"))
+    lines = lines.select(F.lit("C4").alias("combo"), F.lit("signature").alias("component"), "name", "grade")
+    lit = entities.unionByName(sires).unionByName(lines).where(F.col("grade").isin("S", "A", "top"))
+    return lit.join(F.broadcast(R.points_table(spark)), ["component", "grade"]).select("combo", "component", "name", "grade", "pts")

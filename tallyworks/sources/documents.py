@@ -1,4 +1,4 @@
-"""JSON documents, bundles and database tables in and out."""
+"""JSON documents in and out."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from tallyworks.sources.store import Store
+
 REPORT = T.StructType([T.StructField(n, T.StringType()) for n in ("at", "text", "note")])
 CANDIDATE = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("id", "name", "sex", "trainer", "stable_area", "sire", "damsire", "status", "family_label", "family_mare", "maternal_granddam", "dam", "signature_line", "pool", "kinjou_latest")]
@@ -14,14 +16,6 @@ CANDIDATE = T.StructType(
 )
 
 
-def read_table(spark: SparkSession, url: str, table: str, partition: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 16, **options: str) -> DataFrame:
-    """A database table, read in parallel over ranges of a numeric column if one is given."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
-    if partition and bounds:
-        reader = reader.options(partitionColumn=partition, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(partitions))
-    return reader.load()
-
-
 def read_document(spark: SparkSession, path: str, schema: T.StructType, lines: bool = False) -> DataFrame:
     """A JSON document as a row, or its ``lines`` as rows; no row if it isn't there."""
     try:
@@ -79,21 +73,38 @@ def today_iso() -> Column:
     return F.date_format(F.current_date(), "yyyy-MM-dd")
 
 
-_ranks: dict[tuple, DataFrame] = {}
+_ranks: dict[tuple, tuple[tuple, DataFrame]] = {}
+
+
+def file_states(spark: SparkSession, path: str) -> tuple:
+    """Name, length and time of change of each file under a path; empty if there is nothing."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(context._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return ()
+    found, out = files.listFiles(at, True), []
+    while found.hasNext():
+        s = found.next()
+        out.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def cached_ranks(spark: SparkSession, path: str, table: str, lines: bool = False) -> DataFrame:
-    """``read_ranks`` kept in the executors' memory and disk until ``forget_ranks``."""
-    key = (spark.sparkContext.applicationId, path, table, lines)
-    if key not in _ranks:
-        _ranks[key] = read_ranks(spark, path, table, lines).persist()
-    return _ranks[key]
+    """``read_ranks`` kept in the executors' memory and disk for as long as the files are what they were; whoever writes them, the next call sees it."""
+    key, state = (spark.sparkContext.applicationId, path, table, lines), file_states(spark, f"{path}/{table}" if lines else path)
+    kept = _ranks.get(key)
+    if kept is None or kept[0] != state:
+        if kept is not None:
+            kept[1].unpersist()
+        _ranks[key] = state, read_ranks(spark, path, table, lines).persist()
+    return _ranks[key][1]
 
 
 def forget_ranks() -> None:
-    """The next reader sees what the files hold then."""
+    """Give up what is kept."""
     while _ranks:
-        (application, *_), df = _ranks.popitem()
+        (application, *_), (_, df) = _ranks.popitem()
         if df.sparkSession.sparkContext.applicationId == application:
             df.unpersist()
 
@@ -116,13 +127,8 @@ def read_axis(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_entries(entries: DataFrame, path: str) -> DataFrame:
-    """Write ledger entries, read them back and compare the counts; the rows as read."""
-    entries.write.mode("overwrite").parquet(path)
-    back = entries.sparkSession.read.schema(entries.schema).parquet(path)
-    wrote, found = entries.count(), back.count()
-    if wrote != found:
-        raise OSError(f"{found} of {wrote} entries can be read from {path}")
-    return back
+    """Publish ledger entries as the next version of a store; the rows as read back. The version before stays until it is pruned, and a write that fails changes nothing."""
+    return Store(entries.sparkSession, path, entries.schema).update(lambda _: entries)
 
 
 def write_candidates(df: DataFrame, path: str) -> None:
@@ -130,16 +136,6 @@ def write_candidates(df: DataFrame, path: str) -> None:
     df.withColumn("updated_at", now_iso()).write.mode("overwrite").json(path)
 
 
-def write_bundle(tables: dict[str, DataFrame], path: str, name: str = "CLUB_DATA") -> None:
-    """Small report tables as one script file, ``window.NAME = {...};``. The tables are aggregated dimensions."""
-    packed = None
-    for key, df in tables.items():
-        row = df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("v")).select(F.concat(F.lit(f'"{key}":'), "v").alias("part"))
-        packed = row if packed is None else packed.union(row)
-    text = packed.agg(F.array_join(F.sort_array(F.collect_list("part")), ",").alias("t")).select(F.concat(F.lit(f"window.{name} = {{"), "t", F.lit("};")).alias("value"))
-    text.write.mode("overwrite").text(path)
-
-
 def entries_from_json(text, schema: str = "opening struct<amount:long,date:string>, entries array<struct<id:string,date:string,name:string,type:string,amount:long,memo:string,createdAt:long>>"):
     """A ledger state column from JSON text; malformed text gives an empty state."""
     return F.coalesce(F.from_json(text, schema, {"mode": "PERMISSIVE"}), F.from_json(F.lit('{"entries":[]}'), schema))
