@@ -3,9 +3,12 @@
 Every document gets the base counts. For each (lang, source) the sketch of a
 ratio counts its rows by logarithmic buckets, which gives every quantile within
 1 % of its value; sketches merge by adding counts, per language and over all.
-The upper fence of a group is blended with that of its language, and the
+Each document's step of a ratio, by how much one more sign, window or line would move it, is sketched beside
+it. The upper fence of a group is its upper quartile and multiples of its own
+quartile distance and of its median step: what a group's texts vary by, and what can be told
+apart in texts of their length. No fence holds a value set beforehand. It is blended with that of its language, and the
 language's with that of all rows, the less so the more rows there are, and
-decides whether the document is kept. Counts are exact sums, so the same rows
+decides whether the document is kept. Documents that the base rule fails aren't sketched. Counts are exact sums, so the same rows
 always give the same fences, whatever the partitions and retries. Only
 DataFrame functions are used.
 
@@ -23,10 +26,10 @@ from pyspark.sql import functions as F
 from tallyworks.llm.common import WORD_BREAK, let, staged, words
 
 SYMBOLS = "#*$%&|<>"
-#: The judged ratios and the slack that is added to the fence of each, so that a group without spread keeps ordinary rows.
-SLACK = {"symbol_share": 0.05, "upper_share": 0.15, "repeat_share": 0.40, "dup_line_share": 0.40, "mean_word": 1.5}
-#: A fence is q75 + FENCE * (q75 - q25) + slack.
-FENCE = 4.0
+#: The judged ratios.
+RATIOS = ["symbol_share", "upper_share", "repeat_share", "dup_line_share", "mean_word"]
+#: A fence is q75 + FENCE * (q75 - q25) + STEPS * (the median step of the ratio).
+FENCE, STEPS = 4.0, 25.0
 #: The fence of a group counts by its rows against so many rows of its language's, and that of a language so against that of all rows.
 PRIOR_ROWS = 50
 #: Bucket i of a sketch holds the values over GAMMA^(i-1) up to GAMMA^i; zeros, and values below 1e-9, share the lowest one.
@@ -69,31 +72,40 @@ def measures(text: Column) -> Column:
     return let(
         raw,
         lambda m: F.struct(
-            m["w"]["n"].alias("n_words"), m["c"].alias("word_chars"), m["s"].alias("n_symbols"), m["l"]["d"].alias("n_dup_lines"), m["w"]["r"].alias("n_repeat_words"),
+            m["w"]["n"].alias("n_words"), m["c"].alias("word_chars"), m["s"].alias("n_symbols"), m["l"]["d"].alias("n_dup_lines"), m["w"]["r"].alias("n_repeat_words"), m["l"]["n"].alias("n_lines"),
             per(m["s"], m["c"]).alias("symbol_share"), per(m["u"], m["c"]).alias("upper_share"), per(m["w"]["r"], m["w"]["n"]).alias("repeat_share"), per(m["l"]["d"], m["l"]["n"]).alias("dup_line_share"), per(m["c"], m["w"]["n"]).alias("mean_word"),
         ),
     )
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def steps() -> dict[str, Column]:
+    """By how much one more symbol, acronym of three capitals, repeated window (six words at first) and line would move each ratio; of mean_word, the standard error if word lengths deviate by half their mean."""
+    one = lambda n: 1 / F.greatest(F.col(n), F.lit(1))
+    return {"symbol_share": one("word_chars"), "upper_share": 3 * one("word_chars"), "repeat_share": 6 * one("n_words"), "dup_line_share": one("n_lines"), "mean_word": F.col("mean_word") / 2 * F.sqrt(one("n_words"))}
+
+
 def sketched(measured: DataFrame) -> DataFrame:
-    """(lang, source, measure, bucket, n): the sketches of all groups."""
-    bucket = lambda c: F.when(F.col(c) > 1e-9, F.ceil(F.log(F.col(c)) / F.log(F.lit(GAMMA)))).otherwise(LOWEST).cast("int")
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), bucket(c).alias("bucket")) for c in SLACK]))
-    rows = measured.select("lang", "source", each.alias("s")).select("lang", "source", "s.*")
-    return rows.groupBy("lang", "source", "measure", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    """(lang, source, measure, step, bucket, n): the sketches of all groups, of the ratios and of their steps."""
+    bucket = lambda c: F.when(c > 1e-9, F.ceil(F.log(c) / F.log(F.lit(GAMMA)))).otherwise(LOWEST).cast("int").alias("bucket")
+    of = lambda name, is_step, c: F.struct(F.lit(name).alias("measure"), F.lit(is_step).alias("step"), bucket(c))
+    each = F.array(*[of(c, False, F.col(c)) for c in RATIOS], *[of(c, True, x) for c, x in steps().items()])
+    rows = measured.where(~base_failed()).select("lang", "source", F.inline(each))
+    return rows.groupBy("lang", "source", "measure", "step", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def bounds(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """(keys, measure, <name>, <name>_n): the fence q75 + FENCE * (q75 - q25) + slack of each merged sketch, and its rows."""
-    counts = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
-    group = [*keys, "measure"]
-    upto = F.sum("n").over(Window.partitionBy(*group).orderBy("bucket"))
-    counts = counts.withColumn("upto", upto).withColumn("of", F.sum("n").over(Window.partitionBy(*group)))
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("of"), F.col("bucket"))).alias(f"b{int(q * 100)}")
-    found = counts.groupBy(*group).agg(at(0.25), at(0.75), F.max("of").alias(f"{name}_n"))
+    """(keys, measure, <name>, <name>_n): the fence of each merged sketch, and its rows."""
+    counts = sketch.groupBy(*keys, "measure", "step", "bucket").agg(F.sum("n").alias("n"))
+    each = Window.partitionBy(*keys, "measure", "step")
+    counts = counts.withColumn("upto", F.sum("n").over(each.orderBy("bucket"))).withColumn("of", F.sum("n").over(each))
+    at = lambda q, step: F.min(F.when((F.col("step") == step) & (F.col("upto") >= q * F.col("of")), F.col("bucket"))).alias(f"b{int(q * 100)}")
+    found = counts.groupBy(*keys, "measure").agg(at(0.25, False), at(0.75, False), at(0.5, True), F.max("of").alias(f"{name}_n"))
     value = lambda c: F.when(F.col(c) == LOWEST, F.lit(0.0)).otherwise(2 * F.pow(F.lit(GAMMA), F.col(c)) / (GAMMA + 1))
-    slack = F.coalesce(*[F.when(F.col("measure") == c, F.lit(v)) for c, v in SLACK.items()])
-    return found.select(*group, (value("b75") + FENCE * (value("b75") - value("b25")) + slack).alias(name), f"{name}_n")
+    return found.select(*keys, "measure", (value("b75") + FENCE * (value("b75") - value("b25")) + STEPS * value("b50")).alias(name), f"{name}_n")
 
 
 def fences(measured: DataFrame) -> DataFrame:
@@ -103,10 +115,11 @@ def fences(measured: DataFrame) -> DataFrame:
     langs = bounds(sketch, ["lang"], "by_lang").select(F.col("lang").alias("l"), F.col("measure").alias("m"), "by_lang", "by_lang_n")
     out = bounds(sketch, ["lang", "source"], "own").join(langs, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m"))).drop("m")
     out = out.join(F.broadcast(whole), F.col("measure") == F.col("m"))  # five rows
-    blend = lambda own, n, wider: (F.col(n) * F.col(own) + PRIOR_ROWS * wider) / (F.col(n) + PRIOR_ROWS)
-    out = out.withColumn("fence", blend("own", "own_n", blend("by_lang", "by_lang_n", F.col("by_all"))))
-    wide = out.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == c, F.col("fence"))).alias(c) for c in SLACK])
-    return staged(wide.select(F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"), F.struct(*SLACK).alias("fence")), "fences")
+    # Fences are blended by their logarithms, so that a wide one beside doesn't carry a narrow one along; steps keep all of them above zero.
+    blend = lambda own, n, wider: (F.col(n) * F.log(own) + PRIOR_ROWS * wider) / (F.col(n) + PRIOR_ROWS)
+    out = out.withColumn("fence", F.exp(blend("own", "own_n", blend("by_lang", "by_lang_n", F.log("by_all")))))
+    wide = out.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == c, F.col("fence"))).alias(c) for c in RATIOS])
+    return staged(wide.select(F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"), F.struct(*RATIOS).alias("fence")), "fences")
 
 
 def judged(measured: DataFrame, fence: DataFrame) -> DataFrame:
@@ -118,8 +131,8 @@ def judged(measured: DataFrame, fence: DataFrame) -> DataFrame:
         salted = measured.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
         fence = fence.withColumn("fence_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         out = salted.join(fence, same & (F.col("salt") == F.col("fence_salt")), "left").drop("salt", "fence_salt")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    inside = [F.col(c) <= F.col(f"fence.{c}") for c in SLACK]
+    failed = base_failed()
+    inside = [F.col(c) <= F.col(f"fence.{c}") for c in RATIOS]
     kept = ~failed
     for x in inside:
         kept = kept & x
@@ -135,7 +148,7 @@ def measure(docs: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, the ratios, base_failed and kept for every document."""
     measured = measure(docs)
-    return judged(measured, fences(measured)).select("doc_id", *BASE, "base_failed", "kept", *SLACK)
+    return judged(measured, fences(measured)).select("doc_id", *BASE, "base_failed", "kept", *RATIOS)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

@@ -73,26 +73,47 @@ def test_quality_rules_fences_and_verdict(spark):
     for r in got.itertuples():
         rows.setdefault((r.lang, r.source), []).append(r)
 
-    def fence(values, slack):
-        b = sorted(-1100 if v <= 1e-9 else math.ceil(math.log(v) / math.log(1.02)) for v in values)
-        q1, q3 = (0.0 if x == -1100 else 2 * 1.02**x / 2.02 for x in (b[max(0, math.ceil(q * len(b)) - 1)] for q in (0.25, 0.75)))
-        exact = sorted(values)[max(0, math.ceil(0.75 * len(values)) - 1)]
-        assert abs(q3 - exact) <= 0.0101 * exact + 1e-9
-        return q3 + 4 * (q3 - q1) + slack
+    def quantile(values, q):
+        b = sorted(-1100 if v <= 1e-9 else math.ceil(math.log(v) / math.log(1.02)) for v in values)[max(0, math.ceil(q * len(values)) - 1)]
+        found, exact = 0.0 if b == -1100 else 2 * 1.02**b / 2.02, sorted(values)[max(0, math.ceil(q * len(values)) - 1)]
+        assert abs(found - exact) <= 0.0101 * exact + 1e-9
+        return found
+
+    lines = {r["doc_id"]: sum(1 for x in (r["text"] or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)) for r in docs.select("doc_id", "text").collect()}
+    step = {"symbol_share": lambda r: 1 / r.word_chars, "upper_share": lambda r: 3 / r.word_chars, "repeat_share": lambda r: 6 / r.n_words, "dup_line_share": lambda r: 1 / max(lines[r.doc_id], 1), "mean_word": lambda r: r.mean_word / 2 / math.sqrt(r.n_words)}
+
+    def fence(group, c):
+        q1, q3 = (quantile([getattr(r, c) for r in group], q) for q in (0.25, 0.75))
+        return q3 + 4 * (q3 - q1) + 25 * quantile([step[c](r) for r in group], 0.5)
 
     kept = {}
-    every = [r for g in rows.values() for r in g]
-    for (lang, _), group in rows.items():
-        of_lang = [r for r in every if r.lang == lang]
+    every = [r for g in rows.values() for r in g if not r.base_failed]
+    limits = {c: set() for c in quality_rules.RATIOS}
+    for (lang, _), members in rows.items():
+        group, of_lang = [r for r in members if not r.base_failed], [r for r in every if r.lang == lang]
         limit = {}
-        for c, slack in quality_rules.SLACK.items():
-            own, wide, whole = (fence([getattr(r, c) for r in g], slack) for g in (group, of_lang, every))
-            wide = (len(of_lang) * wide + 50 * whole) / (len(of_lang) + 50)
-            limit[c] = (len(group) * own + 50 * wide) / (len(group) + 50)
-        kept |= {r.doc_id: not r.base_failed and all(getattr(r, c) <= v for c, v in limit.items()) for r in group}
+        for c in quality_rules.RATIOS if group else ():
+            own, wide, whole = (fence(g, c) for g in (group, of_lang, every))
+            wide = (len(of_lang) * math.log(wide) + 50 * math.log(whole)) / (len(of_lang) + 50)
+            limit[c] = math.exp((len(group) * math.log(own) + 50 * wide) / (len(group) + 50))
+            limits[c].add(round(limit[c], 6))
+        kept |= {r.doc_id: not r.base_failed and all(getattr(r, c) <= v for c, v in limit.items()) for r in members}
+    assert all(len(v) > 3 for v in limits.values())  # no fence is one number in all groups
     assert kept == dict(zip(got["doc_id"], got["kept"])) == again.to_dict() and 0 < sum(kept.values()) < len(kept)
 
 
+def test_quality_rules_keep_what_is_ordinary_in_its_source(spark):
+    """Code has more symbols than junk among prose: both sources keep theirs, which no single cutoff does."""
+    words = [f"{a}{b}" for a in "abcdefghij" for b in ("an", "ore", "ipsum", "et", "lorum", "dolo", "tem", "quis")]
+    prose = lambda i, signs: " ".join(words[(i * 7 + k * k) % 80] + str(k) + ("#$%"[k % 3] if k < signs else "") for k in range(120))
+    code = lambda i: " ".join(words[(i * 11 + k * k) % 80] + str(k) + ("*" if (k + i) % 3 else "<>&") for k in range(120))
+    rows = [(i, prose(i, 40 if i % 20 == 0 else 0), "en", "prose") for i in range(400)] + [(1000 + i, code(i), "en", "code") for i in range(400)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas().set_index("doc_id")
+    junk = {i for i in range(400) if i % 20 == 0}
+    assert not got["base_failed"].any() and set(got.index[~got["kept"]]) == junk
+    assert got.loc[sorted(junk), "symbol_share"].max() < got.loc[1000:, "symbol_share"].min()
+
+
 def test_quality_rules_keep_clean_and_drop_junk(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     kept = quality_rules.keep_good(docs)
