@@ -6,9 +6,15 @@ and the best admissible one is stored as backpointer. The model at hand merges
 by rank, so the plain maximum of score sums would not give its pieces; a
 substring is therefore admissible only if the pair that it makes with the
 prefix's last piece would not be merged across (``Pieces.stands``), which leaves
-exactly the model's own segmentation. Characters that no piece has become
+exactly the model's own segmentation. As one substring at most is admissible at each place, the maximum over lengths only picks it. Characters that no piece has become
 their bytes.
 
+Words of over ``CHUNK`` characters are cut into overlapping chunks of that length,
+which advance together as words do. Two neighbours are joined at a place where both
+have a boundary and the two pieces beside it stay apart: pieces of which all neighbours stay apart are the model's
+own, so the joined ones are. Where neighbours have no such place, as in a run whose period the chunks miss, a chunk that begins
+at a boundary follows; such chunks repeat and are remembered.
+
 Defined cases: null and empty texts have no pieces; white space is kept as it
 is, but a mark (U+2581) in a text decodes to a space, as it does in the model's
 library; null ids stay null and ids of any size exact; repeated rows are encoded one by one; an empty table gives an empty
@@ -19,6 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -33,6 +40,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Longer units are cut where no piece has the two characters side by side.
 LONG = 24
+#: Longer stretches go through in chunks; a chunk begins so far after the one before, and shares so much with what is joined already.
+CHUNK, STRIDE, SHARED = 128, 64, 32
 SIEVE = 1 << 21
 
 
@@ -193,21 +202,62 @@ class Pieces:
 
     def learn(self, units: Iterable[str]) -> None:
         by_length = defaultdict(list)
-        whole = {}
-        for u in units:
-            if len(u) > LONG:
-                whole[u] = self.parts(u)
-        for u in {*(u for u in units if len(u) <= LONG), *(p for ps in whole.values() for p in ps)}:
-            if u not in self.words:
+        whole = {u: self.parts(u) for u in units if len(u) > LONG}
+        simple = {*(u for u in units if len(u) <= LONG), *(p for ps in whole.values() for p in ps if len(p) <= CHUNK)}
+        long = {p for ps in whole.values() for p in ps if len(p) > CHUNK} - self.words.keys()
+        chunks = {p[k : k + CHUNK] for p in long for k in range(0, len(p), STRIDE)}
+        paths: dict[str, list[int]] = {}
+        for u in simple | chunks:
+            if u not in self.words or u in chunks:
                 by_length[len(u)].append(u)
         for same in by_length.values():
             for low in range(0, len(same), 50_000):
                 block = same[low : low + 50_000]
                 for u, path in zip(block, self.viterbi(block)):
-                    self.words[u] = self.packed(u, path)
+                    if u in chunks:
+                        paths[u] = path
+                    if u in simple:
+                        self.words[u] = self.packed(u, path)
+        for p in long:
+            self.words[p] = self.packed(p, self.joined(p, paths))
         for u, ps in whole.items():
             self.words[u] = b"".join([self.words[p] for p in ps])
 
+    def joined(self, part: str, paths: dict[str, list[int]]) -> list[int]:
+        """The pieces of a long stretch from those of its chunks."""
+        ids, ends = [], [0]  # pieces so far, and the places where they end
+
+        def follow(start: int) -> bool:
+            """Go on with the chunk at ``start``, from a place where both have a boundary that stands."""
+            chunk = part[start : start + CHUNK]
+            if chunk not in paths:
+                paths[chunk] = self.viterbi([chunk])[0]
+            path, at = paths[chunk], start
+            low = bisect_left(ends, start)
+            place = {e: low + k for k, e in enumerate(ends[low:])}
+            meets = []
+            for k, i in enumerate(path):
+                if at in place:
+                    meets.append((place[at], k))
+                at += len(self.surface[i]) if i != self.none else 1
+            before = np.array([ids[e - 1] if e else self.none for e, _ in meets], dtype=np.int64)
+            stand = np.flatnonzero(self.stands(before, np.array([path[k] for _, k in meets], dtype=np.int64)))
+            if not len(stand):
+                return False
+            e, k = meets[stand[len(stand) // 2]]
+            del ids[e:], ends[e + 1 :]
+            for i in path[k:]:
+                ids.append(i)
+                ends.append(ends[-1] + (len(self.surface[i]) if i != self.none else 1))
+            return True
+
+        follow(0)
+        while ends[-1] < len(part):
+            near = ends[-1] - SHARED
+            if not follow(near // STRIDE * STRIDE) and not follow(ends[bisect_right(ends, near) - 1]):
+                return self.viterbi([part])[0]
+        return ids
+
     def packed(self, unit: str, path: list[int]) -> bytes:
         if self.none in path:
             ids, at = [], 0

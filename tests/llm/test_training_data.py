@@ -284,6 +284,38 @@ def test_sentencepiece(spark, docs, odd):
         assert sorted(((r["doc_id"] or -1, r["text"]) for r in pieces.decode(encoded, path).collect()), key=repr) == want
 
 
+def test_sentencepiece_long_words(spark, monkeypatch):
+    """Chunks join to the library's pieces, with runs whose period they miss and without any common boundary."""
+    import random
+    import time
+
+    import sentencepiece
+
+    path = common.tokenizer_file("piece_bpe_32k.model")
+    library, p, rnd = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Pieces(path), random.Random(2)
+    runs = [" " * 30_000, "w" * 30_000, "-" * 20_001, "ab" * 10_000, "abc" * 7_000, "aaab" * 5_000, "".join(rnd.choice("etaoinshr") for _ in range(20_000)), ("w" * 777 + "i" * 333) * 5, "日本\u2581" * 900]
+    mixed = ["".join(rnd.choice(["a", "th", "e", "-", "ing", "w" * rnd.randint(1, 40), "é", "日"]) for _ in range(300)) for _ in range(60)]
+    for t in runs + mixed:
+        began = time.time()
+        assert p.encode_batch([t])[0].tolist() == library.encode(t), t[:20]
+        assert time.time() - began < 10
+    monkeypatch.setattr(pieces, "SHARED", 1)  # hardly anything in common: starts over at boundaries or as a whole
+    again = pieces.Pieces(path)
+    assert all(again.encode_batch([t])[0].tolist() == library.encode(t) for t in [*mixed[:20], "w" * 999, "wwi" * 200])
+
+
+def test_sentencepiece_digest_on_odd_rows(odd):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=common.tokenizer_file("piece_bpe_32k.model"))
+    want = []
+    for d, t in odd.select("doc_id", "text").collect():
+        ids = library.encode(t or "")
+        want.append((d, len(ids), zlib.crc32(np.array(ids, dtype="<i4").tobytes()), library.decode(ids) == (t or "")))
+    got = [tuple(r) for r in pieces.digest(odd, "piece_bpe_32k.model").select("doc_id", "n_pieces", "ids_crc32", "round_trip").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_simhash(spark, docs, odd):
     import xxhash
 
