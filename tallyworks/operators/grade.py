@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyworks.operators.place import placed
+from tallyworks.operators.place import RANGED, placed
 from tallyworks.operators.stats import with_rates, with_share
-from tallyworks.sources.staging import staged
+from tallyworks.sources.staging import discard_named, staged
 
 GRADES = ((0.15, "S"), (0.40, "A"), (0.75, "B"))
 OWN_GRADES = ((0.20, "S"), (0.50, "A"), (0.80, "B"))
@@ -52,6 +52,7 @@ class Kind:
     steps: tuple = GRADES
 
 
+ENTITIES = "entities"
 NAMES = ("trainer", "trainer_code", "family", "family_code")
 #: ``own``: the overall families that count as the club's own, graded among themselves.
 KINDS = {
@@ -102,7 +103,7 @@ def statistics(horses: DataFrame, ours: Column, kinds: tuple[str, ...] = tuple(K
     found = with_share(entities(tally(horses, ours), wanted), least=own_share)
     if "overall" not in wanted:
         return found
-    found = staged(found, "entities")
+    found = staged(found, ENTITIES)
     overall = found.where("kind = 'overall'")
     every = overall.join(overall.where("club_horses > 0").select("family_code").distinct(), "family_code", "left_semi").select(*found.columns)
     copies = F.array(*[F.lit("overall")] * ("overall" in kinds), *[F.when(F.col("club_unique"), F.lit("own"))] * ("own" in kinds))
@@ -111,12 +112,16 @@ def statistics(horses: DataFrame, ours: Column, kinds: tuple[str, ...] = tuple(K
 
 
 def rank_build(horses: DataFrame, ours: Column, kinds: tuple[str, ...] = tuple(KINDS), own_share: float = 0.35) -> DataFrame:
-    """All kinds graded in one table: ``kind``, its keys, ``statistics``, rank, grade, score and percentile."""
+    """All kinds graded in one staged table: ``kind``, its keys, ``statistics``, rank, grade, score and percentile. What it is made of is deleted."""
     rows = statistics(horses, ours, kinds, own_share)
     least = F.coalesce(*[F.when(F.col("kind") == k, F.lit(KINDS[k].min_starts)) for k in kinds])
     rows = rows.withColumn("enough", F.coalesce(F.col("starts") >= least, F.lit(False)))
     order = [F.desc_nulls_last("composite_raw"), F.col("family_code"), F.col("trainer_code"), F.col("trainer"), F.col("family")]
-    return _marked(placed(rows, ["kind", "enough"], order), F.coalesce(*[F.when(F.col("kind") == k, _letter(_share(), KINDS[k].steps)) for k in kinds]))
+    in_place = placed(rows, ["kind", "enough"], order)
+    out = staged(_marked(in_place, F.coalesce(*[F.when(F.col("kind") == k, _letter(_share(), KINDS[k].steps)) for k in kinds])), "ranks")
+    discard_named(in_place, RANGED)
+    discard_named(rows, ENTITIES)
+    return out
 
 
 def name_index(df: DataFrame, name: str, ties: list[str], values: list[str]) -> DataFrame:

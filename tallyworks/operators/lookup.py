@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyworks.sources.staging import staged
+from tallyworks.sources.staging import discard, staged
 
 #: Dimensions up to so many rows are broadcast to the fuzzy join; larger ones meet by the first characters of the shorter name.
 MAX_BROADCAST_ROWS = 20_000
@@ -112,7 +112,9 @@ def matches_of_kinds(asked: DataFrame, listings: dict[str, Listing]) -> DataFram
         near = best(pairs(rest, rows, listings[k].fuzzy, listings[k].norm, n.get((k, "named"), 0)))
         both = exact.unionByName(near) if listings[k].exact_first else near
         found.append(both.select(F.lit(k).alias("kind"), "__q", *[(F.col("m") if j == k else F.lit(None).cast(r.schema["__m"].dataType)).alias(j) for j, r in kinds.items()]))
-    return reduce(DataFrame.unionByName, found)
+    out = staged(reduce(DataFrame.unionByName, found), "found")
+    discard(asked, named)
+    return out
 
 
 def first_match(subjects: DataFrame, query: str, dim: DataFrame, name: str, order: str, values: list[str], fuzzy: Callable[[Column, Column], Column], prefix: str = "", norm: Callable[[Column], Column] = lambda c: c) -> DataFrame:
@@ -147,7 +149,8 @@ def first_cross(subjects: DataFrame, dim: DataFrame, order: str, values: list[st
         exact = asked.join(table, (F.col("__q") == F.col("__name")) & (F.col("family") == F.col("__f"))).groupBy("__q", "family").agg(F.min_by("__m", "__ord").alias("__c"))
         near = near_crosses(asked.join(exact, ["__q", "family"], "left_anti"), table, trainers, of_family, norm)
         found = exact.unionByName(near.groupBy("__q", "family").agg(F.min_by("__m", "__ord").alias("__c")))
-    found = found.withColumnRenamed("__q", "trainer")
+    found = staged(found.withColumnRenamed("__q", "trainer"), "found")
+    discard(table, asked)
     return subjects.join(found, ["trainer", "family"], "left").select(*[subjects[c] for c in subjects.columns], *[F.col(f"__c.{v}").alias(v) for v in values])
 
 

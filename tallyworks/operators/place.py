@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from tallyworks.sources.staging import staged
 
+RANGED = "ranged"
 _ROWS = 33  # bits of a running id that count the rows of a task
 
 
 def ranged(df: DataFrame, pools: list[str], order: list[Column]) -> DataFrame:
     """The rows in ranges of (pool, order), staged, with ``__at``: the task, and the place in it."""
     keys = [*map(F.col, pools), *order]
-    return staged(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()), "ranged")
+    return staged(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()), RANGED)
 
 
 def placed(df: DataFrame, pools: list[str], order: list[Column]) -> DataFrame:

@@ -9,7 +9,6 @@ from tallyworks.functions import rules as R
 from tallyworks.functions import text as X
 from tallyworks.operators import lookup
 from tallyworks.operators.place import placed
-from tallyworks.sources.staging import staged
 
 
 def bonus(grade: Column, table: dict[str, float] = R.BONUS) -> Column:
@@ -169,7 +168,7 @@ def banded(offers: DataFrame, trainer: str, sire: str, trainer_bands: DataFrame,
     near = lambda q, n: X.match_score(q, n) >= 60
     listings = {side: lookup.Listing(bands, "name", "ord", ["profile"], near, X.norm_kana, exact_first=False) for side, bands in (("trainer", trainer_bands), ("sire", sire_bands))}
     asked = offers.select(F.inline(F.array(*[F.struct(F.lit(side).alias("kind"), F.col(c).alias("__q")) for side, c in (("trainer", trainer), ("sire", sire))])))
-    found = staged(lookup.matches_of_kinds(asked, listings), "bands")
+    found = lookup.matches_of_kinds(asked, listings)
     rows = offers
     for side, c in (("trainer", trainer), ("sire", sire)):
         rows = rows.join(found.where(F.col("kind") == side).select(F.col("__q").alias(c), F.col(side).alias(f"__{side}")), c, "left")

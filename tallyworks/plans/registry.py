@@ -196,7 +196,7 @@ def multi_search(spark, sf_dir):
     part, supplier = read(spark, sf_dir, "part"), read(spark, sf_dir, "supplier")
     queries = spark.createDataFrame([(q,) for q in MULTI_Q], "query string")
     of = lambda df, category, name, later, key=None: df.select(F.lit(category).alias("category"), name.alias("name"), F.struct(F.lit(later).alias("place") if isinstance(later, int) else later.alias("place"), (key if key is not None else name).alias("key")).alias("ord")).distinct()
-    crosses = staged(of_kind(ranks(spark, sf_dir, "cross"), "cross").where("grade <> 'U'").select("trainer", "family", "rank"), "crosses")
+    crosses = of_kind(ranks(spark, sf_dir, "cross"), "cross").where("grade <> 'U'").select("trainer", "family", "rank")
     key = F.concat_ws("|", "trainer", "family")
     items = [
         of(supplier, "trainer", F.col("s_name"), 0), of(part, "sire", F.col("p_type"), 0), of(part, "family", F.col("p_name"), 0), of(part.where("p_size < 8"), "family", F.concat("p_name", F.lit(" line")), 1),
@@ -384,7 +384,7 @@ def full_offers(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None,
     near names are prefixes and parts, or, as the ``browser`` finds them, those that score 60 or more.
     """
     c = F.col
-    o, rows = asked_offers(spark, sf_dir), staged(ranks(spark, sf_dir, *KINDS), "ranks") if rows is None else rows
+    o, rows = asked_offers(spark, sf_dir), ranks(spark, sf_dir, *KINDS) if rows is None else rows
     over = families_of(rows)
     trainers = name_index(of_kind(rows, "trainer"), "trainer", ["trainer_code"], ["score", "grade"])
     of_trainer, of_family, of_sire = (near_score,) * 3 if browser else (lookup.both_prefixes, lookup.either_contains, lookup.query_contains)
@@ -397,7 +397,7 @@ def full_offers(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None,
     }
     asked = {"f": "family_q", "t": "trainer_q", "y": "trainer_q", "s": "sire_q"}
     queries = o.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), c(q).alias("__q")) for k, q in asked.items()])))
-    found = staged(lookup.matches_of_kinds(queries, listings), "found")
+    found = lookup.matches_of_kinds(queries, listings)
     rows_of = o
     for k, q in asked.items():
         rows_of = rows_of.join(found.where(c("kind") == k).select(c("__q").alias(q), k), q, "left")

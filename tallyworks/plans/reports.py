@@ -12,7 +12,6 @@ from tallyworks.operators.grade import KINDS
 from tallyworks.plans import registry as Q
 from tallyworks.plans.horses import CLUB, horses, offers, read
 from tallyworks.plans.registry import query
-from tallyworks.sources.staging import staged
 
 GRADE_ORDER = "CASE grade WHEN 'S' THEN 0 WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 3 WHEN 'U' THEN 4 ELSE 9 END"
 
@@ -290,7 +289,7 @@ BY_HAND_SQL = f"""{Q.BROWSER_SQL}, known AS (SELECT o.*, CASE WHEN o.family_q =
 def decide_by_hand(spark, sf_dir):
     """Decisions with aliases, the signature that an alias suggests, and grades set by hand; names are found by their scores."""
     c, k = F.col, F.col("id")
-    ranks = staged(Q.ranks(spark, sf_dir, *KINDS), "ranks")
+    ranks = Q.ranks(spark, sf_dir, *KINDS)
     lines = Q.families_of(ranks).join(Q.aliases(spark).select(c("suggests").alias("family")), "family", "left_semi")
     named = Q.aliases(spark).join(lines.select(c("family").alias("suggests"), F.coalesce("own_grade", "grade").alias("suggested")), "suggests", "left")
     rows = Q.full_offers(spark, sf_dir, ranks, browser=True).join(F.broadcast(named.select("alias", "manual", "suggested")), near_score(c("family_q"), c("alias")), "left")

@@ -36,7 +36,8 @@ def read_config(spark: SparkSession, path: str, connection: str | None = None) -
 
 def bounds(spark: SparkSession, table: str, column: str, options: dict[str, str]) -> tuple | None:
     """The least and largest value of a column, asked of the database; none in an empty table."""
-    query = f"(SELECT MIN({column}) AS LOW, MAX({column}) AS HIGH FROM {table}) BOUNDS"
+    name = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(options["url"]).quoteIdentifier(column)
+    query = f"(SELECT MIN({name}) AS LOW, MAX({name}) AS HIGH FROM {table}) BOUNDS"
     row = spark.read.format("jdbc").options(**options, dbtable=query).load().first()
     return None if row[0] is None else (row[0], row[1])
 
@@ -59,6 +60,6 @@ def read_table(spark: SparkSession, table: str, options: dict[str, str], partiti
 def pushed(df: DataFrame) -> tuple[list[str], list[list[str]]]:
     """What reaches the scans of a query: filters, and the columns of each scan."""
     plan = df._jdf.queryExecution().executedPlan().toString()
-    filters = [f for found in re.findall(r"PushedFilters: \[(.*?)\](?:,|\n|$)", plan) for f in re.findall(r"\*?(\w+\([^()]*(?:\([^()]*\))?[^()]*\))", found)]
+    filters = [f for found in re.findall(r"PushedFilters: \[(.*?)\]", plan) for f in re.findall(r"\w+\([^()]*\)", found)]
     columns = [[c.split(":")[0] for c in found.split(",")] for found in re.findall(r"ReadSchema: struct<(.*?)>", plan)]
     return filters, columns

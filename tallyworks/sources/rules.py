@@ -61,6 +61,12 @@ def rules_of(scores: dict | None = None, checklist: dict | None = None) -> R.Rul
     return replace(R.DEFAULT, **given)
 
 
+def pocket_card(checklist: dict, title: str = "ポケット判定カード") -> str:
+    """The checklist's card as text: its lines, then its combination rules with their hint and condition."""
+    lines = [f"【{title}】", "", *[f"- {x}" for x in checklist.get("pocket_card") or []], "", "コンボ:"]
+    return "\n".join([*lines, *[f"- {c.get('id')} {c.get('name')}: {c.get('verdict_hint')}（{c.get('when')}）" for c in checklist.get("combo_rules") or []]])
+
+
 def listed_trainers(spark: SparkSession, scores: dict) -> DataFrame:
     """The trainers of a score document in its order: name, grade, score, ord; its default is none of them."""
     rows = [(n, v["grade"], float(v["score"]), i) for i, (n, v) in enumerate((scores.get("trainers") or {}).items()) if n != "default"]

@@ -43,6 +43,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard_named(df: DataFrame, name: str) -> None:
+    """Delete the tables staged under ``name`` that ``df`` reads."""
+    spark = df.sparkSession
+    ours = f"{scratch_dir(spark)}/{name}-"
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if ours.split(":", 1)[-1].lstrip("/") in folder:
+            _file_system(spark, folder).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder), True)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in tables:

@@ -72,13 +72,3 @@ def test_text_counters(spark):
     rows = [(" t ", "1", "f", "9", "c", "2", "1", "0", "0", "0", "3", "500"), ("t", "1", "f", "9", "c", "1", " ", "0", "0", "0", "3", None)]
     got = stats.entity_stats(stats.master(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))), ["trainer"]).first()
     assert (got["trainer"], got["n_horses"], got["wins"], got["starts"], got["prize"]) == ("t", 2, 3, 6, 500)
-
-
-def test_top_matches_of_many_queries(spark, monkeypatch):
-    items = spark.createDataFrame([("a", f"name{i}", i) for i in range(30)], "category string, name string, ord int")
-    queries = spark.createDataFrame([("name1",), ("zz",)], "query string")
-    score = lambda q, n: F.when(n.startswith(q), 80).otherwise(0)
-    find = lambda: sorted((r["name"], r["place"]) for r in lookup.top_matches(queries, items, score, 5).collect())
-    small = find()
-    monkeypatch.setattr(lookup, "MAX_BROADCAST_ROWS", -1)
-    assert find() == small and len(small) == 5

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyworks.functions import rules as R
 from tallyworks.operators import ledger, scoring
+from tallyworks.sources import bundle as B
+from tallyworks.sources import database
 from tallyworks.sources import documents as D
 from tallyworks.sources import rules as S
 
@@ -34,9 +36,26 @@ def test_ranks(spark, tmp_path):
 
 
 def test_bundle(spark, tmp_path):
-    D.write_bundle({"b": spark.createDataFrame([(1, "x")], "k int, v string"), "a": spark.createDataFrame([], "k int")}, str(tmp_path / "b"))
-    text = spark.read.text(str(tmp_path / "b")).first()[0]
-    assert text.startswith("window.CLUB_DATA = {") and json.loads(text[len("window.CLUB_DATA = ") : -1]) == {"a": [], "b": [{"k": 1, "v": "x"}]}
+    tables = {"b": spark.createDataFrame([(2, "y"), (1, "x")], "k int, v string"), "a": spark.createDataFrame([], "k int"), "日本": spark.createDataFrame([(None, "z")], "k int, v string")}
+    B.write_bundle(tables, str(tmp_path / "b"))
+    B.joined(spark, str(tmp_path / "b"), str(tmp_path / "b.js"))
+    text = (tmp_path / "b.js").read_text()
+    assert text.startswith("window.CLUB_DATA = {") and text.endswith("};\n")
+    assert json.loads(text[len("window.CLUB_DATA = ") : -2]) == {"b": [{"k": 1, "v": "x"}, {"k": 2, "v": "y"}], "a": [], "日本": [{"v": "z"}]}
+    for key, df in tables.items():
+        assert sorted(B.read_bundle_table(spark, str(tmp_path / "b"), key, df.schema).collect(), key=repr) == sorted(df.collect(), key=repr)
+    with pytest.raises(KeyError):
+        B.read_bundle_table(spark, str(tmp_path / "b"), "none", tables["a"].schema)
+
+
+def test_bundle_of_many_rows(spark, tmp_path):
+    rows = spark.range(0, 300_000, 1, 8).select("id", F.concat(F.lit('"a,'), F.col("id").cast("string")).alias("v"))
+    files = B.write_bundle({"many": rows}, str(tmp_path / "b"))
+    assert len([f for f in files if "-rows/" in f]) > 1  # no task held the table
+    B.joined(spark, str(tmp_path / "b"), str(tmp_path / "b.js"))
+    with open(tmp_path / "b.js", encoding="utf-8") as f:
+        back = json.loads(f.read()[len("window.CLUB_DATA = ") : -2])["many"]
+    assert back == [{"id": i, "v": f'"a,{i}'} for i in range(300_000)]
 
 
 def test_ledger_states(spark, tmp_path):
@@ -57,6 +76,14 @@ def test_ranks_index_and_cache(spark, tmp_path):
     assert grade() == "S" and D.cached_ranks(spark, path, "trainers", lines=True) is D.cached_ranks(spark, path, "trainers", lines=True)
     D.write_ranks({"trainers": of("A")}, path)
     assert grade() == "A"
+    # someone who doesn't know the library writes the files
+    folder = tmp_path / "ranks" / "trainers"
+    for f in folder.iterdir():
+        f.unlink()
+    (folder / "part-0.json").write_text(json.dumps({"trainer": "t", "grade": "B", "rank": 1}) + "\n")
+    assert grade() == "B"
+    (folder / "part-0.json").write_text(json.dumps({"trainer": "someone", "grade": "C", "rank": 1}) + "\n")
+    assert grade() == "C"
     D.forget_ranks()
 
 
@@ -93,7 +120,7 @@ def test_rules_from_files(spark, tmp_path, kind):
     zero = offers.withColumns({"family_pts": F.lit(0.0), "trainer_pts": F.lit(0.0), "sire_score": F.lit(0.0), "weight": F.lit(410)})
     rows = scoring.scored(zero, rules).orderBy("price", "status").collect()
     assert [r["total"] for r in rows] == [9.0, 0.0, 0.2]
-    assert [(r["cross_pts"], r["condition_pts"], r["price_pts"], r["skip_flags"]) for r in rows] == [(3.0, 1.5, 9.5, []), (0.0, 1.0, -1.0, ["sold_out", "price"]), (0.2, 1.0, -1.0, ["price"])]
+    assert [(r["cross_pts"], r["condition_pts"], r["price_pts"], r["skip_flags"]) for r in rows] == [(3.0, 1.5, 9.5, []), (0.0, 1.0, -1.0, ["status:gone", "price_over:3.0"]), (0.2, 1.0, -1.0, ["price_over:3.0"])]
     graded = zero.withColumns({c: F.lit(None).cast("string") for c in ("family_grade", "unique_grade", "signature_grade", "sire_tier")}).withColumn("trainer_grade", F.lit("none"))
     rows = scoring.decided(graded, rules=rules).orderBy("price", "status").collect()
     # the first: cross 3, price 1, trainer none 1; no keyword of the condition is among the mild ones
@@ -123,3 +150,49 @@ def test_ledger_added_and_cleared(spark):
     state = spark.createDataFrame([('{"opening":{"amount":5,"date":"d"},"entries":[{"id":"1"}]}',)], "s string").select(D.entries_from_json(F.col("s")).alias("e")).select("e.*")
     left = ledger.cleared(state).first()
     assert left["entries"] == [] and left["opening"]["amount"] == 5
+
+
+def test_updates_of_one_id_are_merged(spark):
+    store = spark.createDataFrame([("1", "a", "x"), ("3", "c", "z")], "id string, name string, latest string")
+    updates = spark.createDataFrame([("1", "b", True, None, False, 1), ("1", "c", True, None, False, 2), ("1", None, False, "", True, 3), ("2", "d", True, "p", True, 2), ("2", "e", True, None, True, 1)], "id string, name string, has_name boolean, latest string, has_latest boolean, at int")
+    rows = sorted(map(tuple, ledger.upserted(store, updates, "id", ["name", "latest"], order=[F.col("at")]).collect()))
+    assert rows == [("1", "c", ""), ("2", "d", "p"), ("3", "c", "z")]
+    again = ledger.upserted(store, updates.drop("has_latest"), "id", ["name", "latest"])
+    assert sorted(map(tuple, again.collect())) == [("1", "c", "x"), ("2", "e", None), ("3", "c", "z")]
+
+
+def test_database_bounds_pushdown_and_configuration(spark, tmp_path):
+    """The bundled database: rows come back, in partitions whose bounds it told, and the owner's filter and the columns reach it."""
+    spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
+    url = f"jdbc:derby:{tmp_path}/horses;create=true"
+    (tmp_path / "db.json").write_text(json.dumps({"default_connection": "here", "connections": {"here": {"url": url, "driver": "org.apache.derby.jdbc.EmbeddedDriver", "options": {"fetchsize": 7}}, "far": {"host": "h", "database": "d", "user": "u", "password": "p"}}}))
+    options = database.read_config(spark, str(tmp_path / "db.json"))
+    far = database.read_config(spark, str(tmp_path / "db.json"), "far")
+    assert (options["url"], options["fetchsize"]) == (url, "7") and far == {"url": "jdbc:postgresql://h:5432/d", "queryTimeout": "60", "loginTimeout": "10", "user": "u", "password": "p"}
+    with pytest.raises(KeyError):
+        database.read_config(spark, str(tmp_path / "db.json"), "none")
+    rows = spark.range(1, 101).select(F.col("id"), (F.col("id") % 4).cast("string").alias("owner"), F.lit("x").alias("unused"), (F.col("id") * 2).alias("wins"))
+    rows.write.format("jdbc").options(**options, dbtable="horses", createTableColumnTypes="owner VARCHAR(10), unused VARCHAR(5)").save()
+    rows.limit(0).write.format("jdbc").options(**options, dbtable="nobody").save()
+    assert database.bounds(spark, "horses", "id", options) == (1, 100) and database.bounds(spark, "nobody", "id", options) is None
+    table = database.read_table(spark, "horses", options, "id", partitions=4)
+    assert table.rdd.getNumPartitions() == 4 and sorted(map(tuple, table.collect())) == sorted(map(tuple, rows.collect()))
+    assert max(table.groupBy(F.spark_partition_id()).count().toPandas()["count"]) <= 26
+    ours = table.where(F.col("owner") == "3").groupBy("owner").agg(F.sum("wins").alias("wins"))
+    assert ours.collect() == [("3", 2550)]
+    filters, columns = database.pushed(ours)
+    assert "EqualTo(owner,3)" in filters and columns == [["owner", "wins"]]
+    assert database.read_table(spark, "nobody", options, "id").count() == 0
+
+
+def test_dates_of_today(spark):
+    import datetime
+
+    day, now = spark.range(1).select(D.today_iso(), D.now_iso()).first()
+    assert abs((datetime.date.fromisoformat(day) - datetime.datetime.now(datetime.timezone.utc).date()).days) <= 1 and now[:10] == day and datetime.datetime.fromisoformat(now)
+
+
+def test_card_of_a_checklist():
+    checklist = {"pocket_card": ["first", "second"], "combo_rules": [{"id": "C1", "name": "both", "verdict_hint": "GO", "when": "a AND b"}]}
+    assert S.pocket_card(checklist, "card") == "【card】\n\n- first\n- second\n\nコンボ:\n- C1 both: GO（a AND b）"
+    assert S.pocket_card({}, "t") == "【t】\n\n\nコンボ:"
