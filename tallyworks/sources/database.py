@@ -59,7 +59,7 @@ def read_table(spark: SparkSession, table: str, options: dict[str, str], partiti
 
 def pushed(df: DataFrame) -> tuple[list[str], list[list[str]]]:
     """What reaches the scans of a query: filters, and the columns of each scan."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
+    plan = df._jdf.queryExecution().sparkPlan().toString()
     filters = [f for found in re.findall(r"PushedFilters: \[(.*?)\]", plan) for f in re.findall(r"\w+\([^()]*\)", found)]
     columns = [[c.split(":")[0] for c in found.split(",")] for found in re.findall(r"ReadSchema: struct<(.*?)>", plan)]
     return filters, columns
