@@ -6,8 +6,12 @@ permuted with a key inside their format: letters stay letters of their case,
 digits stay digits, a card number satisfies the Luhn check and an account number
 its check digits, an address stays one, a date stays a date of 1900 to 2099 in the
 same notation. The permutation depends on the key and the format alone, so equal
-values stay linked across documents, and ``reverse`` undoes it. Only DataFrame
-functions are used.
+values stay linked across documents, and ``reverse`` undoes it. A name of one
+character goes by a keyed table. Only DataFrame functions are used.
+
+Query plans, and with them event logs, hold a digest of the key for each format and
+never the key itself. Such a digest is enough to undo its own format, so logs need the
+care that the key does. The setting's name holds ``secret``, which Spark redacts.
 
 What stays as it is: the domain of an e-mail address, the first digit of a card
 number, country codes, and the first digits of telephone numbers by which their
@@ -24,16 +28,20 @@ columns are ignored by ``pseudonyms`` and kept by ``masked``.
 
 from __future__ import annotations
 
+import hashlib
 import secrets
+import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyworks.llm.common import let
 from tallyworks.sources.staging import shared_dir
+from tallyworks.sources.store import Conflict, Store
 
 ROUNDS = 8
-KEY_SETTING = "spark.tallyworks.pii.key"
+KEY_SETTING = "spark.tallyworks.pii.secret"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
@@ -59,17 +67,39 @@ DAYS_A, DAYS_B = 17, 4297
 
 
 def key_of(spark: SparkSession) -> str:
-    """The key of the permutations: that of the setting, else one made at random once and kept in the shared folder, so that later jobs link with earlier ones."""
+    """The key of the permutations: that of the setting. Without one, and in local mode only, one made at random once and kept in the shared folder, so that later jobs link with earlier ones.
+
+    It is published whole or not at all: a job that was killed leaves nothing that later
+    ones read, and of two jobs at once both take the key that was first.
+    """
     if key := spark.conf.get(KEY_SETTING, None):
         return key
-    path = f"{shared_dir(spark)}/pii-key"
-    spark.range(1).select(F.lit(secrets.token_hex(16)).alias("value")).coalesce(1).write.mode("ignore").text(path)
-    return spark.read.text(path).first()[0]
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{KEY_SETTING} must hold the key of the pseudonyms")
+    kept = Store(spark, f"{shared_dir(spark)}/pii-secret", T.StructType([T.StructField("value", T.StringType())]))
+    if not kept.version():
+        try:
+            kept.publish(spark.createDataFrame([(secrets.token_hex(16),)], kept.schema), 0)
+        except Conflict:
+            pass
+    return kept.read(1).first()[0]
+
+
+def format_key(key: str, label: str) -> str:
+    """What a plan may show: a digest of the key and the format."""
+    return hashlib.sha256(f"{key}|{label}".encode()).hexdigest()
 
 
 def _word(key: str, label: str, r: Column, other: Column) -> Column:
-    """The round function: 64 hex digits from the key, the format, the round and the other half."""
-    return F.sha2(F.concat_ws("|", F.lit(f"{key}|{label}"), r.cast("string"), other), 256)
+    """The round function: 64 hex digits from the format's key, the round and the other half."""
+    return F.sha2(F.concat_ws("|", F.lit(format_key(key, label)), r.cast("string"), other), 256)
+
+
+def table_of(key: str, label: str, hexadecimal: bool) -> tuple[str, str]:
+    """The characters of each class, and what each becomes where it stands alone."""
+    mixed = lambda signs: "".join(sorted(signs, key=lambda c: hashlib.sha256(f"{format_key(key, label)}|{c}".encode()).digest()))
+    kinds = ("0123456789abcdef",) if hexadecimal else (string.ascii_lowercase, string.ascii_uppercase, string.digits)
+    return "".join(kinds), "".join(map(mixed, kinds))
 
 
 def _number(digest: Column, at: int, width: int = 8) -> Column:
@@ -102,7 +132,9 @@ def permuted_text(value: Column, key: str, label: str, reverse: bool = False, he
         step = lambda s, r: F.struct(shifted(s["b"], _word(key, label, F.lit(ROUNDS - 1) - r, s["a"]), -1).alias("a"), s["a"].alias("b"))
     else:
         step = lambda s, r: F.struct(s["b"].alias("a"), shifted(s["a"], _word(key, label, r, s["b"]), 1).alias("b"))
-    return let(halves(value), lambda h: F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), h, step, lambda s: F.concat(s["a"], s["b"])))
+    signs, become = table_of(key, label, hexadecimal)[:: -1 if reverse else 1]
+    rounds = lambda v: let(halves(v), lambda h: F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), h, step, lambda s: F.concat(s["a"], s["b"])))
+    return let(value, lambda v: F.when(F.length(v) == 1, F.translate(v, signs, become)).otherwise(rounds(v)))
 
 
 def permuted_number(value: Column, size_a: int, size_b: int, key: str, label: str, reverse: bool = False) -> Column:

@@ -451,7 +451,9 @@ def _parses(v, f):
         return False
 
 
-def test_pii_key(spark):
+def test_pii_key(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pii, "shared_dir", lambda s: str(tmp_path))
+    (tmp_path / "pii-secret" / "rows" / "killed").mkdir(parents=True)  # what a job that was killed leaves
     made = pii.key_of(spark)
     assert len(made) == 32 and pii.key_of(spark) == made
     spark.conf.set(pii.KEY_SETTING, "mine")
@@ -459,6 +461,44 @@ def test_pii_key(spark):
         assert pii.key_of(spark) == "mine"
     finally:
         spark.conf.unset(pii.KEY_SETTING)
+    docs = spark.createDataFrame([(1, "a@b.com 2020-01-02")], "doc_id long, text string")
+    plan = pii.masked(docs, "a-master-key")._jdf.queryExecution().toString()
+    assert "a-master-key" not in plan and pii.format_key("a-master-key", "x") not in plan
+
+
+def test_pii_names_of_one_letter(spark):
+    """A keyed table of the alphabet, not one shift; undone by the reverse."""
+    letters = spark.createDataFrame([(c,) for c in "abcdefghijklmnopqrstuvwxyzABCXYZ0189.é"], "v string")
+    got = {r["v"]: (r["p"], r["back"]) for r in letters.select("v", pii.permuted_text(F.col("v"), "k", "email").alias("p")).select("*", pii.permuted_text(F.col("p"), "k", "email", reverse=True).alias("back")).collect()}
+    assert all(v == back for v, (_, back) in got.items()) and got["."][0] == "." and got["é"][0] == "é"
+    lower = [got[c][0] for c in "abcdefghijklmnopqrstuvwxyz"]
+    assert sorted(lower) == list("abcdefghijklmnopqrstuvwxyz") and len({(ord(p) - ord(c)) % 26 for c, p in zip("abcdefghijklmnopqrstuvwxyz", lower)}) > 5
+
+
+def feistel(value, key, label):
+    """The network for text in plain Python."""
+    import hashlib
+
+    if len(value) == 1:
+        return None
+    half = len(value) // 2
+    a, b = value[:half], value[half:]
+    own = hashlib.sha256(f"{key}|{label}".encode()).hexdigest()
+    for r in range(8):
+        digest = hashlib.sha256(f"{own}|{r}|{b}".encode()).hexdigest()
+        out = ""
+        for i, c in enumerate(a):
+            n = int(digest[i % 16 * 4 : i % 16 * 4 + 4], 16)
+            low, size = next(((x, y) for x, y in ((97, 26), (65, 26), (48, 10)) if x <= ord(c) < x + y), (None, None))
+            out += c if low is None else chr((ord(c) - low + n) % size + low)
+        a, b = b, out
+    return a + b
+
+
+def test_pii_text_is_that_of_an_independent_network(spark):
+    values = ["ab", "abc", "john.doe99", "A.b-C_d", "x" * 40, "Z9", "mixed.Case+tag2024"]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select("v", pii.permuted_text(F.col("v"), "key", "email").alias("p")).collect()
+    assert {r["v"]: r["p"] for r in got} == {v: feistel(v, "key", "email") for v in values}
 
 
 def test_pii_phone_numbers_abroad(spark):
