@@ -97,7 +97,7 @@ def features(found: DataFrame, frequent: list[str] | tuple[str, ...] = ()) -> Da
     c = F.col("candidate")
     near = F.lower(F.concat_ws(" ", "before", "lead", F.substring("candidate", 1, 4), "after"))
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "9"), "[^aA9]+", "-")
-    hits = lambda names: sum((near.contains(w).cast("int") for w in names), F.lit(0))
+    hits = lambda names: sum((near.rlike(rf"(?<![a-z]){w}s?(?![a-z])").cast("int") for w in names), F.lit(0))  # noqa: E731  whole words: no author is an auth, no border an order
     return found.select(
         "*",
         F.length(c).cast("double").alias("length"),

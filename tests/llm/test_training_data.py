@@ -554,6 +554,14 @@ def test_secrets_written_by_hand(spark):
     assert right >= 19
 
 
+def test_secrets_near_whole_words_only(spark):
+    """An author stands beside a value as a writer does; an auth word doesn't."""
+    texts = ["the author Abc123Def456 said", "a writer Abc123Def456 said", "the auth Abc123Def456 said", "some borders Abc123Def456 shared", "two orders Abc123Def456 here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: (r["near_secret"], r["near_harmless"]) for r in secret_scan.features(secret_scan.candidates(df)).where("candidate = 'Abc123Def456'").collect()}
+    assert got[0] == got[1] == got[3] == (0, 0) and got[2][0] > 0 and got[4] == (0, 1)
+
+
 def test_secrets_with_odd_findings(spark):
     columns = "candidate string, lead string, before string, after string, label int"
     df = spark.createDataFrame([(1, "password=7602ad27cf5550de1c"), (2, "plain")], "doc_id long, text string")
