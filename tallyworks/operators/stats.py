@@ -18,13 +18,6 @@ def master(df: DataFrame) -> DataFrame:
     )
 
 
-def named(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose keys are all there and not blank, stripped."""
-    text = [c for c in keys if df.schema[c].dataType.simpleString() == "string"]
-    stripped = df.withColumns({c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in text}) if text else df
-    return stripped.where(" AND ".join(f"`{c}` <> ''" if c in text else f"`{c}` IS NOT NULL" for c in keys))
-
-
 def entity_stats(df: DataFrame, keys: list[str], min_rows: int = 1, extra: dict[str, Column] | None = None, counted: str | None = None) -> DataFrame:
     """Counts, sums and the derived rates for each key. ``counted`` names a column of row counts where ``df`` is a tally already."""
     total = lambda c, name=None: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name or c)
