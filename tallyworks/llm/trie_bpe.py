@@ -41,8 +41,8 @@ _BREAK = re.compile(r" (?=\S)")
 
 
 class Trie:
-    #: Nodes, pairs of tokens and stretches of text that a worker keeps, each about 200 bytes.
-    LIMIT = 800_000
+    #: Nodes of the trie and pairs of tokens, and stretches of text, that a worker keeps, each about 200 bytes. Stretches outlive the trie that encoded them.
+    LIMIT, STRETCHES = 500_000, 1_000_000
 
     def __init__(self, json_path: str):
         from tokenizers import Tokenizer
@@ -65,6 +65,7 @@ class Trie:
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._merges([tuple(surface[x] for x in (m if isinstance(m, list) else m.split(" "))) for m in model["merges"]])
         self._endings()
+        self.stretches: dict[str, bytes] = {}  # ids of a space and the stretch
         self._forget()
 
     def _merges(self, merges: list[tuple[bytes, bytes]]) -> None:
@@ -93,7 +94,6 @@ class Trie:
         self.child: dict[int, int] = {}
         self.last, self.back = [-1], [0]  # of each node: the last token, and the node before it
         self.known: dict[int, bool] = {}
-        self.stretches: dict[str, bytes] = {}  # ids of a space and the stretch
 
     def apart(self, x: int, y: int) -> bool:
         """Whether the tokens x and y stay two tokens side by side.
@@ -192,8 +192,10 @@ class Trie:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text as little-endian unsigned 32-bit integers."""
-        if max(len(self.last), len(self.known), len(self.stretches)) > self.LIMIT:
+        if max(len(self.last), len(self.known)) > self.LIMIT:
             self._forget()
+        if len(self.stretches) > self.STRETCHES:
+            self.stretches.clear()
         heads: set[str] = set()
         missing: set[str] = set()
         for t in texts:  # texts are split twice, so that only the distinct stretches of a batch are held

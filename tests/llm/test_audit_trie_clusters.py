@@ -127,6 +127,7 @@ def test_trie_on_mixed_signs(library, monkeypatch):
     signs = [*"ab  \n\t\r\x0b\x1c\x85　'st<|>é日本😀=-_12", "<|endoftext|>", "՘", "֋", " the", "'ll"]
     texts = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 60))) for _ in range(4000)]
     monkeypatch.setattr(trie_bpe.Trie, "LIMIT", 500)  # forgets again and again
+    monkeypatch.setattr(trie_bpe.Trie, "STRETCHES", 900)
     trie = trie_bpe.Trie(JSON)
     for low in range(0, len(texts), 400):
         for t, ids in zip(texts[low : low + 400], trie.encode_batch(texts[low : low + 400])):
