@@ -461,6 +461,13 @@ def test_pii_key(spark, tmp_path, monkeypatch):
         assert pii.key_of(spark) == "mine"
     finally:
         spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_pii_key_on_a_cluster(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pii, "shared_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    made = pii.key_of(spark)
+    assert len(made) == 32 and pii.key_of(spark) == made
     docs = spark.createDataFrame([(1, "a@b.com 2020-01-02")], "doc_id long, text string")
     plan = pii.masked(docs, "a-master-key")._jdf.queryExecution().toString()
     assert "a-master-key" not in plan and pii.format_key("a-master-key", "x") not in plan
