@@ -80,3 +80,9 @@ def test_first_band_that_scores_sixty_wins_over_a_later_equal_one(spark):
     assert {(r["t"], r["s"]): (r["profiles"], r["low"], r["high"], (r["trainer_band"] or {"matched": None})["matched"]) for r in got.collect()} == {
         ("a", "x"): ("heavy,light", 430, 470, "ab"), ("none", "y"): ("heavy", 430, 500, None), ("", None): ("default", 420, 480, None), ("none", "none"): ("default", 420, 480, None),
     }
+
+
+def test_a_weight_without_bands_says_so(spark):
+    rows = spark.createDataFrame([(450, None, ("ab", "light"))], "kg int, t struct<matched: string, profile: string>, s struct<matched: string, profile: string>")
+    told = scoring.weight_judgement(F.col("kg"), F.lit(430), F.lit(500), F.col("t"), F.col("s"), F.lit(""))
+    assert rows.select(told).first()[0] == "OK帯 / 430-500 / no light alert / trainer unassigned / sire ab light"
