@@ -72,3 +72,31 @@ def test_text_counters(spark):
     rows = [(" t ", "1", "f", "9", "c", "2", "1", "0", "0", "0", "3", "500"), ("t", "1", "f", "9", "c", "1", " ", "0", "0", "0", "3", None)]
     got = stats.entity_stats(stats.master(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))), ["trainer"]).first()
     assert (got["trainer"], got["n_horses"], got["wins"], got["starts"], got["prize"]) == ("t", 2, 3, 6, 500)
+
+
+def test_names_meet_by_whole_parts(spark, monkeypatch):
+    """No near pair is lost and no other pair meets; scores of long names count as well."""
+    long = "abcdefghij" * 4
+    names = ["ab", "abcde", "cde", "x", "日本語", "本", "zzz yy", "Zzz", "ディープ インパクト", "A b", " ", long[::-1] + "k"]
+    asked = ["abcdef", "bcd", "de", "xyz", "日本", "本語の", "zzz", "q", "ab", "でぃーぷ", "　", "", None, long]
+    dim = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, ord int")
+    queries = spark.createDataFrame([(q,) for q in asked], "q string")
+    for fuzzy in lookup.PARTS:
+        norm = text.norm_kana if fuzzy is lookup.by_score else lambda c: c
+        for exact_first in (True, False):
+            find = lambda: sorted((r["__q"], r["one"]["matched"]) for r in lookup.matches_of_kinds(queries.select(F.lit("one").alias("kind"), F.col("q").alias("__q")), {"one": lookup.Listing(dim, "name", "ord", [], fuzzy, norm, exact_first)}).collect())  # noqa: E731, B023
+            small = find()
+            monkeypatch.setattr(lookup, "MAX_PAIRS", -1)
+            assert find() == small
+            monkeypatch.undo()
+        q, n = (df.withColumn("__k", norm(F.col(c))) for df, c in ((queries.where("trim(q) <> ''").select(F.col("q").alias("__q")), "__q"), (dim.where("trim(name) <> ''").select(F.col("name").alias("__name")), "__name")))
+        want = q.join(n.withColumnRenamed("__k", "__n"), fuzzy(F.col("__q"), F.col("__name"))).select("__q", "__name").collect()
+        assert {tuple(r) for r in lookup.pairs(q.select("__q"), n.select("__name"), fuzzy, norm).select("__q", "__name").collect()} == {tuple(r) for r in want}
+
+
+def test_large_lookups_compare_no_pairs_of_names(spark):
+    """Names with a common beginning of 14 characters: as many rows meet as are near."""
+    names = spark.range(2000).select(F.format_string("Supplier#%09d", "id").alias("__name"))
+    asked = names.select(F.expr("substring(__name, 1, 17)").alias("__q")).distinct()
+    met = lookup.pairs(asked, names, lookup.by_score, text.norm_kana)
+    assert met.count() == 2000 and "contains" not in met._jdf.queryExecution().executedPlan().toString().lower()
