@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyworks.functions import text
 from tallyworks.operators import lookup, scoring, stats
+from tallyworks.plans import horses
 
 
 def test_first_match_of_large_dimensions(spark, monkeypatch):
@@ -100,3 +101,13 @@ def test_large_lookups_compare_no_pairs_of_names(spark):
     asked = names.select(F.expr("substring(__name, 1, 17)").alias("__q")).distinct()
     met = lookup.pairs(asked, names, lookup.by_score, text.norm_kana)
     assert met.count() == 2000 and "contains" not in met._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_large_tables_do_not_pass_through_the_driver(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    few = horses.horses(spark, sf)
+    monkeypatch.setattr(horses, "BROADCAST_BYTES", 0)
+    many = horses.horses(spark, sf)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 3 and "Broadcast" not in plan.split("ShuffledHashJoin", 1)[0] and "p_partkey" not in "".join(line for line in plan.split("\n") if "BroadcastExchange" in line)
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
