@@ -9,14 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyworks.llm import packing, pii, quality_rules, simhash, toxicity
-from tallyworks.llm.common import fold, ship, staged
+from tallyworks.llm.common import fold, ship, small_batches, staged
 
 TOXIC_FROM = 0.3
 
 
+def to_python(spark: SparkSession) -> None:
+    """What a stage that runs Python needs: this package on the executors, and batches that leave their memory to the stages' own tables."""
+    ship(spark)
+    small_batches(spark)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the limit."""
-    ship(spark)
+    to_python(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~fold(4, 2))
     return docs.where(toxicity.score(model) < TOXIC_FROM)
 
@@ -28,7 +34,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    ship(spark)
+    to_python(spark)
     return simhash.one_per_group(docs)
 
 
@@ -39,7 +45,7 @@ def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in windows."""
-    ship(spark)
+    to_python(spark)
     return packing.pack(docs, "byte_bpe_50k.json")
 
 

@@ -45,6 +45,8 @@ EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "sore loser
 #: Lexicon and curve are fitted on about so many labelled documents, which bounds the lexicon by their words.
 MAX_FIT_ROWS = 15_000
 PREFIXES = range(4, 9)
+#: Entries that a task counts before it passes them on.
+MAX_COUNTED = 150_000
 #: An entry's likelihood ratio against an equal share in both kinds, about the square of four standard deviations.
 MIN_RATIO = 16.0
 #: Harmless groups that a phrase must stand in, and no toxic one, to be an exception.
@@ -134,7 +136,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 found.update(f" {w[:k]}" for k in PREFIXES if k <= len(w))
                 found.update(e for e in SEED if f" {w} ".startswith(e))
             seen[int(y > 0)].update(found)
-        if sum(map(len, seen)) > 400_000:
+        if sum(map(len, seen)) > MAX_COUNTED:
             yield _rows(seen)
             seen = (Counter(), Counter())
     yield _rows(seen)

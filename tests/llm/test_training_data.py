@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tallyworks.llm import common, nearest, packing, pieces, pii, quality_classifier, quality_rules, queries, secret_scan, simhash, token_counts, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -368,6 +369,21 @@ def test_more_slices_give_the_same_links(spark):
     assert simhash.slices_of(10**6, 8) == 8 and simhash.slices_of(10**13, 4000) == 256
 
 
+def test_batches_to_python_are_bounded_by_bytes(spark):
+    before = spark.conf.get(common.BATCH_SETTING)
+    rows = spark.range(2000, numPartitions=1).select(F.repeat(F.lit("x"), 20_000).alias("text"))
+    measured = lambda: rows.mapInPandas(lambda batches: (b.assign(n=b["text"].str.len().sum())[["n"]].head(1) for b in batches), "n long").agg(F.max("n"), F.sum("n")).first()
+    try:
+        corpus_pipeline.to_python(spark)
+        largest, total = measured()
+        assert total == 2000 * 20_000 and largest <= common.BATCH_BYTES + 20_000
+        spark.conf.set(common.BATCH_SETTING, "1000000")
+        corpus_pipeline.to_python(spark)
+        assert measured()[0] <= 1_020_000
+    finally:
+        spark.conf.set(common.BATCH_SETTING, before)
+
+
 def test_one_per_group_of_null_and_repeated_ids(spark):
     common.ship(spark)
     texts = {c: " ".join(f"{c}{i * i}" for i in range(60)) for c in "abcde"}
