@@ -37,6 +37,20 @@ def test_names_with_a_common_beginning_do_not_all_meet(spark):
     assert lookup.by_head(asked, names).distinct().count() == 1000
 
 
+def test_many_found_names_are_not_broadcast(spark, monkeypatch):
+    """However small their files are: in memory they take many times as much."""
+    asked = spark.createDataFrame([(i, f"name {i:03}") for i in range(60)], "id int, q string")
+    dim = spark.createDataFrame([(f"name {i:03}"[: 8 if i % 2 else 7], i) for i in range(60)], "name string, ord int")
+    find = lambda: lookup.first_match(asked, "q", dim, "name", "ord", ["ord"], lookup.both_prefixes)
+    crosses = lambda: lookup.first_cross(asked.select("id", F.col("q").alias("trainer"), F.lit("f").alias("family")), dim.select(F.col("name").alias("trainer"), F.lit("f").alias("family"), "ord"), "ord", ["ord"])
+    few = [sorted(map(tuple, f().collect()), key=repr) for f in (find, crosses)]
+    monkeypatch.setattr(lookup, "MAX_BROADCAST_ROWS", 40)
+    for f, want in zip((find, crosses), few):
+        plan = f()._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "ShuffledHashJoin" in plan
+        assert sorted(map(tuple, f().collect()), key=repr) == want
+
+
 def test_first_cross_is_exact_else_fuzzy(spark, monkeypatch):
     crosses = [("t1", "cold bolt", "A", 3), ("t1", "bolt", "B", 2), ("t1", "old bolt x", "S", 1), ("t10", "red", "C", 4), ("t2", "", "S", 0), ("", "red", "S", 5), ("t1", "bolt", "C", 6)]
     asked = [("t1", "old bolt"), ("t1", "bolt"), ("t1", "cold bolt"), ("t", "cold"), ("t1", "red"), ("t10", "red wine"), ("t10", "bolt"), ("t2", "red"), ("t3", "bolt"), ("", "red"), ("t1", ""), (None, "red"), ("t1", None), ("t1", "old bolt")]
