@@ -47,7 +47,7 @@ SCHEMA = T.StructType([T.StructField("doc_id", T.StringType()), *[T.StructField(
 class Encoder(dict):
     """Token ids, as bytes, of text units that begin with a space; each distinct unit is encoded once while it is remembered."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __init__(self, json_path: str):
         import json
