@@ -393,6 +393,20 @@ def test_one_per_group_of_null_and_repeated_ids(spark):
     assert got == [(None, "a"), (None, "b"), (7, "c"), (7, "d"), (8, "e")]
 
 
+def test_simhash_sends_a_fingerprint_once_to_each_cell():
+    masks, fps = simhash.ball(2), np.random.default_rng(5).integers(0, 2**64, 40, dtype="u8")
+    for slices, bits in ((8, 10), (1, 0), (64, 3)):
+        cells, variants, travels = simhash.Cells(masks, slices, bits), [], 0
+        for part in range(slices):
+            who, bucket = cells.sent(fps, part)
+            travels += len(who)
+            for b in np.unique(bucket):
+                assert len(np.unique(who[bucket == b])) == (bucket == b).sum()
+                variants += zip(*map(np.ndarray.tolist, cells.variants(who[bucket == b], part, int(b))))
+        assert sorted(variants) == sorted((int(f), int(f ^ m)) for f in fps for m in masks)
+        assert travels <= len(fps) * max(slices, 1 << bits)  # eight bytes each; every variant travelled before, ten bytes each
+
+
 def test_simhash_links_all_within_the_radius(spark):
     rng = np.random.default_rng(1)
     a = rng.integers(-(2**63), 2**63, 60)
