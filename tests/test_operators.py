@@ -125,3 +125,10 @@ def test_large_tables_do_not_pass_through_the_driver(spark, monkeypatch):
     plan = many._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ShuffledHashJoin") == 3 and "Broadcast" not in plan.split("ShuffledHashJoin", 1)[0] and "p_partkey" not in "".join(line for line in plan.split("\n") if "BroadcastExchange" in line)
     assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
+
+
+def test_large_orders_do_not_pass_through_the_driver(spark, monkeypatch):
+    """Sized by the two columns that a rank build reads, orders seem small where their hash takes 50 bytes a row."""
+    monkeypatch.setattr(horses, "BROADCAST_BYTES", 0)
+    plan = horses.horses(spark, "/root/testdata/sf0.001").select("id", "owner", "prize")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin [l_orderkey" in plan
