@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyworks.functions import text
 from tallyworks.operators import lookup, scoring, stats
-from tallyworks.plans import horses
+from tallyworks.plans import horses, registry
 
 
 def test_first_match_of_large_dimensions(spark, monkeypatch):
@@ -132,3 +132,13 @@ def test_large_orders_do_not_pass_through_the_driver(spark, monkeypatch):
     monkeypatch.setattr(horses, "BROADCAST_BYTES", 0)
     plan = horses.horses(spark, "/root/testdata/sf0.001").select("id", "owner", "prize")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan and "SortMergeJoin [l_orderkey" in plan
+
+
+def test_crosses_of_many_offers_are_not_broadcast(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    few = sorted(map(str, registry.full_offers(spark, sf).select("id", "cross_record").collect()))
+    monkeypatch.setattr(lookup, "MAX_BROADCAST_ROWS", 40)
+    many = registry.full_offers(spark, sf).select("id", "cross_record")
+    joins = [line for line in many._jdf.queryExecution().executedPlan().toString().split("\n") if "Join [trainer_q" in line and "family_q" in line]
+    assert joins and all("ShuffledHashJoin" in line for line in joins)
+    assert sorted(map(str, many.collect())) == few
