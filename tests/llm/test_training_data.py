@@ -420,6 +420,44 @@ def test_simhash_links_all_within_the_radius(spark):
     assert len(set(got.values())) == len(fps) - 48
 
 
+def test_simhash_tells_a_dense_group_in_few_rows(spark, monkeypatch):
+    common.ship(spark)
+    rng, told = np.random.default_rng(3), []
+    inner = simhash.staged
+
+    def counted(df, name):
+        out = inner(df, name)
+        if name.startswith("links-"):
+            told.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "staged", counted)
+    rows = {}
+    for n in (300, 1200):
+        told.clear()
+        flips = (rng.random((n, 40)) < 0.06) * (np.int64(1) << np.arange(40))
+        fps = np.unique(np.concatenate([flips.sum(axis=1) ^ 0x5A5A5A5A5A5A5A, rng.integers(-(2**63), 2**63, 20)]))
+        near = np.bitwise_count(fps[:, None].view("u8") ^ fps.view("u8")[None, :]) <= 4
+        want = np.arange(len(fps))
+        while (new := np.where(near, want, len(fps)).min(axis=1)).tolist() != want.tolist():
+            want = new
+        root = {r["node"]: r["root"] for r in simhash.connected(simhash.links(spark.createDataFrame([(int(x),) for x in fps], "fp long"), 40_000)).collect()}  # cells as for a large table
+        parts = lambda of: sorted(sorted(i for i, o in enumerate(of) if o == g) for g in set(of))
+        assert parts([root.get(int(x), int(x)) for x in fps]) == parts(want.tolist())
+        rows[n] = sum(told) / len(fps)
+    assert all(0 < x < 25 for x in rows.values()), rows  # not one for each cell that a member meets another in, which are hundreds
+
+
+def test_simhash_pairs_are_told_at_a_variant_of_both():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 2**64, 400, dtype="u8")
+    b = a ^ np.array([sum(1 << int(x) for x in rng.choice(64, k % 4 + 1, replace=False)) for k in range(400)], dtype="u8")
+    at, masks = simhash.told_at(a, b, 2), simhash.ball(2)
+    assert (at == simhash.told_at(b, a, 2)).all()
+    for x, y, v in zip(a, b, at):
+        assert v in simhash._mixed(np.intersect1d(x ^ masks, y ^ masks))
+
+
 def test_pii_formats_and_reverse(spark, odd):
     text = "a.b7@x.org, +1 (619) 555-0053; 4111 1111 1111 1111 79.197.74.40 300.1.1.1 2024-02-29 31.12.1999 30/02/2001 1700000000123 4111111111111112 10.0.0.1."
     df = spark.createDataFrame([(1, text), (2, text + " more"), (3, None), (4, "")], "doc_id long, text string")
