@@ -132,6 +132,42 @@ def test_crosses_of_a_hot_trainer(spark, monkeypatch, few, salted):
     assert got == {i: brute_cross([c for c in crosses if c[1].strip()], t, f if f.strip() else "") for i, (t, f) in enumerate(asked)}
 
 
+@pytest.mark.parametrize("of_trainer,of_family", [(lookup.by_score, lookup.by_score), (lookup.both_prefixes, lookup.either_contains), (lookup.name_contains, lookup.query_contains), (lookup.query_contains, lookup.name_contains)])
+def test_crosses_do_not_hang_on_how_many_there_are(spark, monkeypatch, of_trainer, of_family):
+    """Long families that score by common characters, exact names of which no key is left and crosses without a place, by each way of meeting."""
+    long = "abcdefghij" * 4
+    families = ["old bolt", "Old Bolt x", "bolt", long[::-1] + "k", "jihgfedcba k", "K jihgfedcba", "\x0b", "ディープ x", "x"]
+    crosses = [(("hot", "hotel", "t")[i % 3], f"{families[i % 9]}{i if i % 4 == 0 else ''}", None if i == 7 else i) for i in range(60)] + [("\x0b", "f", 70), ("h" * 45, long, 71), ("hot", "\x0b", 72)]
+    asked = [(t, f) for t in ("hot", "HO", "hotels", "\x0b", "h" * 45, long) for f in (*families, long, "old", "でぃーぷ", "f", "bolt xyz")]
+    dim = spark.createDataFrame(crosses, "trainer string, family string, rank int")
+    subjects = spark.createDataFrame([(i, *a) for i, a in enumerate(asked)], "id int, trainer string, family string")
+    key = text.norm_kana
+    rule = lambda f, q, n: (key(q) != "") & (key(n) != "") & (f(key(q), key(n)))
+    c = dim.select(F.col("trainer").alias("t"), F.col("family").alias("f"), "rank")
+    exact = (F.col("trainer") == F.col("t")) & (F.col("family") == F.col("f"))
+    near = subjects.join(c, exact | (rule(of_trainer, F.col("trainer"), F.col("t")) & rule(of_family, F.col("family"), F.col("f"))))
+    want = {i: None for i in range(len(asked))} | {r["id"]: r["r"] for r in near.groupBy("id").agg(F.min_by("rank", F.struct(~exact, "rank")).alias("r")).collect()}
+    for few, salted, listed, lengths in ((200, 200_000, 20_000, 48), (5, 200_000, 20_000, 48), (5, 4, 20_000, -1), (200, 4, -1, -1)):
+        for name, value in (("FEW", few), ("SALTED", salted), ("MAX_BROADCAST_ROWS", listed), ("MAX_LENGTHS", lengths)):
+            monkeypatch.setattr(lookup, name, value)
+        assert {r["id"]: r["rank"] for r in lookup.first_cross(subjects, dim, "rank", ["rank"], of_trainer, of_family, key).collect()} == want
+    assert sum(r is not None for r in want.values()) > 10 and (of_family is not lookup.by_score or want[asked.index(("hot", long))] is not None)
+
+
+@pytest.mark.parametrize("exact_first", [True, False])
+def test_lookups_by_score_do_not_hang_on_how_many_names_there_are(spark, monkeypatch, exact_first):
+    """An exact name of which no key is left, and more lengths of long names than meet by parts."""
+    long = "abcdefghij" * 4
+    dim = spark.createDataFrame([("jihgfedcba k", 1), ("\x0b", 2), ("bolt", 3), (None, 4), ("old bolt", None)], "name string, ord int")
+    asked = spark.createDataFrame([(q,) for q in ("\x0b", long, long + "k", "bolt", "ol", "B" * 50)], "q string").select(F.lit("one").alias("kind"), F.col("q").alias("__q"))
+    find = lambda: {r["__q"]: r["one"]["matched"] for r in lookup.matches_of_kinds(asked, {"one": lookup.Listing(dim, "name", "ord", [], lookup.by_score, text.norm_kana, exact_first)}).collect()}
+    want = {long: "jihgfedcba k", long + "k": "jihgfedcba k", "bolt": "bolt" if exact_first else "old bolt", "ol": "old bolt", "B" * 50: "old bolt"} | ({"\x0b": "\x0b"} if exact_first else {})
+    for small, lengths, listed in ((5_000_000, 48, 20_000), (-1, 48, 20_000), (-1, -1, 20_000), (-1, -1, -1)):
+        for name, value in (("MAX_PAIRS", small), ("MAX_LENGTHS", lengths), ("MAX_BROADCAST_ROWS", listed)):
+            monkeypatch.setattr(lookup, name, value)
+        assert find() == want
+
+
 def test_blocks_of_families_part_a_hot_trainer(spark):
     """The crosses of one trainer meet the subjects of its own by family, not all of them."""
     many = spark.range(4000).select(F.lit("hot").alias("__name"), F.format_string("family %05d of many", "id").alias("__f"), F.struct(F.col("id").alias("rank")).alias("__m"), F.col("id").alias("__ord"))
